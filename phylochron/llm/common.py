@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         if not n:
             continue
         col = b.column(b.schema.get_field_index(column))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         total = np.cumsum(size)
         at = 0
         while at < n:
@@ -66,7 +67,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: none), and where each row begins and the last ends."""
-    col = pa.concat_arrays([pa.compute.fill_null(col, "").cast(pa.large_string())])
+    col = pa.concat_arrays([pc.fill_null(col, "").cast(pa.large_string())])
     _, offsets, data = col.buffers()
     at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
     if data is None or at[-1] == at[0]:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -102,7 +101,7 @@ def measure(col: pa.Array) -> dict[str, np.ndarray]:
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the figures and the verdict of each row."""
     rest = [f for f in docs.schema if f.name not in dict(FIELDS)]
-    schema = StructType(rest)
+    schema = StructType(list(rest))
     for name, kind in FIELDS:
         schema = schema.add(name, kind)
     names = [f.name for f in rest]

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query: module of this package that defines it, and its SQL as ORACLE_SQL where there is one.
 MODULES = {
     "op1_quality": "op1_quality",
+    "op3_warc": "op3_warc",
+    "op6_packing": "op6_packing",
 }
 
 
