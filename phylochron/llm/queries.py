@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_quality": "op1_quality",
     "op3_warc": "op3_warc",
+    "op5_mixing": "op5_mixing",
     "op6_packing": "op6_packing",
 }
 
