@@ -13,6 +13,7 @@ MODULES = {
     "op3_warc": "op3_warc",
     "op5_mixing": "op5_mixing",
     "op6_packing": "op6_packing",
+    "op9_pii": "op9_pii",
 }
 
 
