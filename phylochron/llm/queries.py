@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query: module of this package that defines it, and its SQL as ORACLE_SQL where there is one.
 MODULES = {
     "op1_quality": "op1_quality",
+    "op2_toxicity": "op2_toxicity",
     "op3_warc": "op3_warc",
+    "op4_language": "op4_language",
     "op5_mixing": "op5_mixing",
     "op6_packing": "op6_packing",
     "op9_pii": "op9_pii",
