@@ -16,6 +16,7 @@ MODULES = {
     "op5_mixing": "op5_mixing",
     "op6_packing": "op6_packing",
     "op9_pii": "op9_pii",
+    "op10_jaccard": "op10_jaccard",
 }
 
 
