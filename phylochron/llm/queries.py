@@ -15,6 +15,7 @@ MODULES = {
     "op4_language": "op4_language",
     "op5_mixing": "op5_mixing",
     "op6_packing": "op6_packing",
+    "op7_embeddings": "op7_embeddings",
     "op8_lm": "op8_lm",
     "op9_pii": "op9_pii",
     "op10_jaccard": "op10_jaccard",
