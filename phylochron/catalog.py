@@ -5,13 +5,460 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import derived as d
+from .operators import diagnostics, evidence, families, scoring, trees
+from .sources import lines
 
 FLAGSHIP = "classify_edges"
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, with_views: bool = True):
+    """Registers a function as the query of its name; sql follows the common views of derived.SQL."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = d.SQL + sql if with_views else sql
+        return f
+
+    return keep
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# evidence
+
+
+@query("SELECT donor, receptor, weight, kind FROM classified")
+def classify_edges(spark, sf):
+    return d.classified(spark, sf).drop("first_seq")
+
+
+@query("SELECT donor, receptor, weight, first_seq FROM edges")
+def edge_weights(spark, sf):
+    return d.edges(spark, sf)
+
+
+@query("SELECT donor, receptor, weight, family, sample, ingest_seq, distance FROM c_raw WHERE distance IS NULL OR distance > 5")
+def distance_filter(spark, sf):
+    return evidence.distance_filter(d.raw(spark, sf), 5)
+
+
+@query("""SELECT COUNT(*) AS n_before, COUNT(*) FILTER (distance IS NULL OR distance > 5) AS n_kept,
+  COUNT(*) FILTER (distance <= 5) AS n_dropped, COUNT(*) FILTER (distance IS NULL) AS n_unknown,
+  COUNT(*) FILTER (distance <= 5 AND donor = receptor) AS n_self_dropped,
+  COUNT(*) FILTER (distance <= 5) = 0 AS ignored FROM c_raw""")
+def distance_report(spark, sf):
+    return evidence.distance_report(d.raw(spark, sf), 5)
+
+
+@query("""SELECT CAST(CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 1 + l_suppkey % 63 END AS BIGINT) AS donor,
+  CAST(1 + l_partkey % 63 AS BIGINT) AS receptor, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS weight FROM lineitem GROUP BY 1, 2""", with_views=False)
+def none_endpoint_to_root(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    donor = F.when(F.col("l_suppkey") % 7 == 0, "None").otherwise((1 + F.col("l_suppkey") % 63).cast("string"))
+    rows = li.select(donor.alias("donor"), (1 + F.col("l_partkey") % 63).cast("string").alias("receptor"), F.col("l_quantity").cast("long").alias("weight"), F.lit(0).alias("ingest_seq"))
+    out = evidence.edge_weights(evidence.none_to_root(rows, "1"))
+    return out.select(F.col("donor").cast("long"), F.col("receptor").cast("long"), "weight")
+
+
+_COIN = "('0x' || substr(md5('7:' || ingest_seq), 1, 8))::BIGINT < 2147483648"
+
+
+@query(f"""SELECT CASE WHEN {_COIN} THEN receptor ELSE donor END AS donor, CASE WHEN {_COIN} THEN donor ELSE receptor END AS receptor,
+  CAST(SUM(weight) AS BIGINT) AS weight FROM c_base GROUP BY 1, 2""")
+def randomize_direction(spark, sf):
+    return evidence.edge_weights(evidence.randomize_direction(d.raw(spark, sf), 7)).drop("first_seq")
+
+
+@query("""SELECT one AS donor, 1 + (one - 1 + 1 + ('0x' || substr(md5('7:' || ingest_seq || ':r'), 1, 8))::BIGINT % 30) % 31 AS receptor,
+  CAST(SUM(weight) AS BIGINT) AS weight
+  FROM (SELECT 1 + ('0x' || substr(md5('7:' || ingest_seq || ':d'), 1, 8))::BIGINT % 31 AS one, ingest_seq, weight FROM c_base) GROUP BY 1, 2""")
+def randomize_endpoints(spark, sf):
+    return evidence.edge_weights(evidence.randomize_endpoints(d.raw(spark, sf), [int(k) for k in range(1, 32)], 7)).select(F.col("donor").cast("long"), F.col("receptor").cast("long"), "weight")
+
+
+@query("SELECT kind, COUNT(*) AS n, CAST(SUM(weight) AS BIGINT) AS weight FROM classified GROUP BY 1")
+def class_summary(spark, sf):
+    return evidence.class_summary(d.classified(spark, sf))
+
+
+@query("SELECT donor, receptor, weight FROM classified WHERE kind = 'info' AND weight <> 0")
+def informative_edges(spark, sf):
+    return evidence.informative(d.classified(spark, sf)).drop("first_seq")
+
+
+@query("""SELECT CAST(SUM(CASE WHEN e.kind = 'anc' THEN e.weight ELSE 0 END + CASE WHEN e.weight >= o.weight THEN o.weight ELSE 0 END) AS BIGINT) AS weight
+  FROM classified e LEFT JOIN classified o ON o.donor = e.receptor AND o.receptor = e.donor AND o.kind <> 'tree_edge' WHERE e.kind <> 'tree_edge'""")
+def trivial_conflict_weight(spark, sf):
+    return evidence.trivial_conflict(d.classified(spark, sf))
+
+
+@query("SELECT e.donor, e.receptor, e.weight FROM edges e JOIN h ON h.label = e.receptor AND h.parent = e.donor AND NOT h.is_leaf")
+def hard_edge_hits(spark, sf):
+    return evidence.hard_hits(d.edges(spark, sf), d.nodes(spark)).select("donor", "receptor", "weight")
+
+
+@query("""SELECT donor, receptor, weight FROM (SELECT *, COALESCE(SUM(weight) OVER (ORDER BY weight, first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  SUM(weight) OVER () AS total FROM edges) WHERE before >= 0.2 * total""")
+def threshold_prefix(spark, sf):
+    return evidence.threshold(d.edges(spark, sf), 0.2).select("donor", "receptor", "weight")
+
+
+@query("""SELECT CAST(i AS BIGINT) AS instance_id, COUNT(*) AS n, CAST(SUM(weight) AS BIGINT) AS weight FROM (
+  SELECT *, COALESCE(SUM(weight) OVER (ORDER BY weight, first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, SUM(weight) OVER () AS total FROM edges
+  ), (SELECT unnest(range(0, 11)) AS i) WHERE before * 10 >= i * total GROUP BY 1""")
+def threshold_sweep(spark, sf):
+    many = d.edges(spark, sf).withColumn("instance_id", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("instance_id", F.col("instance_id").cast("long"))
+    by10 = evidence.threshold(many.withColumn("weight", F.col("weight") * 10), F.col("instance_id") / 10, "instance_id")
+    return by10.groupBy("instance_id").agg(F.count("*").alias("n"), (F.sum("weight") / 10).cast("long").alias("weight"))
+
+
+@query("""SELECT donor, receptor, weight, family, sample, ingest_seq, distance FROM c_raw
+  WHERE donor IN (SELECT des FROM closure WHERE anc = 5) AND receptor IN (SELECT des FROM closure WHERE anc = 5)""")
+def clade_prune(spark, sf):
+    return evidence.prune(d.raw(spark, sf), d.closure(spark), 5).select("donor", "receptor", "weight", "family", "sample", "ingest_seq", "distance")
+
+
+@query("""SELECT donor, receptor, CAST(SUM(weight) AS BIGINT) AS weight FROM (
+    SELECT CASE WHEN donor IN (1, 2) THEN 5 ELSE donor END AS donor, CASE WHEN receptor IN (1, 2) THEN 5 ELSE receptor END AS receptor, weight
+    FROM c_base WHERE (donor IN (SELECT des FROM closure WHERE anc = 5) OR donor IN (1, 2)) AND (receptor IN (SELECT des FROM closure WHERE anc = 5) OR receptor IN (1, 2)))
+  WHERE receptor <> 5 GROUP BY 1, 2""")
+def clade_prune_ancestor_map(spark, sf):
+    kept = evidence.prune(d.raw(spark, sf), d.closure(spark), F.lit(5).cast("long"), map_ancestors=True)
+    return evidence.edge_weights(kept).drop("first_seq")
+
+
+@query("""SELECT label, COUNT(*) AS n FROM (SELECT donor AS label FROM x UNION ALL SELECT receptor FROM x) GROUP BY 1 HAVING label NOT IN (SELECT label FROM h)""".replace("FROM x", "FROM (SELECT CAST(1 + l_suppkey % 70 AS BIGINT) AS donor, CAST(1 + l_partkey % 70 AS BIGINT) AS receptor FROM lineitem)"))
+def unknown_endpoints(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return evidence.unknown_endpoints(li.select((1 + F.col("l_suppkey") % 70).cast("long").alias("donor"), (1 + F.col("l_partkey") % 70).cast("long").alias("receptor")), d.nodes(spark))
+
+
+# lines
+
+
+@query("""SELECT CAST(l_suppkey AS VARCHAR) AS donor, CAST(l_partkey AS VARCHAR) AS receptor,
+  CASE WHEN l_linenumber = 1 THEN 1.0 ELSE l_quantity END AS weight, CASE WHEN l_linenumber > 2 THEN CAST(l_linenumber AS DOUBLE) END AS distance FROM lineitem""", with_views=False)
+def parse_space_lines(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    text = F.concat_ws("  ", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("string")), F.when(F.col("l_linenumber") > 2, F.col("l_linenumber").cast("string")))
+    return lines.parse(li.select(F.concat(text, F.lit(" # note")).alias("value"))).select("donor", "receptor", "weight", "distance")
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS family, CAST(l_suppkey AS VARCHAR) AS donor, CAST(l_partkey AS VARCHAR) AS receptor,
+  l_quantity AS weight, CASE WHEN l_linenumber > 2 THEN CAST(l_linenumber AS DOUBLE) END AS distance FROM lineitem""", with_views=False)
+def parse_comma_lines(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    last = F.when(F.col("l_linenumber") > 2, F.concat(F.lit(","), F.col("l_linenumber").cast("string"))).when(F.col("l_linenumber") == 2, ",").otherwise("")
+    text = F.concat(F.concat_ws(",", *[F.col(c).cast("string") for c in ("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")]), last)
+    return lines.parse(li.select(text.alias("value"))).select("family", "donor", "receptor", "weight", "distance")
+
+
+_BAD = ["A B nan", "A B inf", "A B -1", "A", "f,A,B", "f, ,B,1", "A B x", "f,A,B,2,inf", "A B 1 far", "A B 2 3", "f,A,B,1,", "# c", "", "FRQ A B", "FRQX B 2", "A B 4 # x"]
+
+
+@query("""SELECT * FROM (VALUES ('A B nan', 'weight is not finite'), ('A B inf', 'weight is not finite'), ('A B -1', 'weight is negative'), ('A', 'fewer than two fields'),
+  ('f,A,B', 'fewer than four fields'), ('f, ,B,1', 'blank endpoint'), ('A B x', 'weight is no number'), ('f,A,B,2,inf', 'distance is not finite'), ('A B 1 far', 'distance is no number')) v(value, problem)""", with_views=False)
+def reject_bad_lines(spark, sf):
+    given = spark.createDataFrame([(x,) for x in _BAD], "value string")
+    return lines.parse(given).filter("problem IS NOT NULL").select("value", "problem")
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) || '#' || l_linenumber AS line, COUNT(*) AS n FROM lineitem GROUP BY 1""", with_views=False)
+def strip_inline_comments(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    text = F.concat(F.col("l_orderkey").cast("string"), F.lit("#"), F.col("l_linenumber").cast("string"), F.lit("\t# said"))
+    return li.select(F.rtrim(lines.without_comment(text)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+# trees
+
+
+@query("SELECT label, parent, is_leaf, length, depth, preorder FROM h")
+def tree_nodes(spark, sf):
+    return d.nodes(spark)
+
+
+@query("SELECT anc, des, hops FROM closure")
+def ancestor_closure(spark, sf):
+    return trees.closure_recursive(d.nodes(spark))
+
+
+@query("SELECT anc, des, hops FROM closure")
+def ancestor_closure_doubling(spark, sf):
+    return d.closure(spark)
+
+
+@query("""SELECT p.a, p.b, hops.lca, CAST(x.dist + y.dist - 2 * z.dist AS BIGINT) AS distance, hops.hops
+  FROM (SELECT DISTINCT donor AS a, receptor AS b FROM c_base) p JOIN hops ON hops.a = p.a AND hops.b = p.b
+  JOIN rootdist x ON x.label = p.a JOIN rootdist y ON y.label = p.b JOIN rootdist z ON z.label = hops.lca""")
+def tree_lca_distance(spark, sf):
+    pairs = d.raw(spark, sf).select(F.col("donor").alias("a"), F.col("receptor").alias("b")).distinct()
+    return trees.distances(pairs, d.nodes(spark), d.closure(spark))
+
+
+@query("SELECT anc AS label, des AS leaf FROM closure JOIN h ON h.label = des AND h.is_leaf")
+def leaves_under(spark, sf):
+    return trees.leaves_under(d.nodes(spark), d.closure(spark))
+
+
+@query("""SELECT * FROM (VALUES ('not binary', '7', CAST(3 AS BIGINT)), ('leaf label', '40', CAST(2 AS BIGINT)), ('not binary', '9', CAST(3 AS BIGINT))) v(kind, label, n)""", with_views=False)
+def tree_violations(spark, sf):
+    more = spark.createDataFrame([(64, 7, True, 1, 3, 0), (40, 9, True, 1, 4, 0)], "label long, parent long, is_leaf boolean, length long, depth long, preorder long")
+    return trees.violations(d.nodes(spark).unionByName(more))
+
+
+@query("""SELECT substr(sha256(string_agg(CAST(label AS VARCHAR), '|' ORDER BY CAST(label AS VARCHAR))), 1, 16) AS labels_digest,
+  substr(sha256(string_agg(parent || '>' || label, '|' ORDER BY parent || '>' || label) FILTER (parent IS NOT NULL)), 1, 16) AS topology_digest FROM h""")
+def topology_digest(spark, sf):
+    return trees.topology_digest(d.nodes(spark))
+
+
+@query("""SELECT label, CAST(row_number() OVER (ORDER BY CAST(label AS VARCHAR)) - 1 AS BIGINT) AS num FROM h WHERE is_leaf UNION ALL
+  SELECT label, CAST(31 + row_number() OVER (ORDER BY 5 - depth, label << (5 - depth), CAST(label AS VARCHAR)) AS BIGINT) AS num FROM h WHERE NOT is_leaf""")
+def numeric_id_map(spark, sf):
+    return trees.numeric_ids(d.nodes(spark), d.closure(spark))
+
+
+@query("SELECT COUNT(*) AS n, ROUND(lgamma(32) - SUM(ln(s)), 6) AS log_count FROM (SELECT anc, COUNT(*) AS s FROM closure JOIN h ON h.label = des AND NOT h.is_leaf GROUP BY 1)")
+def linear_extension_count(spark, sf):
+    return trees.extension_count_log(d.nodes(spark), d.closure(spark)).withColumn("log_count", F.round("log_count", 6))
+
+
+# orders
+
+_VALUE = "CAST(COALESCE(SUM(CASE WHEN p.pos > q.pos THEN weight ELSE 0 END), 0) AS BIGINT)"
+
+
+@query("SELECT order_id, label, pos FROM input_pos")
+def input_order(spark, sf):
+    return d.input_positions(spark)
+
+
+@query(f"SELECT p.order_id, {_VALUE} AS value FROM edges JOIN input_pos p ON p.label = donor JOIN input_pos q ON q.label = receptor GROUP BY 1")
+def value_of_order(spark, sf):
+    return scoring.values(d.edges(spark, sf), d.input_positions(spark))
+
+
+@query("SELECT p.order_id, donor, receptor, weight FROM edges JOIN input_pos p ON p.label = donor JOIN input_pos q ON q.label = receptor WHERE p.pos > q.pos")
+def conflicts_table(spark, sf):
+    return scoring.conflicts(d.edges(spark, sf), d.input_positions(spark))
+
+
+_PARTIAL = """partial AS (SELECT donor, receptor, weight, CASE WHEN i.pos > j.pos THEN 'green' ELSE 'black' END AS flag
+  FROM classified JOIN hash_pos p ON p.label = donor AND p.order_id = 3 JOIN hash_pos q ON q.label = receptor AND q.order_id = 3
+  JOIN input_pos i ON i.label = donor JOIN input_pos j ON j.label = receptor WHERE kind = 'info' AND weight <> 0 AND p.pos < q.pos)"""
+
+
+def _partial(spark, sf):
+    return scoring.partial_order(evidence.informative(d.classified(spark, sf)), d.hash_positions(spark).filter("order_id = 3"), d.input_positions(spark))
+
+
+@query(f", {_PARTIAL} SELECT donor, receptor, weight, flag FROM partial")
+def partial_order_table(spark, sf):
+    return _partial(spark, sf)
+
+
+@query(f""", {_PARTIAL} SELECT CAST(SUM(weight) AS BIGINT) AS kept, CAST(SUM(CASE WHEN flag = 'green' THEN weight ELSE 0 END) AS BIGINT) AS against_reference,
+  ROUND(SUM(CASE WHEN flag = 'green' THEN weight ELSE 0 END)::DOUBLE / SUM(weight)::DOUBLE, 6) AS ratio FROM partial""")
+def conflict_ratio(spark, sf):
+    return scoring.conflict_ratio(_partial(spark, sf))
+
+
+@query("""SELECT p.order_id, CAST(COUNT(*) FILTER (p.pos > q.pos) AS BIGINT) AS violated FROM closure JOIN hash_pos p ON p.label = anc
+  JOIN hash_pos q ON q.label = des AND q.order_id = p.order_id WHERE hops > 0 GROUP BY 1""")
+def order_is_legal(spark, sf):
+    return scoring.legality(d.hash_positions(spark), d.closure(spark))
+
+
+_KENDALL = """kendall AS (SELECT a.order_id, CAST(COUNT(*) FILTER (i.pos > j.pos) AS BIGINT) AS distance FROM hash_pos a JOIN hash_pos b ON a.order_id = b.order_id AND a.pos < b.pos
+  JOIN input_pos i ON i.label = a.label JOIN input_pos j ON j.label = b.label GROUP BY 1)"""
+
+
+@query(f", {_KENDALL} SELECT order_id, distance FROM kendall")
+def kendall_distance(spark, sf):
+    return scoring.kendall_distance(d.hash_positions(spark), d.input_positions(spark))
+
+
+_MOST = "(31 * 30 // 2 - (SELECT COUNT(*) FROM closure JOIN h ON h.label = des AND NOT h.is_leaf WHERE hops > 0))"
+
+
+@query(f", {_KENDALL} SELECT order_id, ROUND(({_MOST} - distance)::DOUBLE / {_MOST}, 6) AS similarity FROM kendall")
+def kendall_similarity(spark, sf):
+    return scoring.kendall_similarity(d.hash_positions(spark), d.input_positions(spark), d.nodes(spark), d.closure(spark)).withColumn("similarity", F.round("similarity", 6))
+
+
+_SCORED = f"scored AS (SELECT p.order_id, {_VALUE} AS value FROM edges JOIN hash_pos p ON p.label = donor JOIN hash_pos q ON q.label = receptor AND q.order_id = p.order_id GROUP BY 1)"
+
+
+@query(f", {_SCORED} SELECT order_id, value FROM scored")
+def random_orders_scored(spark, sf):
+    return scoring.values(d.edges(spark, sf), d.hash_positions(spark))
+
+
+@query(f""", {_SCORED}, {_KENDALL}, own AS (SELECT {_VALUE} AS v FROM edges JOIN input_pos p ON p.label = donor JOIN input_pos q ON q.label = receptor)
+  SELECT COUNT(*) AS n, ROUND((COUNT(*) FILTER (value <= v) + 1)::DOUBLE / (COUNT(*) + 1), 6) AS p_value,
+  ROUND((COUNT(*) FILTER (({_MOST} - distance)::DOUBLE / {_MOST} >= 0.5) + 1)::DOUBLE / (COUNT(*) + 1), 6) AS p_similarity FROM scored JOIN kendall USING (order_id), own""")
+def permutation_pvalue(spark, sf):
+    edges, pos, ref = d.edges(spark, sf), d.hash_positions(spark), d.input_positions(spark)
+    own = scoring.values(edges, ref).select(F.col("value").alias("v"))
+    both = scoring.values(edges, pos).join(scoring.kendall_similarity(pos, ref, d.nodes(spark), d.closure(spark)), "order_id").join(own)
+    out = scoring.permutation_test(both, F.col("v"), 0.5)
+    return out.select("n", F.round("p_value", 6).alias("p_value"), F.round("p_similarity", 6).alias("p_similarity"))
+
+
+@query(f", {_SCORED} SELECT order_id, value, CAST(row_number() OVER (ORDER BY value, order_id) AS BIGINT) AS rank FROM scored ORDER BY value, order_id LIMIT 5")
+def near_optimal_topk(spark, sf):
+    return scoring.near_optimal(scoring.values(d.edges(spark, sf), d.hash_positions(spark)), 5)
+
+
+@query("SELECT label, pos, COUNT(*) AS n FROM hash_pos GROUP BY 1, 2")
+def node_position_frequency(spark, sf):
+    return scoring.position_frequency(d.hash_positions(spark))
+
+
+_PAIRS = "pairs AS (SELECT p.label AS a, q.label AS b, COUNT(*) FILTER (p.pos < q.pos) AS n_before, COUNT(*) AS n FROM hash_pos p JOIN hash_pos q ON p.order_id = q.order_id AND p.label < q.label GROUP BY 1, 2)"
+
+
+@query(f", {_PAIRS} SELECT a, b, n_before, n FROM pairs")
+def pair_order_frequency(spark, sf):
+    return scoring.pair_frequency(d.hash_positions(spark))
+
+
+@query(f", {_PAIRS} SELECT a, b, n_before, n FROM pairs WHERE n_before IN (0, n) AND NOT EXISTS (SELECT 1 FROM closure WHERE hops > 0 AND least(anc, des) = a AND greatest(anc, des) = b)")
+def constant_direction_pairs(spark, sf):
+    return scoring.constant_pairs(scoring.pair_frequency(d.hash_positions(spark)), d.closure(spark))
+
+
+@query(f""", moved AS (SELECT label, CASE WHEN label = 20 THEN 25 WHEN pos > o AND pos <= 25 THEN pos - 1 WHEN pos < o AND pos >= 25 THEN pos + 1 ELSE pos END AS pos
+    FROM input_pos, (SELECT pos AS o FROM input_pos WHERE label = 20))
+  SELECT CAST((SELECT {_VALUE} FROM edges JOIN moved p ON p.label = donor JOIN moved q ON q.label = receptor)
+  - (SELECT {_VALUE} FROM edges JOIN input_pos p ON p.label = donor JOIN input_pos q ON q.label = receptor) AS BIGINT) AS delta""")
+def incremental_move_delta(spark, sf):
+    return scoring.move_delta(d.edges(spark, sf), d.input_positions(spark), 20, 25)
+
+
+@query(f"""SELECT CAST(SUM(weight) AS BIGINT) AS total, (SELECT {_VALUE} FROM edges JOIN input_pos p ON p.label = donor JOIN input_pos q ON q.label = receptor) AS violated,
+  (SELECT {_VALUE.replace('p.pos > q.pos', 'p.pos <= q.pos')} FROM edges JOIN input_pos p ON p.label = donor JOIN input_pos q ON q.label = receptor) AS kept FROM edges""")
+def delivered_value_check(spark, sf):
+    edges = d.edges(spark, sf)
+    at = scoring.located(edges, d.input_positions(spark))
+    bad = F.col("donor_pos") > F.col("receptor_pos")
+    split = at.agg(F.sum(F.when(bad, F.col("weight")).otherwise(0)).alias("violated"), F.sum(F.when(~bad, F.col("weight")).otherwise(0)).alias("kept"))
+    return edges.agg(F.sum("weight").alias("total")).join(split)
+
+
+# families
+
+_FAMILY = "fam AS (SELECT family, donor, receptor, COUNT(*) AS weight FROM c_base GROUP BY 1, 2, 3)"
+_SIZE = "size AS (SELECT family, COUNT(DISTINCT sample) + family % 5 AS size FROM c_base GROUP BY 1)"
+
+
+def _sizes(spark, sf):
+    return d.raw(spark, sf).groupBy("family").agg((F.count_distinct("sample") + F.first("family") % 5).alias("size"))
+
+
+@query(f", {_FAMILY} SELECT family, donor, receptor, weight FROM fam")
+def family_edge_counts(spark, sf):
+    return families.counts(d.raw(spark, sf))
+
+
+@query(f""", {_FAMILY} SELECT f.family, f.donor, f.receptor, CAST(CASE WHEN f.donor = f.receptor THEN f.weight ELSE greatest(f.weight - COALESCE(o.weight, 0), 0) END AS BIGINT) AS net
+  FROM fam f LEFT JOIN fam o ON o.family = f.family AND o.donor = f.receptor AND o.receptor = f.donor""")
+def reciprocal_subtract(spark, sf):
+    return families.net_counts(families.counts(d.raw(spark, sf))).select("family", "donor", "receptor", "net")
+
+
+@query(f", {_SIZE} SELECT family, COUNT(*) AS n FROM c_base JOIN size USING (family) WHERE size > 9 GROUP BY 1")
+def family_size_filter(spark, sf):
+    return families.larger_families(d.raw(spark, sf), _sizes(spark, sf), 9).groupBy("family").agg(F.count("*").alias("n"))
+
+
+@query(f""", {_FAMILY} SELECT family, donor, receptor, ROUND(weight::DOUBLE / (CASE WHEN family % 3 = 0 THEN 1 ELSE 7 END), 6) AS weight,
+  CASE WHEN family % 3 = 0 THEN 'integer_count' ELSE 'sample_support' END AS weight_semantics FROM fam WHERE weight::DOUBLE / (CASE WHEN family % 3 = 0 THEN 1 ELSE 7 END) > 0.2""")
+def support_semantics(spark, sf):
+    by = families.counts(d.raw(spark, sf))
+    given = by.select("family").distinct().filter("family % 3 <> 0").withColumn("denominator", F.lit(7).cast("long"))
+    return families.supported(by, given, 0.2).select("family", "donor", "receptor", F.round("weight", 6).alias("weight"), "weight_semantics")
+
+
+@query("""SELECT COUNT(*) AS seen, COUNT(*) FILTER (donor <= 40 AND receptor <= 40) AS resolved, ROUND(COUNT(*) FILTER (donor <= 40 AND receptor <= 40)::DOUBLE / COUNT(*), 6) AS rate FROM c_base""")
+def endpoint_hit_rate(spark, sf):
+    return families.hit_rate(d.raw(spark, sf), d.nodes(spark).filter("label <= 40"))
+
+
+@query("SELECT p.parent AS donor, receptor, CAST(SUM(weight) AS BIGINT) AS weight FROM c_base JOIN h p ON p.label = donor AND p.parent IS NOT NULL JOIN h r ON r.label = receptor AND NOT r.is_leaf GROUP BY 1, 2")
+def parent_of_donor(spark, sf):
+    return evidence.edge_weights(families.parent_of_donor(d.raw(spark, sf), d.nodes(spark))).drop("first_seq")
+
+
+@query("SELECT donor, receptor, CAST(SUM(weight) AS BIGINT) AS weight FROM (SELECT donor, receptor, weight FROM c_base UNION ALL SELECT receptor, donor, weight FROM c_base WHERE sample = 2) GROUP BY 1, 2")
+def merge_sources(spark, sf):
+    raw = d.raw(spark, sf)
+    other = raw.filter("sample = 2").select(F.col("receptor").alias("donor"), F.col("donor").alias("receptor"), "weight", "ingest_seq")
+    return evidence.edge_weights(evidence.merge_sources(raw.select("donor", "receptor", "weight", "ingest_seq"), other)).drop("first_seq")
+
+
+@query("""SELECT CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(w) AS BIGINT) AS w, (SELECT array_to_string(list_sort(list_distinct(list(CAST(donor AS VARCHAR)))), ' ') FROM c_base WHERE donor % 9 = 0) AS labels
+  FROM (SELECT family, COUNT(*) AS n, SUM(weight) AS w FROM c_base GROUP BY 1)""")
+def diagnostics_rollup(spark, sf):
+    per = d.raw(spark, sf).groupBy("family").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.collect_set(F.when(F.col("donor") % 9 == 0, F.col("donor").cast("string"))).alias("labels"))
+    return families.rollup(per, ["n", "w"], ["labels"]).withColumn("labels", F.array_join("labels", " "))
+
+
+# chains and samples
+
+
+@query("""SELECT chain_id, CAST(SUM(len) AS BIGINT) AS samples, CAST(SUM(len - 1) AS BIGINT) AS duplicates, MAX(len) AS longest_run, (SELECT COUNT(DISTINCT state) FROM chain c WHERE c.chain_id = r.chain_id) AS distinct_states FROM (
+  SELECT chain_id, g, COUNT(*) AS len FROM (SELECT chain_id, step, row_number() OVER (PARTITION BY chain_id ORDER BY step) - row_number() OVER (PARTITION BY chain_id, state ORDER BY step) AS k, state,
+  state || ':' || k AS g FROM chain) GROUP BY 1, 2) r GROUP BY 1""")
+def chain_run_stats(spark, sf):
+    return diagnostics.run_stats(d.chain(spark, sf))
+
+
+@query("SELECT chain_id, energy, COUNT(*) AS n FROM chain GROUP BY 1, 2")
+def energy_histogram(spark, sf):
+    return diagnostics.energy_histogram(d.chain(spark, sf))
+
+
+@query("SELECT chain_id, ROUND(AVG(energy), 6) AS mean, MIN(energy) AS low, MAX(energy) AS high, ROUND(stddev_pop(energy), 6) AS sd FROM chain GROUP BY 1")
+def energy_summary(spark, sf):
+    return diagnostics.energy_summary(d.chain(spark, sf))
+
+
+@query(""", m AS (SELECT chain_id, AVG(energy) AS m, var_pop(energy) AS v, COUNT(*) AS n FROM chain GROUP BY 1),
+  x AS (SELECT chain_id, (step - chain_id) // 4 AS t, energy - m AS x, v, n FROM chain JOIN m USING (chain_id)),
+  rho AS (SELECT a.chain_id, k AS lag, SUM(a.x * b.x) / any_value(a.n) / any_value(a.v) AS rho FROM x a, (SELECT unnest(range(1, 51)) AS k), x b WHERE b.chain_id = a.chain_id AND b.t = a.t + k GROUP BY 1, 2),
+  stop AS (SELECT chain_id, MIN(lag) AS stop FROM rho WHERE rho <= 0 GROUP BY 1)
+  SELECT m.chain_id, ROUND(n / (1 + 2 * COALESCE((SELECT SUM(rho) FROM rho WHERE rho.chain_id = m.chain_id AND lag < COALESCE((SELECT stop FROM stop WHERE stop.chain_id = m.chain_id), 999)), 0)), 6) AS ess FROM m""")
+def autocovariance_ess(spark, sf):
+    return diagnostics.effective_samples(d.chain(spark, sf).withColumn("step", ((F.col("step") - F.col("chain_id")) / 4).cast("long")))
+
+
+@query(""", o AS (SELECT chain_id, energy, row_number() OVER (PARTITION BY chain_id ORDER BY step) - 1 AS k, COUNT(*) OVER (PARTITION BY chain_id) // 10 AS m FROM chain)
+  SELECT chain_id, CAST(k // m AS BIGINT) AS batch, ROUND(AVG(energy), 6) AS mean FROM o WHERE k // m < 10 GROUP BY 1, 2""")
+def batch_means(spark, sf):
+    return diagnostics.batch_means(d.chain(spark, sf))
+
+
+@query(""", r AS (SELECT MIN(weight) AS lo, MAX(weight) AS hi FROM edges)
+  SELECT CAST(least(11, floor((weight - lo) / ((hi - lo) / 12))) AS BIGINT) AS bin, COUNT(*) AS n FROM edges, r GROUP BY 1""")
+def weight_histogram(spark, sf):
+    return diagnostics.histogram(d.edges(spark, sf), "weight", 12)
+
+
+@query("SELECT family, quantile_cont(weight, 0.5) AS median, quantile_cont(weight, 0.75) - quantile_cont(weight, 0.25) AS iqr FROM c_base GROUP BY 1")
+def median_iqr(spark, sf):
+    return diagnostics.median_iqr(d.raw(spark, sf), "weight", "family")
