@@ -38,7 +38,18 @@ def buckets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both buckets of every word, and each text's first word."""
     w = Words(*utf8(col), LOWER, _APART)
     mask = np.uint64((1 << BITS) - 1)
-    return (w.hash & mask).astype(np.int64), ((w.hash >> np.uint64(32)) & mask).astype(np.int64), w.first
+    return (w.hash & mask).astype(np.int32), ((w.hash >> np.uint64(32)) & mask).astype(np.int32), w.first
+
+
+def all_buckets(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """buckets() of many texts, a bounded batch at a time."""
+    a, b, count = [], [], []
+    for part in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]):
+        x, y, first = buckets(part.column(0))
+        a.append(x)
+        b.append(y)
+        count.append(np.diff(first))
+    return np.concatenate(a), np.concatenate(b), np.concatenate([[0], np.cumsum(np.concatenate(count))])
 
 
 class Model:
@@ -110,7 +121,7 @@ class Model:
 def _by_text(at, first, size, weights):
     """Texts of each group that hold the bucket at least once: columns of a [size, groups] table."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pair = np.unique(at * np.int64(len(first)) + doc)
+    pair = np.unique(at.astype(np.int64) * len(first) + doc)
     out = np.zeros((size, weights.shape[1]), np.float32)
     np.add.at(out, pair // len(first), weights[pair % len(first)])
     return out
@@ -122,7 +133,7 @@ def fit(texts: list, labels: np.ndarray, languages: list, seed: int = SEED) -> M
         return None
     rng = np.random.default_rng(seed)
     model = Model(rng)
-    a, b, first = buckets(pa.array(texts, pa.string()))
+    a, b, first = all_buckets(texts)
     size = 1 << BITS
     apart = np.arange(len(texts)) % 4 == 3
     own = np.flatnonzero(~apart)
@@ -178,9 +189,12 @@ def fit(texts: list, labels: np.ndarray, languages: list, seed: int = SEED) -> M
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    z = model.logits(a, b, first)
-    guess = model.language(a, first)
     rows = np.flatnonzero(apart)
+    z, guess = np.zeros(len(texts), np.float32), np.zeros(len(texts), np.int64)
+    for d in rows:
+        own = slice(first[d], first[d + 1])
+        z[d] = model.logits(a[own], b[own], np.array([0, first[d + 1] - first[d]]))[0]
+        guess[d] = model.language(a[own], np.array([0, first[d + 1] - first[d]]))[0]
     whole = _threshold(z[rows], y[rows], 0.0)
     model.cut = np.array([_threshold(z[r], y[r], whole) if (y[r] == 1).sum() >= 20 and (y[r] == 0).sum() >= 20 else whole for r in (rows[guess[rows] == k] for k in range(len(names)))], np.float32)
     return model
