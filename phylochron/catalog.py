@@ -462,3 +462,42 @@ def weight_histogram(spark, sf):
 @query("SELECT family, quantile_cont(weight, 0.5) AS median, quantile_cont(weight, 0.75) - quantile_cont(weight, 0.25) AS iqr FROM c_base GROUP BY 1")
 def median_iqr(spark, sf):
     return diagnostics.median_iqr(d.raw(spark, sf), "weight", "family")
+
+
+# orders by kernels; streams
+
+
+def _instances(spark, sf):
+    kept = d.classified(spark, sf).filter("kind <> 'tree_edge'")
+    shares = kept.withColumn("instance_id", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long"))
+    return evidence.threshold(shares, F.col("instance_id") / 10, "instance_id")
+
+
+@query()
+def heuristic_orders(spark, sf):
+    from .plans import orders
+
+    return orders.heuristics(_instances(spark, sf), d.nodes(spark))
+
+
+@query()
+def local_search_best(spark, sf):
+    from .plans import orders
+
+    return orders.searched(_instances(spark, sf), d.nodes(spark), [1, 2], 2000).filter("rank = 0")
+
+
+@query()
+def mh_chain(spark, sf):
+    from .plans import orders
+
+    return orders.chains(_instances(spark, sf).filter("instance_id = 0"), d.nodes(spark), [1, 2], 1000)
+
+
+@query("""SELECT date_trunc('day', ts) AS start, CAST(1 + user_id % 63 AS BIGINT) AS donor, CAST(1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 63 AS BIGINT) AS receptor, COUNT(*) AS weight
+  FROM events GROUP BY 1, 2, 3""", with_views=False)
+def windowed_edge_weights(spark, sf):
+    from .streaming import edges
+
+    out = edges.windowed_weights(edges.events_as_evidence(spark.read.parquet(f"{sf}/events.parquet")))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))

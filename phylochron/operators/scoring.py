@@ -26,12 +26,12 @@ def conflicts(edges: DataFrame, positions: DataFrame) -> DataFrame:
     return located(edges, positions).filter("donor_pos > receptor_pos").select("order_id", "donor", "receptor", "weight")
 
 
-def partial_order(informative: DataFrame, best: DataFrame, reference: DataFrame) -> DataFrame:
-    """Informative edges that the best order keeps; green where the reference order violates them, else black.
+def partial_order(edges: DataFrame, best: DataFrame, reference: DataFrame) -> DataFrame:
+    """Edges that the best order keeps (no tree edges among them); green where the reference order violates them, else black.
 
     best, reference: positions of one order each, with order_id.
     """
-    kept = located(informative, best).filter("donor_pos < receptor_pos").select("donor", "receptor", "weight")
+    kept = located(edges, best).filter("donor_pos < receptor_pos").select("donor", "receptor", "weight")
     seen = located(kept, reference)
     return seen.select("donor", "receptor", "weight", F.when(F.col("donor_pos") > F.col("receptor_pos"), "green").otherwise("black").alias("flag"))
 

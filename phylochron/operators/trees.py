@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,15 @@ def heap_tree(spark: SparkSession, size: int = 63) -> DataFrame:
     )
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """(anc, des, hops) of every ancestor-or-self pair, by doubling: after k joins all paths up to 2**k are known.
+#: Up to this depth the closure is a few nested joins; below it a recursive query, whose plan stays small.
+SHALLOW = 8
 
-    Paths of a tree are unique, so no step needs to drop duplicates.
-    """
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """(anc, des, hops) of every ancestor-or-self pair. In a shallow tree by doubling: after k joins all paths up to
+    2**k are known, and as paths of a tree are unique no step needs to drop duplicates."""
+    if depth_of(nodes) > SHALLOW:
+        return closure_recursive(nodes)
     step = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("anc"), F.col("label").alias("des"), F.lit(1).cast("long").alias("hops"))
     deepest, reach, known = depth_of(nodes), step, 1
     while known < deepest:
@@ -45,7 +51,7 @@ def depth_of(nodes: DataFrame) -> int:
 
 def closure_recursive(nodes: DataFrame) -> DataFrame:
     """The same by a recursive common table expression."""
-    view = "_closure_nodes"
+    view = f"nodes_{uuid.uuid4().hex}"
     nodes.select("label", "parent").createOrReplaceTempView(view)
     return nodes.sparkSession.sql(f"""
         WITH RECURSIVE up(anc, des, hops) AS (
