@@ -501,3 +501,43 @@ def windowed_edge_weights(spark, sf):
 
     out = edges.windowed_weights(edges.events_as_evidence(spark.read.parquet(f"{sf}/events.parquet")))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT a.label AS donor, b.label AS receptor FROM h a, h b WHERE NOT a.is_leaf AND NOT b.is_leaf AND a.label <> b.label
+  AND NOT EXISTS (SELECT 1 FROM closure WHERE (anc = a.label AND des = b.label) OR (anc = b.label AND des = a.label))""")
+def incomparable_pairs(spark, sf):
+    from .sources import synthetic
+
+    return synthetic.incomparable_pairs(d.nodes(spark), d.closure(spark))
+
+
+@query("""SELECT c.label, p.label AS parent FROM h c LEFT JOIN h p ON p.label = c.parent""")
+def parent_map(spark, sf):
+    nodes = d.nodes(spark)
+    up = nodes.select(F.col("label").alias("p"))
+    return nodes.join(up, F.col("parent") == F.col("p"), "left").select("label", F.col("p").alias("parent"))
+
+
+@query("""SELECT CASE WHEN line LIKE '%<recPhylo%' THEN 'eccetera' WHEN line LIKE '%T@%' AND line LIKE '%reconciled%' THEN 'ale'
+    WHEN line LIKE '%Recipient%' AND line LIKE '%-->%' THEN CASE WHEN line LIKE '%Replacing Transfer%' THEN 'artra' ELSE 'ranger' END END AS tool, COUNT(*) AS n
+  FROM (SELECT CASE l_linenumber WHEN 1 THEN '<recPhylo>' WHEN 2 THEN '1 reconciled T@1->2' WHEN 3 THEN 'Replacing Transfer, Mapping --> 1, Recipient --> 2'
+    WHEN 4 THEN 'Transfer, Mapping --> 1, Recipient --> 2' ELSE 'A B 1' END AS line FROM lineitem) GROUP BY 1""", with_views=False)
+def detect_format(spark, sf):
+    """The marks of formats in lines, by the same rules as files."""
+    from .sources.reports import detect_column
+
+    n = F.col("l_linenumber")
+    line = F.when(n == 1, "<recPhylo>").when(n == 2, "1 reconciled T@1->2").when(n == 3, "Replacing Transfer, Mapping --> 1, Recipient --> 2").when(n == 4, "Transfer, Mapping --> 1, Recipient --> 2").otherwise("A B 1")
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(detect_column(line).alias("tool")).groupBy("tool").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT MAX(declared) AS declared, COUNT(*) FILTER (row = 'transfer') AS transfers FROM (
+  SELECT CASE WHEN l_linenumber = 1 THEN l_orderkey % 50 END AS declared, CASE WHEN l_linenumber > 1 THEN 'transfer' END AS row FROM lineitem)""", with_views=False)
+def declared_support(spark, sf):
+    """Declared sample counts and transfers of generated report lines, by built-in functions."""
+    from .sources.reports import line_columns
+
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    text = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Total number of optimal solutions: "), (F.col("l_orderkey") % 50).cast("string"))).otherwise("m = LCA[a, b]: Transfer, Mapping --> 1, Recipient --> 2")
+    got = line_columns(li.select(text.alias("value")))
+    return got.agg(F.max("declared").alias("declared"), F.count_if(F.col("donor").isNotNull() & F.col("receptor").isNotNull()).alias("transfers"))

@@ -102,7 +102,7 @@ def preflight(spark: SparkSession, a) -> list[tuple[str, str, str]]:
             out.append(("error", "reports", str(e).split("\n")[0]))
         return out
     try:
-        rows = lines.read(spark, *a.evidence, strict=False).cache()
+        rows = lines.read(spark, *a.evidence, strict=False)
         out += [("error", "evidence", f"{r['problem']}: {r['donor']} {r['receptor']}") for r in rows.filter("problem IS NOT NULL").limit(20).collect()]
         out += [("error", "endpoint", f"{r['label']!r} ({r['n']} times) is not in the tree") for r in ev.unknown_endpoints(rows.filter("problem IS NULL"), nodes).orderBy("label").limit(20).collect()]
         if not rows.count():

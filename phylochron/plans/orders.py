@@ -103,3 +103,73 @@ def random_orders(nodes: DataFrame, n: int, seed: int = 42) -> DataFrame:
 def _schema(group: pa.Table, names) -> pa.Schema:
     kinds = {"instance_id": pa.int64(), "method": pa.string(), "label": group.schema.field("donor").type, "pos": pa.int64()}
     return pa.schema([(n, kinds[n]) for n in names])
+
+
+STATE = "instance_id long, seed long, done long, labels array<{kind}>, value double, best array<{kind}>, best_value double, random string, complete boolean"
+
+
+def start_states(edges: DataFrame, nodes: DataFrame, seeds: list[int]) -> DataFrame:
+    """A state row for each instance and seed, from the better heuristic order."""
+    tree = tree_of(nodes)
+    kind = nodes.schema["label"].dataType.simpleString()
+
+    def run(key, group):
+        p = _problem(tree, group)
+        start = min((kernels.greedy(p)[0], kernels.mixing(p, random.Random(42))), key=lambda o: kernels.value(p, o))
+        return _state(group, key[0].as_py(), key[1].as_py(), 0, start, kernels.value(p, start), start, kernels.value(p, start), random.Random(key[1].as_py()), False)
+
+    each = edges.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
+    return each.groupBy("instance_id", "seed").applyInArrow(run, STATE.format(kind=kind))
+
+
+def advanced(states: DataFrame, edges: DataFrame, nodes: DataFrame, iterations: int, temperature: float) -> DataFrame:
+    """The states after `iterations` more steps each: stored between calls, a search can stop and go on anywhere,
+    and gives what one long call gives."""
+    tree = tree_of(nodes)
+    kind = nodes.schema["label"].dataType.simpleString()
+    own = ["instance_id", "seed", "donor", "receptor", "weight", "first_seq"]
+    rows = states.select("instance_id", "seed").join(edges, "instance_id").select(*own, *[F.lit(None).cast(t).alias(n) for n, t in _state_types(kind)])
+    both = rows.unionByName(states.select("instance_id", "seed", *[n for n, _ in _state_types(kind)]), allowMissingColumns=True)
+
+    def run(key, group):
+        at = group.filter(group.column("labels").is_valid())
+        p = _problem(tree, group.filter(group.column("weight").is_valid()))
+        s = at.to_pylist()[0]
+        rng = random.Random()
+        rng.setstate(_thawed(s["random"]))
+        best, best_value, made, order, value = search_slice(p, s["labels"], iterations, temperature, rng)
+        if s["best_value"] <= best_value:
+            best, best_value = s["best"], s["best_value"]
+        return _state(group, key[0].as_py(), key[1].as_py(), s["done"] + made, order, value, best, best_value, rng, False)
+
+    return both.groupBy("instance_id", "seed").applyInArrow(run, STATE.format(kind=kind))
+
+
+def search_slice(problem: kernels.Problem, start: list, iterations: int, temperature: float, rng: random.Random):
+    """A part of a search: the best order and value in it, the steps, and the order and value at its end."""
+    last: list = [start, kernels.value(problem, start)]
+
+    class Seen:
+        def see(self, order, value):
+            last[:] = [list(order), value]
+
+    best, best_value, made = kernels.search(problem, start, iterations, temperature, rng, Seen())
+    return best, best_value, made, last[0], last[1]
+
+
+def _state_types(kind: str) -> list[tuple[str, str]]:
+    return [("done", "long"), ("labels", f"array<{kind}>"), ("value", "double"), ("best", f"array<{kind}>"), ("best_value", "double"), ("random", "string"), ("complete", "boolean")]
+
+
+def _state(group, instance, seed, done, order, value, best, best_value, rng, complete) -> pa.Table:
+    import json
+
+    labels = pa.list_(group.schema.field("donor").type)
+    return pa.Table.from_pydict({"instance_id": [instance], "seed": [seed], "done": [done], "labels": pa.array([order], labels), "value": [float(value)], "best": pa.array([best], labels), "best_value": [float(best_value)], "random": [json.dumps(rng.getstate())], "complete": [complete]})
+
+
+def _thawed(text: str):
+    import json
+
+    version, numbers, gauss = json.loads(text)
+    return version, tuple(numbers), gauss

@@ -115,3 +115,68 @@ def test_stream_equals_batch(spark, tmp_path):
     got = edges.run_once(spark, str(tmp_path / "in"), events.schema, str(tmp_path / "ck"), "stream_sink")
     want = edges.windowed_weights(edges.events_as_evidence(events))
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_search_goes_on_from_stored_states(spark, tmp_path):
+    import random
+
+    from phylochron.operators import kernels
+    from phylochron.plans import orders
+    from phylochron.sources import synthetic
+
+    nodes, rows = synthetic.instance(spark, 63, 60, 3)
+    edges = rows.select("donor", "receptor", "weight", rows["ingest_seq"].alias("first_seq")).selectExpr("cast(0 as bigint) AS instance_id", "*").cache()
+    assert edges.count() == 60
+    states = orders.start_states(edges, nodes, [1, 2])
+    for k in range(2):
+        orders.advanced(states, edges, nodes, 150, 2.0).write.parquet(str(tmp_path / str(k)))
+        states = spark.read.parquet(str(tmp_path / str(k)))
+    p = orders._problem(orders.tree_of(nodes), edges.toArrow())
+    start = min((kernels.greedy(p)[0], kernels.mixing(p, random.Random(42))), key=lambda o: kernels.value(p, o))
+    for r in states.collect():
+        want = kernels.search(p, start, 300, 2.0, random.Random(r["seed"]))
+        assert r["done"] == 300 and abs(r["best_value"] - want[1]) < 1e-9
+
+
+def test_cached_reports(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "FAM1.txt").write_text(REPORT)
+    nodes, cache = newick.nodes_frame(spark, SPECIES), str(tmp_path / "cache")
+    one = reports.cached(spark, cache, nodes, str(tmp_path / "in")).count()
+    (tmp_path / "in" / "FAM2.txt").write_text(REPORT)
+    assert reports.cached(spark, cache, nodes, str(tmp_path / "in")).count() == 2 * one
+    assert spark.read.parquet(cache).count() == 2 * one
+
+
+def test_chain_matches_the_exact_distribution():
+    import collections
+    import math
+    import random
+
+    from phylochron.operators import kernels as k
+
+    p = newick.problem(newick.parse("(((a,b)n4,(c,d)n5)n2,(e,f)n3)n1;"), [("n3", "n4", 2.0), ("n5", "n4", 1.0), ("n2", "n3", 1.5)])
+    legal = [tuple(o) for o in k.extensions(p)]
+    weight = {o: math.exp(-k.value(p, list(o)) / 2.0) for o in legal}
+    seen = collections.Counter(tuple(o) for _, o, _ in k.chain(p, k.greedy(p)[0], 60_000, 2.0, 500, 1, random.Random(11)))
+    assert set(seen) == set(legal)
+    gap = sum(abs(seen[o] / 60_000 - weight[o] / sum(weight.values())) for o in legal) / 2
+    assert gap < 0.02
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from phylochron import cli
+
+    (tmp_path / "t.nwk").write_text(SPECIES)
+    (tmp_path / "e.txt").write_text("61 62 3\n62 61 1\n59 62 2\n")
+    args = [str(tmp_path / "t.nwk"), str(tmp_path / "e.txt"), "-p", str(tmp_path / "out" / "x"), "--html"]
+    assert cli.main([*args, "--dry-run"]) == 0
+    assert cli.main(args) == 0 and "best order" in capsys.readouterr().out
+    assert (tmp_path / "out" / "x.informative.tsv").read_text() == "61,62 3.0\n59,62 2.0\n62,61 1.0\n"
+    assert "<svg" in (tmp_path / "out" / "x.html").read_text()
+    assert cli.main(args) == 3 and cli.main([*args, "-f"]) == 0
+    (tmp_path / "e.txt").write_text("61 nowhere 3\n")
+    assert cli.main([*args, "-f"]) == 4 and cli.main([*args, "--dry-run"]) == 1
+    with pytest.raises(SystemExit) as e:
+        cli.main([*args, "--threshold-constraints", "2"])
+    assert e.value.code == 2
