@@ -28,7 +28,8 @@ from .graph import components
 
 COSINE = 0.95
 SHARDS, SHARD_MOST, FEW = 8, 200_000, 2000
-BLOCK, MOST_BLOCKS = 8192, 16
+#: Queries of a block while there are few blocks, and the most that one ever holds.
+BLOCK, MANY_BLOCKS, BLOCK_MOST = 8192, 16, 65_536
 #: Links a node gets and keeps in a layer; beams for building and asking; a layer holds a so-manieth of the one below.
 LINKS, KEPT, BUILD_BEAM, BEAM, THIN = 12, 24, 40, 24, 16
 #: Queries of a block that are audited, and the share of their links that must be found.
@@ -287,11 +288,11 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     classes = stored(rows.filter("dim > 0 AND vec_id IS NOT NULL").groupBy("d1", "d2", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
     nodes = classes.count()
     shards = 1 if nodes <= FEW else max(SHARDS, -(-nodes // SHARD_MOST))
-    blocks = max(1, min(MOST_BLOCKS, nodes // BLOCK))
+    blocks = max(1, min(MANY_BLOCKS, nodes // BLOCK), -(-nodes // BLOCK_MOST))
     reps = rows.join(classes.select("rep", F.col("d1").alias("c1"), F.col("d2").alias("c2"), "n"), (F.col("vec_id") == F.col("rep")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).dropDuplicates(["rep", "d1", "d2"])
     reps = stored(reps.select("rep", "n", "dim", "vec", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(blocks)).cast("int").alias("block")), "vector-nodes")
     graphs = stored(reps.groupBy("shard", "dim").applyInArrow(_built, _GRAPH), "vector-graphs")
-    # every node goes to every shard, and every shard's graph to a bounded number of query blocks
+    # every node goes to every shard, and every shard's graph to every block of queries
     empty = {"rep": "bigint", "vec": "binary", "reps": "binary", "weights": "binary", "raw": "binary", "layers": "array<binary>", "near": "array<binary>"}
     null = lambda c: F.lit(None).cast(empty[c]).alias(c)
     ask = reps.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "dim", "block", "rep", "vec", *map(null, ("reps", "weights", "raw", "layers", "near")))
