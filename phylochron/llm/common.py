@@ -3,6 +3,7 @@ scanner over UTF-8 buffers, and tables written to the folder all executors share
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -35,15 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage ends here, and the
-    rows outlive any executor."""
+    rows outlive any executor. parts: the most tasks and files that the last step needs, in proportion to its rows."""
     spark = df.sparkSession
+    if parts is not None:
+        df = df.coalesce(parts)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, after a large stored step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,13 +17,14 @@ def components(links: DataFrame) -> DataFrame:
     both steps are joins and partial aggregates, and a node with very many links is split by adaptive execution.
     """
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    parts = 8 + both.count() // 200_000
+    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels", parts)
     for _ in range(MAX_ROUNDS):
         near = both.join(label, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = label.select(F.col("node").alias("at"), F.col("label").alias("far"))
         step = step.join(jump, F.col("new") == F.col("at"), "left").select("node", "label", F.least(F.col("new"), F.coalesce("far", "new")).alias("new"))
-        step = stored(step, "labels")
+        step = stored(step, "labels", parts)
         changed = step.filter("new <> label").limit(1).count()
         label = step.select("node", F.col("new").alias("label"))
         if not changed:

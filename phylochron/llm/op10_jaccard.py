@@ -11,9 +11,9 @@ parts needs none of them, and the others (rare) join in namespaces of their own,
 Elements that are frequent in a bounded sample are left out of the first namespaces: leaving a fixed set out
 of all sketches only shrinks differences, so no pair is lost, and shared passages make no large groups.
 
-Within a group of equal parts no pairs are listed at first: members are tested against the group's smallest,
-then its largest member; links become components, and only members of different components that still share
-a part are paired. Before sets are compared, sizes and 256-bit parity sketches (each element flips one bit; the
+Within a group of equal parts no pairs are listed at first: members are tested against a few hubs, those that share
+most with others; links become components, and only members of different components that still share a part are
+paired, in a large group by comparing sketches within its task. Before sets are compared, sizes and 256-bit parity sketches (each element flips one bit; the
 Hamming distance is at most the difference of the sets) drop most candidates. Links are verified exactly.
 
 Defined results: null or wordless text has an empty set and links with nothing (its component is its own doc_id);
@@ -25,15 +25,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, chunks, grams, mix, stored, table, utf8
+from .common import LOWER, Words, chunks, grams, mix, release, stored, table, utf8
 from .graph import components
 
 WORDS, PERCENT = 5, 80
 #: Documents whose shingles tell which are frequent, and in how many of them a frequent one is at least.
-SAMPLE, FREQUENT = 20_000, 20
+SAMPLE, FREQUENT = 20_000, 8
+#: Hubs that the members of a group are tested against, in turn; groups up to SMALL list their pairs in a join.
+HUBS, SMALL = (6,), 32
 _U = np.uint64
 _BITS, _MASK = 52, np.uint64((1 << 52) - 1)
 _DOCS = 4000
@@ -108,10 +111,21 @@ def namespaces(sizes: np.ndarray, percent: int = PERCENT):
     return band, own, near, d
 
 
+def surplus(most):
+    """Equal filled parts, beyond the one that the bound promises, that a set must promise its partners to need no
+    second namespace. More of them make m larger and candidates fewer."""
+    return most // 8
+
+
+def fewest(n, percent: int = PERCENT):
+    """Parts that similar sets share at least if the smaller has n elements, in whatever namespace: D there is
+    0.2 n at least (by the sizes that border namespaces admit), and surplus(D) + 1 parts are promised."""
+    return F.greatest(F.lit(1), F.floor((F.floor(n * percent * 2 * (100 - percent) / (100 * (100 + percent)) * 1.1) - 1) / 8) + 1) if percent == PERCENT else F.lit(1)
+
+
 def parts(v, doc, first, which, name, most):
     """Keys of the filled parts of the sets `which` (name and D by set), their sets, and how many each has."""
-    m = most + np.maximum(most // 10, 0) + 9
-    m = np.where(most == 0, 1, m)
+    m = np.where(most == 0, 1, most + surplus(most) + most // 16 + 4)
     chosen = which[doc]
     v, doc = v[chosen], doc[chosen]
     part = ((v >> _U(20)) * m[doc].astype(_U)) >> _U(32)
@@ -142,17 +156,20 @@ def _keys(frequent: np.ndarray, percent: int):
             if len(frequent) and len(v):
                 rare = frequent[np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)] != v
             band, own, near, d = namespaces(n, percent)
+            # no partner of a set differs from it in more than this
+            least = difference(n + 100 * n // percent, percent)
             keys, owners = [], []
             for kind, (name, most, which) in enumerate(((band, own, fresh), (near, d, fresh & (near >= 0)))):
                 k, o, filled = parts(v[rare], doc[rare], first, which, name + 64 * (1 + kind), most)
                 keys.append(k)
                 owners.append(o)
-                poor = which & (filled <= most)
+                enough = np.minimum(least, most) + surplus(most)
+                poor = which & (filled <= enough)
                 if poor.any():
                     k, o, filled = parts(v, doc, first, poor, name + 64 * (3 + kind), most)
                     keys.append(k)
                     owners.append(o)
-                    last = poor & (filled <= most) & (most > 0)
+                    last = poor & (filled <= enough) & (most > 0)
                     if last.any():
                         single = last[doc]
                         keys.append(mix(v[single] + name[doc[single]].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(5 + kind)))
@@ -163,8 +180,13 @@ def _keys(frequent: np.ndarray, percent: int):
     return run
 
 
-def _shared(batches):
-    """The rows whose key a second document of the partition has."""
+_GROUP = "gid long, chunk int, docs array<long>, n long"
+_CHUNK = 4096
+
+
+def _grouped(batches):
+    """The sets of documents that share a key, in pieces of _CHUNK; each distinct set of the partition once, with the number
+    of its keys."""
     keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b in batches:
         keys.append(b.column(0).to_numpy())
@@ -173,13 +195,26 @@ def _shared(batches):
     del keys, docs
     order = np.argsort(key)
     key = key[order]
-    same = key[1:] == key[:-1]
     again = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
     again[1:] |= same
     again[:-1] |= same
     key, doc = key[again], doc[order[again]]
-    for lo in range(0, len(key), 500_000):
-        yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 500_000]), pa.array(doc[lo : lo + 500_000])], names=["key", "doc_id"])
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    if not len(key):
+        return
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+    key, doc = key[fresh], doc[fresh]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    name = mix(np.add.reduceat(mix(doc.view(_U) + _U(0x3C6EF372)), first) + size.astype(_U)).view(np.int64)
+    many = np.flatnonzero(size > 1)
+    _, one, times = np.unique(name[many], return_index=True, return_counts=True)
+    rows = [(int(name[g]), lo // _CHUNK, doc[first[g] + lo : first[g] + min(lo + _CHUNK, size[g])], int(k)) for g, k in zip(many[one], times, strict=True) for lo in range(0, size[g], _CHUNK)]
+    for lo in range(0, len(rows), 20_000):
+        part = rows[lo : lo + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.list_(pa.int64())), pa.array([r[3] for r in part], pa.int64())], names=["gid", "chunk", "docs", "n"])
 
 
 def _frequencies(batches):
@@ -197,35 +232,108 @@ def frequent_shingles(texts: DataFrame, rows: int) -> np.ndarray:
     return np.sort(got.column(0).to_numpy().view(np.uint64))
 
 
-def _members(batches):
-    for b in small(batches):
-        v, _, first = shingles(b.column(1))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "members"])
+def _bitmap(key, group):
+    """The bits of one block of the filter."""
+    bits = np.zeros(_BLOCK_BITS, bool)
+    bits[group.column("bit").to_numpy() % _BLOCK_BITS] = True
+    return pa.Table.from_pydict({"block": pa.array([key[0].as_py()], pa.int64()), "bits": [np.packbits(bits).tobytes()]})
+
+
+_BLOCK_BITS, _MOST_BITS = 1 << 16, 1 << 26
+
+
+def _members(bits: np.ndarray):
+    """The texts, compressed, of documents whose bit is set."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for b in chunks(batches):
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "members"])
+
+    return run
 
 
 def _verified(percent: int):
     def run(batches):
+        reader = zstandard.ZstdDecompressor()
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(both) - common)
-            yield b.select([0, 1]).filter(pa.array(keep))
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sides = []
+                for c in (2, 3):
+                    texts = pa.array([reader.decompress(x.as_buffer()).decode() for x in part.column(c)], pa.string())
+                    v, _, first = shingles(texts)
+                    sides.append([v[s:e] for s, e in zip(first[:-1], first[1:], strict=True)])
+                keep = np.zeros(part.num_rows, bool)
+                for i, (x, y) in enumerate(zip(*sides, strict=True)):
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[i] = len(both) > 0 and 100 * common >= percent * (len(both) - common)
+                yield part.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) of doc_ids those whose sets are similar. Stored."""
+    """Of pairs (a, b) of doc_ids those whose sets are similar. Stored.
+
+    Only texts of documents in pairs travel, compressed; they are picked in the scan by a bitmap of hashed ids, of
+    at most 8 MB whatever the corpus (a wrong pick is dropped by the join)."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(texts.join(nodes, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(_members, "doc_id long, members binary").dropDuplicates(["doc_id"]), "jaccard-members")
+    size = _BLOCK_BITS
+    while size < min(_MOST_BITS, 16 * nodes.count()):
+        size *= 4
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(size))
+    blocks = nodes.select(bit("id").alias("bit")).distinct().withColumn("block", F.floor(F.col("bit") / _BLOCK_BITS).cast("long")).groupBy("block").applyInArrow(_bitmap, "block long, bits binary").collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for r in blocks:
+        bits[r["block"] * _BLOCK_BITS // 8 : (r["block"] + 1) * _BLOCK_BITS // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    sets = texts.filter("doc_id IS NOT NULL").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(_members(bits), "doc_id long, members binary")
+    sets = stored(sets, "jaccard-members").distinct()
     one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return stored(joined.mapInArrow(_verified(percent), "a long, b long"), "jaccard-links")
+    return stored(joined.mapInArrow(_verified(percent), "a long, b long"), "jaccard-links", 24 + pairs.count() // 5000)
+
+
+def _possible(percent: int):
+    """Of a large group the pairs of different components that sizes and parity sketches leave possible; only these
+    become rows."""
+
+    def run(key, group):
+        group = group.sort_by([("n", "ascending"), ("rep", "ascending")])
+        rep, n, comp = (group.column(c).to_numpy() for c in ("rep", "n", "component"))
+        sketch = np.stack([group.column(f"s{k}").to_numpy().view(_U) for k in range(4)])
+        ones, twos = [], []
+        for lo in range(0, len(n), 128):
+            part = slice(lo, min(lo + 128, len(n)))
+            hi = int(np.searchsorted(n, n[part][-1] * 100 // percent, "right"))
+            rest = slice(lo, hi)
+            flips = sum(np.bitwise_count(sketch[k, part, None] ^ sketch[k, None, rest]).astype(np.int64) for k in range(4))
+            total = n[part, None] + n[None, rest]
+            fine = (flips * (100 + percent) <= total * (100 - percent)) & (100 * np.minimum(n[part, None], n[None, rest]) >= percent * np.maximum(n[part, None], n[None, rest])) & (comp[part, None] != comp[None, rest])
+            i, j = np.nonzero(fine & (np.arange(lo, part.stop)[:, None] < np.arange(lo, hi)[None, :]))
+            ones.append(rep[lo + i])
+            twos.append(rep[lo + j])
+        one, two = np.concatenate(ones), np.concatenate(twos)
+        if not len(one):
+            return pa.Table.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
+        # a pair becomes a row only in the group of the smallest key that it shares, with the parts of all of them
+        at = {int(r): i for i, r in enumerate(rep)}
+        keys, times = group.column("keys").to_pylist(), group.column("key_times").to_pylist()
+        own = [dict(zip(k, t, strict=True)) for k, t in zip(keys, times, strict=True)]
+        mine, kept = key[0].as_py(), []
+        for x, y in zip(one.tolist(), two.tolist(), strict=True):
+            p, q = own[at[x]], own[at[y]]
+            common = p.keys() & q.keys()
+            if min(common) == mine:
+                kept.append((min(x, y), max(x, y), sum(p[k] for k in common)))
+        return pa.Table.from_pydict({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64()), "times": pa.array([k[2] for k in kept], pa.int64())})
+
+    return run
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,7 +343,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Data
         pairs = pairs.join(info, side)
     flips = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(4)), F.lit(0))
     total = F.col("n_a") + F.col("n_b")
-    return pairs.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (flips * (100 + percent) <= total * (100 - percent))).select("a", "b")
+    return pairs.filter((F.col("times") >= fewest(F.least("n_a", "n_b"), percent)) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (flips * (100 + percent) <= total * (100 - percent))).select("a", "b")
 
 
 def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -248,35 +356,46 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     frequent = frequent_shingles(texts, rows)
     deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shingle_rows or 0) // 4_000_000)
     keys = texts.filter("doc_id IS NOT NULL").mapInArrow(_keys(frequent, percent), "key long, doc_id long")
-    shared = stored(keys.repartition(deal, "key").mapInArrow(_shared, "key long, doc_id long"), "jaccard-parts")
+    groups = stored(keys.repartition(deal, "key").mapInArrow(_grouped, _GROUP), "jaccard-parts")
+    del keys
+    release(spark)
+    groups = groups.groupBy("gid", "chunk").agg(F.first("docs").alias("docs"), F.sum("n").alias("times"))
     of_class = classes.select("n", "d1", "d2", "rep")
     reps = stored(sets.filter("n > 0").join(of_class, ["n", "d1", "d2"]).select("doc_id", "rep").distinct(), "jaccard-reps")
-    shared = shared.join(reps, "doc_id").groupBy("key", "rep").agg(F.lit(1).alias("x")).select("key", "rep")
-    shared = stored(shared, "jaccard-shared")
+    shared = groups.select(F.col("gid").alias("key"), "times", F.explode("docs").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "times").distinct()
+    degree = shared.groupBy("rep").agg(F.sum("times").alias("degree"))
+    shared = stored(shared.join(degree, "rep"), "jaccard-shared")
 
     # rows that repeat a doc_id with other texts are one node
     links = reps.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(reps.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1"), F.col("a") == F.col("doc_id"), "left_semi")
-    tested, label = None, None
-    for hub in ("min", "max", None):
-        at = shared if label is None else shared.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        if label is None:
-            at = at.withColumn("component", F.col("rep"))
-        open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("first"), F.max("rep").alias("last")).filter("low <> high")
-        if hub:
-            point = {"min": "first", "max": "last"}[hub]
-            # in the second round a member of the hub's own component needs no test
-            pairs = at.join(open_keys.select("key", point), "key").filter(F.col("rep") != F.col(point))
-            pairs = pairs.select(F.least("rep", point).alias("a"), F.greatest("rep", point).alias("b")).distinct()
+    tested, label, parts = None, None, 8 + shared.count() // 50_000
+    for hubs in (*HUBS, None):
+        at = shared.withColumn("component", F.col("rep")) if label is None else shared.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "times", "degree", F.coalesce("component", "rep").alias("component"))
+        open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
+        at = stored(at.join(open_keys.select("key", "size"), "key"), "jaccard-open", parts)
+        if hubs:
+            # a member that shares much with others is like more of its group than any other
+            best = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
+            hub = at.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= hubs).select(F.col("key").alias("hub_key"), F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
+            pairs = at.join(hub, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("hub_component")))
+            pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "key", "times").distinct()
         else:
-            left = stored(at.join(open_keys.select("key"), "key", "left_semi"), "jaccard-open")
-            pairs = left.alias("p").join(left.alias("q"), F.expr("p.key = q.key AND p.component <> q.component AND p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+            few = at.filter(F.col("size") <= SMALL)
+            pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key AND p.component <> q.component AND p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.times").alias("times"))
+            many = at.filter(F.col("size") > SMALL)
+            held = many.groupBy("rep").agg(F.collect_list(F.struct("key", "times")).alias("h")).select("rep", F.col("h.key").alias("keys"), F.col("h.times").alias("key_times"))
+            many = many.drop("times").join(held, "rep").join(classes.drop("d1", "d2", "last"), "rep")
+            pairs = pairs.unionByName(many.groupBy("key").applyInArrow(_possible(percent), "a long, b long, times long"))
+        # counts of shared parts are whole in the last round, so no link is lost; before they may be low
+        pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(likely(pairs, classes, percent), "jaccard-pairs")
+        pairs = stored(likely(pairs, classes, percent), "jaccard-pairs", parts)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if pairs.limit(1).count():
             links = stored(links.unionByName(verified(pairs, texts, percent)), "jaccard-links")
             label = components(links)
+            release(spark)
     if label is None:
         label = components(links)
     named = of_class.join(label, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
@@ -284,5 +403,20 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return sets.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without near duplicates: of each component the document with the smallest doc_id stays, once; rows
+    without doc_id stay. The columns of docs."""
+    label = similar(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count("*").alias("_n"))
+    keep = stored(label.filter("doc_id = _c").select(F.col("doc_id").alias("_id"), "_n"), "jaccard-kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.join(keep, F.col("doc_id") == F.col("_id"))
+    out = rows.filter("_n = 1").select(*columns).unionByName(docs.filter("doc_id IS NULL"))
+    if keep.filter("_n > 1").limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*columns))
+        again = rows.filter("_n > 1").withColumn("_k", F.row_number().over(order)).filter("_k = 1")
+        out = out.unionByName(again.select(*columns))
+    return out
+
+
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -400,3 +400,21 @@ def test_sql(spark, name):
     want = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in queries.queries()[name](spark, "/root/testdata/sf0.001").select(*columns).collect())
+
+
+def test_jaccard_in_a_large_group_of_near_copies(spark):
+    import random
+
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(140):
+        other = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            other[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(other)))
+    rows += [(1000 + k, " ".join(base[:40] + [f"y{rng.randrange(10**6)}" for _ in range(110)])) for k in range(60)]
+    sets, root = brute_components(rows)
+    got = {r.doc_id: r.component_id for r in op10_jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in sets}
+    assert 1 < len({root(i) for i in range(140)}) + 1 < 140 and all(root(1000 + k) == 1000 + k for k in range(60))
