@@ -320,7 +320,7 @@ def _possible(percent: int):
             twos.append(rep[lo + j])
         one, two = np.concatenate(ones), np.concatenate(twos)
         if not len(one):
-            return pa.Table.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
+            return pa.Table.from_pydict({c: pa.array([], pa.int64()) for c in ("a", "b", "times", "low_n", "high_n")})
         # a pair becomes a row only in the group of the smallest key that it shares, with the parts of all of them
         at = {int(r): i for i, r in enumerate(rep)}
         keys, times = group.column("keys").to_pylist(), group.column("key_times").to_pylist()
@@ -330,8 +330,9 @@ def _possible(percent: int):
             p, q = own[at[x]], own[at[y]]
             common = p.keys() & q.keys()
             if min(common) == mine:
-                kept.append((min(x, y), max(x, y), sum(p[k] for k in common)))
-        return pa.Table.from_pydict({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64()), "times": pa.array([k[2] for k in kept], pa.int64())})
+                sizes = sorted((int(n[at[x]]), int(n[at[y]])))
+                kept.append((min(x, y), max(x, y), sum(p[k] for k in common), *sizes))
+        return pa.Table.from_pydict({c: pa.array([k[i] for k in kept], pa.int64()) for i, c in enumerate(("a", "b", "times", "low_n", "high_n"))})
 
     return run
 
@@ -361,8 +362,8 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     release(spark)
     groups = groups.groupBy("gid", "chunk").agg(F.first("docs").alias("docs"), F.sum("n").alias("times"))
     of_class = classes.select("n", "d1", "d2", "rep")
-    reps = stored(sets.filter("n > 0").join(of_class, ["n", "d1", "d2"]).select("doc_id", "rep").distinct(), "jaccard-reps")
-    shared = groups.select(F.col("gid").alias("key"), "times", F.explode("docs").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "times").distinct()
+    reps = stored(sets.filter("n > 0").join(of_class, ["n", "d1", "d2"]).select("doc_id", "rep", "n").distinct(), "jaccard-reps")
+    shared = groups.select(F.col("gid").alias("key"), "times", F.explode("docs").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "times", "n").distinct()
     degree = shared.groupBy("rep").agg(F.sum("times").alias("degree"))
     shared = stored(shared.join(degree, "rep"), "jaccard-shared")
 
@@ -370,24 +371,25 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = reps.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(reps.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1"), F.col("a") == F.col("doc_id"), "left_semi")
     tested, label, parts = None, None, 8 + shared.count() // 50_000
     for hubs in (*HUBS, None):
-        at = shared.withColumn("component", F.col("rep")) if label is None else shared.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "times", "degree", F.coalesce("component", "rep").alias("component"))
+        at = shared.withColumn("component", F.col("rep")) if label is None else shared.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "times", "n", "degree", F.coalesce("component", "rep").alias("component"))
         open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
         at = stored(at.join(open_keys.select("key", "size"), "key"), "jaccard-open", parts)
         if hubs:
             # a member that shares much with others is like more of its group than any other
             best = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
-            hub = at.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= hubs).select(F.col("key").alias("hub_key"), F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
+            hub = at.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= hubs).select(F.col("key").alias("hub_key"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
             pairs = at.join(hub, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("hub_component")))
-            pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "key", "times").distinct()
+            pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "key", "times", F.least("n", "hub_n").alias("low_n"), F.greatest("n", "hub_n").alias("high_n")).distinct()
         else:
             few = at.filter(F.col("size") <= SMALL)
-            pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key AND p.component <> q.component AND p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.times").alias("times"))
+            pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key AND p.component <> q.component AND p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.times").alias("times"), F.least("p.n", "q.n").alias("low_n"), F.greatest("p.n", "q.n").alias("high_n"))
             many = at.filter(F.col("size") > SMALL)
             held = many.groupBy("rep").agg(F.collect_list(F.struct("key", "times")).alias("h")).select("rep", F.col("h.key").alias("keys"), F.col("h.times").alias("key_times"))
-            many = many.drop("times").join(held, "rep").join(classes.drop("d1", "d2", "last"), "rep")
-            pairs = pairs.unionByName(many.groupBy("key").applyInArrow(_possible(percent), "a long, b long, times long"))
+            many = many.drop("times", "n").join(held, "rep").join(classes.drop("d1", "d2", "last"), "rep")
+            pairs = pairs.unionByName(many.groupBy("key").applyInArrow(_possible(percent), "a long, b long, times long, low_n long, high_n long"))
         # counts of shared parts are whole in the last round, so no link is lost; before they may be low
-        pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"))
+        pairs = pairs.groupBy("a", "b", "low_n", "high_n").agg(F.sum("times").alias("times"))
+        pairs = pairs.filter((F.col("times") >= fewest(F.col("low_n"), percent)) & (100 * F.col("low_n") >= percent * F.col("high_n"))).select("a", "b", "times")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(likely(pairs, classes, percent), "jaccard-pairs", parts)
