@@ -2,8 +2,10 @@
 
 Equal vectors are one class and one node. Nodes are dealt to shards by hash; each shard builds its graph (layers
 by hash, batches inserted by beam search, diverse neighbours kept), and every node queries every shard. A query whose
-beam ends inside the threshold gets a wider one; then a brute-force audit of some queries of the block decides whether
-all beams are widened, up to the whole shard. Candidates are verified by cosine in double precision.
+beam ends inside the threshold gets a wider one; then a brute-force audit decides whether all beams are widened, up to
+the whole shard. The audit draws queries of the block until AUDIT of them have a link to another vector, all of the
+block where links are that rare, and asks for the mean share of a query's links that was found; self matches do not
+count. What it draws is exact in the result. Candidates are verified by cosine in double precision.
 
 A block returns for each query how many vectors it links to, and of its links a spanning forest only, so the rows
 stay linear in the nodes however large a group of near copies is; components of the forests are those of all links.
@@ -32,7 +34,7 @@ SHARDS, SHARD_MOST, FEW = 8, 200_000, 2000
 BLOCK, MANY_BLOCKS, BLOCK_MOST = 8192, 16, 65_536
 #: Links a node gets and keeps in a layer; beams for building and asking; a layer holds a so-manieth of the one below.
 LINKS, KEPT, BUILD_BEAM, BEAM, THIN = 12, 24, 40, 24, 16
-#: Queries of a block that are audited, and the share of their links that must be found.
+#: Queries with links that the audit of a block must see, and the share of its links that must be found for the mean one.
 AUDIT, RECALL = 48, 0.995
 
 
@@ -171,35 +173,61 @@ class Graph:
         return beam(self.x, near, q, start, min(width, len(self.x)))
 
 
-def found(graph: Graph, raw: np.ndarray, q_raw: np.ndarray, least: float):
-    """(query, node) pairs of cosine at least `least`, and the width of the last beam."""
+def _linked(asked, full, a, b, least: float):
+    """The pairs of a and b whose cosine is at least `least`."""
+    keep = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 16):
+        s = slice(lo, lo + (1 << 16))
+        keep[s] = np.einsum("ij,ij->i", asked[a[s]], full[b[s]]) >= least
+    return a[keep], b[keep]
+
+
+def _truth(x, full, q, asked, ids, reps, least: float, low):
+    """All links to other vectors of queries drawn by hash, until AUDIT of them have one: (query, node) pairs."""
+    order = np.argsort(mix(ids.view(np.uint64) ^ np.uint64(0x2545F491)), kind="stable")
+    step = max(16, min(1024, 4_000_000 // max(len(x), 1)))
+    pairs_q, pairs_n, seen = [order[:0]], [order[:0]], 0
+    for lo in range(0, len(order), step):
+        rows = order[lo : lo + step]
+        r, c = np.nonzero(q[rows] @ x.T >= low)
+        a, b = _linked(asked, full, rows[r], c, least)
+        other = ids[a] != reps[b]
+        pairs_q.append(a[other])
+        pairs_n.append(b[other])
+        seen += len(np.unique(a[other]))
+        if seen >= AUDIT:
+            break
+    return np.concatenate(pairs_q), np.concatenate(pairs_n)
+
+
+def found(graph: Graph, raw: np.ndarray, q_raw: np.ndarray, least: float, ids=None, reps=None):
+    """(query, node) pairs of cosine at least `least`, and the width of the last beam. ids of the queries and reps of
+    the nodes: where they are equal a pair is a self match; without them there is none."""
+    ids = np.arange(len(q_raw)) if ids is None else ids
+    reps = np.full(len(raw), -1) if reps is None else reps
     unit = lambda v: v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
     full, asked = unit(raw), unit(q_raw)
     q = asked.astype(np.float32)
     n, width = len(raw), min(BEAM, len(raw))
     low = np.float32(least - 1e-4)
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = full[:, :] @ asked[audit].T >= least
+    true_q, true_n = _truth(graph.x, full, q, asked, ids, reps, least, low)
+    audit, true = np.unique(true_q, return_counts=True)
     while True:
         pairs_q, pairs_n = [], []
         rows, wide = np.arange(len(q)), width
         while len(rows):
-            ids, sims = graph.ask(q[rows], wide) if wide < n // 2 else _all(graph.x, q[rows], n)
+            near, sims = graph.ask(q[rows], wide) if wide < n // 2 else _all(graph.x, q[rows], n)
             # a beam that is full of links may hide more
-            ended = (sims[:, -1] < low) | (ids[:, -1] < 0) | (ids.shape[1] >= n)
-            r, c = np.nonzero((sims >= low) & (ids >= 0) & ended[:, None])
+            ended = (sims[:, -1] < low) | (near[:, -1] < 0) | (near.shape[1] >= n)
+            r, c = np.nonzero((sims >= low) & (near >= 0) & ended[:, None])
             pairs_q.append(rows[r])
-            pairs_n.append(ids[r, c])
+            pairs_n.append(near[r, c])
             rows, wide = rows[~ended], wide * 4
-        a, b = np.concatenate(pairs_q), np.concatenate(pairs_n)
-        keep = np.zeros(len(a), bool)
-        for lo in range(0, len(a), 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            keep[s] = np.einsum("ij,ij->i", asked[a[s]], full[b[s]]) >= least
-        a, b = a[keep], b[keep]
-        got = np.isin(a, audit).sum()
-        if width >= n or got >= RECALL * truth.sum():
-            return a, b, width
+        a, b = _linked(asked, full, np.concatenate(pairs_q), np.concatenate(pairs_n), least)
+        got = np.bincount(a[ids[a] != reps[b]], minlength=len(q))[audit]
+        if width >= n or not len(audit) or (got / true).mean() >= RECALL:
+            drawn = np.isin(a, audit) & (ids[a] != reps[b])
+            return np.concatenate([a[~drawn], true_q]), np.concatenate([b[~drawn], true_n]), width
         width = min(n, width * 2)
 
 
@@ -271,7 +299,7 @@ def _asked(least: float):
         if graph is None or not ids:
             return pa.Table.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         ids = np.array(ids, np.int64)
-        a, b, _ = found(graph, raw, np.frombuffer(b"".join(vecs)).reshape(-1, dim), least)
+        a, b, _ = found(graph, raw, np.frombuffer(b"".join(vecs)).reshape(-1, dim), least, ids, reps)
         other = ids[a] != reps[b]
         a, b = a[other], b[other]
         count = np.bincount(a, weights=weights[b], minlength=len(ids)).astype(np.int64)

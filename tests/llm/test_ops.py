@@ -247,6 +247,34 @@ def test_embeddings(spark):
     assert op7_embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+class Blind:
+    """A graph whose beams find a query's nearest vectors only if they are among the first `seen`."""
+
+    def __init__(self, raw, seen):
+        self.x, self.seen = (raw / np.linalg.norm(raw, axis=1)[:, None]).astype(np.float32), seen
+
+    def ask(self, q, width):
+        s = q @ self.x[: self.seen].T
+        order = np.argsort(-s, 1)[:, :width]
+        return order, np.take_along_axis(s, order, 1)
+
+
+def test_audit_sees_rare_and_uneven_links():
+    rng = np.random.default_rng(9)
+    raw = rng.normal(size=(2000, 16))
+    asked = rng.normal(size=(1500, 16))
+    asked[[100, 700, 1333]] = raw[[1900, 1950, 1999]] + 0.01
+    a, b, _ = op7_embeddings.found(Blind(raw, 1800), raw, asked, 0.95)
+    assert set(zip(a.tolist(), b.tolist())) == {(100, 1900), (700, 1950), (1333, 1999)}
+    # a large group that beams find, beside pairs that they lose
+    raw[:60] = raw[0] + 0.001 * rng.normal(size=(60, 16))
+    asked[:500] = raw[0] + 0.001 * rng.normal(size=(500, 16))
+    asked[1000:1200] = raw[1800:] + 0.001
+    a, b, _ = op7_embeddings.found(Blind(raw, 1800), raw, asked, 0.95)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(unit(asked) @ unit(raw).T >= 0.95))))
+
+
 def test_language_model(odd_docs, no_docs):
     from pyspark.sql import functions as F
 
