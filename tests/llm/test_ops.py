@@ -62,6 +62,14 @@ def test_quality(odd_docs, no_docs):
     assert op1_quality.quality(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.22, 0.3, 0.38])
+def test_quality_rejects_passages_that_cover_less_than_half(share):
+    passage = " ".join(f"w{i:03}" for i in range(round(100 * share)))  # twice in 200 words
+    rest = " ".join(f"v{i:03}" for i in range(200 - 2 * round(100 * share)))
+    m = op1_quality.measure(pa.array([f"{passage} {rest} {passage}", " ".join(f"u{i:03}" for i in range(200))]))
+    assert 0.2 < m["dup_10gram_share"][0] < 0.4 and not m["base_failed"].any() and m["kept"].tolist() == [False, True]
+
+
 def test_toxicity_learns_and_scores_alike(spark, odd_docs, no_docs):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]
