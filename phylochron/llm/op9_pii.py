@@ -38,6 +38,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DIGIT_BYTE = re.compile(rb"[0-9]")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 #: The shape that a word must have to be a new instance of a kind.
 SHAPES = {
@@ -129,6 +130,9 @@ def _seeds(batches):
 
 def _candidate(word: bytes, kind: int) -> tuple[str, int, int] | None:
     """The core of a word and its place in it, if it has the kind's shape."""
+    # every shape of an e-mail holds an @, every other one a digit
+    if len(word) < 6 or not (b"@" in word if KINDS[kind] == "email" else _DIGIT_BYTE.search(word)):
+        return None
     text = word.decode()
     core = text.strip(_EDGE)
     if len(core) < 6 or len(core) > 80 or not SHAPES[KINDS[kind]].fullmatch(core):
@@ -150,11 +154,9 @@ def _counter(patterns: np.ndarray, kinds: np.ndarray):
                 at = at[hit]
                 np.add.at(total, at, 1)
                 for i, p in zip(hit, at, strict=True):
-                    word = c.buf[c.words.start[i] : c.words.end[i]]
-                    if len(word) >= 6 and ((word >= 48) & (word <= 57)).any():
-                        if got := _candidate(word.tobytes(), int(kinds[p])):
-                            instance = int.from_bytes(hashlib.blake2b(got[0].encode(), digest_size=8).digest(), "little", signed=True)
-                            found[int(p), instance] = found.get((int(p), instance), 0) + 1
+                    if got := _candidate(c.buf[c.words.start[i] : c.words.end[i]].tobytes(), int(kinds[p])):
+                        instance = int.from_bytes(hashlib.blake2b(got[0].encode(), digest_size=8).digest(), "little", signed=True)
+                        found[int(p), instance] = found.get((int(p), instance), 0) + 1
             if len(found) > 200_000:
                 yield _counts(patterns, found)
                 found = {}

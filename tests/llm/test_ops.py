@@ -363,6 +363,14 @@ def test_pii(spark, odd_docs, no_docs):
     assert op9_pii.detected(no_docs).count() == 0 == op9_pii.redacted(no_docs).count()
 
 
+def test_pii_counts_instances_without_digits(spark):
+    name = lambda i: "u" + "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, f"so then my login is {name(i)}@{'host.example.org' if i % 5 < 2 else 'localbox'} thanks a lot") for i in range(100, 150)]
+    got = {r.doc_id: r for r in op9_pii.detected(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((r.n_email, r.n_added) == ((1, 0) if i % 5 < 2 else (0, 1)) for i, r in got.items())
+    assert got[102].spans == "email:20:33"
+
+
 def brute_components(rows, percent=80):
     sets = collections.defaultdict(list)
     for i, t in rows:
