@@ -5,8 +5,8 @@ without digits and ASCII punctuation, is cut into pieces, each piece is compress
 Where the margin to the second is narrow the choice is marked as rejected; `lang_pred` still names it, and
 `lang_accepted` is `und` there.
 
-Dictionaries are built on the driver from at most SAMPLE training texts a language (chosen by hash of the id; the
-documented bound), up to DICT_BYTES each. Prediction is one pass without a shuffle.
+Dictionaries are built on the driver from at most SAMPLE pieces of training texts a language (of LONGEST characters,
+chosen by hash of the id and place; the documented bound), up to DICT_BYTES each. Prediction is one pass without a shuffle.
 
 Defined results: null text and text without a letter are `und` with score 0; a null language is not learned;
 without any language every text is `und`; repeated rows are alike; an empty table gives an empty table; further
@@ -42,19 +42,23 @@ def folded(text: str) -> bytes:
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Language: dictionary, from rows outside the held-out fold."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.coalesce(crc_fold("doc_id", 5) != 0, F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    pieces = F.greatest(F.ceil(F.char_length("text") / LONGEST), F.lit(1)).cast("int")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(4.0 * SAMPLE / n))])
-    rank = F.xxhash64("doc_id", F.lit(11))
-    some = rows.filter(F.pmod(rank, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).withColumn("rank", rank)
+    rank = lambda k: F.when(k == 0, F.xxhash64("doc_id", F.lit(11))).otherwise(F.xxhash64("doc_id", F.lit(11), k))
+    taken = F.filter(F.sequence(F.lit(0), pieces - 1), lambda k: F.pmod(rank(k), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    some = rows.withColumn("piece", F.explode(taken)).withColumn("rank", rank(F.col("piece")))
+    some = some.select("lang", "rank", F.substring(F.col("text"), F.col("piece") * LONGEST + 1, F.lit(LONGEST)).alias("text"))
     out: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for r in sorted(some.filter(F.octet_length("text") <= LONGEST).collect(), key=lambda r: (r["rank"], r["text"])):
+    for r in sorted(some.collect(), key=lambda r: (r["rank"], r["text"])):
         if len(out[r["lang"]]) < SAMPLE:
             out[r["lang"]].append(folded(r["text"]))
+    out = {lang: parts for lang, parts in out.items() if sum(map(len, parts)) >= 64}
     # the start of a dictionary is the farthest away, so all languages fill the same length
     most = min([DICT_BYTES, *(max(4096, sum(map(len, parts))) for parts in out.values())])
-    return {lang: b"\n".join(parts)[:most] for lang, parts in out.items() if sum(map(len, parts)) >= 64}
+    return {lang: b"\n".join(parts)[:most] for lang, parts in out.items()}
 
 
 @lru_cache(2)

@@ -255,6 +255,14 @@ def test_embeddings(spark):
     assert op7_embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_language_dictionaries_of_long_texts_and_stray_names(spark):
+    rng = np.random.default_rng(4)
+    long = lambda letters: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(4000))
+    rows = [(i, long("abcdefgh"), "aa") for i in range(10)] + [(100 + i, long("stuvwxyz")[:9000], "bb") for i in range(20)] + [(i, "hi", "zz") for i in range(200, 210)]
+    dicts = op4_language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(dicts) == {"aa", "bb"} and len(dicts["aa"]) == len(dicts["bb"]) > 50_000
+
+
 class Blind:
     """A graph whose beams find a query's nearest vectors only if they are among the first `seen`."""
 
