@@ -469,7 +469,7 @@ def median_iqr(spark, sf):
 
 def _instances(spark, sf):
     kept = d.classified(spark, sf).filter("kind <> 'tree_edge'")
-    shares = kept.withColumn("instance_id", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long"))
+    shares = kept.withColumn("instance_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     return evidence.threshold(shares, F.col("instance_id") / 10, "instance_id")
 
 
