@@ -3,7 +3,6 @@ scanner over UTF-8 buffers, and tables written to the folder all executors share
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -29,28 +28,64 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of the warehouse where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session gets a folder of its warehouse, as in
+    tests; on a cluster that is an error, as the warehouse may be local to each machine."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_to = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return set_to.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: lineage ends here, and the
-    rows outlive any executor. parts: the most tasks and files that the last step needs, in proportion to its rows."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str, parts: int | None = None) -> DataFrame:
+    """df written once as Parquet and read again: lineage ends here, and the rows outlive any executor. Spark drops the
+    step's shuffle files when it has ended. parts: the most tasks and files that the last step needs."""
     spark = df.sparkSession
     if parts is not None:
         df = df.coalesce(parts)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, after a large stored step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """df written to a new table of the shared folder, which stays there."""
+    return written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", parts)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever file system Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Tables of one operator, deleted when it has its result."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        self.count += 1
+        return written(df, f"{self.folder}/{name}-{self.count}", parts)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that stays, one a call of the operator."""
+        return stored(df, self.folder.rsplit("/", 1)[1].split("-")[0] + "-" + name)
+
+    def __exit__(self, *failed) -> None:
+        dropped(self.spark, self.folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,11 +192,3 @@ def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def crc_fold(column: str, n: int):
     """crc32 of an integer column as text, modulo n."""
     return F.expr(f"crc32(cast(`{column}` as string)) % {n}")
-
-
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def out_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)

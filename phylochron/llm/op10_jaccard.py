@@ -6,40 +6,50 @@ classes are joined. Two sets with Jaccard >= s differ in at most D = (1-s)/(1+s)
 Candidates: the hash range is cut into m > D parts, and the elements of a part are XOR-ed into one word. An element
 that only one of two sets has changes one part, so of two sets within D at least m - D parts are equal: an
 equi-join on (namespace, part, word) finds every pair. m and D are fixed per size band (sizes up to twice each
-other) and once more across each border of bands. Equal empty parts tell nothing; a set with more than D filled
-parts needs none of them, and the others (rare) join in namespaces of their own, at last by single elements.
+other) and once more across each border of bands. Equal empty parts tell nothing; m is so large that two sets share
+`surplus(D) + 1` filled parts at least. A set with fewer filled parts than that takes part in a second namespace as
+well, and, if still too few are filled (very small sets), in a third by its single elements.
 Elements that are frequent in a bounded sample are left out of the first namespaces: leaving a fixed set out
 of all sketches only shrinks differences, so no pair is lost, and shared passages make no large groups.
 
-Within a group of equal parts no pairs are listed at first: members are tested against a few hubs, those that share
-most with others; links become components, and only members of different components that still share a part are
-paired, in a large group by comparing sketches within its task. Before sets are compared, sizes and 256-bit parity sketches (each element flips one bit; the
-Hamming distance is at most the difference of the sets) drop most candidates. Links are verified exactly.
+Keys are rows (key, set), never lists; keys of one set only are dropped in a stream. As a pair shares t keys of a
+namespace or more, a set with k shared keys needs only the k - t + 1 rarest of them, and none if k < t. Pairs come from
+  1. keys of up to FEW sets: their pairs;
+  2. larger keys: each set against one hub, the member that shares most with others, in HUB_ROUNDS rounds. Links become
+     components, and keys whose sets are of one component are done;
+  3. what is left of the larger keys, by counts and prefixes taken anew over these keys alone (a pair not yet seen has
+     all its common keys there): sizes and parity sketches are compared inside the join, so only possible pairs are rows.
+256-bit parity sketches (each element flips one bit; the Hamming distance is at most the difference of the sets) drop
+most pairs, and the texts of the rest are compared exactly.
 
 Defined results: null or wordless text has an empty set and links with nothing (its component is its own doc_id);
 fewer than five words are one shingle; rows that repeat a doc_id are one node, whose links are those of any of its
-texts; an empty table gives an empty table; further columns are ignored.
+texts; an empty table gives an empty table; further columns are ignored (one_of_each keeps them, whatever their names).
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, chunks, grams, mix, release, stored, table, utf8
+from .common import LOWER, Scratch, Words, chunks, grams, mix, table, utf8
 from .graph import components
 
 WORDS, PERCENT = 5, 80
 #: Documents whose shingles tell which are frequent, and in how many of them a frequent one is at least.
 SAMPLE, FREQUENT = 20_000, 8
-#: Hubs that the members of a group are tested against, in turn; groups up to SMALL list their pairs in a join.
-HUBS, SMALL = (6,), 32
+#: Keys of up to FEW sets list their pairs; sets of larger ones are tested against a hub HUB_ROUNDS times.
+FEW, HUB_ROUNDS = 8, 2
 _U = np.uint64
 _BITS, _MASK = 52, np.uint64((1 << 52) - 1)
-_DOCS = 4000
+_DOCS, _FLUSH = 4000, 4_000_000
+#: The lowest bits of a key tell its namespace: own band, border, the same of sets with few rare parts, single elements.
+_KINDS = 6
 
 
 def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,15 +89,24 @@ def _sums(x: np.ndarray, first: np.ndarray, ufunc=np.add) -> np.ndarray:
     return out
 
 
-def _sets(batches):
-    """doc_id, size, two sums that identify the set, and its 256-bit parity sketch."""
-    for b in small(batches):
-        v, doc, first = shingles(b.column(1))
-        h = mix(v + _U(0x51ED270B))
-        bit = np.zeros((4, len(v)), _U)
-        bit[((h >> _U(6)) & _U(3)).astype(np.int64), np.arange(len(v))] = _U(1) << (h & _U(63))
-        cols = [_sums(h, first), _sums(mix(h ^ _U(0xA5A5A5A5)), first), *[_sums(bit[k], first, np.bitwise_xor) for k in range(4)]]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), *[pa.array(c.view(np.int64)) for c in cols]], names=["doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3"])
+_SET = "doc_id long, n long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, t_own long, t_near long"
+
+
+def _sets(percent: int):
+    """doc_id, size, two sums that identify the set, its 256-bit parity sketch, and the keys that it shares at least with
+    a similar set in the namespaces of its band and of the border near."""
+
+    def run(batches):
+        for b in small(batches):
+            v, doc, first = shingles(b.column(1))
+            h = mix(v + _U(0x51ED270B))
+            bit = np.zeros((4, len(v)), _U)
+            bit[((h >> _U(6)) & _U(3)).astype(np.int64), np.arange(len(v))] = _U(1) << (h & _U(63))
+            cols = [_sums(h, first), _sums(mix(h ^ _U(0xA5A5A5A5)), first), *[_sums(bit[k], first, np.bitwise_xor) for k in range(4)]]
+            _, own, _, near = namespaces(np.diff(first), percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), *[pa.array(c.view(np.int64)) for c in cols], pa.array(surplus(own) + 1), pa.array(surplus(near) + 1)], names=["doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3", "t_own", "t_near"])
+
+    return run
 
 
 def difference(total, percent: int = PERCENT):
@@ -117,13 +136,13 @@ def surplus(most):
     return most // 8
 
 
-def fewest(n, percent: int = PERCENT):
-    """Parts that similar sets share at least if the smaller has n elements, in whatever namespace: D there is
-    0.2 n at least (by the sizes that border namespaces admit), and surplus(D) + 1 parts are promised."""
-    return F.greatest(F.lit(1), F.floor((F.floor(n * percent * 2 * (100 - percent) / (100 * (100 + percent)) * 1.1) - 1) / 8) + 1) if percent == PERCENT else F.lit(1)
+def of_kind(word: np.ndarray, name: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of a namespace."""
+    key = mix(word + (name + 64 * kind).astype(_U) * _U(0x9E3779B97F4A7C15))
+    return (key & ~_U(7)) | _U(kind)
 
 
-def parts(v, doc, first, which, name, most):
+def parts(v, doc, first, which, name, most, kind):
     """Keys of the filled parts of the sets `which` (name and D by set), their sets, and how many each has."""
     m = np.where(most == 0, 1, most + surplus(most) + most // 16 + 4)
     chosen = which[doc]
@@ -134,19 +153,21 @@ def parts(v, doc, first, which, name, most):
     begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
     word = np.bitwise_xor.reduceat(mix(v + _U(0x2545F491)), begin)
     owner = doc[begin]
-    key = mix(word + name[owner].astype(_U) * _U(0x9E3779B97F4A7C15) + part[begin] * _U(0xC2B2AE3D27D4EB4F))
-    return key, owner, np.bincount(owner, minlength=len(first) - 1)
+    return of_kind(word + part[begin] * _U(0xC2B2AE3D27D4EB4F), name[owner], kind), owner, np.bincount(owner, minlength=len(first) - 1)
 
 
 def _keys(frequent: np.ndarray, percent: int):
+    """(key, d1) of every set; a set that the task has met lately is left out, as its rows are there already."""
+
     def run(batches):
         seen: set[int] = set()
         for b in small(batches):
-            v, doc, first = shingles(b.column(1))
+            v, doc, first = shingles(b.column(0))
             n = np.diff(first)
-            ident = mix(_sums(mix(v + _U(0x51ED270B)), first) + n.astype(_U))
+            d1 = _sums(mix(v + _U(0x51ED270B)), first)
+            ident = mix(d1 + n.astype(_U))
             fresh = n > 0
-            for i, x in enumerate(ident.tolist()):  # a set that this task has met is represented already
+            for i, x in enumerate(ident.tolist()):
                 if fresh[i]:
                     fresh[i] = x not in seen
                     seen.add(x)
@@ -160,61 +181,76 @@ def _keys(frequent: np.ndarray, percent: int):
             least = difference(n + 100 * n // percent, percent)
             keys, owners = [], []
             for kind, (name, most, which) in enumerate(((band, own, fresh), (near, d, fresh & (near >= 0)))):
-                k, o, filled = parts(v[rare], doc[rare], first, which, name + 64 * (1 + kind), most)
+                k, o, filled = parts(v[rare], doc[rare], first, which, name, most, kind)
                 keys.append(k)
                 owners.append(o)
                 enough = np.minimum(least, most) + surplus(most)
                 poor = which & (filled <= enough)
                 if poor.any():
-                    k, o, filled = parts(v, doc, first, poor, name + 64 * (3 + kind), most)
+                    k, o, filled = parts(v, doc, first, poor, name, most, 2 + kind)
                     keys.append(k)
                     owners.append(o)
-                    last = poor & (filled <= enough) & (most > 0)
+                    last = poor & (filled <= enough)
                     if last.any():
                         single = last[doc]
-                        keys.append(mix(v[single] + name[doc[single]].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(5 + kind)))
+                        keys.append(of_kind(v[single], name[doc[single]], 4 + kind))
                         owners.append(doc[single])
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[np.concatenate(owners)], pa.int64())], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(d1[np.concatenate(owners)].view(np.int64))], names=["key", "d1"])
 
     return run
 
 
-_GROUP = "gid long, chunk int, docs array<long>, n long"
-_CHUNK = 4096
-
-
-def _grouped(batches):
-    """The sets of documents that share a key, in pieces of _CHUNK; each distinct set of the partition once, with the number
-    of its keys."""
-    keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for b in batches:
-        keys.append(b.column(0).to_numpy())
-        docs.append(b.column(1).to_numpy())
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    del keys, docs
+def _split(key, d1):
+    """Sorted distinct (key, d1) of keys with two sets or more, and the one set of each other key."""
     order = np.argsort(key)
-    key = key[order]
+    key, d1 = key[order], d1[order]
     again = np.zeros(len(key), bool)
     same = key[1:] == key[:-1]
     again[1:] |= same
     again[:-1] |= same
-    key, doc = key[again], doc[order[again]]
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    lone = ~again
+    one_key, one_d1 = key[lone], d1[lone]
+    key, d1 = key[again], d1[again]
+    order = np.lexsort((d1, key))
+    key, d1 = key[order], d1[order]
     if not len(key):
-        return
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-    key, doc = key[fresh], doc[fresh]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(first, len(key)))
-    name = mix(np.add.reduceat(mix(doc.view(_U) + _U(0x3C6EF372)), first) + size.astype(_U)).view(np.int64)
-    many = np.flatnonzero(size > 1)
-    _, one, times = np.unique(name[many], return_index=True, return_counts=True)
-    rows = [(int(name[g]), lo // _CHUNK, doc[first[g] + lo : first[g] + min(lo + _CHUNK, size[g])], int(k)) for g, k in zip(many[one], times, strict=True) for lo in range(0, size[g], _CHUNK)]
-    for lo in range(0, len(rows), 20_000):
-        part = rows[lo : lo + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.list_(pa.int64())), pa.array([r[3] for r in part], pa.int64())], names=["gid", "chunk", "docs", "n"])
+        return key, d1, one_key, one_d1
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    fresh = new_key | np.concatenate([[True], d1[1:] != d1[:-1]])
+    key, d1, new_key = key[fresh], d1[fresh], new_key[fresh]
+    lone = new_key & np.append(new_key[1:], True)
+    return key[~lone], d1[~lone], np.concatenate([one_key, key[lone]]), np.concatenate([one_d1, d1[lone]])
+
+
+def _shared(batches):
+    """Rows (key, d1) whose key has two sets or more. Rows wait only while their key has one set, and once a key has had two
+    its further rows pass, so memory follows the different keys of a partition, not the rows of a hot one. A row may
+    come twice from a partition of more than _FLUSH rows, which does no harm."""
+    passing = np.zeros(0, np.int64)
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush():
+        nonlocal passing, held, waiting
+        key, d1 = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.int64),) * 2
+        waiting = []
+        through = np.zeros(len(key), bool)
+        if len(passing):
+            through = passing[np.minimum(np.searchsorted(passing, key), len(passing) - 1)] == key
+        out_key, out_d1, *held = _split(np.concatenate([held[0], key[~through]]), np.concatenate([held[1], d1[~through]]))
+        passing = np.union1d(passing, out_key)
+        out_key, out_d1 = np.concatenate([out_key, key[through]]), np.concatenate([out_d1, d1[through]])
+        for lo in range(0, len(out_key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(out_key[lo : lo + 100_000]), pa.array(out_d1[lo : lo + 100_000])], names=["key", "d1"])
+
+    rows = 0
+    for b in batches:
+        waiting.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        rows += b.num_rows
+        if rows >= _FLUSH:
+            yield from flush()
+            rows = 0
+    yield from flush()
 
 
 def _frequencies(batches):
@@ -277,145 +313,145 @@ def _verified(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) of doc_ids those whose sets are similar. Stored.
-
-    Only texts of documents in pairs travel, compressed; they are picked in the scan by a bitmap of hashed ids, of
-    at most 8 MB whatever the corpus (a wrong pick is dropped by the join)."""
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    size = _BLOCK_BITS
-    while size < min(_MOST_BITS, 16 * nodes.count()):
+def packed_texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, members): the compressed texts of the documents nodes (id). They are picked in the scan by a bitmap of
+    hashed ids, of at most 8 MB whatever the corpus; a wrong pick is dropped by later joins."""
+    size, count = _BLOCK_BITS, nodes.count()
+    while size < min(_MOST_BITS, 16 * count):
         size *= 4
     bit = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(size))
     blocks = nodes.select(bit("id").alias("bit")).distinct().withColumn("block", F.floor(F.col("bit") / _BLOCK_BITS).cast("long")).groupBy("block").applyInArrow(_bitmap, "block long, bits binary").collect()
     bits = np.zeros(size // 8, np.uint8)
     for r in blocks:
         bits[r["block"] * _BLOCK_BITS // 8 : (r["block"] + 1) * _BLOCK_BITS // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sets = texts.filter("doc_id IS NOT NULL").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(_members(bits), "doc_id long, members binary")
-    sets = stored(sets, "jaccard-members").distinct()
-    one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    return texts.filter("doc_id IS NOT NULL").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(_members(bits), "doc_id long, members binary")
+
+
+def verified(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b) of doc_ids those of which some texts' sets are similar."""
+    one = members.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
+    two = members.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return stored(joined.mapInArrow(_verified(percent), "a long, b long"), "jaccard-links", 24 + pairs.count() // 5000)
-
-
-def _possible(percent: int):
-    """Of a large group the pairs of different components that sizes and parity sketches leave possible; only these
-    become rows."""
-
-    def run(key, group):
-        group = group.sort_by([("n", "ascending"), ("rep", "ascending")])
-        rep, n, comp = (group.column(c).to_numpy() for c in ("rep", "n", "component"))
-        sketch = np.stack([group.column(f"s{k}").to_numpy().view(_U) for k in range(4)])
-        ones, twos = [], []
-        for lo in range(0, len(n), 128):
-            part = slice(lo, min(lo + 128, len(n)))
-            hi = int(np.searchsorted(n, n[part][-1] * 100 // percent, "right"))
-            rest = slice(lo, hi)
-            flips = sum(np.bitwise_count(sketch[k, part, None] ^ sketch[k, None, rest]).astype(np.int64) for k in range(4))
-            total = n[part, None] + n[None, rest]
-            fine = (flips * (100 + percent) <= total * (100 - percent)) & (100 * np.minimum(n[part, None], n[None, rest]) >= percent * np.maximum(n[part, None], n[None, rest])) & (comp[part, None] != comp[None, rest])
-            i, j = np.nonzero(fine & (np.arange(lo, part.stop)[:, None] < np.arange(lo, hi)[None, :]))
-            ones.append(rep[lo + i])
-            twos.append(rep[lo + j])
-        one, two = np.concatenate(ones), np.concatenate(twos)
-        if not len(one):
-            return pa.Table.from_pydict({c: pa.array([], pa.int64()) for c in ("a", "b", "times", "low_n", "high_n")})
-        # a pair becomes a row only in the group of the smallest key that it shares, with the parts of all of them
-        at = {int(r): i for i, r in enumerate(rep)}
-        keys, times = group.column("keys").to_pylist(), group.column("key_times").to_pylist()
-        own = [dict(zip(k, t, strict=True)) for k, t in zip(keys, times, strict=True)]
-        mine, kept = key[0].as_py(), []
-        for x, y in zip(one.tolist(), two.tolist(), strict=True):
-            p, q = own[at[x]], own[at[y]]
-            common = p.keys() & q.keys()
-            if min(common) == mine:
-                sizes = sorted((int(n[at[x]]), int(n[at[y]])))
-                kept.append((min(x, y), max(x, y), sum(p[k] for k in common), *sizes))
-        return pa.Table.from_pydict({c: pa.array([k[i] for k in kept], pa.int64()) for i, c in enumerate(("a", "b", "times", "low_n", "high_n"))})
+    return joined.mapInArrow(_verified(percent), "a long, b long")
 
-    return run
+
+def _alike(percent: int, a: str, b: str):
+    """The condition that sizes and parity sketches of two sets leave them possibly similar."""
+    flips = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
+    low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    return (100 * low >= percent * high) & (flips * (100 + percent) <= (low + high) * (100 - percent))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs of class representatives those that sizes and parity sketches leave possible."""
-    for side in "ab":
-        info = classes.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "s0", "s1", "s2", "s3")])
-        pairs = pairs.join(info, side)
-    flips = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(4)), F.lit(0))
-    total = F.col("n_a") + F.col("n_b")
-    return pairs.filter((F.col("times") >= fewest(F.least("n_a", "n_b"), percent)) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (flips * (100 + percent) <= total * (100 - percent))).select("a", "b")
+    """Of pairs (a, b) of class representatives those that sizes and parity sketches leave possible."""
+    info = classes.select("rep", "n", "s0", "s1", "s2", "s3")
+    pairs = pairs.join(info.alias("p"), F.col("a") == F.col("p.rep")).join(info.alias("q"), F.col("b") == F.col("q.rep"))
+    return pairs.filter(_alike(percent, "p", "q")).select("a", "b")
+
+
+def sized(keys: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """keys (key, d1) with each key's size, each set's representative and t, the fewest keys of the namespace that a
+    similar pair shares."""
+    size = keys.groupBy("key").agg(F.count("*").alias("size"))
+    kind = F.col("key").bitwiseAND(F.lit(7))
+    t = F.when(kind >= 4, F.ceil(F.col("n") * percent / 100)).when(kind.bitwiseAND(F.lit(1)) == 0, F.col("t_own")).otherwise(F.col("t_near"))
+    return keys.join(size, "key").join(classes.select("d1", "n", "rep", "t_own", "t_near"), "d1").select("d1", "rep", "key", "size", kind.alias("kind"), t.alias("t"))
+
+
+def rarest(keys: DataFrame) -> DataFrame:
+    """Of every set and namespace with k keys the k - t + 1 rarest, of which a similar set has one at least."""
+    of_set = Window.partitionBy("d1", "rep", "kind")
+    rows = keys.withColumn("k", F.count("*").over(of_set)).filter("k >= t")
+    return rows.withColumn("rank", F.row_number().over(of_set.orderBy("size", "key"))).filter("rank <= k - t + 1").select(*keys.columns)
+
+
+def open_keys(keys: DataFrame, label: DataFrame | None) -> DataFrame:
+    """keys with the component of each set, of keys that hold several components."""
+    if label is None:
+        return keys.withColumn("component", F.col("rep"))
+    named = keys.join(label, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    spread = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    return named.join(spread, "key")
+
+
+def hub_pairs(keys: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Of every open key the two sets of most keys that are in different components are its hubs; each set is paired with
+    the hub, of another component and not tested yet, that most of its keys name."""
+    weight = keys.join(keys.groupBy("rep").agg(F.count("*").alias("weight")), "rep")
+    best = weight.groupBy("key", "component").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best"), "component"))
+    best = best.withColumn("place", place).filter("place <= 2")
+    hub = lambda k, c: F.max(F.when(F.col("place") == k, c))
+    hubs = best.groupBy("key").agg(hub(1, -F.col("best.minus")).alias("one"), hub(1, F.col("component")).alias("of_one"), hub(2, -F.col("best.minus")).alias("two"))
+    rows = keys.join(hubs, "key").select("rep", F.when(F.col("component") == F.col("of_one"), F.col("two")).otherwise(F.col("one")).alias("hub"))
+    counts = rows.filter("hub <> rep").groupBy("rep", "hub").agg(F.count("*").alias("times")).select("rep", "hub", "times", F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    if tested is not None:
+        counts = counts.join(tested, ["a", "b"], "left_anti")
+    return counts.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("times", "hub")).alias("m")).select("m.a", "m.b").distinct()
 
 
 def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(texts.mapInArrow(_sets, "doc_id long, n long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long"), "jaccard-sets")
-    classes = stored(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2", "s0", "s1", "s2", "s3").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "jaccard-classes")
-    rows, shingle_rows = sets.agg(F.count("*"), F.sum("n")).first()
     spark = docs.sparkSession
-    frequent = frequent_shingles(texts, rows)
-    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shingle_rows or 0) // 4_000_000)
-    keys = texts.filter("doc_id IS NOT NULL").mapInArrow(_keys(frequent, percent), "key long, doc_id long")
-    groups = stored(keys.repartition(deal, "key").mapInArrow(_grouped, _GROUP), "jaccard-parts")
-    del keys
-    release(spark)
-    groups = groups.groupBy("gid", "chunk").agg(F.first("docs").alias("docs"), F.sum("n").alias("times"))
-    of_class = classes.select("n", "d1", "d2", "rep")
-    reps = stored(sets.filter("n > 0").join(of_class, ["n", "d1", "d2"]).select("doc_id", "rep", "n").distinct(), "jaccard-reps")
-    shared = groups.select(F.col("gid").alias("key"), "times", F.explode("docs").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "times", "n").distinct()
-    degree = shared.groupBy("rep").agg(F.sum("times").alias("degree"))
-    shared = stored(shared.join(degree, "rep"), "jaccard-shared")
-
-    # rows that repeat a doc_id with other texts are one node
-    links = reps.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(reps.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1"), F.col("a") == F.col("doc_id"), "left_semi")
-    tested, label, parts = None, None, 8 + shared.count() // 50_000
-    for hubs in (*HUBS, None):
-        at = shared.withColumn("component", F.col("rep")) if label is None else shared.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "times", "n", "degree", F.coalesce("component", "rep").alias("component"))
-        open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
-        at = stored(at.join(open_keys.select("key", "size"), "key"), "jaccard-open", parts)
-        if hubs:
-            # a member that shares much with others is like more of its group than any other
-            best = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
-            hub = at.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= hubs).select(F.col("key").alias("hub_key"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-            pairs = at.join(hub, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("hub_component")))
-            pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "key", "times", F.least("n", "hub_n").alias("low_n"), F.greatest("n", "hub_n").alias("high_n")).distinct()
-        else:
-            few = at.filter(F.col("size") <= SMALL)
-            pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key AND p.component <> q.component AND p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.times").alias("times"), F.least("p.n", "q.n").alias("low_n"), F.greatest("p.n", "q.n").alias("high_n"))
-            many = at.filter(F.col("size") > SMALL)
-            held = many.groupBy("rep").agg(F.collect_list(F.struct("key", "times")).alias("h")).select("rep", F.col("h.key").alias("keys"), F.col("h.times").alias("key_times"))
-            many = many.drop("times", "n").join(held, "rep").join(classes.drop("d1", "d2", "last"), "rep")
-            pairs = pairs.unionByName(many.groupBy("key").applyInArrow(_possible(percent), "a long, b long, times long, low_n long, high_n long"))
-        # counts of shared parts are whole in the last round, so no link is lost; before they may be low
-        pairs = pairs.groupBy("a", "b", "low_n", "high_n").agg(F.sum("times").alias("times"))
-        pairs = pairs.filter((F.col("times") >= fewest(F.col("low_n"), percent)) & (100 * F.col("low_n") >= percent * F.col("high_n"))).select("a", "b", "times")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(likely(pairs, classes, percent), "jaccard-pairs", parts)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if pairs.limit(1).count():
-            links = stored(links.unionByName(verified(pairs, texts, percent)), "jaccard-links")
-            label = components(links)
-            release(spark)
-    if label is None:
-        label = components(links)
-    named = of_class.join(label, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    named = stored(named, "jaccard-components")
-    return sets.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with Scratch(spark, "jaccard") as scratch:
+        stored = scratch.stored
+        sets = stored(texts.mapInArrow(_sets(percent), _SET), "sets")
+        classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2", "s0", "s1", "s2", "s3", "t_own", "t_near").agg(F.min("doc_id").alias("rep"))
+        classes = stored(classes, "classes")
+        rows, shingle_rows = sets.agg(F.count("*"), F.sum("n")).first()
+        frequent = frequent_shingles(texts, rows)
+        deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shingle_rows or 0) // 4_000_000)
+        keys = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_keys(frequent, percent), "key long, d1 long")
+        keys = stored(keys.repartition(deal, "key").mapInArrow(_shared, "key long, d1 long"), "shared")
+        keys = stored(sized(keys, classes, percent), "keys")
+        many = keys.filter(F.col("size") > FEW)
+        few = stored(rarest(keys).filter(F.col("size") <= FEW).select("key", "rep"), "few")
+        members = stored(packed_texts(keys.select(F.col("rep").alias("id")).distinct(), texts).distinct(), "members")
+
+        # rows that repeat a doc_id with other texts are one node
+        of_class = classes.select("n", "d1", "d2", "rep")
+        reps = sets.filter("n > 0 AND doc_id IS NOT NULL").join(of_class, ["n", "d1", "d2"])
+        again = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).filter("a < high").select("doc_id", "a")
+        links = reps.join(again, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+
+        pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key AND p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+        tested, label = None, None
+        for k in range(HUB_ROUNDS + 1):
+            at = stored(open_keys(many, label), "open")
+            if k == 0:
+                pairs = likely(pairs.union(hub_pairs(at, None)).distinct(), classes, percent)
+            elif k < HUB_ROUNDS:
+                pairs = likely(hub_pairs(at, tested), classes, percent)
+            else:
+                left = sized(at.select("key", "d1").distinct(), classes, percent)
+                left = open_keys(rarest(left), label).join(classes.select("rep", "n", "s0", "s1", "s2", "s3"), "rep")
+                left = stored(left, "left")
+                pairs = left.alias("p").join(left.alias("q"), F.expr("p.key = q.key AND p.rep < q.rep AND p.component <> q.component") & _alike(percent, "p", "q"))
+                pairs = pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            if k == 0 or pairs.limit(1).count():
+                links = stored(links.unionByName(verified(pairs, members, percent)), "links")
+                label = components(links, stored)
+        named = of_class.join(label, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+        found = sets.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        return scratch.result(found, "found")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without near duplicates: of each component the document with the smallest doc_id stays, once; rows
-    without doc_id stay. The columns of docs."""
-    label = similar(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count("*").alias("_n"))
-    keep = stored(label.filter("doc_id = _c").select(F.col("doc_id").alias("_id"), "_n"), "jaccard-kept")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.join(keep, F.col("doc_id") == F.col("_id"))
-    out = rows.filter("_n = 1").select(*columns).unionByName(docs.filter("doc_id IS NULL"))
-    if keep.filter("_n > 1").limit(1).count():
+    """docs without near duplicates: of each component the document with the smallest doc_id stays, once (of rows that repeat
+    it that with the smallest hash); rows without doc_id stay. The columns of docs, whatever their names."""
+    mark = uuid.uuid4().hex
+    c, n, i, k = (f"{x}_{mark}" for x in "cnik")
+    label = similar(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias(c), F.count("*").alias(n))
+    keep = label.filter(F.col("doc_id") == F.col(c)).select(F.col("doc_id").alias(i), n)
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+    rows = docs.join(keep, F.col("doc_id") == F.col(i))
+    out = rows.filter(F.col(n) == 1).select(*columns).unionByName(docs.filter("doc_id IS NULL"))
+    if keep.filter(F.col(n) > 1).limit(1).count():
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*columns))
-        again = rows.filter("_n > 1").withColumn("_k", F.row_number().over(order)).filter("_k = 1")
+        again = rows.filter(F.col(n) > 1).withColumn(k, F.row_number().over(order)).filter(F.col(k) == 1)
         out = out.unionByName(again.select(*columns))
     return out
 

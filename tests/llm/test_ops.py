@@ -412,6 +412,35 @@ def test_jaccard(spark, odd_docs, no_docs):
     assert op10_jaccard.similar(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("flush", [7, 100, 10**6])
+def test_jaccard_keys_of_one_set_only_are_dropped(monkeypatch, flush):
+    monkeypatch.setattr(op10_jaccard, "_FLUSH", flush)
+    rng = np.random.default_rng(3)
+    rows = [*zip(rng.integers(0, 60, 300).tolist(), rng.integers(0, 9, 300).tolist()), *((1000 + i, i) for i in range(50)), *((7, i) for i in range(100)), (5000, 1), (5000, 1)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[lo : lo + 5])], names=["key", "d1"]) for lo in range(0, len(rows), 5)]
+    got = {r for b in op10_jaccard._shared(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    sets = collections.defaultdict(set)
+    for k, d in rows:
+        sets[k].add(d)
+    assert got == {(k, d) for k, s in sets.items() if len(s) > 1 for d in s}
+    assert list(op10_jaccard._shared(iter([]))) == []
+
+
+def test_jaccard_repeated_ids_join_all_their_texts(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(5, text("a")), (9, text("a")), (9, text("b")), (9, text("c")), (7, text("b")), (8, text("c")), (6, text("d"))]
+    got = {(r.doc_id, r.component_id) for r in op10_jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (9, 5), (7, 5), (8, 5), (6, 6)}
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", "x", 1, 2, 3), (2, "a b c d e f g", "y", 1, 2, 3), (3, "", "z", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _c string, _n int, _id int, component_id int")
+    got = op10_jaccard.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
 def test_jaccard_finds_pairs_at_the_threshold(spark):
     import random
 
