@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, Words, chunks, grams, mix, table, utf8
+from .common import CHUNK_BYTES, LOWER, Scratch, Words, chunks, grams, mix, table, utf8
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -291,12 +291,23 @@ def _members(bits: np.ndarray):
     return run
 
 
+def _runs(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of rows of at most `most` bytes together, one row at least."""
+    total, out, at = np.cumsum(size), [], 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        out.append((at, end))
+        at = end
+    return out
+
+
 def _verified(percent: int):
     def run(batches):
         reader = zstandard.ZstdDecompressor()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            size = np.array([zstandard.frame_content_size(x.as_buffer()) for c in (2, 3) for x in b.column(c)], np.int64).reshape(2, -1).max(0)
+            for lo, end in _runs(size, CHUNK_BYTES):
+                part = b.slice(lo, end - lo)
                 sides = []
                 for c in (2, 3):
                     texts = pa.array([reader.decompress(x.as_buffer()).decode() for x in part.column(c)], pa.string())
