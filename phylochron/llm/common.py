@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes handled at once by a Python worker; a longer document is a batch of its own.
 CHUNK_BYTES = 2 << 20
@@ -183,6 +184,14 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(g)
 
 
+def carried(docs: DataFrame, run, added: list[tuple[str, str]] | None = None) -> DataFrame:
+    """docs.mapInArrow(run) with the columns of docs and those added, whatever the names: run sees the columns as c0, c1, ..."""
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    for i, (_, kind) in enumerate(added or []):
+        schema = schema.add(f"x{i}", kind)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema).toDF(*docs.columns, *[n for n, _ in added or []])
+
+
 def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive positions of first."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

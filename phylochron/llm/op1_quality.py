@@ -14,9 +14,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
-from .common import Words, chunks, grams, mix, per_doc, table, utf8
+from .common import Words, carried, chunks, grams, mix, per_doc, table, utf8
 
 #: Length of n-gram: largest share of word characters that may lie inside repeated ones. Just above the largest shares
 #: of rows labelled good that the base rule passes (sf0.1, 3243 rows: 0.276, 0.276, 0.177; of lines 0.136).
@@ -102,28 +101,26 @@ def measure(col: pa.Array) -> dict[str, np.ndarray]:
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the figures and the verdict of each row."""
     rest = [f for f in docs.schema if f.name not in dict(FIELDS)]
-    schema = StructType(list(rest))
-    for name, kind in FIELDS:
-        schema = schema.add(name, kind)
     names = [f.name for f in rest]
+    at = names.index(text)
 
     def run(batches):
-        for b in chunks(batches, text):
-            m = measure(b.column(names.index(text)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(m[n], _ARROW[k]) for n, k in FIELDS]], names=[*names, *[n for n, _ in FIELDS]])
+        for b in chunks(batches, f"c{at}"):
+            m = measure(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(m[n], _ARROW[k]) for n, k in FIELDS]], names=[*b.schema.names, *[f"x{i}" for i in range(len(FIELDS))]])
 
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+    return carried(docs.select(*[f"`{n}`" for n in names]), run, FIELDS)
 
 
 def filtered(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with the columns of docs; texts leave Python only if kept."""
-    names = docs.columns
+    at = docs.columns.index(text)
 
     def run(batches):
-        for b in chunks(batches, text):
-            yield b.filter(pa.array(measure(b.column(names.index(text)))["kept"]))
+        for b in chunks(batches, f"c{at}"):
+            yield b.filter(pa.array(measure(b.column(at))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return carried(docs, run)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ FILE_BYTES = 1 << 30
 SPAN_BYTES, GAP_BYTES = 4 << 20, 128 << 10
 #: Of the bytes that two records share, how many they must have at least to be stored once.
 MIN_REVISIT_BYTES = 0
+#: The time of capture where the caller gives none; the pages carry none.
+DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -55,11 +57,19 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record as a gzip member."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"]
+def record_id(page_id, url) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
+
+
+def one_line(url: str) -> str:
+    return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(page_id, url, payload: bytes, digest: str, refers_to, refers_url=None, date: str = DATE) -> bytes:
+    """One WARC record as a gzip member; a revisit names the record, address and date of the response it refers to."""
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + one_line(url))
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
@@ -67,7 +77,9 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     if refers_to is None:
         block += payload
     else:
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
+        if refers_url is not None:
+            head.append("WARC-Refers-To-Target-URI: " + one_line(refers_url))
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
@@ -95,14 +107,14 @@ def planned(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """pages with payload digest, and for a row that repeats another's payload the page it refers to."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", base32_of_hex(F.sha1("html")))
-    shared = rows.filter(F.octet_length("html") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).filter("n > 1 AND last IS NOT NULL").drop("n")
+    shared = rows.filter(F.octet_length("html") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("top")).filter("n > 1 AND top IS NOT NULL").select("payload_digest", F.col("top.page_id").alias("last"), F.col("top.url").alias("last_url"))
     shared = stored(shared, "warc-shared")
     rows = rows.join(shared, "payload_digest", "left")
-    return rows.select("page_id", "url", "html", "payload_digest", F.expr("CASE WHEN page_id = last THEN NULL ELSE last END").alias("refers_to"))
+    return rows.select("page_id", "url", "html", "payload_digest", F.expr("CASE WHEN page_id = last THEN NULL ELSE last END").alias("refers_to"), F.col("last_url").alias("refers_url"))
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """The archives of pages, written to folder; returns their index, stored."""
+def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> DataFrame:
+    """The archives of pages, written to folder with date as the time of capture; returns their index, stored."""
 
     def run(batches):
         fs, root = opened(folder)
@@ -116,7 +128,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES) ->
                         name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
                         sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                     payload = r["html"].encode()
-                    member = record(r["page_id"], r["url"], payload, r["payload_digest"], r["refers_to"])
+                    member = record(r["page_id"], r["url"], payload, r["payload_digest"], r["refers_to"], r["refers_url"], date)
                     sink.write(member)
                     rows.append({"page_id": r["page_id"], "url": r["url"], "file": name, "offset": at, "length": len(member), "payload_bytes": len(payload), "payload_digest": r["payload_digest"], "record_type": "response" if r["refers_to"] is None else "revisit", "refers_to": r["refers_to"]})
                     at += len(member)

@@ -6,9 +6,11 @@ Where the margin to the second is narrow the choice is marked as rejected; `lang
 `lang_accepted` is `und` there.
 
 Dictionaries are built on the driver from at most SAMPLE pieces of training texts a language (of LONGEST characters,
-chosen by hash of the id and place; the documented bound), up to DICT_BYTES each. Prediction is one pass without a shuffle.
+chosen by hash of the id and place; the documented bound), up to DICT_BYTES each; a language with less text has a
+shorter dictionary, which changes no other. Prediction is one pass without a shuffle.
 
-Defined results: null text and text without a letter are `und` with score 0; a null language is not learned;
+Defined results: null text and text without a letter (Unicode category L) are `und` with score 0; a language whose
+training texts are all empty cannot be learned; on equal sizes the first language by name is taken; a null language is not learned;
 without any language every text is `und`; repeated rows are alike; an empty table gives an empty table; further
 columns are ignored.
 """
@@ -16,11 +18,11 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from .common import chunks, crc_fold, table
 SAMPLE, DICT_BYTES, LONGEST, PIECE, LEVEL = 80, 96 << 10, 16 << 10, 8 << 10, 5
 #: A margin below this share of the smallest size, or these bytes, is narrow.
 NARROW_SHARE, NARROW_BYTES = 0.004, 3
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _NOT_WORDS = bytes(c for c in range(33, 128) if not chr(c).isalpha())
 
 
@@ -55,10 +57,12 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     for r in sorted(some.collect(), key=lambda r: (r["rank"], r["text"])):
         if len(out[r["lang"]]) < SAMPLE:
             out[r["lang"]].append(folded(r["text"]))
-    out = {lang: parts for lang, parts in out.items() if sum(map(len, parts)) >= 64}
-    # the start of a dictionary is the farthest away, so all languages fill the same length
-    most = min([DICT_BYTES, *(max(4096, sum(map(len, parts))) for parts in out.values())])
-    return {lang: b"\n".join(parts)[:most] for lang, parts in out.items()}
+    return {lang: filled(b"\n".join(parts)) for lang, parts in out.items() if any(p.strip() for p in parts)}
+
+
+def filled(raw: bytes) -> bytes:
+    """A dictionary of at most DICT_BYTES; zstandard needs some bytes, so a very short text is repeated."""
+    return (raw if len(raw) >= 64 else (raw + b"\n") * (64 // (len(raw) + 1) + 1))[:DICT_BYTES]
 
 
 @lru_cache(2)

@@ -11,39 +11,46 @@ whatever keeps the words taken closest to the sum of the rates, longest first; s
 than a short document, a hot source is many groups, and reruns agree whatever the partitioning.
 
 Defined results: null text has size 0; a source without words has target 0; a null source is a source of its
-own, last; repeated rows (same doc_id, source and size) get the same copies; an empty table gives an empty table.
+own, last; repeated rows (same doc_id, source and size) get the same copies; an empty table gives an empty
+table; mixed() carries further columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, per_doc, stored, table, utf8
+from .common import SPACE, carried, chunks, per_doc, stored, table, utf8
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-STEPS, TOLERANCE = 40, 1e-7
+TOLERANCE = 1e-7
 GROUP = 4096
 #: Up to so many sources their figures travel in the plan; beyond, as a stored table.
 FEW_SOURCES = 10_000
 
 
+def words_of(col: pa.Array) -> pa.Array:
+    """The number of words of each text."""
+    buf, at = utf8(col)
+    first = ~SPACE[buf]
+    head = at[:-1][at[1:] > at[:-1]]
+    keep = first[head]
+    first[1:] &= SPACE[buf[:-1]]
+    first[head] = keep
+    return pa.array(per_doc(first, at))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and number of words of each row."""
 
     def run(batches):
         for b in chunks(batches, "text"):
-            buf, at = utf8(b.column(2))
-            first = ~SPACE[buf]
-            head = at[:-1][at[1:] > at[:-1]]
-            keep = first[head]
-            first[1:] &= SPACE[buf[:-1]]
-            first[head] = keep
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(per_doc(first, at))], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), words_of(b.column(2))], names=["doc_id", "source", "size"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, source string, size long")
 
@@ -76,30 +83,31 @@ def tilt(lam, x):
     return 2.0 / (1.0 + F.exp(-F.least(F.lit(600.0), F.greatest(F.lit(-600.0), lam * x))))
 
 
-def solve(histogram: DataFrame, sources: DataFrame, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """sources with the dual value lam of each; lo and hi bracket it."""
+def solve(histogram: DataFrame, sources: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """sources with the dual value lam of each; lo and hi bracket it. Ends when every source has its target or its bracket has
+    closed, which halving ensures."""
     few = sources.count() <= FEW_SOURCES
     mean = F.greatest(F.col("source_size") / F.col("docs"), F.lit(1e-9))
     state = _kept(sources.select("source", "source_size", "docs", "target", mean.alias("mean"), F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi")), few, "dual")
-    for _ in range(steps):
+    while True:
         x = F.col("size") / F.col("mean")
         rate = tilt(F.col("lam"), x)
         words = F.col("n") * F.col("size")
         cell = histogram.join(state.select(F.col("source").alias("s"), "mean", "lam"), F.col("source").eqNullSafe(F.col("s")))
         sums = cell.groupBy("s").agg(F.sum(words * rate).alias("got"), F.sum(words * x * rate * (1.0 - rate / 2.0)).alias("slope"))
         gap = F.col("target") - F.col("got")
-        done = (F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))) | (F.col("target") >= MOST * F.col("source_size")) | (F.col("target") <= 0)
+        done = (F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))) | (F.col("target") >= MOST * F.col("source_size")) | (F.col("target") <= 0) | (F.col("hi") - F.col("lo") <= 1e-13 * (F.abs("lo") + F.abs("hi")))
         lo, hi = F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap < 0, F.col("lam")).otherwise(F.col("hi"))
         # a step that leaves the bracket, or is far longer than the last, is cut
-        step = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), gap / F.greatest(F.col("slope"), F.lit(1e-12))))
+        far = F.greatest(F.lit(4.0), F.abs("lam"))
+        step = F.greatest(-far, F.least(far, gap / F.greatest(F.col("slope"), F.lit(1e-12))))
         nxt = F.col("lam") + step
         nxt = F.when((nxt <= lo) | (nxt >= hi), (lo + hi) / 2).otherwise(nxt)
         new = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "docs", "target", "mean", F.when(done | F.col("got").isNull(), F.col("lam")).otherwise(nxt).alias("lam"), lo.alias("lo"), hi.alias("hi"), F.coalesce(done, F.lit(True)).alias("done"))
         new = _kept(new, few, "dual")
         state = new.drop("done")
         if not new.filter("NOT done").limit(1).count():
-            break
-    return state
+            return state
 
 
 def rounded(units: DataFrame) -> DataFrame:
@@ -144,13 +152,23 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def with_size(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the number of words of each text as the last column."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in chunks(batches, f"c{at}"):
+            yield pa.RecordBatch.from_arrays([*b.columns, words_of(b.column(at))], names=[*b.schema.names, "x0"])
+
+    return carried(docs, run, [(name, "long")])
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as it is taken; the columns of docs."""
+    """docs with each row as often as it is taken; the columns of docs, whatever their names."""
+    mark = uuid.uuid4().hex
+    size, c = f"size_{mark}", f"copy_{mark}"
     units, _ = plan(docs)
-    copies = units.filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_c"))
-    copies = copies.groupBy("_d", "_s").agg(F.count("*").alias("_c"))
-    # rows of one doc_id and source but of different texts share their copies evenly, rounded up
-    rows = docs.groupBy("doc_id", "source").agg(F.count("*").alias("_n"))
-    copies = copies.join(rows, F.col("_d").eqNullSafe(F.col("doc_id")) & F.col("_s").eqNullSafe(F.col("source"))).select("_d", "_s", F.ceil(F.col("_c") / F.col("_n")).cast("int").alias("_c"))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = units.filter("copies > 0").select(*[F.col(k).alias(f"{k}_{mark}") for k in ("doc_id", "source", "copies")], F.col("size").alias(f"words_{mark}"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"doc_id_{mark}")) & F.col("source").cast("string").eqNullSafe(F.col(f"source_{mark}")) & (F.col(size) == F.col(f"words_{mark}"))
+    out = with_size(docs, size).join(taken, same)
+    return out.withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"copies_{mark}")))).select(*[F.col(f"`{k}`") for k in docs.columns])

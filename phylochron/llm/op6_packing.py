@@ -10,7 +10,8 @@ Tokens are made once and stay in their task unless asked for; only lengths are d
 chosen by a hash of the piece, so a hot source or a group of copies is spread evenly.
 
 Ids: those of the `tokenizers` file given by `path`. Its vocabulary's rank form is read with tiktoken, which
-gives the same ids several times faster (tests compare the two); strings of special tokens are ordinary text.
+gives the same ids several times faster (tests compare the two). A special token of that file, spelled out in a
+text, is its id there, as the file encodes it.
 
 Defined results: null text is empty, so its piece is the end id alone; repeated rows are pieces of their own;
 an empty table gives an empty table; further columns are ignored.
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import chunks, stored, table
 
 SEQUENCE, END_ID, OPEN_BINS = 1024, 2, 512
-#: Pieces that are handed over longest first; the open bins stay between blocks.
-BLOCK = 4096
-#: Pieces of a group where there are few of them, and the most groups.
-GROUP_PIECES, MAX_GROUPS = 2048, 1 << 15
+#: The special token of the vocabulary: fixed values.
+SPECIAL = {"<|endoftext|>": 50256}
+#: Pieces that are looked ahead and handed over longest first; the open bins stay from one such block to the next.
+BLOCK = 512
+#: Pieces of a group, which is packed online by itself, and the most groups.
+GROUP_PIECES, MAX_GROUPS = 16_384, 1 << 22
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -47,7 +50,13 @@ def encoder(path: str | None = None):
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+
+def ids_of(encoding, text: str) -> list[int]:
+    if any(s in text for s in SPECIAL):
+        return encoding.encode(text, allowed_special="all")
+    return encoding.encode_ordinary(text)
 
 
 def cut(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -60,11 +69,11 @@ def pieces(docs: DataFrame, keep_ids: bool = False, sequence: int = SEQUENCE, en
     """Every document's pieces; ids only if asked for."""
 
     def run(batches):
-        encode = encoder(path).encode_ordinary
+        encoding = encoder(path)
         for b in chunks(batches, "text"):
             rows = [[] for _ in range(6)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+                ids = np.array([*ids_of(encoding, text or ""), end_id], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), sequence)):
                     part = ids[start : start + length]
                     for col, v in zip(rows, (doc, k, start, length, zlib.crc32(part.tobytes()), part.astype(np.int32) if keep_ids else None), strict=True):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, chunks, mix, stored, table, utf8
+from .common import LOWER, Words, carried, chunks, mix, stored, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS, MIN_SCORE, ROUNDS, BLOCK = 5, 0.5, 3, 1 << 20
@@ -276,7 +276,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, f"c{at}"):
             texts, _, spans = _spans(b.column(at), *merged)
             out = []
             for text, found in zip(texts, spans, strict=True):
@@ -291,9 +291,9 @@ def redacted(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(out, b.schema.field(at).type)
             if "n_chars" in names and pa.types.is_integer(b.schema.field(names.index("n_chars")).type):
                 cols[names.index("n_chars")] = pa.array([old if not found else len(t) for t, found, old in zip(out, spans, b.column(names.index("n_chars")).to_pylist(), strict=True)], b.schema.field(names.index("n_chars")).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return carried(docs, run)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

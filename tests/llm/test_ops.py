@@ -96,6 +96,10 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/%0A\n", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "é" * 90_000), (6, "u", "tail\r\n\r\n"), (6, "u", "tail\r\n\r\n"), (None, "n", "<p>x</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     folder = f"file://{tmp_path}/warc"
+    head = lambda *a: op3_warc.zlib.decompress(op3_warc.record(*a), 31).decode()
+    first, again = head(9, "http://a\n", b"x", "D", None), head(4, "http://b", b"x", "D", 9, "http://a\n")
+    assert "WARC-Date: 1970-01-01T00:00:00Z\r\n" in first and "WARC-Refers-To-Target-URI: http://a%0A\r\n" in again
+    assert re.search("WARC-Record-ID: (.*)\r", first)[1] == re.search("WARC-Refers-To: (.*)\r", again)[1]
     index = op3_warc.write(pages, folder)
     got = op3_warc.read(index, folder).collect()
     assert len(got) == len(rows)
@@ -162,6 +166,19 @@ def test_mixing(odd_docs, no_docs):
         assert abs(taken[s] - want[s]) <= max(0.05 * want[s], max(n for _, x, n in docs if x == s))
     assert sorted(map(tuple, op5_mixing.plan(odd_docs.repartition(5))[0].collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert op5_mixing.mixed(odd_docs).columns == odd_docs.columns
+    wanted = collections.Counter()
+    for r in rows:
+        wanted[r.doc_id, r.source, r.size] += r.n * r.copies
+    clash = op5_mixing.mixed(odd_docs.selectExpr("*", "1 AS _c", "2 AS _d", "3 AS _n", "4 AS copies", "5 AS size", "6 AS `a.b`"))
+    assert clash.columns[-6:] == ["_c", "_d", "_n", "copies", "size", "a.b"]
+    assert collections.Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in clash.collect()) == +wanted
+    solved, size_of = {r.s: r for r in dual.collect()}, collections.defaultdict(list)
+    for _, s, n in docs:
+        size_of[s].append(n)
+    for s, r in solved.items():  # the tilted rates meet the constraint
+        if 0 < r.target < 2 * r.source_size:
+            assert math.isclose(sum(2 * n / (1 + math.exp(-r.lam * n / r.mean)) for n in size_of[s]), r.target, rel_tol=1e-6)
+    assert op5_mixing.mixed(no_docs).count() == 0
     assert op5_mixing.plan(no_docs)[0].count() == 0
 
 
@@ -170,15 +187,16 @@ def test_packing(odd_docs, no_docs):
     from tokenizers import Tokenizer
 
     given = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    given.encode_special_tokens = True
     docs = collections.Counter((r.doc_id, r.text or "") for r in odd_docs.collect())
     want = collections.Counter()
     for (i, text), n in docs.items():
         ids = [*given.encode(text, add_special_tokens=False).ids, 2]
-        assert op6_packing.encoder().encode_ordinary(text) == ids[:-1]
+        assert op6_packing.ids_of(op6_packing.encoder(), text) == ids[:-1]
         for k, (start, length) in enumerate(op6_packing.cut(len(ids))):
             assert length == 1024 or k == 0
             want[i, k, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())] += n
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y<|endoftext", "<|im_start|>"):
+        assert op6_packing.ids_of(op6_packing.encoder(), text) == given.encode(text, add_special_tokens=False).ids
     rows = op6_packing.packed(odd_docs).collect()
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     by = collections.defaultdict(list)
@@ -260,7 +278,8 @@ def test_language_dictionaries_of_long_texts_and_stray_names(spark):
     long = lambda letters: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(4000))
     rows = [(i, long("abcdefgh"), "aa") for i in range(10)] + [(100 + i, long("stuvwxyz")[:9000], "bb") for i in range(20)] + [(i, "hi", "zz") for i in range(200, 210)]
     dicts = op4_language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert set(dicts) == {"aa", "bb"} and len(dicts["aa"]) == len(dicts["bb"]) > 50_000
+    assert set(dicts) == {"aa", "bb", "zz"} and len(dicts["aa"]) > 90_000 and len(dicts["bb"]) > 90_000 and 64 <= len(dicts["zz"]) < 100
+    assert [op4_language.judged(t, ["aa"], op4_language._packers((("aa", dicts["aa"]),)))[0] for t in ("\u00bd \u00b2", "\u2167", "\u4e2d", "x")] == ["und", "und", "aa", "aa"]
 
 
 class Blind:
