@@ -440,8 +440,8 @@ def energy_summary(spark, sf):
 
 @query(""", m AS (SELECT chain_id, AVG(energy) AS m, var_pop(energy) AS v, COUNT(*) AS n FROM chain GROUP BY 1),
   x AS (SELECT chain_id, (step - chain_id) // 4 AS t, energy - m AS x, v, n FROM chain JOIN m USING (chain_id)),
-  rho AS (SELECT a.chain_id, k AS lag, SUM(a.x * b.x) / any_value(a.n) / any_value(a.v) AS rho FROM x a, (SELECT unnest(range(1, 51)) AS k), x b WHERE b.chain_id = a.chain_id AND b.t = a.t + k GROUP BY 1, 2),
-  stop AS (SELECT chain_id, MIN(lag) AS stop FROM rho WHERE rho <= 0 GROUP BY 1)
+  rho AS (SELECT a.chain_id, k AS lag, SUM(a.x * b.x) / any_value(a.n) / any_value(a.v) AS rho FROM x a, (SELECT unnest(range(1, 501)) AS k), x b WHERE b.chain_id = a.chain_id AND b.t = a.t + k GROUP BY 1, 2),
+  stop AS (SELECT chain_id, MIN(lag) AS stop FROM rho WHERE rho <= 1e-12 GROUP BY 1)
   SELECT m.chain_id, ROUND(n / (1 + 2 * COALESCE((SELECT SUM(rho) FROM rho WHERE rho.chain_id = m.chain_id AND lag < COALESCE((SELECT stop FROM stop WHERE stop.chain_id = m.chain_id), 999)), 0)), 6) AS ess FROM m""")
 def autocovariance_ess(spark, sf):
     return diagnostics.effective_samples(d.chain(spark, sf).withColumn("step", ((F.col("step") - F.col("chain_id")) / 4).cast("long")))
@@ -491,7 +491,7 @@ def local_search_best(spark, sf):
 def mh_chain(spark, sf):
     from .plans import orders
 
-    return orders.chains(_instances(spark, sf).filter("instance_id = 0"), d.nodes(spark), [1, 2], 1000)
+    return orders.chains(_instances(spark, sf), d.nodes(spark), [1, 2], 1000)
 
 
 @query("""SELECT date_trunc('day', ts) AS start, CAST(1 + user_id % 63 AS BIGINT) AS donor, CAST(1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 63 AS BIGINT) AS receptor, COUNT(*) AS weight

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +28,34 @@ def energy_summary(chain: DataFrame) -> DataFrame:
     return chain.groupBy("chain_id").agg(F.round(F.avg("energy"), 6).alias("mean"), F.min("energy").alias("low"), F.max("energy").alias("high"), F.round(F.stddev_pop("energy"), 6).alias("sd"))
 
 
-def autocorrelation(chain: DataFrame, lags: int) -> DataFrame:
-    """(chain_id, lag, rho): autocovariance at each lag over the variance; `lags` bounds the self join."""
-    mean = chain.groupBy("chain_id").agg(F.avg("energy").alias("m"), F.var_pop("energy").alias("v"), F.count("*").alias("n"))
-    x = chain.join(mean, "chain_id").select("chain_id", "step", (F.col("energy") - F.col("m")).alias("x"), "v", "n")
-    ahead = x.select("chain_id", "x", "v", "n", "step", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"))
-    other = x.select("chain_id", F.col("step").alias("step2"), F.col("x").alias("y"))
-    pairs = ahead.withColumn("step2", F.col("step") + F.col("lag")).join(other, ["chain_id", "step2"])
-    return pairs.groupBy("chain_id", F.col("lag").cast("long").alias("lag")).agg((F.sum(F.col("x") * F.col("y")) / F.first("n") / F.first("v")).alias("rho"))
+#: The most lags that an effective sample size sums over.
+LAGS = 500
 
 
-def effective_samples(chain: DataFrame, lags: int = 50) -> DataFrame:
+def autocorrelation(chain: DataFrame, lags: int = LAGS) -> DataFrame:
+    """(chain_id, lag, rho): autocovariance at each lag over the variance, by one Fourier transform a chain. A chain's energies
+    are one array of 8 bytes a step in its task; steps that are missing count for nothing."""
+
+    def run(key, group):
+        step, energy = group.column("step").to_numpy(), group.column("energy").to_numpy().astype(float)
+        x = np.zeros(int(step.max() - step.min()) + 1)
+        np.add.at(x, step - step.min(), energy - energy.mean())
+        wide = 1 << (2 * len(x) - 1).bit_length()
+        product = np.fft.irfft(np.abs(np.fft.rfft(x, wide)) ** 2, wide)[1 : min(lags, len(x) - 1) + 1]
+        spread = float(np.var(energy))
+        rho = product / len(energy) / spread if spread > 0 else product[:0]
+        return pa.table({"chain_id": pa.array([key[0].as_py()] * len(rho), pa.int64()), "lag": pa.array(np.arange(1, len(rho) + 1)), "rho": pa.array(rho)})
+
+    rows = chain.select(F.col("chain_id").cast("long").alias("chain_id"), F.col("step").cast("long").alias("step"), F.col("energy").cast("double").alias("energy"))
+    return rows.groupBy("chain_id").applyInArrow(run, "chain_id long, lag long, rho double")
+
+
+def effective_samples(chain: DataFrame, lags: int = LAGS) -> DataFrame:
     """(chain_id, ess): n / (1 + 2 * sum of rho up to the first that is not positive)."""
     rho = autocorrelation(chain, lags)
-    stop = rho.filter("rho <= 0").groupBy("chain_id").agg(F.min("lag").alias("stop"))
-    total = rho.join(stop, "chain_id", "left").filter("stop IS NULL OR lag < stop").groupBy("chain_id").agg(F.sum("rho").alias("s"))
+    stop = rho.groupBy("chain_id").agg(F.min(F.when(F.col("rho") <= 1e-12, F.col("lag"))).alias("stop"), F.array_sort(F.collect_list(F.struct("lag", "rho"))).alias("all"))
+    part = F.filter("all", lambda x: F.col("stop").isNull() | (x["lag"] < F.col("stop")))
+    total = stop.select("chain_id", F.aggregate(part, F.lit(0.0), lambda a, x: a + x["rho"]).alias("s"))
     n = chain.groupBy("chain_id").agg(F.count("*").alias("n"))
     return n.join(total, "chain_id", "left").select("chain_id", F.round(F.col("n") / (1 + 2 * F.coalesce("s", F.lit(0.0))), 6).alias("ess"))
 

@@ -336,7 +336,7 @@ def chain(problem: Problem, start: list, iterations: int, temperature: float, bu
         if len(start) > 1:
             i, j = pair(len(start), rng)
             gain = walk.swap_gain(i, j)
-            if gain is not None and (gain <= 0 or rng.random() < math.exp(max(-gain / temperature, -700.0))):
+            if gain is not None and (gain <= 0 or rng.random() < math.exp(max(-gain / temperature, -700.0) if temperature > 0 else -math.inf)):
                 walk.swap(i, j, gain)
         if k >= burn_in and (k - burn_in) % thin == 0:
             yield (k - burn_in) // thin, walk.labels(), walk.value

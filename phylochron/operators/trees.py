@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def heap_tree(spark: SparkSession, size: int = 63) -> DataFrame:
     """The complete binary tree 1..size with parent k // 2; node ids are labels, preorder is a sort key."""
@@ -23,22 +25,23 @@ def heap_tree(spark: SparkSession, size: int = 63) -> DataFrame:
     )
 
 
-#: Up to this depth the closure is a few nested joins; below it a recursive query, whose plan stays small.
-SHALLOW = 8
+#: Doublings that stay one plan; a tree deeper than 2 ** SHALLOW edges stores the table after each further one.
+SHALLOW = 3
 
 
 def closure(nodes: DataFrame) -> DataFrame:
-    """(anc, des, hops) of every ancestor-or-self pair. In a shallow tree by doubling: after k joins all paths up to
-    2**k are known, and as paths of a tree are unique no step needs to drop duplicates."""
-    if depth_of(nodes) > SHALLOW:
-        return closure_recursive(nodes)
-    step = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("anc"), F.col("label").alias("des"), F.lit(1).cast("long").alias("hops"))
-    deepest, reach, known = depth_of(nodes), step, 1
+    """(anc, des, hops) of every ancestor-or-self pair, by doubling: after k joins all paths of up to 2**k edges are known.
+    As paths of a tree are unique no step needs to drop duplicates. A deep tree's tables are stored between joins, so
+    neither the plan nor a setting of the session bounds the depth."""
+    reach = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("anc"), F.col("label").alias("des"), F.lit(1).cast("long").alias("hops"))
+    deepest, known, k = depth_of(nodes), 1, 0
     while known < deepest:
         far = reach.filter(F.col("hops") == known).select("anc", F.col("des").alias("mid"), F.col("hops").alias("h"))
         on = reach.select(F.col("anc").alias("mid"), "des", "hops")
         reach = reach.unionByName(far.join(on, "mid").select("anc", "des", (F.col("h") + F.col("hops")).alias("hops")))
-        known *= 2
+        known, k = 2 * known, k + 1
+        if k >= SHALLOW and known < deepest:
+            reach = stored(reach, "closure")
     return nodes.select(F.col("label").alias("anc"), F.col("label").alias("des"), F.lit(0).cast("long").alias("hops")).unionByName(reach)
 
 
@@ -50,7 +53,8 @@ def depth_of(nodes: DataFrame) -> int:
 
 
 def closure_recursive(nodes: DataFrame) -> DataFrame:
-    """The same by a recursive common table expression."""
+    """The same by a recursive common table expression, for trees within the session's limits of recursion (by default
+    100 levels and a million rows)."""
     view = f"nodes_{uuid.uuid4().hex}"
     nodes.select("label", "parent").createOrReplaceTempView(view)
     return nodes.sparkSession.sql(f"""

@@ -104,4 +104,4 @@ def page(r: Result, source: str, lang: str = "en") -> str:
 def chain_diagnostics(chain: DataFrame) -> DataFrame:
     """One row a chain: samples, distinct states, duplicates, longest run, energies and effective samples."""
     own = chain.withColumn("energy", F.round("energy", 9))
-    return diagnostics.run_stats(own).join(diagnostics.energy_summary(own), "chain_id").join(diagnostics.effective_samples(own, 20), "chain_id")
+    return diagnostics.run_stats(own).join(diagnostics.energy_summary(own), "chain_id").join(diagnostics.effective_samples(own), "chain_id")

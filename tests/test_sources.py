@@ -145,7 +145,76 @@ def test_cached_reports(spark, tmp_path):
     one = reports.cached(spark, cache, nodes, str(tmp_path / "in")).count()
     (tmp_path / "in" / "FAM2.txt").write_text(REPORT)
     assert reports.cached(spark, cache, nodes, str(tmp_path / "in")).count() == 2 * one
-    assert spark.read.parquet(cache).count() == 2 * one
+    assert spark.read.parquet(cache).count() == 2 * (one + 1)
+
+
+def test_cache_keeps_equal_names_and_archives_apart(spark, tmp_path):
+    for place in ("a", "b"):
+        (tmp_path / "in" / place).mkdir(parents=True)
+        (tmp_path / "in" / place / "FAM.txt").write_text(REPORT)
+    (tmp_path / "in" / "EMPTY.txt").write_text("Recipient -->\n")
+    with tarfile.open(tmp_path / "in" / "two.tar", "w") as tar:
+        for name in ("X.txt", "Y.txt"):
+            info = tarfile.TarInfo(name)
+            info.size = len(REPORT)
+            tar.addfile(info, io.BytesIO(REPORT.encode()))
+    nodes, cache = newick.nodes_frame(spark, SPECIES), str(tmp_path / "cache")
+    want = sorted(map(str, reports.read(spark, str(tmp_path / "in")).collect()))
+    for _ in range(2):
+        assert sorted(map(str, reports.cached(spark, cache, nodes, str(tmp_path / "in")).collect())) == want
+    assert spark.read.parquet(cache).filter("row = 'file'").count() == 5  # nothing was parsed twice
+
+
+def test_reports_in_other_words():
+    rows = list(reports.report_rows("Number of equally optimal reconciliations: 7\nhomo sapiens :  leaf  node\nNumber of optimal solutions: 3\n"))
+    assert [(r[0], r[2], r[5]) for r in rows] == [("declared", None, 7.0), ("leaf", "homo sapiens", None), ("declared", None, 3.0)]
+    with pytest.raises(reports.FormatError, match="declarations"):
+        list(reports.xml_rows("<!-- " + "x" * 600 + " --><!DOCTYPE a><recPhylo/>"))
+    assert list(reports.xml_rows("<!-- no <!DOCTYPE here --><recPhylo/>")) == []
+
+
+def test_reconciled_species_of_transfers():
+    rec = lambda t: [(r[2], r[3]) for r in reports.sampled_rows(f"1 reconciled\n\n{t}\n", "rec") if r[0] == "transfer"]
+    assert rec("((A_1:1,(C_1:1,D_1:1).7:1).T@5->7:1,E_1:1).9:1;") == []  # no child begins in 5
+    assert rec("((A_1:1,(C_1:1,D_1:1).7:1).T@A->7:1,E_1:1).9:1;") == [("9", "7")]
+    assert rec("(((C_1:1,D_1:1).7:1,A_1:1).T@A->7:1,E_1:1).9:1;") == [("9", "7")]
+    assert rec("((A_1:1,((C_1:1,D_1:1).7:1,(C_2:1,D_2:1).8:1).D@7:1).T@A->7:1,E_1:1).9:1;") == [("9", "7"), ("9", "8")]
+    assert rec("(((A_1:1,(C_1:1,D_1:1).7:1).T@A->7:1,B_1:1).D@6:1,E_1:1).9:1;") == [("9", "7")]
+    assert rec("((A_1:1,(C_1:1,D_1:1).7:1).T@A->7:1,E_1:1).T@1->2:1;") == []  # no species above
+
+
+def test_closure_of_a_deep_tree(spark):
+    from phylochron.operators import trees
+
+    deep = 600
+    rows = [(k, k - 1 if k else None, k == deep, 1, k, k) for k in range(deep + 1)]
+    nodes = spark.createDataFrame(rows, "label long, parent long, is_leaf boolean, length long, depth long, preorder long")
+    got = trees.closure(nodes)
+    assert got.count() == (deep + 1) * (deep + 2) // 2
+    assert got.filter("hops <> des - anc OR hops < 0").count() == 0 and got.distinct().count() == got.count()
+
+
+def test_effective_samples_of_a_slow_chain(spark):
+    import math
+    import random
+
+    from phylochron.operators import diagnostics
+
+    rng, x, energy = random.Random(4), 0.0, []
+    for _ in range(3000):
+        x = 0.99 * x + rng.gauss(0, 1)
+        energy.append(x)
+    mean = sum(energy) / len(energy)
+    c = [e - mean for e in energy]
+    v, total = sum(a * a for a in c) / len(c), 0.0
+    for lag in range(1, 501):
+        rho = sum(a * b for a, b in zip(c, c[lag:])) / len(c) / v
+        if rho <= 1e-12:
+            break
+        total += rho
+    chain = spark.createDataFrame([(1, k, "s", e) for k, e in enumerate(energy)] + [(2, k, "s", 5.0) for k in range(20)], "chain_id long, step long, state string, energy double")
+    got = {r.chain_id: r.ess for r in diagnostics.effective_samples(chain).collect()}
+    assert math.isclose(got[1], len(c) / (1 + 2 * total), rel_tol=1e-6) and got[2] == 20 and lag > 50
 
 
 def test_chain_matches_the_exact_distribution():
