@@ -81,6 +81,12 @@ class Scratch:
         self.count += 1
         return written(df, f"{self.folder}/{name}-{self.count}", parts)
 
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later step reads."""
+        for k in range(1, self.count + 1):
+            for name in names:
+                dropped(self.spark, f"{self.folder}/{name}-{k}")
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """A table that stays, one a call of the operator."""
         return stored(df, self.folder.rsplit("/", 1)[1].split("-")[0] + "-" + name)

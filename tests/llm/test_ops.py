@@ -332,15 +332,88 @@ def test_language_model(odd_docs, no_docs):
 
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(6)
-    counts = np.zeros(op8_lm.K, np.int64)
-    counts[[0, 1]] = 50, 10
-    counts[op8_lm.PER_CLASS :] = rng.integers(0, 90, op8_lm.K - op8_lm.PER_CLASS)
-    m = op8_lm.MaxEnt(counts)
-    for t in m.t.values():
-        t += rng.normal(0, 0.1, t.shape).astype(np.float32)
-    seq = np.arange(op8_lm.K)
-    same = np.full(op8_lm.K, 40)
-    assert abs((10.0 ** m.log10(seq, same, same, same)).sum() - 1) < 1e-4
+    for n in (1, 2, 3, 40, 700):
+        m = op8_lm.MaxEnt(rng.integers(1, 90, n).astype(float), 10)
+        m.weights += rng.normal(0, 0.5, 1024).astype(np.float32)
+        keys = [np.full(n, k, np.uint64) for k in (7, 8, 9)]
+        assert abs((10.0 ** m.log10(np.arange(n), keys)).sum() - 1) < 1e-4
+
+
+def test_model_starts_from_counts_and_paths_are_short_for_frequent_symbols():
+    mass = np.array([50.0, 1, 30, 1, 7, 11])
+    m = op8_lm.MaxEnt(mass, 8)
+    got = 10.0 ** m.log10(np.arange(6), [np.zeros(6, np.uint64)] * 3)
+    assert np.allclose(got, mass / mass.sum(), atol=1e-6) and m.length[0] == 1 and m.length[1] == max(m.length)
+
+
+def brute_model(texts, train, rounds=op8_lm.ROUNDS):
+    """The model by plain loops over tokens and path steps: log10 probability of every text."""
+    from phylochron.llm.op8_lm import END_HASH
+
+    seqs = []
+    for t in texts:
+        w = common.Words(*common.utf8(pa.array([t])), common.LOWER)
+        seqs.append([*map(int, w.hash), int(END_HASH)])
+    counts = collections.Counter(h for q, own in zip(seqs, train) if own for h in q)
+    n = sum(counts.values())
+    least, bits = max(2, -(-n // op8_lm.HEAD)), op8_lm.class_bits(n)
+    head = sorted(h for h, c in counts.items() if c >= least)
+    of = lambda h: int(op8_lm.tail_class(np.array([h], np.uint64), bits)[0])
+    mass = [1.0] * 2**bits
+    for h, c in counts.items():
+        if c < least:
+            mass[of(h)] += c + 1
+    model = op8_lm.MaxEnt(np.array([*(counts[h] for h in head), *mass]), op8_lm.LEAST_BITS)
+    place = {h: i for i, h in enumerate(head)}
+    short = lambda h: int(common.mix(np.array([h], np.uint64))[0]) >> 32
+    mix1 = lambda x: int(common.mix(np.array([x % 2**64], np.uint64))[0])
+    weights = collections.defaultdict(float)
+
+    def steps(q, i):
+        one, two = (short(q[i - k]) if i >= k else short(int(END_HASH)) for k in (1, 2))
+        keys = [mix1(one + 0x1D8E4E27), mix1(two + 2**40), mix1(one * 0x9E3779B97F4A7C15 % 2**64 ^ two + 2**50)]
+        s = place.get(q[i], len(head) + of(q[i]))
+        for j in range(model.start[s], model.start[s] + model.length[s]):
+            node = int(model.node[j])
+            at = [((k ^ node * 0xD6E8FEB86659FD93 % 2**64) * 0xFF51AFD7ED558CCD % 2**64) >> (64 - model.bits) for k in keys]
+            yield at, int(model.side[j]), 1 / (1 + math.exp(-(float(model.bias[node]) + sum(weights[a] for a in at))))
+
+    for _ in range(rounds):
+        slope, bend = collections.Counter(), collections.Counter()
+        for q, own in zip(seqs, train):
+            for i in range(len(q) if own else 0):
+                for at, side, p in steps(q, i):
+                    for a in at:
+                        slope[a] += side - p
+                        bend[a] += p * (1 - p)
+        for a in bend:
+            weights[a] += op8_lm.RATE * slope[a] / (bend[a] + op8_lm.RIDGE)
+    out = []
+    for q in seqs:
+        total = 0.0
+        for i, h in enumerate(q):
+            total += sum(math.log10(p if side else 1 - p) for _, side, p in steps(q, i))
+            total += 0.0 if h in place else math.log10((counts[h] + 1) / mass[of(h)])
+        out.append(total)
+    return out
+
+
+def test_model_against_plain_loops_and_other_partitions(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    words = ["the", "of", "Cat", "dog", "runs", "sits", *[f"r{i}" for i in range(40)]]
+    texts = [" ".join(rng.choice(words[: rng.choice([6, 46])]) for _ in range(rng.randrange(0, 30))) for _ in range(40)] + ["the cat runs", "the cat runs", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") % 4 == 0
+    want = brute_model([t or "" for t in texts], [i % 4 != 0 for i in range(len(texts))])
+    for parts in (1, 3):
+        got = {r.doc_id: r for r in op8_lm.scored(docs.repartition(parts), held).collect()}
+        assert all(math.isclose(got[i].score, w, abs_tol=1e-3) for i, w in enumerate(want))
+    # a text that occurs twice is likelier, a token, than its words by themselves
+    assert got[41].score > got[41].base_score
 
 
 KINDS = [
