@@ -39,21 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP, _ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, path: str, parts: int | None = None) -> DataFrame:
+def written(df: DataFrame, path: str, parts: int | None = None, rows: int | None = None) -> DataFrame:
     """df written once as Parquet and read again: lineage ends here, and the rows outlive any executor. Spark drops the
-    step's shuffle files when it has ended. parts: the most tasks and files that the last step needs."""
+    step's shuffle files when it has ended. parts: the most tasks and files that the last step needs. rows: the most
+    rows that go to Python at once, where rows are large."""
     spark = df.sparkSession
     if parts is not None:
         df = df.coalesce(parts)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_ROWS: str(rows)} if rows else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,9 +81,9 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def stored(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    def stored(self, df: DataFrame, name: str, parts: int | None = None, rows: int | None = None) -> DataFrame:
         self.count += 1
-        return written(df, f"{self.folder}/{name}-{self.count}", parts)
+        return written(df, f"{self.folder}/{name}-{self.count}", parts, rows)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""

@@ -45,6 +45,8 @@ WORDS, PERCENT = 5, 80
 SAMPLE, FREQUENT = 20_000, 8
 #: Keys of up to FEW sets list their pairs; sets of larger ones are tested against a hub HUB_ROUNDS times.
 FEW, HUB_ROUNDS = 8, 2
+#: Pairs with both texts that go to Python at once.
+PAIR_ROWS = 256
 _U = np.uint64
 _BITS, _MASK = 52, np.uint64((1 << 52) - 1)
 _DOCS, _FLUSH = 4000, 4_000_000
@@ -443,7 +445,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = stored(pairs, "pairs")
             tested = pairs if tested is None else tested.unionByName(pairs)
             if k == 0 or pairs.limit(1).count():
-                links = stored(links.unionByName(verified(pairs, members, percent)), "links")
+                links = stored(links.unionByName(verified(pairs, members, percent)), "links", rows=PAIR_ROWS)
                 label = components(links, stored)
         named = of_class.join(label, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
         found = sets.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
