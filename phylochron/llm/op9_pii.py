@@ -1,15 +1,17 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are what the base patterns find (e-mail, IP, card with Luhn check, international phone). Each seed induces
-lexical patterns: the word before it, the two words before it, and the words on both sides. Spark scores the
+lexical patterns: the word before it, the two words before it, the words on both sides, and the characters glued to its
+front up to a `=` or `:` in the same word (as in `host=10.0.0.1`). Spark scores the
 graph of patterns and instances iteratively: a pattern is worth the share of its occurrences in the whole
 corpus that are filled by trusted instances, an instance as much as the best pattern that finds it; seeds are
 trusted fully. Words with the shape of an identifier in the place of a high-confidence pattern become spans of
 the pattern's kind. Base spans always stay.
 
 Three passes over the texts: seeds and their contexts; occurrences and new instances of the patterns that at
-least MIN_SEEDS different seeds share; the spans. Patterns travel to the tasks as sorted 64-bit hashes in blocks
-of at most BLOCK, one pass a block, so what is broadcast has a bound whatever the corpus.
+least MIN_SEEDS different seeds share; the spans. To be counted, patterns travel to the tasks as sorted 64-bit hashes in
+blocks of at most BLOCK, one pass a block; those that are trusted in the end travel together, 12 bytes each. An instance has
+the shape of its kind and SHORTEST characters at least, as shorter words are numbers and abbreviations.
 
 Defined results: null text is empty and has no spans; repeated rows are scanned one by one but their seeds count
 once; an empty table gives an empty table; further columns are ignored (redacted() carries them).
@@ -17,6 +19,7 @@ once; an empty table gives an empty table; further columns are ignored (redacted
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Words, carried, chunks, mix, stored, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_SCORE, ROUNDS, BLOCK = 5, 0.5, 3, 1 << 20
+MIN_SEEDS, MIN_SCORE, ROUNDS, BLOCK, SHORTEST = 5, 0.5, 3, 1 << 20, 6
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,6 +51,7 @@ SHAPES = {
     "phone": re.compile(r"\(?[0-9](?:[().-]*[0-9]){6,14}"),
 }
 _EDGE = "\"'()[]{}<>.,;:!?"
+_EDGES = _EDGE.encode()
 
 
 def emails(text: str):
@@ -88,8 +92,13 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+_GLUE = np.zeros(256, bool)
+_GLUE[list(b"=:")] = True
+
+
 class Contexts:
-    """Hashes of the three contexts of every word of a batch; 0 where a text has no such neighbour."""
+    """Hashes of the four contexts of every word of a batch; 0 where a text has no such neighbour. The fourth is of the
+    word's own front, and `lead` the bytes that it takes."""
 
     def __init__(self, col):
         self.buf, self.at = utf8(col)
@@ -100,7 +109,26 @@ class Contexts:
         before1[1:], before2[2:], after[:-1] = h[:-1], h[:-2], h[1:]
         one, two = place >= 1, place >= 2
         right = one & (place < w.count[w.doc] - 1)
-        self.keys = [np.where(one, mix(before1 + np.uint64(1)), 0), np.where(two, mix(before1 * np.uint64(3) ^ mix(before2) + np.uint64(2)), 0), np.where(right, mix(before1 * np.uint64(5) ^ mix(after) + np.uint64(3)), 0)]
+        glue = np.flatnonzero(_GLUE[self.buf])
+        self.lead = np.zeros(n, np.int64)
+        if len(glue):
+            word = np.searchsorted(w.start, glue, "right") - 1
+            inside = glue + 1 < w.end[word]
+            self.lead[word[inside]] = glue[inside] + 1 - w.start[word[inside]]
+        front = np.where(self.lead > 0, mix(w.spans(w.start, w.start + self.lead) + np.uint64(4)), 0)
+        self.keys = [np.where(one, mix(before1 + np.uint64(1)), 0), np.where(two, mix(before1 * np.uint64(3) ^ mix(before2) + np.uint64(2)), 0), np.where(right, mix(before1 * np.uint64(5) ^ mix(after) + np.uint64(3)), 0), front]
+        self._chars = None
+
+    def word(self, i: int, j: int) -> tuple[bytes, int]:
+        """Of word i what context j leaves to an instance, and the byte where that begins."""
+        start = int(self.words.start[i]) + (int(self.lead[i]) if j == 3 else 0)
+        return self.buf[start : self.words.end[i]].tobytes(), start
+
+    def chars(self, byte: int, d: int) -> int:
+        """The code points of text d before a byte."""
+        if self._chars is None:
+            self._chars = np.concatenate([[0], np.cumsum((self.buf & 0xC0) != 0x80, dtype=np.int64)])
+        return int(self._chars[byte] - self._chars[self.at[d]])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -108,34 +136,42 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _seeds(batches):
-    """(pattern, kind, instance) of each seed that begins a word."""
+    """(pattern, kind, instance) of each seed that begins a word, or the part of it behind a glued front."""
     for b in chunks(batches, "text"):
         texts = b.column(0).to_pylist()
         c, rows = None, ([], [], [])
         for d, text in enumerate(texts):
-            for s, k, e in base_spans(text or ""):
-                c = c or Contexts(b.column(0))
-                byte = c.at[d] + len(text[:s].encode())
-                stop = c.at[d] + len(text[:e].encode())
+            spans = base_spans(text or "")
+            if not spans:
+                continue
+            c = c or Contexts(b.column(0))
+            own = c.buf[c.at[d] : c.at[d + 1]]
+            heads = None if len(own) == len(text) else np.append(np.flatnonzero((own & 0xC0) != 0x80), len(own))
+            for s, k, e in spans:
+                byte, stop = (int(c.at[d]) + (x if heads is None else int(heads[x])) for x in (s, e))
                 i = int(np.searchsorted(c.words.start, byte, "right")) - 1
-                if i >= 0 and all(ch in _EDGE.encode() for ch in c.buf[c.words.start[i] : byte].tobytes()):
-                    last = int(np.searchsorted(c.words.start, stop - 1, "right")) - 1
-                    instance = int.from_bytes(hashlib.blake2b(text[s:e].encode(), digest_size=8).digest(), "little", signed=True)
-                    for j, keys in enumerate(c.keys):
-                        if keys[i] and (j < 2 or last == i):
-                            for col, v in zip(rows, (int(keys[i].view(np.int64)), k, instance), strict=True):
-                                col.append(v)
+                if i < 0:
+                    continue
+                last = int(np.searchsorted(c.words.start, stop - 1, "right")) - 1
+                edge = lambda x: all(ch in _EDGES for ch in c.buf[x:byte].tobytes())  # noqa: E731, B023
+                begins = edge(c.words.start[i])
+                fronted = c.lead[i] > 0 and c.words.start[i] + c.lead[i] <= byte and edge(c.words.start[i] + c.lead[i])
+                instance = int.from_bytes(hashlib.blake2b(text[s:e].encode(), digest_size=8).digest(), "little", signed=True)
+                for j, keys in enumerate(c.keys):
+                    if keys[i] and (fronted if j == 3 else begins and (j < 2 or last == i)):
+                        for col, v in zip(rows, (int(keys[i].view(np.int64)), k, instance), strict=True):
+                            col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], names=["pattern", "kind", "instance"])
 
 
 def _candidate(word: bytes, kind: int) -> tuple[str, int, int] | None:
     """The core of a word and its place in it, if it has the kind's shape."""
     # every shape of an e-mail holds an @, every other one a digit
-    if len(word) < 6 or not (b"@" in word if KINDS[kind] == "email" else _DIGIT_BYTE.search(word)):
+    if len(word) < SHORTEST or not (b"@" in word if KINDS[kind] == "email" else _DIGIT_BYTE.search(word)):
         return None
     text = word.decode()
     core = text.strip(_EDGE)
-    if len(core) < 6 or len(core) > 80 or not SHAPES[KINDS[kind]].fullmatch(core):
+    if len(core) < SHORTEST or not SHAPES[KINDS[kind]].fullmatch(core):
         return None
     lead = text.index(core)
     return core, lead, lead + len(core)
@@ -148,13 +184,13 @@ def _counter(patterns: np.ndarray, kinds: np.ndarray):
         total, found = np.zeros(len(patterns), np.int64), {}
         for b in chunks(batches, "text"):
             c = Contexts(b.column(0))
-            for keys in c.keys:
+            for j, keys in enumerate(c.keys):
                 at = np.searchsorted(patterns, keys)
                 hit = np.flatnonzero(patterns[np.minimum(at, len(patterns) - 1)] == keys)
                 at = at[hit]
                 np.add.at(total, at, 1)
                 for i, p in zip(hit, at, strict=True):
-                    if got := _candidate(c.buf[c.words.start[i] : c.words.end[i]].tobytes(), int(kinds[p])):
+                    if got := _candidate(c.word(i, j)[0], int(kinds[p])):
                         instance = int.from_bytes(hashlib.blake2b(got[0].encode(), digest_size=8).digest(), "little", signed=True)
                         found[int(p), instance] = found.get((int(p), instance), 0) + 1
             if len(found) > 200_000:
@@ -209,19 +245,23 @@ def _found(texts: list, c: Contexts | None, patterns: np.ndarray, kinds: np.ndar
     """base with the spans that patterns add; those never overlap a base span or each other."""
     if not len(patterns):
         return base
-    out = [list(b) for b in base]
-    for keys in c.keys:
+    out = [list(b) for b in base]  # sorted, and apart from base spans among themselves never overlapping
+    reach = [list(np.maximum.accumulate([e for _, _, e in b])) if b else [] for b in base]
+    for j, keys in enumerate(c.keys):
         at = np.searchsorted(patterns, keys)
         hit = np.flatnonzero(patterns[np.minimum(at, len(patterns) - 1)] == keys)
         for i, p in zip(hit, at[hit], strict=True):
-            got = _candidate(c.buf[c.words.start[i] : c.words.end[i]].tobytes(), int(kinds[p]))
+            word, begin = c.word(i, j)
+            got = _candidate(word, int(kinds[p]))
             if got:
                 d = int(c.words.doc[i])
-                start = len(c.buf[c.at[d] : c.words.start[i]].tobytes().decode()) + got[1]
+                start = c.chars(begin, d) + got[1]
                 end = start + got[2] - got[1]
-                if not any(s < end and start < e for s, _, e in out[d]):
-                    out[d].append((start, int(kinds[p]), end))
-    return [sorted(s) for s in out]
+                k = bisect.bisect_left(out[d], (end,))  # spans that begin before the end; the farthest end of them tells
+                if not k or reach[d][k - 1] <= start:
+                    out[d].insert(k, (start, int(kinds[p]), end))
+                    reach[d].insert(k, end)
+    return out
 
 
 def _spans(batch_col, patterns, kinds):
@@ -242,7 +282,7 @@ def trusted_patterns(docs: DataFrame, min_score: float = MIN_SCORE) -> list[tupl
     return out
 
 
-SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def detected(docs: DataFrame, patterns: list | None = None) -> DataFrame:
@@ -254,7 +294,7 @@ def detected(docs: DataFrame, patterns: list | None = None) -> DataFrame:
         for b in chunks(batches, "text"):
             _, base, spans = _spans(b.column(1), *merged)
             n = [[sum(k == kind for _, k, _ in s) for s in base] for kind in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in n], pa.array([hashlib.sha256(joined(s).encode()).hexdigest() for s in base], pa.string()), pa.array([joined(s) for s in spans], pa.string()), pa.array([len(s) - len(x) for s, x in zip(spans, base, strict=True)], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in n], pa.array([hashlib.sha256(joined(s).encode()).hexdigest() for s in base], pa.string()), pa.array([joined(s) for s in spans], pa.string()), pa.array([len(s) - len(x) for s, x in zip(spans, base, strict=True)], pa.int64()), pa.array(list(map(len, spans)), pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SPANS)
 

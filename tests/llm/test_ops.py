@@ -463,6 +463,90 @@ def test_pii(spark, odd_docs, no_docs):
     assert op9_pii.detected(no_docs).count() == 0 == op9_pii.redacted(no_docs).count()
 
 
+def brute_pii(texts):
+    """Spans of every text by plain loops: words and strings for contexts, dictionaries for the graph."""
+    edges = op9_pii._EDGE
+    words = [[(m.start(), m.end(), lower(m[0])) for m in WORD.finditer(t)] for t in texts]
+
+    def contexts(ws, text, i):
+        start, end, _ = ws[i]
+        glue = max((p for p in range(start, end - 1) if text[p] in "=:"), default=None)
+        yield (0, ws[i - 1][2]) if i >= 1 else None, start
+        yield (1, ws[i - 2][2], ws[i - 1][2]) if i >= 2 else None, start
+        yield (2, ws[i - 1][2], ws[i + 1][2]) if 1 <= i < len(ws) - 1 else None, start
+        yield (3, lower(text[start : glue + 1])) if glue is not None else None, start if glue is None else glue + 1
+
+    def candidate(text, begin, end, kind):
+        word = text[begin:end]
+        core = word.strip(edges)
+        if len(core) < 6 or not op9_pii.SHAPES[KINDS[kind][0]].fullmatch(core) or (kind and not re.search("[0-9]", core)):
+            return None
+        at = begin + word.index(core)
+        return at, at + len(core)
+
+    seeds = collections.defaultdict(collections.Counter)
+    for t, ws in zip(texts, words, strict=True):
+        for s, k, e in brute_spans(t):
+            for i, (a, b, _) in enumerate(ws):
+                if a <= s < b:
+                    for j, (pattern, begin) in enumerate(contexts(ws, t, i)):
+                        if pattern and begin <= s and all(ch in edges for ch in t[begin:s]) and (j != 2 or e <= b):
+                            seeds[pattern, k][t[s:e]] += 1
+    kind_of = {}
+    for pattern in {p for p, _ in seeds}:
+        n, k = max((len(seeds[pattern, k]), -k) for k in range(4))
+        if n >= op9_pii.MIN_SEEDS:
+            kind_of[pattern] = -k
+    total, found = collections.Counter(), collections.defaultdict(collections.Counter)
+    for t, ws in zip(texts, words, strict=True):
+        for i in range(len(ws)):
+            for pattern, begin in contexts(ws, t, i):
+                if pattern in kind_of:
+                    total[pattern] += 1
+                    if got := candidate(t, begin, ws[i][1], kind_of[pattern]):
+                        found[pattern][t[got[0] : got[1]]] += 1
+    known = {(k, x) for (p, k), c in seeds.items() for x in c}
+    worth = {}
+    for _ in range(op9_pii.ROUNDS):
+        score = {}
+        for p, k in kind_of.items():
+            fresh = sum(n * worth.get((k, x), 0.0) for x, n in found[p].items() if (k, x) not in known)
+            score[p] = (sum(seeds[p, k].values()) + fresh) / total[p]
+        worth = {}
+        for p, k in kind_of.items():
+            for x in found[p]:
+                if (k, x) not in known:
+                    worth[k, x] = max(worth.get((k, x), 0.0), score[p])
+    out = []
+    for t, ws in zip(texts, words, strict=True):
+        spans = [tuple(x) for x in brute_spans(t)]
+        for j in range(4):
+            for i in range(len(ws)):
+                pattern, begin = list(contexts(ws, t, i))[j]
+                if pattern in kind_of and score[pattern] >= op9_pii.MIN_SCORE and (got := candidate(t, begin, ws[i][1], kind_of[pattern])):
+                    if not any(s < got[1] and got[0] < e for s, _, e in spans):
+                        spans.append((got[0], kind_of[pattern], got[1]))
+        out.append(op9_pii.joined(sorted(spans)))
+    return out
+
+
+def test_pii_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(21)
+    texts = []
+    for i in range(160):
+        host = f"10.{i}.3.{rng.randrange(200)}" if i % 3 else f"fe80::{i}:ab"
+        mail = f"é{rng.choice('xyz')} user{i}@h{i}.org" if i % 4 else f"user{i}@intern"
+        phone = f"+1 555 {i:03}-{i:04}" if i % 2 else f"(555){i:03}-{i:04}"
+        texts.append(f"w{rng.randrange(50)} host={host} up, mail me: {mail} or call me {phone} x{rng.randrange(9)} ünd {rng.choice(['', 'host=none', 'mail me: now', 'host:=1.2.3.4'])}")
+    texts += ["", "host=10.0.0.1 " * 300, "é" * 500 + " host=1.2.3 " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op9_pii.detected(docs).collect()}
+    assert [got[i].spans for i in range(len(texts))] == brute_pii(texts)
+    assert sum(r.n_added for r in got.values()) > 40 and all(r.n_spans == (r.spans.count(",") + 1 if r.spans else 0) for r in got.values())
+
+
 def test_pii_counts_instances_without_digits(spark):
     name = lambda i: "u" + "".join(chr(97 + int(d)) for d in str(i))
     rows = [(i, f"so then my login is {name(i)}@{'host.example.org' if i % 5 < 2 else 'localbox'} thanks a lot") for i in range(100, 150)]
