@@ -9,11 +9,13 @@ count. What it draws is exact in the result. Candidates are verified by cosine i
 
 A block returns for each query how many vectors it links to, and of its links a spanning forest only, so the rows
 stay linear in the nodes however large a group of near copies is; components of the forests are those of all links.
-Shards: a fixed number while they stay below SHARD_MOST nodes, then as many as that takes.
+Links are compared and reduced in pieces of PAIRS, so a group of near copies that fills a shard needs no more memory.
+Shards: a fixed number while they stay below SHARD_MOST nodes and GROUP_BYTES, then as many as that takes. As every vector
+asks every shard, what is shuffled grows with vectors times shards.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing;
 vectors of different lengths never link; repeated rows are vectors of their own, those of one vec_id and vector
-count once for each row; an empty table gives an empty table; further columns are ignored.
+count once for each row; different vectors that are the first of their class under one vec_id share their links; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BLOCK, MANY_BLOCKS, BLOCK_MOST = 8192, 16, 65_536
 LINKS, KEPT, BUILD_BEAM, BEAM, THIN = 12, 24, 40, 24, 16
 #: Queries with links that the audit of a block must see, and the share of its links that must be found for the mean one.
 AUDIT, RECALL = 48, 0.995
+#: Pairs compared at once, and the bytes of vectors that a shard or a block of queries holds at most.
+PAIRS, GROUP_BYTES = 4_000_000, 64 << 20
 
 
 def beam(x, near, q, start, width: int):
@@ -200,9 +204,32 @@ def _truth(x, full, q, asked, ids, reps, least: float, low):
     return np.concatenate(pairs_q), np.concatenate(pairs_n)
 
 
+def searched(graph, full, q, asked, rows, width: int, least: float, low):
+    """Links of the queries `rows` in pieces of at most PAIRS: those that beams of the width find, wider ones where a beam
+    is full of links, and in the end a comparison with the whole shard."""
+    n, todo = len(graph.x), [(rows, width)]
+    while todo:
+        rows, wide = todo.pop()
+        whole = wide >= n // 2
+        step = max(1, PAIRS // max(n if whole else wide, 1))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            if whole:
+                r, near = np.nonzero(q[part] @ graph.x.T >= low)
+            else:
+                ids, sims = graph.ask(q[part], wide)
+                ended = (sims[:, -1] < low) | (ids[:, -1] < 0)  # a beam that is full of links may hide more
+                r, c = np.nonzero((sims >= low) & (ids >= 0) & ended[:, None])
+                near = ids[r, c]
+                if not ended.all():
+                    todo.append((part[~ended], wide * 4))
+            yield _linked(asked, full, part[r], near, least)
+
+
 def found(graph: Graph, raw: np.ndarray, q_raw: np.ndarray, least: float, ids=None, reps=None):
-    """(query, node) pairs of cosine at least `least`, and the width of the last beam. ids of the queries and reps of
-    the nodes: where they are equal a pair is a self match; without them there is none."""
+    """(query, node) pairs of cosine at least `least`, in pieces. ids of the queries and reps of the nodes: where they are
+    equal a pair is a self match; without them there is none. The width of the beams is settled on the audited queries,
+    whose own links come from the comparison with the whole shard."""
     ids = np.arange(len(q_raw)) if ids is None else ids
     reps = np.full(len(raw), -1) if reps is None else reps
     unit = lambda v: v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
@@ -212,48 +239,48 @@ def found(graph: Graph, raw: np.ndarray, q_raw: np.ndarray, least: float, ids=No
     low = np.float32(least - 1e-4)
     true_q, true_n = _truth(graph.x, full, q, asked, ids, reps, least, low)
     audit, true = np.unique(true_q, return_counts=True)
-    while True:
-        pairs_q, pairs_n = [], []
-        rows, wide = np.arange(len(q)), width
-        while len(rows):
-            near, sims = graph.ask(q[rows], wide) if wide < n // 2 else _all(graph.x, q[rows], n)
-            # a beam that is full of links may hide more
-            ended = (sims[:, -1] < low) | (near[:, -1] < 0) | (near.shape[1] >= n)
-            r, c = np.nonzero((sims >= low) & (near >= 0) & ended[:, None])
-            pairs_q.append(rows[r])
-            pairs_n.append(near[r, c])
-            rows, wide = rows[~ended], wide * 4
-        a, b = _linked(asked, full, np.concatenate(pairs_q), np.concatenate(pairs_n), least)
-        got = np.bincount(a[ids[a] != reps[b]], minlength=len(q))[audit]
-        if width >= n or not len(audit) or (got / true).mean() >= RECALL:
-            drawn = np.isin(a, audit) & (ids[a] != reps[b])
-            return np.concatenate([a[~drawn], true_q]), np.concatenate([b[~drawn], true_n]), width
+    yield true_q, true_n
+    while len(audit) and width < n:
+        got = np.zeros(len(q), np.int64)
+        for a, b in searched(graph, full, q, asked, audit, width, least, low):
+            got += np.bincount(a[ids[a] != reps[b]], minlength=len(q))
+        if (got[audit] / true).mean() >= RECALL:
+            break
         width = min(n, width * 2)
-
-
-def _all(x, q, n):
-    ids = np.broadcast_to(np.arange(n), (len(q), n))
-    s = q @ x.T
-    order = np.argsort(-s, 1)
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links."""
-    parent: dict[int, int] = {}
-
-    def root(v):
-        while (p := parent.setdefault(v, v)) != v:
-            parent[v] = parent.setdefault(p, p)
-            v = parent[v]
-        return v
-
-    out = []
-    for u, v in zip(a.tolist(), b.tolist(), strict=True):
-        if u != v and (x := root(u)) != (y := root(v)):
-            parent[x] = y
-            out.append((u, v))
-    return out
+    yield from searched(graph, full, q, asked, np.setdiff1d(np.arange(len(q)), audit), width, least, low)
+
+
+class Forest:
+    """A spanning forest of links that come in pieces; nodes are known by place."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of a piece that join trees."""
+        u, v = self.label[a], self.label[b]
+        apart = np.flatnonzero(u != v)
+        _, first = np.unique(np.stack([u[apart], v[apart]]), axis=1, return_index=True)
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        taken = []
+        for i in apart[first].tolist():
+            x, y = root(int(u[i])), root(int(v[i]))
+            if x != y:
+                parent[x] = y
+                taken.append(i)
+        if parent:
+            to = np.arange(len(self.label))
+            old = np.fromiter(parent, np.int64, len(parent))
+            to[old] = [root(x) for x in old.tolist()]
+            self.label = to[self.label]
+        return a[taken], b[taken]
 
 
 def _read(batches):
@@ -299,13 +326,20 @@ def _asked(least: float):
         if graph is None or not ids:
             return pa.Table.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         ids = np.array(ids, np.int64)
-        a, b, _ = found(graph, raw, np.frombuffer(b"".join(vecs)).reshape(-1, dim), least, ids, reps)
-        other = ids[a] != reps[b]
-        a, b = a[other], b[other]
-        count = np.bincount(a, weights=weights[b], minlength=len(ids)).astype(np.int64)
-        tree = forest(ids[a], reps[b])
+        count, one, two = np.zeros(len(ids), np.int64), [ids[:0]], [ids[:0]]
+        every = np.unique(np.concatenate([ids, reps]))
+        at_id, at_rep = np.searchsorted(every, ids), np.searchsorted(every, reps)
+        trees = Forest(len(every))
+        for a, b in found(graph, raw, np.frombuffer(b"".join(vecs)).reshape(-1, dim), least, ids, reps):
+            other = ids[a] != reps[b]
+            a, b = a[other], b[other]
+            count += np.bincount(a, weights=weights[b], minlength=len(ids)).astype(np.int64)
+            u, v = trees.add(at_id[a], at_rep[b])
+            one.append(every[u])
+            two.append(every[v])
         some = np.flatnonzero(count)
-        return pa.Table.from_pydict({"a": pa.array(np.concatenate([ids[some], np.array([t[0] for t in tree], np.int64)])), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array([t[1] for t in tree], pa.int64())]), "links": pa.array(np.concatenate([count[some], np.zeros(len(tree), np.int64)]))})
+        one, two = np.concatenate(one), np.concatenate(two)
+        return pa.Table.from_pydict({"a": pa.array(np.concatenate([ids[some], one])), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(two)]), "links": pa.array(np.concatenate([count[some], np.zeros(len(one), np.int64)]))})
 
     return run
 
@@ -314,9 +348,10 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding)."""
     rows = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_read, "vec_id long, d1 long, d2 long, dim int, vec binary"), "vectors")
     classes = stored(rows.filter("dim > 0 AND vec_id IS NOT NULL").groupBy("d1", "d2", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    nodes = classes.count()
-    shards = 1 if nodes <= FEW else max(SHARDS, -(-nodes // SHARD_MOST))
-    blocks = max(1, min(MANY_BLOCKS, nodes // BLOCK), -(-nodes // BLOCK_MOST))
+    nodes, longest = classes.agg(F.count("*"), F.max("dim")).first()
+    fits = max(1, GROUP_BYTES // (8 * (longest or 1)))
+    shards = 1 if nodes <= min(FEW, fits) else max(SHARDS, -(-nodes // min(SHARD_MOST, fits)))
+    blocks = max(1, min(MANY_BLOCKS, nodes // BLOCK), -(-nodes // min(BLOCK_MOST, fits)))
     reps = rows.join(classes.select("rep", F.col("d1").alias("c1"), F.col("d2").alias("c2"), "n"), (F.col("vec_id") == F.col("rep")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).dropDuplicates(["rep", "d1", "d2"])
     reps = stored(reps.select("rep", "n", "dim", "vec", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(blocks)).cast("int").alias("block")), "vector-nodes")
     graphs = stored(reps.groupBy("shard", "dim").applyInArrow(_built, _GRAPH), "vector-graphs")

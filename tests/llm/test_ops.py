@@ -299,15 +299,51 @@ def test_audit_sees_rare_and_uneven_links():
     raw = rng.normal(size=(2000, 16))
     asked = rng.normal(size=(1500, 16))
     asked[[100, 700, 1333]] = raw[[1900, 1950, 1999]] + 0.01
-    a, b, _ = op7_embeddings.found(Blind(raw, 1800), raw, asked, 0.95)
-    assert set(zip(a.tolist(), b.tolist())) == {(100, 1900), (700, 1950), (1333, 1999)}
+    pairs = lambda: {p for a, b in op7_embeddings.found(Blind(raw, 1800), raw, asked, 0.95) for p in zip(a.tolist(), b.tolist())}
+    assert pairs() == {(100, 1900), (700, 1950), (1333, 1999)}
     # a large group that beams find, beside pairs that they lose
     raw[:60] = raw[0] + 0.001 * rng.normal(size=(60, 16))
     asked[:500] = raw[0] + 0.001 * rng.normal(size=(500, 16))
     asked[1000:1200] = raw[1800:] + 0.001
-    a, b, _ = op7_embeddings.found(Blind(raw, 1800), raw, asked, 0.95)
     unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
-    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(unit(asked) @ unit(raw).T >= 0.95))))
+    assert pairs() == set(zip(*(x.tolist() for x in np.nonzero(unit(asked) @ unit(raw).T >= 0.95))))
+
+
+def test_embeddings_of_one_large_group_and_of_many_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(op7_embeddings, "PAIRS", 5000)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 1536)).astype(np.float32)
+    x[:600] = x[0] + 0.05 * rng.normal(size=(600, 1536))  # a group above half of the shard
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in op7_embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string").withColumn("n", F_lit())).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    assert all(got[i].n_links == link[i].sum() - 1 and got[i].component_id == (0 if i < 600 else i) for i in range(900))
+
+
+def F_lit():
+    from pyspark.sql import functions as F
+
+    return F.lit(1)
+
+
+def test_forest_of_links_in_pieces():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 400, 900), rng.integers(0, 400, 900)
+    trees, kept = op7_embeddings.Forest(400), []
+    for lo in range(0, 900, 70):
+        kept += list(zip(*(x.tolist() for x in trees.add(a[lo : lo + 70], b[lo : lo + 70]))))
+    parent = list(range(400))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for u, v in kept:
+        assert root(u) != root(v)  # no link of a forest closes a ring
+        parent[root(u)] = root(v)
+    assert all(root(int(u)) == root(int(v)) for u, v in zip(a, b))
 
 
 def test_language_model(odd_docs, no_docs):
