@@ -3,12 +3,14 @@
 Words (ASCII lower case, ASCII punctuation apart) get the sum of two hashed embeddings, so two words are alike
 only if both their buckets meet. Filters of several widths run over the whole text, their largest values are
 pooled and a logistic layer reads them. The first embedding component starts from the words' log-odds in the
-training texts; everything is then trained by Adam on the gradients through the pooled positions.
+training texts; filters and the logistic layer are then trained by Adam on the gradients through the pooled positions,
+and the embeddings of the pooled words by plain gradient steps.
 Thresholds are calibrated by language on rows kept apart: the language is guessed from the words of the text
-itself, never read from a column, and a text's score is the sigmoid of its margin over that threshold.
+itself, never read from a column, and a text's score is the sigmoid of its margin over that threshold. A language has a
+threshold of its own if OWN rows of each class are among the rows kept apart; all others share one.
 
 The model is fitted on the driver on at most SAMPLE labelled rows of each class, chosen by hash of their id
-(the documented bound); scoring is one pass over all whole texts without a shuffle.
+(the documented bound; as ids may repeat, 4 * SAMPLE texts in all); scoring is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts are scored by what the pooled zeros give; rows without label, or with a
 null label, are not learned from; without labels of both classes every score is 0; repeated rows score alike;
@@ -17,6 +19,8 @@ an empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +30,9 @@ from .common import LOWER, Words, chunks, crc_fold, table, utf8
 
 SAMPLE = 3000
 BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 4
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
-MAX_LANGUAGES = 64
+EPOCHS, STEPS, BATCH, RATE, SEED = 6, 300, 64, 0.01, 7
+#: Rows of each class that a language needs for a threshold of its own.
+OWN = 20
 
 _APART = np.ones(256, bool)
 _APART[128:] = False
@@ -144,8 +149,11 @@ def fit(texts: list, labels: np.ndarray, languages: list, seed: int = SEED) -> M
         prior = part.sum(0)
         odds = np.log((seen[:, 0] + 2 * prior[0] / prior.sum()) / (seen[:, 1] + 2 * prior[1] / prior.sum()) * prior[1] / prior[0])
         e[:, 0] = 0.5 * np.where(seen.sum(1) >= 5, odds, 0)
-    names = sorted({x for x in languages if x is not None})[:MAX_LANGUAGES] or [""]
-    group = np.array([names.index(x) if x in names else -1 for x in languages])
+    kept = [{x: int(n) for x, n in Counter(x for x, c, k in zip(languages, labels.tolist(), apart.tolist(), strict=True) if k and c == one and x is not None).items()} for one in (0, 1)]
+    names = sorted(x for x in kept[0] if min(kept[0][x], kept[1].get(x, 0)) >= OWN)
+    place = {x: i for i, x in enumerate(names)}
+    names.append("")  # all other languages
+    group = np.array([place.get(x, len(place)) for x in languages])
     member = (group[:, None] == np.arange(len(names))).astype(np.float32) * ~apart[:, None]
     by_lang = _by_text(a, first, size, member) + 0.5
     share = by_lang / (member.sum(0) + 1.0)
@@ -156,7 +164,7 @@ def fit(texts: list, labels: np.ndarray, languages: list, seed: int = SEED) -> M
     var = [np.zeros_like(p) for p in params]
     rate = {True: 0.5 * len(own) / max(y[own].sum(), 1), False: 0.5 * len(own) / max((1 - y[own]).sum(), 1)}
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // max(len(own), 1))):  # few rows are seen more often
         for lo in range(0, len(own), BATCH):
             docs = rng.permutation(own)[:BATCH] if lo == 0 else order[lo : lo + BATCH]
             if lo == 0:
@@ -196,7 +204,7 @@ def fit(texts: list, labels: np.ndarray, languages: list, seed: int = SEED) -> M
         z[d] = model.logits(a[own], b[own], np.array([0, first[d + 1] - first[d]]))[0]
         guess[d] = model.language(a[own], np.array([0, first[d + 1] - first[d]]))[0]
     whole = _threshold(z[rows], y[rows], 0.0)
-    model.cut = np.array([_threshold(z[r], y[r], whole) if (y[r] == 1).sum() >= 20 and (y[r] == 0).sum() >= 20 else whole for r in (rows[guess[rows] == k] for k in range(len(names)))], np.float32)
+    model.cut = np.array([_threshold(z[r], y[r], whole) if min((y[r] == 1).sum(), (y[r] == 0).sum()) >= OWN else whole for r in (rows[guess[rows] == k] for k in range(len(names)))], np.float32)
     return model
 
 

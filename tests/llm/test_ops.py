@@ -92,6 +92,27 @@ def test_toxicity_learns_and_scores_alike(spark, odd_docs, no_docs):
     assert op2_toxicity.scored(no_docs, model).count() == 0
 
 
+def test_toxicity_of_many_languages():
+    rng = np.random.default_rng(3)
+    languages = [f"l{i:03}" for i in range(90)]
+    texts, labels, langs = [], [], []
+    for i in range(1800):
+        lang = languages[i % 90] if i % 3 else "zz"  # the last one by name is the most frequent
+        t = [f"{lang}{k}" for k in rng.integers(0, 30, 25)]
+        bad = int(rng.integers(0, 2))
+        if bad:
+            t[7] = "vileword"
+        texts.append(" ".join(t))
+        labels.append(bad)
+        langs.append(lang)
+    model = op2_toxicity.fit(texts[:1500], np.array(labels[:1500]), langs[:1500])
+    assert len(model.cut) == 2  # one for zz, one for all others
+    s = model.scores(pa.array(texts[1500:]))
+    assert ((s >= 0.5) == np.array(labels[1500:], bool)).mean() > 0.95
+    again = model.scores(pa.array([*texts[1500:1510], *texts[1500:1510]]))
+    assert np.array_equal(again[:10], again[10:])
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/%0A\n", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "é" * 90_000), (6, "u", "tail\r\n\r\n"), (6, "u", "tail\r\n\r\n"), (None, "n", "<p>x</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
