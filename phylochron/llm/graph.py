@@ -15,7 +15,7 @@ def components(links: DataFrame, stored=stored) -> DataFrame:
     Each round every node takes the smallest label next to it and then its label's label, so chains halve and the loop ends;
     both steps are joins and partial aggregates, and a node with very many links is split by adaptive execution.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both", 8 + links.count() // 50_000)
     parts = 8 + both.count() // 200_000
     label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels", parts)
     while True:

@@ -418,9 +418,10 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         keys = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_keys(frequent, percent), "key long, d1 long")
         keys = stored(keys.repartition(deal, "key").mapInArrow(_shared, "key long, d1 long"), "shared")
         keys = stored(sized(keys, classes, percent), "keys")
+        parts = 8 + keys.count() // 50_000  # the most files of a table of keys
         many = keys.filter(F.col("size") > FEW)
-        few = stored(rarest(keys).filter(F.col("size") <= FEW).select("key", "rep"), "few")
-        members = stored(packed_texts(keys.select(F.col("rep").alias("id")).distinct(), texts).distinct(), "members")
+        few = stored(rarest(keys).filter(F.col("size") <= FEW).select("key", "rep"), "few", parts)
+        members = stored(packed_texts(keys.select(F.col("rep").alias("id")).distinct(), texts).distinct(), "members", parts)
 
         # rows that repeat a doc_id with other texts are one node
         of_class = classes.select("n", "d1", "d2", "rep")
@@ -431,7 +432,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key AND p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
         tested, label = None, None
         for k in range(HUB_ROUNDS + 1):
-            at = stored(open_keys(many, label), "open")
+            at = stored(open_keys(many, label), "open", parts)
             if k == 0:
                 pairs = likely(pairs.union(hub_pairs(at, None)).distinct(), classes, percent)
             elif k < HUB_ROUNDS:
@@ -439,13 +440,14 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             else:
                 left = sized(at.select("key", "d1").distinct(), classes, percent)
                 left = open_keys(rarest(left), label).join(classes.select("rep", "n", "s0", "s1", "s2", "s3"), "rep")
-                left = stored(left, "left")
+                left = stored(left, "left", parts)
                 pairs = left.alias("p").join(left.alias("q"), F.expr("p.key = q.key AND p.rep < q.rep AND p.component <> q.component") & _alike(percent, "p", "q"))
                 pairs = pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
+            pairs = stored(pairs, "pairs", parts)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            if k == 0 or pairs.limit(1).count():
-                links = stored(links.unionByName(verified(pairs, members, percent)), "links", rows=PAIR_ROWS)
+            count = pairs.count()
+            if k == 0 or count:
+                links = stored(links.unionByName(verified(pairs, members, percent)), "links", 24 + count // 2000, PAIR_ROWS)
                 label = components(links, stored)
         named = of_class.join(label, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
         found = sets.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
