@@ -6,12 +6,13 @@ Exit codes: 0 success, 1 a dry run found errors, 2 bad options, 3 a result file
 from __future__ import annotations
 
 import argparse
+import itertools
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import report
+from . import __version__, report
 from .operators import evidence as ev
 from .operators import trees
 from .plans.rank import InputError, rank
@@ -26,6 +27,12 @@ def parser() -> argparse.ArgumentParser:
             raise argparse.ArgumentTypeError("a share between 0 and 1")
         return x
 
+    def positive(text):
+        x = float(text)
+        if not 0 <= x < float("inf"):
+            raise argparse.ArgumentTypeError("a finite number of at least 0")
+        return x
+
     def count(text):
         x = int(text)
         if x < 0:
@@ -35,28 +42,41 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="phylochron", description=__doc__.split("\n")[0])
     p.add_argument("tree")
     p.add_argument("evidence", nargs="+")
+    p.add_argument("--version", action="version", version=f"phylochron {__version__}")
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--local-search-max-iters", type=count, default=0, help="iterations of each search")
     p.add_argument("--searches", type=count, default=1, help="independent searches, one task each")
-    p.add_argument("--temperature", type=float)
-    p.add_argument("--random-type", type=int, choices=(0, 1, 2), default=0)
-    p.add_argument("--min-transfer-distance", type=float)
-    p.add_argument("--threshold-constraints", type=share, default=0.0)
-    p.add_argument("--random-trees", type=count, default=0)
+    p.add_argument("--local-search", "--ls", type=positive, default=0.0, help="seconds that each search takes at most; 0: no search unless iterations are given")
+    p.add_argument("--checkpoint", help="folder of stored search states; a stopped run goes on from there")
+    p.add_argument("--checkpoint-interval", type=count, default=1000, help="iterations from one stored state to the next")
+    p.add_argument("--temperature", "--t", type=positive)
+    p.add_argument("--random-type", "--r", type=int, choices=(0, 1, 2), default=0)
+    p.add_argument("--min-transfer-distance", "--d", type=float)
+    p.add_argument("--threshold-constraints", "--ts", type=share, default=0.0)
+    p.add_argument("--random-trees", "--rd", type=count, default=0)
+    p.add_argument("--mcmc", action="store_true", help="a Metropolis chain of 1000 steps, or of --mcmc-iters")
     p.add_argument("--mcmc-iters", type=count, default=0)
+    p.add_argument("--mcmc-temperature", type=lambda x: None if x == "auto" else positive(x))
+    p.add_argument("--mcmc-burn-in", type=count)
+    p.add_argument("--mcmc-thin", type=count)
     p.add_argument("--near-optimal-top-k", type=count, default=10)
     p.add_argument("--target-clade")
     p.add_argument("--target-clade-ancestor-map", action="store_true")
     p.add_argument("--from", dest="tool", choices=("auto", *reports.TOOLS))
-    p.add_argument("--min-support", type=float, default=0.0)
-    p.add_argument("--min-family-size", type=count, default=0)
-    p.add_argument("--transfer-kind", choices=("replacing", "additive"))
+    p.add_argument("--from-ale", dest="tool", action="store_const", const="ale")
+    p.add_argument("--from-auto", dest="tool", action="store_const", const="auto")
+    p.add_argument("--min-support", "--ale-min-support", type=float, default=0.0)
+    p.add_argument("--min-family-size", "--ale-min-family-size", type=count, default=0)
+    p.add_argument("--transfer-kind", "--artra-transfer-kind", choices=("all", "replacing", "additive"), default="all")
+    p.add_argument("--ale-cache-dir", help="folder that keeps the rows of reports; files known there are not parsed again")
+    p.add_argument("--quiet-adapters", action="store_true", help="no warnings about reports")
     p.add_argument("--ale-source", choices=("trf", "rec"), default="trf")
     p.add_argument("--min-endpoint-hit-rate", type=share, default=0.5)
     p.add_argument("-o", "--constraints-out", help="write the evidence of reports there, and stop")
     p.add_argument("-p", "--output-prefix")
     p.add_argument("-f", "--force", action="store_true")
     p.add_argument("--html", action="store_true")
+    p.add_argument("--no-html", dest="html", action="store_false")
     p.add_argument("--lang", default="en")
     p.add_argument("--dry-run", action="store_true")
     return p
@@ -68,13 +88,16 @@ def load(spark: SparkSession, nodes: DataFrame, a) -> DataFrame:
         tool = None if a.tool == "auto" else a.tool
         if tool is None:
             reports.only_format(spark, *a.evidence)
-        report_rows = reports.read(spark, *a.evidence, tool=tool, mode=a.ale_source).cache()
+        if a.ale_cache_dir:
+            report_rows = reports.cached(spark, a.ale_cache_dir, nodes, *a.evidence, tool=tool, mode=a.ale_source).cache()
+        else:
+            report_rows = reports.read(spark, *a.evidence, tool=tool, mode=a.ale_source).cache()
         seen = reports.diagnostics(report_rows, nodes).agg(F.sum("transfers_seen").alias("n"), F.sum("transfers_resolved").alias("k")).first()
         if seen["n"] and not seen["k"] and tool not in ("eccetera", None):
             raise InputError("no endpoint of the reports is in the tree")
-        if seen["n"] and seen["k"] / seen["n"] < a.min_endpoint_hit_rate:
+        if not a.quiet_adapters and seen["n"] and seen["k"] / seen["n"] < a.min_endpoint_hit_rate:
             print(f"WARNING: {seen['k']} of {seen['n']} transfers have both endpoints in the tree", file=sys.stderr)
-        return reports.evidence(report_rows, nodes, min_support=a.min_support, min_family=a.min_family_size, kinds=(a.transfer_kind,) if a.transfer_kind else None)
+        return reports.evidence(report_rows, nodes, min_support=a.min_support, min_family=a.min_family_size, kinds=None if a.transfer_kind == "all" else (a.transfer_kind,))
     rows = lines.read(spark, *a.evidence)
     if a.random_type == 1:
         rows = ev.randomize_direction(rows, a.seed)
@@ -114,6 +137,11 @@ def preflight(spark: SparkSession, a) -> list[tuple[str, str, str]]:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    a.evidence = list(dict.fromkeys(a.evidence))  # a path that is given twice is read once
+    if a.local_search and not a.local_search_max_iters:
+        a.local_search_max_iters = 1_000_000_000
+    if a.mcmc and not a.mcmc_iters:
+        a.mcmc_iters = 1000
     spark = session()
     if a.dry_run:
         found = preflight(spark, a)
@@ -125,11 +153,11 @@ def main(argv: list[str] | None = None) -> int:
         newick.check(newick.parse(spark.read.text(a.tree, wholetext=True).first()[0].replace("\n", "")))
         evidence = load(spark, nodes, a)
         if a.constraints_out:
-            rows = evidence.orderBy("family", "donor", "receptor").collect()
-            text = "".join(f"{r['family'] or ''},{r['donor']},{r['receptor']},{r['weight']},{'' if r['distance'] is None else r['distance']}\n" for r in rows)
-            report.write_text(a.constraints_out, "# family,donor,receptor,weight,distance\n" + text, a.force)
+            rows = evidence.orderBy("family", "donor", "receptor").toLocalIterator()  # a partition at a time
+            text = (f"{r['family'] or ''},{r['donor']},{r['receptor']},{r['weight']},{'' if r['distance'] is None else r['distance']}\n" for r in rows)
+            report.write_text(a.constraints_out, itertools.chain(["# family,donor,receptor,weight,distance\n"], text), a.force)
             return 0
-        r = rank(spark, nodes, evidence, distance=a.min_transfer_distance, threshold=a.threshold_constraints, clade=a.target_clade, map_ancestors=a.target_clade_ancestor_map, seed=a.seed, iterations=a.local_search_max_iters, temperature=a.temperature, searches=max(1, a.searches), near_optimal=max(1, a.near_optimal_top_k), random_trees=a.random_trees, chain_iterations=a.mcmc_iters)
+        r = rank(spark, nodes, evidence, distance=a.min_transfer_distance, threshold=a.threshold_constraints, clade=a.target_clade, map_ancestors=a.target_clade_ancestor_map, seed=a.seed, iterations=a.local_search_max_iters, temperature=a.temperature, searches=max(1, a.searches), near_optimal=max(1, a.near_optimal_top_k), random_trees=a.random_trees, chain_iterations=a.mcmc_iters, seconds=a.local_search or None, chain_temperature=a.mcmc_temperature, burn_in=a.mcmc_burn_in, thin=a.mcmc_thin, checkpoint=a.checkpoint, checkpoint_every=max(1, a.checkpoint_interval))
         prefix = a.output_prefix or archives.logical_path(a.evidence[0])
         report.write_files(r, prefix, a.force)
         if a.html:

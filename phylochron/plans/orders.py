@@ -4,6 +4,7 @@ a family); the tree is one, small, and travels with the plan. Each group is one
 from __future__ import annotations
 
 import random
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,8 +43,9 @@ def heuristics(edges: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:
     return edges.groupBy("instance_id").applyInArrow(run, f"instance_id long, method string, label {kind}, pos long")
 
 
-def searched(edges: DataFrame, nodes: DataFrame, seeds: list[int], iterations: int, temperature: float | None = None, keep: int = 10, start_seed: int = 42) -> DataFrame:
+def searched(edges: DataFrame, nodes: DataFrame, seeds: list[int], iterations: int, temperature: float | None = None, keep: int = 10, start_seed: int = 42, seconds: float | None = None) -> DataFrame:
     """Independent searches of every instance, one task for each seed: the best order and the kept near-optimal ones.
+    seconds: a search that takes longer ends with what it has.
 
     (instance_id, seed, rank, value, visits, labels); rank 0 is the best order.
     """
@@ -56,7 +58,8 @@ def searched(edges: DataFrame, nodes: DataFrame, seeds: list[int], iterations: i
         start = min((kernels.greedy(p)[0], kernels.mixing(p, random.Random(start_seed))), key=lambda o: kernels.value(p, o))
         heat = temperature if temperature is not None else max(sum(w for *_, w in p.edges), 1) / 100
         pool = kernels.Best(keep)
-        best, val, _ = kernels.search(p, start, iterations, heat, random.Random(seed), pool)
+        end = None if seconds is None else time.monotonic() + seconds
+        best, val, _ = kernels.search(p, start, iterations, heat, random.Random(seed), pool, None if end is None else lambda k: k % 64 == 0 and time.monotonic() > end)
         rows = [(0, val, 1, best), *[(k + 1, v, n, o) for k, (o, v, n) in enumerate(pool.rows())]]
         return pa.Table.from_pydict({"instance_id": [key[0].as_py()] * len(rows), "seed": [seed] * len(rows), "rank": [r[0] for r in rows], "value": [float(r[1]) for r in rows], "visits": [r[2] for r in rows], "labels": pa.array([r[3] for r in rows], pa.list_(group.schema.field("donor").type))})
 
@@ -145,6 +148,28 @@ def advanced(states: DataFrame, edges: DataFrame, nodes: DataFrame, iterations:
     return both.groupBy("instance_id", "seed").applyInArrow(run, STATE.format(kind=kind))
 
 
+def resumed(edges: DataFrame, nodes: DataFrame, seeds: list[int], iterations: int, temperature: float, folder: str, every: int) -> DataFrame:
+    """The states of searches after `iterations` steps, stored in folder after each `every` steps. A call that finds
+    states there, of a run that was stopped, goes on from the last ones."""
+    spark, done, states = edges.sparkSession, 0, None
+    while True:
+        path = f"{folder}/{done:012d}"
+        try:
+            found = spark.read.parquet(path)
+            found.limit(1).count()
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            made = start_states(edges, nodes, seeds) if states is None else advanced(states, edges, nodes, step, temperature)
+            made.write.mode("overwrite").parquet(path)
+            found = spark.read.parquet(path)
+        states = found
+        if done >= iterations:
+            return states
+        step = min(every, iterations - done)
+        done += step
+
+
 def search_slice(problem: kernels.Problem, start: list, iterations: int, temperature: float, rng: random.Random):
     """A part of a search: the best order and value in it, the steps, and the order and value at its end."""
     last: list = [start, kernels.value(problem, start)]

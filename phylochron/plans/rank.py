@@ -3,7 +3,6 @@ delivered order is explained by tables."""
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,16 +48,18 @@ def validate(nodes: DataFrame, evidence: DataFrame) -> None:
         raise InputError(f"endpoints that the tree does not have: {[r['label'] for r in lost]}")
 
 
-def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance: float | None = None, threshold: float = 0.0, clade=None, map_ancestors: bool = False, seed: int = 42, iterations: int = 0, temperature: float | None = None, searches: int = 1, near_optimal: int = 10, random_trees: int = 0, chain_iterations: int = 0, chains: int = 1) -> Result:
+def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance: float | None = None, threshold: float = 0.0, clade=None, map_ancestors: bool = False, seed: int = 42, iterations: int = 0, temperature: float | None = None, searches: int = 1, near_optimal: int = 10, random_trees: int = 0, chain_iterations: int = 0, chains: int = 1, seconds: float | None = None, chain_temperature: float | None = None, burn_in: int | None = None, thin: int | None = None, checkpoint: str | None = None, checkpoint_every: int = 1000) -> Result:
     """Ranks the internal nodes of the tree `nodes` (label, parent, is_leaf, length, preorder, depth).
 
     evidence: (donor, receptor, weight, distance, ingest_seq). threshold: share of the weight to drop, lightest edges
-    first. iterations: of each of `searches` independent searches. random_trees: orders of the null distribution.
+    first. iterations: of each of `searches` independent searches, which end after `seconds` at the latest. random_trees: orders
+    of the null distribution. chain_temperature, burn_in, thin: of the chains. checkpoint: a folder for the searches' states,
+    stored after every `checkpoint_every` iterations; a stopped run goes on from there (then no near-optimal orders are kept).
     """
     if not 0 <= threshold <= 1:
         raise InputError("threshold is a share between 0 and 1")
-    if min(iterations, random_trees, chain_iterations, near_optimal - 1) < 0 or searches < 1 or chains < 1:
-        raise InputError("counts must not be negative; searches, chains and near_optimal are at least 1")
+    if min(iterations, random_trees, chain_iterations, near_optimal - 1, burn_in or 0) < 0 or min(searches, chains, checkpoint_every, 1 if thin is None else thin) < 1:
+        raise InputError("counts must not be negative; searches, chains, near_optimal, thin and checkpoint_every are at least 1")
     warnings = []
     nodes = nodes.cache()
     reach = trees.closure(nodes).cache()
@@ -85,16 +86,19 @@ def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance
     if not by_kind:
         warnings.append("there is no evidence: every value is 0")
     usable = classified.filter("kind <> 'tree_edge' AND weight <> 0").withColumn("instance_id", F.lit(0).cast("long"))
-    tree = orders.tree_of(nodes)
-    problem = orders._problem(tree, usable.toArrow())
-    start = {"greedy": kernels.greedy(problem)[0]}
-    start["mixing"] = kernels.mixing(problem, random.Random(seed))
-    value = {m: kernels.value(problem, o) for m, o in start.items()}
+    problem = kernels.Problem(*orders.tree_of(nodes))
+    start, value = _heuristics(spark, usable, nodes, problem, seed)
     method = "greedy" if value["greedy"] <= value["mixing"] else "mixing"
     best, best_value = start[method], value[method]
     near = None
-    if iterations:
-        near = orders.searched(usable, nodes, [seed + k for k in range(searches)], iterations, temperature, near_optimal).cache()
+    if iterations and checkpoint:
+        heat = temperature if temperature is not None else max(usable.agg(F.sum("weight")).first()[0] or 0, 1) / 100
+        states = orders.resumed(usable, nodes, [seed + k for k in range(searches)], iterations, heat, checkpoint, checkpoint_every)
+        top = states.orderBy("best_value", "seed").first()
+        if top is not None and top["best_value"] < best_value:
+            best, best_value, method = list(top["best"]), top["best_value"], "search"
+    elif iterations:
+        near = orders.searched(usable, nodes, [seed + k for k in range(searches)], iterations, temperature, near_optimal, seconds=seconds).cache()
         top = near.filter("rank = 0").orderBy("value", "seed").first()
         if top is not None and top["value"] < best_value:
             best, best_value, method = list(top["labels"]), top["value"], "search"
@@ -108,7 +112,7 @@ def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance
     summary = {
         "nodes": len(problem.inner), "edges": sum(n for n, _ in by_kind.values()), "total": float(total),
         "uninformative": sum(weight(k) for k in by_kind if k != "info"), "trivial_conflict": float(ev.trivial_conflict(classified).first()[0] or 0),
-        "value_input": kernels.value(problem, ref), "value_greedy": value["greedy"], "value_mixing": value["mixing"],
+        "value_input": scoring.values(usable, at(ref)).agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0], "value_greedy": value["greedy"], "value_mixing": value["mixing"],
         "value": best_value, "method": method, "similarity": kernels.similarity(problem, ref, best),
     } | {f"weight_{k}": weight(k) for k in ("tree_edge", "itself", "desc", "to_leaf", "from_leaf", "anc", "info")}
     out = Result(summary, best, ref, classified, info.drop("first_seq"), scoring.conflicts(open_edges, at(best)).drop("order_id"), partial, near_optimal=near, warnings=warnings)
@@ -121,11 +125,23 @@ def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance
         p = scoring.permutation_test(out.random, best_value + 1e-9, summary["similarity"] - 1e-12).first()
         out.summary |= {"random_n": p["n"], "p_value": p["p_value"], "p_similarity": p["p_similarity"]}
     if chain_iterations:
-        out.chain = orders.chains(usable, nodes, [seed + k for k in range(chains)], chain_iterations, temperature)
+        out.chain = orders.chains(usable, nodes, [seed + k for k in range(chains)], chain_iterations, temperature if chain_temperature is None else chain_temperature, burn_in, thin)
     out.ranked_newick = ranked_newick(problem, best)
     return out
 
 
+def _heuristics(spark: SparkSession, usable: DataFrame, nodes: DataFrame, problem: kernels.Problem, seed: int) -> tuple[dict, dict]:
+    """The greedy and the mixing order, made in a task, and their values by joins with the edges."""
+    found = orders.heuristics(usable, nodes, seed).drop("instance_id").collect()  # two rows a node
+    start = {m: [r["label"] for r in sorted((r for r in found if r["method"] == m), key=lambda r: r["pos"])] for m in ("greedy", "mixing")}
+    if not found:  # no edge: every legal order is as good
+        start = {m: list(problem.inner) for m in start}
+    kind = nodes.schema["label"].dataType.simpleString()
+    pos = spark.createDataFrame([(k, x, i) for k, o in enumerate(start.values()) for i, x in enumerate(o)], f"order_id long, label {kind}, pos long")
+    value = {r["order_id"]: float(r["value"]) for r in scoring.values(usable, pos).collect()}
+    return start, {m: value.get(k, 0.0) for k, m in enumerate(start)}
+
+
 def ranked_newick(problem: kernels.Problem, order: list) -> str:
     """The tree with the difference of ranks as branch length; leaves are as late as there are ranks."""
     at = {x: i for i, x in enumerate(order)}

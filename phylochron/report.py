@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import os
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,14 +56,14 @@ def tables(r: Result) -> dict[str, list[str]]:
     return out
 
 
-def write_text(path: str, text: str, force: bool = False) -> None:
-    """The whole text or nothing; an existing file only with force."""
+def write_text(path: str, text: str | Iterable[str], force: bool = False) -> None:
+    """The whole text, or all its parts, or nothing; an existing file only with force."""
     if os.path.exists(path) and not force:
         raise FileExistsError(f"{path} exists; force overwrites it")
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     fd, part = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(text)
+        f.writelines([text] if isinstance(text, str) else text)
     os.replace(part, path)
 
 

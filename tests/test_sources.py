@@ -117,6 +117,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
 
 
+def test_ranking_goes_on_from_a_checkpoint(spark, tmp_path):
+    from phylochron.sources import synthetic
+
+    nodes, rows = synthetic.instance(spark, 31, 40, 3)
+    whole = rank(spark, nodes, rows, iterations=300, temperature=2.0, checkpoint=str(tmp_path / "whole"), checkpoint_every=300)
+    rank(spark, nodes, rows, iterations=100, temperature=2.0, checkpoint=str(tmp_path / "parts"), checkpoint_every=100)
+    again = rank(spark, nodes, rows, iterations=300, temperature=2.0, checkpoint=str(tmp_path / "parts"), checkpoint_every=100)
+    assert again.order == whole.order and again.summary["value"] == whole.summary["value"]
+    timed = rank(spark, nodes, rows, iterations=10**9, seconds=0.5)
+    assert timed.summary["value"] <= min(timed.summary["value_greedy"], timed.summary["value_mixing"])
+
+
 def test_search_goes_on_from_stored_states(spark, tmp_path):
     import random
 
@@ -243,7 +255,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(args) == 0 and "best order" in capsys.readouterr().out
     assert (tmp_path / "out" / "x.informative.tsv").read_text() == "61,62 3.0\n59,62 2.0\n62,61 1.0\n"
     assert "<svg" in (tmp_path / "out" / "x.html").read_text()
-    assert cli.main(args) == 3 and cli.main([*args, "-f"]) == 0
+    assert cli.main(args) == 3 and cli.main([args[0], args[1], *args[1:], "--ls", "0.2", "--t", "1", "--mcmc", "--mcmc-burn-in", "5", "--mcmc-thin", "10", "-f"]) == 0
+    assert (tmp_path / "out" / "x.informative.tsv").read_text() == "61,62 3.0\n59,62 2.0\n62,61 1.0\n"  # a path given twice counts once
+    with pytest.raises(SystemExit) as e:
+        cli.main(["--version"])
+    assert e.value.code == 0 and "phylochron 0." in capsys.readouterr().out
     (tmp_path / "e.txt").write_text("61 nowhere 3\n")
     assert cli.main([*args, "-f"]) == 4 and cli.main([*args, "--dry-run"]) == 1
     with pytest.raises(SystemExit) as e:
