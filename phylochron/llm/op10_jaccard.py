@@ -49,7 +49,7 @@ FEW, HUB_ROUNDS = 8, 2
 PAIR_ROWS = 256
 _U = np.uint64
 _BITS, _MASK = 52, np.uint64((1 << 52) - 1)
-_DOCS, _FLUSH = 4000, 4_000_000
+_DOCS, _FLUSH = 4000, 1_000_000
 #: The lowest bits of a key tell its namespace: own band, border, the same of sets with few rare parts, single elements.
 _KINDS = 6
 
@@ -414,7 +414,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         classes = stored(classes, "classes")
         rows, shingle_rows = sets.agg(F.count("*"), F.sum("n")).first()
         frequent = frequent_shingles(texts, rows)
-        deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shingle_rows or 0) // 4_000_000)
+        deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shingle_rows or 0) // 2_000_000)
         keys = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_keys(frequent, percent), "key long, d1 long")
         keys = stored(keys.repartition(deal, "key").mapInArrow(_shared, "key long, d1 long"), "shared")
         keys = stored(sized(keys, classes, percent), "keys")
