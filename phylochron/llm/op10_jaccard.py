@@ -389,7 +389,8 @@ def open_keys(keys: DataFrame, label: DataFrame | None) -> DataFrame:
 
 def hub_pairs(keys: DataFrame, tested: DataFrame | None) -> DataFrame:
     """Of every open key the two sets of most keys that are in different components are its hubs; each set is paired with
-    the hub, of another component and not tested yet, that most of its keys name."""
+    the hub, of another component and not tested yet, that most of its keys, two at least, name; what that misses is left to
+    the last step."""
     weight = keys.join(keys.groupBy("rep").agg(F.count("*").alias("weight")), "rep")
     best = weight.groupBy("key", "component").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best"), "component"))
@@ -397,7 +398,7 @@ def hub_pairs(keys: DataFrame, tested: DataFrame | None) -> DataFrame:
     hub = lambda k, c: F.max(F.when(F.col("place") == k, c))
     hubs = best.groupBy("key").agg(hub(1, -F.col("best.minus")).alias("one"), hub(1, F.col("component")).alias("of_one"), hub(2, -F.col("best.minus")).alias("two"))
     rows = keys.join(hubs, "key").select("rep", F.when(F.col("component") == F.col("of_one"), F.col("two")).otherwise(F.col("one")).alias("hub"))
-    counts = rows.filter("hub <> rep").groupBy("rep", "hub").agg(F.count("*").alias("times")).select("rep", "hub", "times", F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    counts = rows.filter("hub <> rep").groupBy("rep", "hub").agg(F.count("*").alias("times")).filter("times > 1").select("rep", "hub", "times", F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     if tested is not None:
         counts = counts.join(tested, ["a", "b"], "left_anti")
     return counts.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("times", "hub")).alias("m")).select("m.a", "m.b").distinct()
