@@ -19,6 +19,9 @@ MODULES = {
     "op8_lm": "op8_lm",
     "op9_pii": "op9_pii",
     "op10_jaccard": "op10_jaccard",
+    "op11_codes": "op11_codes",
+    "op12_chat": "op12_chat",
+    "op13_middle": "op13_middle",
 }
 
 
