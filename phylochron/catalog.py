@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import derived as d
 from .operators import diagnostics, evidence, families, scoring, trees
+from .shared import stored
 from .sources import lines
 
 FLAGSHIP = "classify_edges"
@@ -17,13 +18,13 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, with_views: bool = True):
-    """Registers a function as the query of its name; sql follows the common views of derived.SQL."""
+def query(sql: str | None = None, views: str = d.SQL):
+    """Registers a function as the query of its name; sql follows the common views, derived.SQL or derived.GROWN."""
 
     def keep(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = d.SQL + sql if with_views else sql
+            _SQL[f.__name__] = views + sql
         return f
 
     return keep
@@ -64,7 +65,7 @@ def distance_report(spark, sf):
 
 
 @query("""SELECT CAST(CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 1 + l_suppkey % 63 END AS BIGINT) AS donor,
-  CAST(1 + l_partkey % 63 AS BIGINT) AS receptor, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS weight FROM lineitem GROUP BY 1, 2""", with_views=False)
+  CAST(1 + l_partkey % 63 AS BIGINT) AS receptor, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS weight FROM lineitem GROUP BY 1, 2""", "")
 def none_endpoint_to_root(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     donor = F.when(F.col("l_suppkey") % 7 == 0, "None").otherwise((1 + F.col("l_suppkey") % 63).cast("string"))
@@ -128,7 +129,7 @@ def threshold_sweep(spark, sf):
 @query("""SELECT donor, receptor, weight, family, sample, ingest_seq, distance FROM c_raw
   WHERE donor IN (SELECT des FROM closure WHERE anc = 5) AND receptor IN (SELECT des FROM closure WHERE anc = 5)""")
 def clade_prune(spark, sf):
-    return evidence.prune(d.raw(spark, sf), d.closure(spark), 5).select("donor", "receptor", "weight", "family", "sample", "ingest_seq", "distance")
+    return evidence.prune(d.raw(spark, sf), d.tree(spark), 5).select("donor", "receptor", "weight", "family", "sample", "ingest_seq", "distance")
 
 
 @query("""SELECT donor, receptor, CAST(SUM(weight) AS BIGINT) AS weight FROM (
@@ -136,7 +137,7 @@ def clade_prune(spark, sf):
     FROM c_base WHERE (donor IN (SELECT des FROM closure WHERE anc = 5) OR donor IN (1, 2)) AND (receptor IN (SELECT des FROM closure WHERE anc = 5) OR receptor IN (1, 2)))
   WHERE receptor <> 5 GROUP BY 1, 2""")
 def clade_prune_ancestor_map(spark, sf):
-    kept = evidence.prune(d.raw(spark, sf), d.closure(spark), F.lit(5).cast("long"), map_ancestors=True)
+    kept = evidence.prune(d.raw(spark, sf), d.tree(spark), F.lit(5).cast("long"), map_ancestors=True)
     return evidence.edge_weights(kept).drop("first_seq")
 
 
@@ -150,7 +151,7 @@ def unknown_endpoints(spark, sf):
 
 
 @query("""SELECT CAST(l_suppkey AS VARCHAR) AS donor, CAST(l_partkey AS VARCHAR) AS receptor,
-  CASE WHEN l_linenumber = 1 THEN 1.0 ELSE l_quantity END AS weight, CASE WHEN l_linenumber > 2 THEN CAST(l_linenumber AS DOUBLE) END AS distance FROM lineitem""", with_views=False)
+  CASE WHEN l_linenumber = 1 THEN 1.0 ELSE l_quantity END AS weight, CASE WHEN l_linenumber > 2 THEN CAST(l_linenumber AS DOUBLE) END AS distance FROM lineitem""", "")
 def parse_space_lines(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     text = F.concat_ws("  ", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("string")), F.when(F.col("l_linenumber") > 2, F.col("l_linenumber").cast("string")))
@@ -158,7 +159,7 @@ def parse_space_lines(spark, sf):
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS family, CAST(l_suppkey AS VARCHAR) AS donor, CAST(l_partkey AS VARCHAR) AS receptor,
-  l_quantity AS weight, CASE WHEN l_linenumber > 2 THEN CAST(l_linenumber AS DOUBLE) END AS distance FROM lineitem""", with_views=False)
+  l_quantity AS weight, CASE WHEN l_linenumber > 2 THEN CAST(l_linenumber AS DOUBLE) END AS distance FROM lineitem""", "")
 def parse_comma_lines(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     last = F.when(F.col("l_linenumber") > 2, F.concat(F.lit(","), F.col("l_linenumber").cast("string"))).when(F.col("l_linenumber") == 2, ",").otherwise("")
@@ -166,17 +167,24 @@ def parse_comma_lines(spark, sf):
     return lines.parse(li.select(text.alias("value"))).select("family", "donor", "receptor", "weight", "distance")
 
 
-_BAD = ["A B nan", "A B inf", "A B -1", "A", "f,A,B", "f, ,B,1", "A B x", "f,A,B,2,inf", "A B 1 far", "A B 2 3", "f,A,B,1,", "# c", "", "FRQ A B", "FRQX B 2", "A B 4 # x"]
+#: What follows the keys in a line, with what is wrong: a pattern of ?1 and ?2, the two keys.
+_BAD = [
+    ("?1 ?2 nan", "weight is not finite"), ("?1 ?2 inf", "weight is not finite"), ("?1 ?2 -1", "weight is negative"), ("?1", "fewer than two fields"), ("f,?1,?2", "fewer than four fields"),
+    ("f, ,?2,1", "blank endpoint"), ("?1 ?2 x", "weight is no number"), ("f,?1,?2,2,inf", "distance is not finite"), ("?1 ?2 1 far", "distance is no number"), ("?1 ?2 2 3", None),
+    ("f,?1,?2,1,", None), ("# ?1", None), ("", None), ("FRQ ?1 ?2", None), ("FRQX ?2 2", None), ("?1 ?2 4 # x", None),
+]
 
 
-@query("""SELECT * FROM (VALUES ('A B nan', 'weight is not finite'), ('A B inf', 'weight is not finite'), ('A B -1', 'weight is negative'), ('A', 'fewer than two fields'),
-  ('f,A,B', 'fewer than four fields'), ('f, ,B,1', 'blank endpoint'), ('A B x', 'weight is no number'), ('f,A,B,2,inf', 'distance is not finite'), ('A B 1 far', 'distance is no number')) v(value, problem)""", with_views=False)
+@query(f"""SELECT replace(replace(p, '?1', CAST(l_suppkey AS VARCHAR)), '?2', CAST(l_partkey AS VARCHAR)) AS value, problem, COUNT(*) AS n FROM lineitem
+  JOIN (VALUES {", ".join(f"({k}, '{p}', '{problem}')" for k, (p, problem) in enumerate(_BAD) if problem)}) v(k, p, problem) ON l_orderkey % {len(_BAD)} = k GROUP BY 1, 2""", "")
 def reject_bad_lines(spark, sf):
-    given = spark.createDataFrame([(x,) for x in _BAD], "value string")
-    return lines.parse(given).filter("problem IS NOT NULL").select("value", "problem")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    pattern = F.element_at(F.array(*[F.lit(p) for p, _ in _BAD]), (1 + F.col("l_orderkey") % len(_BAD)).cast("int"))
+    text = F.replace(F.replace(pattern, F.lit("?1"), F.col("l_suppkey").cast("string")), F.lit("?2"), F.col("l_partkey").cast("string"))
+    return lines.parse(li.select(text.alias("value"))).filter("problem IS NOT NULL").groupBy("value", "problem").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) || '#' || l_linenumber AS line, COUNT(*) AS n FROM lineitem GROUP BY 1""", with_views=False)
+@query("""SELECT CAST(l_orderkey AS VARCHAR) || '#' || l_linenumber AS line, COUNT(*) AS n FROM lineitem GROUP BY 1""", "")
 def strip_inline_comments(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     text = F.concat(F.col("l_orderkey").cast("string"), F.lit("#"), F.col("l_linenumber").cast("string"), F.lit("\t# said"))
@@ -186,19 +194,35 @@ def strip_inline_comments(spark, sf):
 # trees
 
 
-@query("SELECT label, parent, is_leaf, length, depth, preorder FROM h")
+@query("SELECT label, parent, is_leaf, length, depth, preorder FROM h", d.GROWN)
 def tree_nodes(spark, sf):
-    return d.nodes(spark)
+    return d.grown(spark, sf)
+
+
+@query("""SELECT label, depth, rootdist.dist, CAST(row_number() OVER (ORDER BY preorder) - 1 AS BIGINT) AS first, CAST(row_number() OVER (ORDER BY preorder) - 2 + n AS BIGINT) AS last, k AS inner
+  FROM h JOIN rootdist USING (label) JOIN (SELECT anc AS label, COUNT(*) AS n, COUNT(*) FILTER (NOT is_leaf) AS k FROM closure JOIN h ON h.label = des GROUP BY 1) USING (label)""", d.GROWN)
+def tree_intervals(spark, sf):
+    return d.grown_tree(spark, sf).select("label", "depth", "dist", "first", "last", "inner")
+
 
+@query("""WITH few AS (SELECT CAST(COUNT(*) - 1 + COUNT(*) % 2 AS BIGINT) AS n FROM customer), r AS (
+  SELECT CAST(c_custkey + 1 AS BIGINT) AS label, CAST(1 + c_nationkey % 3 AS BIGINT) AS length, n FROM customer, few WHERE c_custkey < n
+), up AS (SELECT *, COALESCE(SUM(CASE WHEN label % 2 = 1 AND label > 1 THEN length END) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM r)
+  SELECT label, label // 2 AS depth, CAST(CASE WHEN label = 1 THEN 0 ELSE above + length END AS BIGINT) AS dist, label - 1 AS first, CASE WHEN label % 2 = 0 THEN label - 1 ELSE n - 1 END AS last FROM up""", "")
+def deep_tree_intervals(spark, sf):
+    """A tree half as deep as it has nodes. Its leaves come before the rest of the path, so nodes are numbered by label."""
+    return trees.numbered(d.ladder(spark, sf)).select("label", "depth", "dist", "first", "last")
 
-@query("SELECT anc, des, hops FROM closure")
+
+@query("SELECT anc, des, hops FROM closure", d.GROWN)
 def ancestor_closure(spark, sf):
-    return trees.closure_recursive(d.nodes(spark))
+    return trees.closure_recursive(d.grown(spark, sf))
 
 
-@query("SELECT anc, des, hops FROM closure")
+@query("SELECT anc, des, hops FROM closure", d.GROWN)
 def ancestor_closure_doubling(spark, sf):
-    return d.closure(spark)
+    """Pointer doubling makes the intervals that the pairs are read from."""
+    return trees.closure(d.grown_tree(spark, sf))
 
 
 @query("""SELECT p.a, p.b, hops.lca, CAST(x.dist + y.dist - 2 * z.dist AS BIGINT) AS distance, hops.hops
@@ -206,35 +230,58 @@ def ancestor_closure_doubling(spark, sf):
   JOIN rootdist x ON x.label = p.a JOIN rootdist y ON y.label = p.b JOIN rootdist z ON z.label = hops.lca""")
 def tree_lca_distance(spark, sf):
     pairs = d.raw(spark, sf).select(F.col("donor").alias("a"), F.col("receptor").alias("b")).distinct()
-    return trees.distances(pairs, d.nodes(spark), d.closure(spark))
+    return trees.distances(pairs, d.tree(spark))
+
 
+@query("""WITH few AS (SELECT CAST(COUNT(*) - 1 + COUNT(*) % 2 AS BIGINT) AS n FROM customer), p AS (
+  SELECT DISTINCT 1 + o_custkey % n AS a, 1 + o_orderkey % n AS b, n FROM orders, few
+), up AS (SELECT k AS label, SUM(CASE WHEN k = 1 THEN 0 ELSE length END) AS length FROM (SELECT CAST(c_custkey + 1 AS BIGINT) AS k, 1 + c_nationkey % 3 AS length FROM customer) GROUP BY 1
+), path AS (SELECT label, COALESCE(SUM(CASE WHEN label % 2 = 1 THEN length END) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length AS dist FROM up
+), l AS (SELECT a, b, CASE WHEN a = b THEN a WHEN greatest(a, b) > least(a, b) AND least(a, b) % 2 = 1 THEN least(a, b) ELSE least(a, b) - 1 END AS lca FROM p)
+  SELECT a, b, lca, CAST(x.dist + y.dist - 2 * z.dist AS BIGINT) AS distance, a // 2 + b // 2 - 2 * (lca // 2) AS hops
+  FROM l JOIN path x ON x.label = a JOIN path y ON y.label = b JOIN path z ON z.label = lca""", "")
+def deep_tree_distances(spark, sf):
+    """Distances of pairs that orders name, in a tree half as deep as it has nodes."""
+    nodes = d.ladder(spark, sf)
+    n = nodes.count()
+    pairs = spark.read.parquet(f"{sf}/orders.parquet").select((1 + F.col("o_custkey") % n).alias("a"), (1 + F.col("o_orderkey") % n).alias("b")).distinct()
+    return trees.distances(pairs, trees.numbered(nodes))
 
-@query("SELECT anc AS label, des AS leaf FROM closure JOIN h ON h.label = des AND h.is_leaf")
+
+@query("SELECT anc AS label, des AS leaf FROM closure JOIN h ON h.label = des AND h.is_leaf", d.GROWN)
 def leaves_under(spark, sf):
-    return trees.leaves_under(d.nodes(spark), d.closure(spark))
+    return trees.leaves_under(d.grown_tree(spark, sf))
 
 
-@query("""SELECT * FROM (VALUES ('not binary', '7', CAST(3 AS BIGINT)), ('leaf label', '40', CAST(2 AS BIGINT)), ('not binary', '9', CAST(3 AS BIGINT))) v(kind, label, n)""", with_views=False)
+@query(""", more AS (SELECT label, parent, is_leaf FROM h UNION ALL SELECT label + CASE WHEN label % 4 = 0 THEN 0 ELSE 100000000 END, parent // 2, TRUE FROM h WHERE label % 8 IN (4, 5) AND parent > 1),
+  kids AS (SELECT parent, COUNT(*) AS n FROM more WHERE parent IS NOT NULL GROUP BY 1 HAVING COUNT(*) <> 2)
+  SELECT 'not binary' AS kind, CAST(parent AS VARCHAR) AS label, n FROM kids
+  UNION ALL SELECT CASE WHEN is_leaf THEN 'leaf label' ELSE 'internal label' END, CAST(label AS VARCHAR), COUNT(*) FROM more GROUP BY is_leaf, label HAVING COUNT(*) > 1""", d.GROWN)
 def tree_violations(spark, sf):
-    more = spark.createDataFrame([(64, 7, True, 1, 3, 0), (40, 9, True, 1, 4, 0)], "label long, parent long, is_leaf boolean, length long, depth long, preorder long")
-    return trees.violations(d.nodes(spark).unionByName(more))
+    """The tree of suppliers with leaves hung on where there are two children already, half of them with labels that exist."""
+    nodes = d.grown(spark, sf).select("label", "parent", "is_leaf")
+    label = F.col("label") + F.when(F.col("label") % 4 == 0, F.lit(0)).otherwise(F.lit(100000000))
+    more = nodes.filter("label % 8 IN (4, 5) AND parent > 1").select(label.alias("label"), F.shiftright("parent", 1).alias("parent"), F.lit(True).alias("is_leaf"))
+    return trees.violations(nodes.unionByName(more))
 
 
 @query("""SELECT substr(sha256(string_agg(CAST(label AS VARCHAR), '|' ORDER BY CAST(label AS VARCHAR))), 1, 16) AS labels_digest,
-  substr(sha256(string_agg(parent || '>' || label, '|' ORDER BY parent || '>' || label) FILTER (parent IS NOT NULL)), 1, 16) AS topology_digest FROM h""")
+  substr(sha256(string_agg(parent || '>' || label, '|' ORDER BY parent || '>' || label) FILTER (parent IS NOT NULL)), 1, 16) AS topology_digest FROM h""", d.GROWN)
 def topology_digest(spark, sf):
-    return trees.topology_digest(d.nodes(spark))
+    return trees.topology_digest(d.grown(spark, sf))
 
 
-@query("""SELECT label, CAST(row_number() OVER (ORDER BY CAST(label AS VARCHAR)) - 1 AS BIGINT) AS num FROM h WHERE is_leaf UNION ALL
-  SELECT label, CAST(31 + row_number() OVER (ORDER BY 5 - depth, label << (5 - depth), CAST(label AS VARCHAR)) AS BIGINT) AS num FROM h WHERE NOT is_leaf""")
+@query(""", leaves AS (SELECT label, CAST(row_number() OVER (ORDER BY CAST(label AS VARCHAR)) - 1 AS BIGINT) AS num FROM h WHERE is_leaf),
+  up AS (SELECT anc AS label, MAX(hops) AS level, MIN(num) AS first FROM closure LEFT JOIN leaves ON leaves.label = des JOIN h ON h.label = anc AND NOT h.is_leaf GROUP BY 1)
+  SELECT label, num FROM leaves UNION ALL
+  SELECT label, CAST((SELECT COUNT(*) FROM leaves) + row_number() OVER (ORDER BY level, first, CAST(label AS VARCHAR)) - 1 AS BIGINT) FROM up""", d.GROWN)
 def numeric_id_map(spark, sf):
-    return trees.numeric_ids(d.nodes(spark), d.closure(spark))
+    return trees.numeric_ids(d.grown_tree(spark, sf))
 
 
-@query("SELECT COUNT(*) AS n, ROUND(lgamma(32) - SUM(ln(s)), 6) AS log_count FROM (SELECT anc, COUNT(*) AS s FROM closure JOIN h ON h.label = des AND NOT h.is_leaf GROUP BY 1)")
+@query("SELECT COUNT(*) AS n, ROUND(lgamma(COUNT(*) + 1) - SUM(ln(s)), 5) AS log_count FROM (SELECT anc, COUNT(*) AS s FROM closure JOIN h ON h.label = des AND NOT h.is_leaf GROUP BY 1)", d.GROWN)
 def linear_extension_count(spark, sf):
-    return trees.extension_count_log(d.nodes(spark), d.closure(spark)).withColumn("log_count", F.round("log_count", 6))
+    return trees.extension_count_log(d.grown_tree(spark, sf)).withColumn("log_count", F.round("log_count", 5))
 
 
 # orders
@@ -242,9 +289,9 @@ def linear_extension_count(spark, sf):
 _VALUE = "CAST(COALESCE(SUM(CASE WHEN p.pos > q.pos THEN weight ELSE 0 END), 0) AS BIGINT)"
 
 
-@query("SELECT order_id, label, pos FROM input_pos")
+@query("SELECT order_id, label, pos FROM input_pos", d.GROWN)
 def input_order(spark, sf):
-    return d.input_positions(spark)
+    return d.input_positions(spark, d.grown_tree(spark, sf))
 
 
 @query(f"SELECT p.order_id, {_VALUE} AS value FROM edges JOIN input_pos p ON p.label = donor JOIN input_pos q ON q.label = receptor GROUP BY 1")
@@ -278,26 +325,64 @@ def conflict_ratio(spark, sf):
 
 
 @query("""SELECT p.order_id, CAST(COUNT(*) FILTER (p.pos > q.pos) AS BIGINT) AS violated FROM closure JOIN hash_pos p ON p.label = anc
-  JOIN hash_pos q ON q.label = des AND q.order_id = p.order_id WHERE hops > 0 GROUP BY 1""")
+  JOIN hash_pos q ON q.label = des AND q.order_id = p.order_id WHERE hops > 0 GROUP BY 1""", d.GROWN)
 def order_is_legal(spark, sf):
-    return scoring.legality(d.hash_positions(spark), d.closure(spark))
+    tree = d.grown_tree(spark, sf)
+    return scoring.legality(d.hash_positions(spark, of=tree), tree)
+
+
+_SHUFFLED = """turned AS (SELECT order_id, label, CAST(row_number() OVER (PARTITION BY order_id ORDER BY ('0x' || substr(md5(order_id || '/' || label), 1, 8))::BIGINT, label) - 1 AS BIGINT) AS pos
+  FROM (SELECT unnest(range(0, 20)) AS order_id), h WHERE NOT is_leaf)"""
+
+
+def _shuffled(spark, tree):
+    """Orders that heed no tree: internal nodes by a coin of order and label."""
+    from pyspark.sql import Window
+
+    toss = evidence.hashed("/", "order_id", "label")
+    rows = spark.range(20).select(F.col("id").alias("order_id")).crossJoin(tree.filter("NOT is_leaf").select("label"))
+    return rows.select("order_id", "label", (F.row_number().over(Window.partitionBy("order_id").orderBy(toss, "label")) - 1).cast("long").alias("pos"))
+
+
+@query(f""", {_SHUFFLED} SELECT p.order_id, CAST(COUNT(*) FILTER (p.pos > q.pos) AS BIGINT) AS violated FROM closure JOIN turned p ON p.label = anc
+  JOIN turned q ON q.label = des AND q.order_id = p.order_id WHERE hops > 0 GROUP BY 1""", d.GROWN)
+def order_violations(spark, sf):
+    tree = d.grown_tree(spark, sf)
+    return scoring.legality(_shuffled(spark, tree), tree)
+
+
+@query(""", m AS (SELECT order_id, CASE WHEN label % 11 = order_id % 11 THEN label + 1 ELSE label END AS label, CASE WHEN label % 7 = 3 THEN pos + order_id - 10 ELSE pos END AS pos FROM hash_pos WHERE (label + order_id) % 13 <> 5),
+  t AS (SELECT order_id, COUNT(DISTINCT CASE WHEN NOT h.is_leaf THEN m.label END) AS have, COUNT(*) FILTER (h.label IS NULL) AS unknown, MIN(pos) AS low, MAX(pos) AS high, (SELECT COUNT(*) FROM h WHERE NOT is_leaf) AS size
+    FROM m LEFT JOIN h ON h.label = m.label AND NOT h.is_leaf GROUP BY 1), all_of AS (
+  SELECT order_id, 'unknown label' AS problem, unknown AS n FROM t UNION ALL SELECT order_id, 'missing label', size - have FROM t
+  UNION ALL SELECT order_id, 'position out of range', CAST(CASE WHEN low < 0 THEN 1 ELSE 0 END + CASE WHEN high >= size THEN 1 ELSE 0 END AS BIGINT) FROM t
+  UNION ALL SELECT order_id, 'repeated label', COUNT(*) - COUNT(DISTINCT label) FROM m GROUP BY 1
+  UNION ALL SELECT order_id, 'repeated position', COUNT(*) - COUNT(DISTINCT pos) FROM m GROUP BY 1) SELECT order_id, problem, n FROM all_of WHERE n > 0""", d.GROWN)
+def malformed_orders(spark, sf):
+    """Orders with labels changed and left out and positions moved, and what is wrong with each."""
+    pos = d.hash_positions(spark, of=d.grown_tree(spark, sf)).filter("(label + order_id) % 13 <> 5")
+    label = F.when(F.col("label") % 11 == F.col("order_id") % 11, F.col("label") + 1).otherwise(F.col("label"))
+    place = F.when(F.col("label") % 7 == 3, F.col("pos") + F.col("order_id") - 10).otherwise(F.col("pos"))
+    return scoring.malformed(pos.select("order_id", label.alias("label"), place.alias("pos")), d.grown(spark, sf))
 
 
 _KENDALL = """kendall AS (SELECT a.order_id, CAST(COUNT(*) FILTER (i.pos > j.pos) AS BIGINT) AS distance FROM hash_pos a JOIN hash_pos b ON a.order_id = b.order_id AND a.pos < b.pos
   JOIN input_pos i ON i.label = a.label JOIN input_pos j ON j.label = b.label GROUP BY 1)"""
 
 
-@query(f", {_KENDALL} SELECT order_id, distance FROM kendall")
+@query(f", {_KENDALL} SELECT order_id, distance FROM kendall", d.GROWN)
 def kendall_distance(spark, sf):
-    return scoring.kendall_distance(d.hash_positions(spark), d.input_positions(spark))
+    tree = d.grown_tree(spark, sf)
+    return scoring.kendall_distance(d.hash_positions(spark, of=tree), d.input_positions(spark, tree))
 
 
-_MOST = "(31 * 30 // 2 - (SELECT COUNT(*) FROM closure JOIN h ON h.label = des AND NOT h.is_leaf WHERE hops > 0))"
+_MOST = "((SELECT COUNT(*) * (COUNT(*) - 1) // 2 FROM h WHERE NOT is_leaf) - (SELECT COUNT(*) FROM closure JOIN h ON h.label = des AND NOT h.is_leaf WHERE hops > 0))"
 
 
-@query(f", {_KENDALL} SELECT order_id, ROUND(({_MOST} - distance)::DOUBLE / {_MOST}, 6) AS similarity FROM kendall")
+@query(f", {_KENDALL} SELECT order_id, ROUND(({_MOST} - distance)::DOUBLE / {_MOST}, 6) AS similarity FROM kendall", d.GROWN)
 def kendall_similarity(spark, sf):
-    return scoring.kendall_similarity(d.hash_positions(spark), d.input_positions(spark), d.nodes(spark), d.closure(spark)).withColumn("similarity", F.round("similarity", 6))
+    tree = d.grown_tree(spark, sf)
+    return scoring.kendall_similarity(d.hash_positions(spark, of=tree), d.input_positions(spark, tree), tree).withColumn("similarity", F.round("similarity", 6))
 
 
 _SCORED = f"scored AS (SELECT p.order_id, {_VALUE} AS value FROM edges JOIN hash_pos p ON p.label = donor JOIN hash_pos q ON q.label = receptor AND q.order_id = p.order_id GROUP BY 1)"
@@ -312,9 +397,10 @@ def random_orders_scored(spark, sf):
   SELECT COUNT(*) AS n, ROUND((COUNT(*) FILTER (value <= v) + 1)::DOUBLE / (COUNT(*) + 1), 6) AS p_value,
   ROUND((COUNT(*) FILTER (({_MOST} - distance)::DOUBLE / {_MOST} >= 0.5) + 1)::DOUBLE / (COUNT(*) + 1), 6) AS p_similarity FROM scored JOIN kendall USING (order_id), own""")
 def permutation_pvalue(spark, sf):
-    edges, pos, ref = d.edges(spark, sf), d.hash_positions(spark), d.input_positions(spark)
+    tree, edges = d.tree(spark), stored(d.edges(spark, sf), "edges")
+    pos, ref = stored(d.hash_positions(spark, of=tree), "positions"), d.input_positions(spark, tree)
     own = scoring.values(edges, ref).select(F.col("value").alias("v"))
-    both = scoring.values(edges, pos).join(scoring.kendall_similarity(pos, ref, d.nodes(spark), d.closure(spark)), "order_id").join(own)
+    both = scoring.values(edges, pos).join(scoring.kendall_similarity(pos, ref, tree), "order_id").join(F.broadcast(own))  # one row
     out = scoring.permutation_test(both, F.col("v"), 0.5)
     return out.select("n", F.round("p_value", 6).alias("p_value"), F.round("p_similarity", 6).alias("p_similarity"))
 
@@ -324,22 +410,23 @@ def near_optimal_topk(spark, sf):
     return scoring.near_optimal(scoring.values(d.edges(spark, sf), d.hash_positions(spark)), 5)
 
 
-@query("SELECT label, pos, COUNT(*) AS n FROM hash_pos GROUP BY 1, 2")
+@query("SELECT label, pos, COUNT(*) AS n FROM hash_pos GROUP BY 1, 2", d.GROWN)
 def node_position_frequency(spark, sf):
-    return scoring.position_frequency(d.hash_positions(spark))
+    return scoring.position_frequency(d.hash_positions(spark, of=d.grown_tree(spark, sf)))
 
 
 _PAIRS = "pairs AS (SELECT p.label AS a, q.label AS b, COUNT(*) FILTER (p.pos < q.pos) AS n_before, COUNT(*) AS n FROM hash_pos p JOIN hash_pos q ON p.order_id = q.order_id AND p.label < q.label GROUP BY 1, 2)"
 
 
-@query(f", {_PAIRS} SELECT a, b, n_before, n FROM pairs")
+@query(f", {_PAIRS} SELECT a, b, n_before, n FROM pairs", d.GROWN)
 def pair_order_frequency(spark, sf):
-    return scoring.pair_frequency(d.hash_positions(spark))
+    return scoring.pair_frequency(d.hash_positions(spark, of=d.grown_tree(spark, sf)))
 
 
-@query(f", {_PAIRS} SELECT a, b, n_before, n FROM pairs WHERE n_before IN (0, n) AND NOT EXISTS (SELECT 1 FROM closure WHERE hops > 0 AND least(anc, des) = a AND greatest(anc, des) = b)")
+@query(f", {_PAIRS} SELECT a, b, n_before, n FROM pairs WHERE n_before IN (0, n) AND NOT EXISTS (SELECT 1 FROM closure WHERE hops > 0 AND least(anc, des) = a AND greatest(anc, des) = b)", d.GROWN)
 def constant_direction_pairs(spark, sf):
-    return scoring.constant_pairs(scoring.pair_frequency(d.hash_positions(spark)), d.closure(spark))
+    tree = d.grown_tree(spark, sf)
+    return scoring.constant_pairs(scoring.pair_frequency(d.hash_positions(spark, of=tree)), tree)
 
 
 @query(f""", moved AS (SELECT label, CASE WHEN label = 20 THEN 25 WHEN pos > o AND pos <= 25 THEN pos - 1 WHEN pos < o AND pos >= 25 THEN pos + 1 ELSE pos END AS pos
@@ -495,7 +582,7 @@ def mh_chain(spark, sf):
 
 
 @query("""SELECT date_trunc('day', ts) AS start, CAST(1 + user_id % 63 AS BIGINT) AS donor, CAST(1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 63 AS BIGINT) AS receptor, COUNT(*) AS weight
-  FROM events GROUP BY 1, 2, 3""", with_views=False)
+  FROM events GROUP BY 1, 2, 3""", "")
 def windowed_edge_weights(spark, sf):
     from .streaming import edges
 
@@ -504,16 +591,16 @@ def windowed_edge_weights(spark, sf):
 
 
 @query("""SELECT a.label AS donor, b.label AS receptor FROM h a, h b WHERE NOT a.is_leaf AND NOT b.is_leaf AND a.label <> b.label
-  AND NOT EXISTS (SELECT 1 FROM closure WHERE (anc = a.label AND des = b.label) OR (anc = b.label AND des = a.label))""")
+  AND NOT EXISTS (SELECT 1 FROM closure WHERE anc = a.label AND des = b.label) AND NOT EXISTS (SELECT 1 FROM closure WHERE anc = b.label AND des = a.label)""", d.GROWN)
 def incomparable_pairs(spark, sf):
     from .sources import synthetic
 
-    return synthetic.incomparable_pairs(d.nodes(spark), d.closure(spark))
+    return synthetic.incomparable_pairs(d.grown_tree(spark, sf))
 
 
-@query("""SELECT c.label, p.label AS parent FROM h c LEFT JOIN h p ON p.label = c.parent""")
+@query("""SELECT c.label, p.label AS parent FROM h c LEFT JOIN h p ON p.label = c.parent""", d.GROWN)
 def parent_map(spark, sf):
-    nodes = d.nodes(spark)
+    nodes = d.grown(spark, sf)
     up = nodes.select(F.col("label").alias("p"))
     return nodes.join(up, F.col("parent") == F.col("p"), "left").select("label", F.col("p").alias("parent"))
 
@@ -521,7 +608,7 @@ def parent_map(spark, sf):
 @query("""SELECT CASE WHEN line LIKE '%<recPhylo%' THEN 'eccetera' WHEN line LIKE '%T@%' AND line LIKE '%reconciled%' THEN 'ale'
     WHEN line LIKE '%Recipient%' AND line LIKE '%-->%' THEN CASE WHEN line LIKE '%Replacing Transfer%' THEN 'artra' ELSE 'ranger' END END AS tool, COUNT(*) AS n
   FROM (SELECT CASE l_linenumber WHEN 1 THEN '<recPhylo>' WHEN 2 THEN '1 reconciled T@1->2' WHEN 3 THEN 'Replacing Transfer, Mapping --> 1, Recipient --> 2'
-    WHEN 4 THEN 'Transfer, Mapping --> 1, Recipient --> 2' ELSE 'A B 1' END AS line FROM lineitem) GROUP BY 1""", with_views=False)
+    WHEN 4 THEN 'Transfer, Mapping --> 1, Recipient --> 2' ELSE 'A B 1' END AS line FROM lineitem) GROUP BY 1""", "")
 def detect_format(spark, sf):
     """The marks of formats in lines, by the same rules as files."""
     from .sources.reports import detect_column
@@ -532,7 +619,7 @@ def detect_format(spark, sf):
 
 
 @query("""SELECT MAX(declared) AS declared, COUNT(*) FILTER (row = 'transfer') AS transfers FROM (
-  SELECT CASE WHEN l_linenumber = 1 THEN l_orderkey % 50 END AS declared, CASE WHEN l_linenumber > 1 THEN 'transfer' END AS row FROM lineitem)""", with_views=False)
+  SELECT CASE WHEN l_linenumber = 1 THEN l_orderkey % 50 END AS declared, CASE WHEN l_linenumber > 1 THEN 'transfer' END AS row FROM lineitem)""", "")
 def declared_support(spark, sf):
     """Declared sample counts and transfers of generated report lines, by built-in functions."""
     from .sources.reports import line_columns

@@ -9,11 +9,35 @@ from .operators import evidence, scoring, trees
 
 
 def nodes(spark: SparkSession) -> DataFrame:
+    """The tree that evidence of line items speaks of: 63 nodes."""
     return trees.heap_tree(spark, 63)
 
 
-def closure(spark: SparkSession) -> DataFrame:
-    return trees.closure(nodes(spark))
+def tree(spark: SparkSession) -> DataFrame:
+    return trees.numbered(nodes(spark))
+
+
+def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with a node for each supplier (all but the last if their number is even), lengths by nation."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((1 + F.col("s_suppkey")).cast("long").alias("k"), (1 + F.col("s_nationkey") % 3).cast("long").alias("length"))
+    n = s.count()
+    n -= 1 - n % 2
+    return trees.heap_nodes(s.filter(F.col("k") <= n), n)
+
+
+def grown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.numbered(grown(spark, sf_dir))
+
+
+def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree that is one long path with a leaf at each node: internal nodes 1, 3, 5, ..., leaves 2, 4, ... and the last, which is
+    odd; a node a customer (all but the last if their number is even), as deep as half of them."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select((1 + F.col("c_custkey")).cast("long").alias("label"), (1 + F.col("c_nationkey") % 3).cast("long").alias("length"))
+    n = c.count()
+    n -= 1 - n % 2
+    k = F.col("label")
+    parent = F.when(k == 1, F.lit(None)).when(k % 2 == 0, k - 1).otherwise(k - 2).cast("long")
+    return c.filter(k <= n).select("label", parent.alias("parent"), ((k % 2 == 0) | (k == n)).alias("is_leaf"), "length")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,15 +65,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.classify(edges(spark, sf_dir), nodes(spark), closure(spark))
+    return evidence.classify(edges(spark, sf_dir), tree(spark))
 
 
-def input_positions(spark: SparkSession) -> DataFrame:
-    return trees.input_order(nodes(spark), closure(spark)).withColumn("order_id", F.lit(0).cast("long")).select("order_id", "label", "pos")
+def input_positions(spark: SparkSession, of: DataFrame | None = None) -> DataFrame:
+    return trees.input_order(tree(spark) if of is None else of).withColumn("order_id", F.lit(0).cast("long")).select("order_id", "label", "pos")
 
 
-def hash_positions(spark: SparkSession, n: int = 20) -> DataFrame:
-    return scoring.hash_orders(spark.range(n).select(F.col("id").alias("order_id")), nodes(spark), closure(spark))
+def hash_positions(spark: SparkSession, n: int = 20, of: DataFrame | None = None) -> DataFrame:
+    return scoring.hash_orders(spark.range(n).select(F.col("id").alias("order_id")), tree(spark) if of is None else of)
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,3 +133,11 @@ WITH h AS (
   SELECT event_id % 4 AS chain_id, event_id AS step, event_type AS state, CAST(ROUND(value * 100) AS BIGINT) AS energy FROM events
 )
 """
+
+#: The same views over the tree of suppliers.
+GROWN = """
+WITH few AS (SELECT COUNT(*) - 1 + COUNT(*) % 2 AS n FROM supplier), h AS (
+  SELECT k AS label, CASE WHEN k > 1 THEN k >> 1 END AS parent, k > n // 2 AS is_leaf, CAST(1 + s_nationkey % 3 AS BIGINT) AS length,
+    CAST(length(bin(k)) - 1 AS BIGINT) AS depth, CAST((k << (length(bin(n)) - length(bin(k)))) * 64 + length(bin(k)) AS BIGINT) AS preorder
+  FROM (SELECT CAST(s_suppkey + 1 AS BIGINT) AS k, s_nationkey FROM supplier), few WHERE k <= n
+), closure AS""" + SQL.split("), closure AS", 1)[1]

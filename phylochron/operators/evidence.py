@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trees import is_above
+
 
 def distance_filter(evidence: DataFrame, least: float) -> DataFrame:
     """Rows farther apart than least, and rows of unknown distance."""
@@ -35,12 +37,17 @@ def none_to_root(evidence: DataFrame, root) -> DataFrame:
     return evidence.withColumn("donor", swap("donor")).withColumn("receptor", swap("receptor"))
 
 
-def coin(seed: int, *columns):
-    """A number in [0, 2**32) from a seed and key columns, the same in every engine that has md5."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns])
+def hashed(mark: str, *columns):
+    """A number in [0, 2**32) from columns with a mark between them, the same in every engine that has md5."""
+    text = F.concat_ws(mark, *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def coin(seed: int, *columns):
+    """The same from a seed and key columns."""
+    return hashed(":", F.lit(str(seed)), *columns)
+
+
 def randomize_direction(evidence: DataFrame, seed: int) -> DataFrame:
     """Each row keeps or swaps its direction by a coin of its ingest_seq."""
     heads = coin(seed, "ingest_seq") < (1 << 31)
@@ -66,25 +73,22 @@ def threshold(edges: DataFrame, share, *keys: str) -> DataFrame:
     return edges.withColumn("_before", before).withColumn("_total", total).filter(F.col("_before") >= F.col("_total") * share).drop("_before", "_total")
 
 
-def with_relations(edges: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """edges with what the tree says of each pair; the tree's tables are small, and joined by whatever way fits."""
-    info = nodes.select("label", "is_leaf", "parent")
-    out = edges.join(info.select(F.col("label").alias("donor"), F.col("is_leaf").alias("donor_leaf")), "donor", "left")
-    out = out.join(info.select(F.col("label").alias("receptor"), F.col("is_leaf").alias("receptor_leaf"), F.col("parent").alias("receptor_parent")), "receptor", "left")
-    down = reach.select(F.col("anc").alias("donor"), F.col("des").alias("receptor"), F.lit(True).alias("down"))
-    up = reach.select(F.col("des").alias("donor"), F.col("anc").alias("receptor"), F.lit(True).alias("up"))
-    out = out.join(down, ["donor", "receptor"], "left").join(up, ["donor", "receptor"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("down", "up", "donor_leaf", "receptor_leaf")})
+def with_relations(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """edges with what the numbered tree says of each pair: each end brings its interval, and ends are compared by these."""
+    info = lambda side, *more: tree.select(F.col("label").alias(side), *[F.col(c).alias(f"{side}_{n}") for c, n in (("is_leaf", "leaf"), ("first", "first"), ("last", "last"), *more)])
+    out = edges.join(info("donor"), "donor", "left").join(info("receptor", ("parent", "parent")), "receptor", "left")
+    out = out.withColumn("down", is_above(F.col("donor_first"), F.col("donor_last"), F.col("receptor_first"))).withColumn("up", is_above(F.col("receptor_first"), F.col("receptor_last"), F.col("donor_first")))
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("donor_leaf", "receptor_leaf")})
 
 
-def classify(edges: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
+def classify(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """edges with kind: the first of tree_edge, itself, desc, to_leaf, from_leaf, anc and info that holds.
 
     tree_edge: the tree's own edge between internal nodes, which no order can violate.
     """
     hard = (F.col("receptor_parent") == F.col("donor")) & ~F.col("receptor_leaf")
     kind = F.when(hard, "tree_edge").when(F.col("donor") == F.col("receptor"), "itself").when(F.col("down"), "desc").when(F.col("receptor_leaf"), "to_leaf").when(F.col("donor_leaf"), "from_leaf").when(F.col("up"), "anc").otherwise("info")
-    return with_relations(edges, nodes, reach).select(*[F.col(c) for c in edges.columns], kind.alias("kind"))
+    return with_relations(edges, tree).select(*[F.col(c) for c in edges.columns], kind.alias("kind"))
 
 
 def class_summary(classified: DataFrame) -> DataFrame:
@@ -116,16 +120,26 @@ def reciprocal_excess(edges: DataFrame, *keys: str) -> DataFrame:
     return edges.join(other, [*keys, "donor", "receptor"], "left").withColumn("net", net).drop("back")
 
 
-def prune(evidence: DataFrame, reach: DataFrame, root, map_ancestors: bool = False) -> DataFrame:
+def clade(tree: DataFrame, root) -> DataFrame:
+    """(label, in, above): the nodes of the clade of root, and the strict ancestors of root, by the intervals of a numbered tree;
+    without root in the tree there are none."""
+    at = tree.filter(F.col("label") == (root if isinstance(root, Column) else F.lit(root))).select("first", "last").first()
+    if at is None:
+        return tree.limit(0).select("label", F.lit(True).alias("in"), F.lit(True).alias("above"))
+    first, last = F.lit(at["first"]), F.lit(at["last"])
+    inside = is_above(first, last, F.col("first"))
+    return tree.select("label", inside.alias("in"), (is_above(F.col("first"), F.col("last"), first) & ~inside).alias("above")).filter(F.col("in") | F.col("above"))
+
+
+def prune(evidence: DataFrame, tree: DataFrame, root, map_ancestors: bool = False) -> DataFrame:
     """Evidence within the clade of root. With map_ancestors a strict ancestor of root stands for root, and then
     rows from root to itself or from anywhere to root go."""
-    inside = reach.filter(F.col("anc") == F.lit(root)).select(F.col("des").alias("label"))
+    flags = clade(tree, root)
     if not map_ancestors:
+        inside = flags.filter("in").select("label")
         for side in ("donor", "receptor"):
             evidence = evidence.join(inside.withColumnRenamed("label", side), side, "left_semi")
         return evidence
-    above = reach.filter((F.col("des") == F.lit(root)) & (F.col("hops") > 0)).select(F.col("anc").alias("label"))
-    flags = inside.select("label", F.lit(True).alias("in"), F.lit(False).alias("above")).unionByName(above.select("label", F.lit(False).alias("in"), F.lit(True).alias("above")))
     out = evidence
     for side in ("donor", "receptor"):
         out = out.join(flags.select(F.col("label").alias(side), F.col("in").alias(f"_{side}_in"), F.col("above").alias(f"_{side}_above")), side)

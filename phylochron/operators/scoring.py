@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from . import scans, trees
 
 
 def located(edges: DataFrame, positions: DataFrame) -> DataFrame:
@@ -42,38 +42,58 @@ def conflict_ratio(partial: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.round(F.col("against_reference") / F.col("kept"), 6))
 
 
-def legality(positions: DataFrame, reach: DataFrame) -> DataFrame:
-    """(order_id, violated): ancestor pairs that an order turns round; 0 is legal."""
-    up = reach.filter("hops > 0").select(F.col("anc").alias("donor"), F.col("des").alias("receptor"), F.lit(1).cast("long").alias("weight"))
-    return values(up, positions).withColumnRenamed("value", "violated")
+def legality(positions: DataFrame, tree: DataFrame) -> DataFrame:
+    """(order_id, violated): ancestor pairs that an order turns round; 0 is legal. A node's position opens at its own place in
+    preorder and closes behind its subtree; what is open at a node is above it, so the pairs are inversions and are not listed."""
+    at = positions.join(tree.select("label", "first", "last"), "label")
+    opens = F.struct((2 * F.col("first") + 1).alias("at"), F.lit(1).alias("w"), F.lit(1).alias("q"))
+    closes = F.struct((2 * F.col("last") + 2).alias("at"), F.lit(-1).alias("w"), F.lit(0).alias("q"))
+    events = at.select("order_id", "pos", F.explode(F.array(opens, closes)).alias("e")).select("order_id", "pos", "e.*")
+    return scans.inversions(events, ["order_id"], "at", "pos", _largest(positions), F.col("w"), F.col("q")).withColumnRenamed("n", "violated")
+
+
+def malformed(positions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(order_id, problem, n): what keeps an order from being a permutation of the internal nodes: labels that the tree does not
+    have, labels or positions given twice, labels that are missing, positions outside 0 to n - 1. An order without any is none."""
+    inner = nodes.filter("NOT is_leaf").select("label", F.lit(1).alias("known"))
+    size = inner.agg(F.count("*").alias("size"))
+    at = positions.join(inner, "label", "left")
+    twice = lambda c, name: positions.groupBy("order_id", c).agg((F.count("*") - 1).alias("n")).filter("n > 0").groupBy("order_id").agg(F.sum("n").alias("n")).select("order_id", F.lit(name).alias("problem"), "n")
+    per = at.groupBy("order_id").agg(F.count_if(F.col("known").isNull()).alias("unknown label"), F.count_distinct(F.when(F.col("known") == 1, F.col("label"))).alias("have"), F.min("pos").alias("low"), F.max("pos").alias("high")).join(F.broadcast(size))  # one row
+    per = per.select("order_id", "unknown label", (F.col("size") - F.col("have")).alias("missing label"), (F.when(F.col("low") < 0, 1).otherwise(0) + F.when(F.col("high") >= F.col("size"), 1).otherwise(0)).cast("long").alias("position out of range"))
+    wide = per.select("order_id", F.stack(F.lit(3), *[x for c in per.columns[1:] for x in (F.lit(c), F.col(c))]).alias("problem", "n")).filter("n > 0")
+    return wide.unionByName(twice("label", "repeated label")).unionByName(twice("pos", "repeated position"))
+
+
+def _largest(positions: DataFrame) -> int:
+    return positions.agg(F.max("pos")).first()[0] or 0
 
 
 def kendall_distance(positions: DataFrame, reference: DataFrame) -> DataFrame:
-    """(order_id, distance): pairs of labels that an order and the reference (label, pos) put differently."""
+    """(order_id, distance): pairs of labels that an order and the reference (label, pos) put differently, counted as inversions
+    of the reference's ranks along the order: n log n rows an order."""
     one = positions.join(reference.select("label", F.col("pos").alias("ref")), "label")
-    a = one.select("order_id", F.col("pos").alias("p"), F.col("ref").alias("q"))
-    b = one.select("order_id", F.col("pos").alias("p2"), F.col("ref").alias("q2"))
-    pairs = a.join(b, "order_id").filter("p < p2")
-    return pairs.groupBy("order_id").agg(F.sum(F.when(F.col("q") > F.col("q2"), 1).otherwise(0)).cast("long").alias("distance"))
-
-
-def kendall_similarity(positions: DataFrame, reference: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(order_id, similarity): 1 minus the distance over its maximum, the incomparable pairs of internal nodes."""
-    inner = nodes.filter("NOT is_leaf").select("label")
-    n = inner.agg(F.count("*").alias("n"))
-    below = reach.filter("hops > 0").join(inner.withColumnRenamed("label", "des"), "des").agg(F.count("*").alias("comparable"))
-    most = n.join(below).select((F.col("n") * (F.col("n") - 1) / 2 - F.col("comparable")).cast("long").alias("most"))
-    out = kendall_distance(positions, reference).join(most)
-    return out.select("order_id", F.when(F.col("most") == 0, F.lit(1.0)).otherwise((F.col("most") - F.col("distance")) / F.col("most")).alias("similarity"))
-
-
-def hash_orders(orders: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """positions of pseudo-random linear extensions, one for each order_id: labels by the sum of positive coins on
-    the path from the root, which grows along every path."""
-    inner = nodes.filter("NOT is_leaf").select("label")
-    path = reach.join(inner, F.col("des") == F.col("label"), "left_semi").select("anc", F.col("des").alias("label"))
-    toss = orders.join(inner.withColumnRenamed("label", "anc")).select("order_id", "anc", (1 + F.conv(F.substring(F.md5(F.concat_ws(":", F.col("order_id").cast("string"), F.col("anc").cast("string"))), 1, 8), 16, 10).cast("long")).alias("toss"))
-    key = toss.join(path, "anc").groupBy("order_id", "label").agg(F.sum("toss").alias("key"))
+    return scans.inversions(one, ["order_id"], "pos", "ref", _largest(reference)).withColumnRenamed("n", "distance")
+
+
+def kendall_similarity(positions: DataFrame, reference: DataFrame, tree: DataFrame) -> DataFrame:
+    """(order_id, similarity): 1 minus the distance over its maximum, the incomparable pairs of internal nodes: all pairs less as
+    many as each node has ancestors, which is its depth."""
+    n = tree.filter("NOT is_leaf").agg(F.count("*").alias("n"), F.coalesce(F.sum("depth"), F.lit(0)).alias("comparable")).first()
+    most = n["n"] * (n["n"] - 1) // 2 - n["comparable"]
+    return kendall_distance(positions, reference).select("order_id", (F.lit(1.0) if most == 0 else (F.lit(most) - F.col("distance")) / F.lit(most)).alias("similarity"))
+
+
+def hash_orders(orders: DataFrame, tree: DataFrame) -> DataFrame:
+    """positions of pseudo-random linear extensions, one for each order_id: labels by the sum of positive coins on the path from
+    the root, which grows along every path. A node's coin is added where its interval begins and taken away where it ends, so the
+    sums are running ones. There is a row for each order and node, as in the result."""
+    inner = tree.filter("NOT is_leaf").select("label", "first", "last")
+    toss = orders.select("order_id").crossJoin(inner).withColumn("toss", (1 + F.conv(F.substring(F.md5(F.concat_ws(":", F.col("order_id").cast("string"), F.col("label").cast("string"))), 1, 8), 16, 10).cast("long")))
+    begin = F.struct((2 * F.col("first") + 1).alias("at"), F.col("toss").alias("coin"), F.lit(True).alias("own"))
+    end = F.struct((2 * F.col("last") + 2).alias("at"), (-F.col("toss")).alias("coin"), F.lit(False).alias("own"))
+    events = toss.select("order_id", "label", F.explode(F.array(begin, end)).alias("e")).select("order_id", "label", "e.*")
+    key = scans.running(events, ["order_id"], "at", {"key": F.col("coin")}).filter("own").withColumn("key", F.col("key") + F.col("coin"))
     return key.select("order_id", "label", (F.row_number().over(Window.partitionBy("order_id").orderBy("key", "label")) - 1).cast("long").alias("pos"))
 
 
@@ -112,7 +132,9 @@ def pair_frequency(positions: DataFrame) -> DataFrame:
     return a.join(b, "order_id").filter("a < b").groupBy("a", "b").agg(F.count_if(F.col("pa") < F.col("pb")).alias("n_before"), F.count("*").alias("n"))
 
 
-def constant_pairs(frequency: DataFrame, reach: DataFrame) -> DataFrame:
+def constant_pairs(frequency: DataFrame, tree: DataFrame) -> DataFrame:
     """Pairs that all orders put the same way although the tree leaves them open."""
-    known = reach.filter("hops > 0").select(F.least("anc", "des").alias("a"), F.greatest("anc", "des").alias("b"))
-    return frequency.filter("n_before = 0 OR n_before = n").join(known, ["a", "b"], "left_anti")
+    info = lambda x: tree.select(F.col("label").alias(x), F.col("first").alias(f"_{x}"), F.col("last").alias(f"_{x}_last"))
+    out = frequency.filter("n_before = 0 OR n_before = n").join(info("a"), "a").join(info("b"), "b")
+    open_pair = ~trees.is_above(F.col("_a"), F.col("_a_last"), F.col("_b")) & ~trees.is_above(F.col("_b"), F.col("_b_last"), F.col("_a"))
+    return out.filter(open_pair).select(*frequency.columns)

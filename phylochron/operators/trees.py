@@ -1,60 +1,111 @@
-"""Relations over a rooted binary tree: nodes (label, parent, is_leaf, length), one row a node, label unique."""
+"""Relations over a rooted tree: nodes (label, parent, is_leaf, length), one row a node, label unique.
+
+`numbered` gives every node the interval of its subtree in preorder, so that whether one node is above another is two
+comparisons of columns, whatever the depth; tables of all ancestor pairs are made only where they are the result.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..shared import stored
+from ..shared import Steps
+from . import ranges, scans
 
 
 def heap_tree(spark: SparkSession, size: int = 63) -> DataFrame:
     """The complete binary tree 1..size with parent k // 2; node ids are labels, preorder is a sort key."""
-    k = F.col("id")
-    bits = F.length(F.bin(k))
-    deep = len(bin(size)) - 2
-    return spark.range(1, size + 1).select(
+    return heap_nodes(spark.range(1, size + 1).select(F.col("id").alias("k"), (1 + F.col("id") % 3).cast("long").alias("length")), size)
+
+
+def heap_nodes(rows: DataFrame, size: int) -> DataFrame:
+    """The same for rows (k, length), k from 1 to size."""
+    k, bits, deep = F.col("k"), F.length(F.bin("k")), len(bin(size)) - 2
+    return rows.select(
         k.alias("label"),
         F.when(k > 1, F.shiftright(k, 1)).alias("parent"),
         (k > size // 2).alias("is_leaf"),
-        (1 + k % 3).cast("long").alias("length"),
+        "length",
         (bits - 1).cast("long").alias("depth"),
-        (F.expr(f"shiftleft(id, {deep} - length(bin(id)))") * 64 + bits).cast("long").alias("preorder"),
+        (F.expr(f"shiftleft(k, {deep} - length(bin(k)))") * 64 + bits).cast("long").alias("preorder"),
     )
 
 
-#: Doublings that stay one plan; a tree deeper than 2 ** SHALLOW edges stores the table after each further one.
+#: Doublings of the tour that stay one plan, before its table is stored.
 SHALLOW = 3
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """(anc, des, hops) of every ancestor-or-self pair, by doubling: after k joins all paths of up to 2**k edges are known.
-    As paths of a tree are unique no step needs to drop duplicates. A deep tree's tables are stored between joins, so
-    neither the plan nor a setting of the session bounds the depth."""
-    reach = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("anc"), F.col("label").alias("des"), F.lit(1).cast("long").alias("hops"))
-    deepest, known, k = depth_of(nodes), 1, 0
-    while known < deepest:
-        far = reach.filter(F.col("hops") == known).select("anc", F.col("des").alias("mid"), F.col("hops").alias("h"))
-        on = reach.select(F.col("anc").alias("mid"), "des", "hops")
-        reach = reach.unionByName(far.join(on, "mid").select("anc", "des", (F.col("h") + F.col("hops")).alias("hops")))
-        known, k = 2 * known, k + 1
-        if k >= SHALLOW and known < deepest:
-            reach = stored(reach, "closure")
-    return nodes.select(F.col("label").alias("anc"), F.col("label").alias("des"), F.lit(0).cast("long").alias("hops")).unionByName(reach)
-
-
-def depth_of(nodes: DataFrame) -> int:
-    """The largest depth; one number, from the depth column where there is one."""
-    if "depth" in nodes.columns:
-        return int(nodes.agg(F.max("depth")).first()[0] or 0)
-    return nodes.filter("NOT is_leaf").count()
+def numbered(nodes: DataFrame) -> DataFrame:
+    """nodes with first and last (the numbers, in preorder from 0, of the nodes below each and itself), inner_first and inner
+    (internal nodes before it in preorder; internal nodes below it and itself), depth, and dist (lengths added up from the root,
+    whose own counts for nothing; null is 0). Children come in the order of column preorder, if there is one, or of label.
+
+    The tree is walked round as a list of 2n steps, down to a node and up from it, each knowing the next. Pointers are doubled until
+    all point behind the end, adding up what lies between: log(2n) joins, also for a tree that is one long path. Every pointer is a
+    different key, so no join is skewed. Lengths are added as decimals, so equal ways have equal sums.
+    """
+    spark = nodes.sparkSession
+    size = nodes.agg(F.count("*").alias("n"), F.count_if(~F.col("is_leaf")).alias("inner")).first()
+    whole = "length" not in nodes.columns or nodes.schema["length"].dataType.typeName() in ("long", "integer", "short", "byte")
+    exact = "long" if whole else "decimal(38,18)"
+    length = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce(F.col("length") if "length" in nodes.columns else F.lit(0), F.lit(0))).cast(exact)
+    base = nodes.select("label", "parent", "is_leaf", length.alias("len"), F.col("preorder" if "preorder" in nodes.columns else "label").alias("_by"))
+    family = Window.partitionBy("parent").orderBy("_by", "label")
+    base = base.withColumn("_next", F.lead("label").over(family)).withColumn("_k", F.row_number().over(family))
+    eldest = base.filter("parent IS NOT NULL AND _k = 1").select(F.col("parent").alias("label"), F.col("label").alias("_child"))
+    base = base.join(eldest, "label", "left")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    inner = F.when(F.col("is_leaf"), none).otherwise(one)
+    step = lambda up, to, to_up, *sums: F.struct(F.lit(up).alias("up"), to.alias("to"), to_up.cast("int").alias("to_up"), *[s.alias(c) for s, c in zip(sums, SUMS, strict=True)])
+    down = step(0, F.coalesce("_child", "label"), F.col("_child").isNull(), one, inner, one, F.col("len"))
+    up = step(1, F.coalesce("_next", "parent"), F.col("_next").isNull(), none, none, -one, (-F.col("len")).cast(exact))
+    tour = base.select("label", F.explode(F.array(down, up)).alias("s")).select("label", "s.*")
+    with Steps(spark, "tree") as steps:
+        tour, k, reached = steps.stored(tour, "tour"), 0, 1
+        while reached < 2 * size["n"]:
+            tour, k, reached = _doubled(tour), k + 1, 2 * reached
+            if k % SHALLOW == 0 and reached < 2 * size["n"]:
+                tour = steps.stored(tour, "tour")
+        at = lambda side, c: F.max(F.when(F.col("up") == side, F.col(c)))
+        both = tour.groupBy("label").agg(*[at(side, c).alias(f"{c}{side}") for c in SUMS for side in (0, 1)])
+        first, inner_first = size["n"] - F.col("count0"), size["inner"] - F.col("inner0")
+        numbers = both.select("label", first.alias("first"), (size["n"] - F.col("count1") - 1).alias("last"), inner_first.alias("inner_first"), (F.col("inner0") - F.col("inner1")).alias("inner"), (-F.col("depth0")).alias("depth"), (-F.col("len0")).alias("_above"))
+        own = nodes.drop("first", "last", "inner_first", "inner", "depth", "dist").withColumn("_len", length)
+        dist = (F.col("_above") + F.col("_len")).cast("long" if whole else "double")
+        return steps.result(own.join(numbers, "label").withColumn("dist", dist).drop("_above", "_len"), "numbered")
+
+
+#: What is added up along the tour: nodes, internal nodes, levels, lengths.
+SUMS = ("count", "inner", "depth", "len")
+
+
+def _doubled(tour: DataFrame) -> DataFrame:
+    """The tour with pointers twice as far. A step whose pointer is behind the end asks for a key of its own that nobody has."""
+    far = tour.select(F.col("label").alias("_at"), F.col("up").alias("_up"), F.col("to").alias("_to"), F.col("to_up").alias("_to_up"), *[F.col(c).alias(f"_{c}") for c in SUMS])
+    own = tour.withColumn("_at", F.coalesce("to", "label")).withColumn("_up", F.when(F.col("to").isNull(), F.lit(2)).otherwise(F.col("to_up")))
+    kind = tour.schema["len"].dataType
+    sums = [(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).cast(kind if c == "len" else "long").alias(c) for c in SUMS]
+    return own.join(far, ["_at", "_up"], "left").select("label", "up", F.col("_to").alias("to"), F.col("_to_up").alias("to_up"), *sums)
+
+
+def is_above(first: Column, last: Column, other_first: Column) -> Column:
+    """Whether a node with the interval first..last is the other node or above it; false where one is unknown."""
+    return F.coalesce((first <= other_first) & (other_first <= last), F.lit(False))
+
+
+def closure(tree: DataFrame) -> DataFrame:
+    """(anc, des, hops) of every ancestor-or-self pair, which is what it lists; tree: numbered."""
+    below = tree.select(F.col("first").alias("_n"), F.col("label").alias("des"), F.col("depth").alias("_d"))
+    out = scans.spread(tree.select(F.col("label").alias("anc"), "first", "last", "depth"), F.col("first"), F.col("last") - F.col("first") + 1, "_n")
+    return out.join(below, "_n").select("anc", "des", (F.col("_d") - F.col("depth")).alias("hops"))
 
 
 def closure_recursive(nodes: DataFrame) -> DataFrame:
-    """The same by a recursive common table expression, for trees within the session's limits of recursion (by default
-    100 levels and a million rows)."""
+    """The same from nodes without numbers, by a recursive common table expression, for trees within the session's limits of
+    recursion (by default 100 levels and a million rows)."""
     view = f"nodes_{uuid.uuid4().hex}"
     nodes.select("label", "parent").createOrReplaceTempView(view)
     return nodes.sparkSession.sql(f"""
@@ -65,34 +116,33 @@ def closure_recursive(nodes: DataFrame) -> DataFrame:
         ) SELECT anc, des, hops FROM up""")
 
 
-def leaves_under(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(label, leaf): the leaves below each node, a leaf below itself."""
-    leaf = nodes.filter("is_leaf").select(F.col("label").alias("leaf"))
-    return reach.join(leaf, F.col("des") == F.col("leaf")).select(F.col("anc").alias("label"), "leaf")
-
-
-def last_common_ancestor(pairs: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """pairs (a, b) with lca: the deepest of the ancestors that both have."""
-    up_a = reach.select(F.col("des").alias("a"), "anc")
-    up_b = reach.select(F.col("des").alias("b"), "anc")
-    depth = nodes.select(F.col("label").alias("anc"), "depth")
-    both = pairs.join(up_a, "a").join(up_b, ["b", "anc"]).join(depth, "anc")
-    return both.groupBy("a", "b").agg(F.max_by("anc", "depth").alias("lca"))
+def leaves_under(tree: DataFrame) -> DataFrame:
+    """(label, leaf): the leaves below each node, a leaf below itself. Leaves in preorder are numbers without gaps."""
+    place = F.col("first") - F.col("inner_first")
+    leaf = tree.filter("is_leaf").select(place.alias("_n"), F.col("label").alias("leaf"))
+    return scans.spread(tree.select("label", "first", "last", "inner", "inner_first"), place, F.col("last") - F.col("first") + 1 - F.col("inner"), "_n").join(leaf, "_n").select("label", "leaf")
 
 
-def root_distance(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(label, dist): lengths summed from the root, whose own length counts for nothing."""
-    length = nodes.select(F.col("label").alias("anc"), F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce("length", F.lit(0))).alias("len"))
-    return reach.join(length, "anc").groupBy(F.col("des").alias("label")).agg(F.sum("len").alias("dist"))
+def last_common_ancestor(pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """pairs (a, b) with lca and its lca_dist and lca_depth, and both ends' dist and depth: the parent of the shallowest node
+    between the two in preorder. Two lookups a pair, however deep the tree."""
+    info = lambda x: tree.select(F.col("label").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("first", "dist", "depth")])
+    at = pairs.join(info("a"), "a").join(info("b"), "b")
+    low, high = F.least("a_first", "b_first"), F.greatest("a_first", "b_first")
+    up = tree.select(F.col("label").alias("parent"), F.col("dist").alias("_up_dist"))
+    shallow = tree.join(up, "parent").select("first", F.struct("depth", "parent", F.col("_up_dist").alias("dist")).alias("v"))
+    largest = tree.count()
+    apart = at.filter("a_first <> b_first").withColumn("_l", low + 1).withColumn("_r", high)
+    apart = ranges.answered(apart, "_l", "_r", ranges.table(shallow, "first", F.col("v"), largest), "_best")
+    columns = [*pairs.columns, "a_dist", "b_dist", "a_depth", "b_depth"]
+    apart = apart.select(*columns, F.col("_best.parent").alias("lca"), F.col("_best.dist").alias("lca_dist"), (F.col("_best.depth") - 1).alias("lca_depth"))
+    same = at.filter("a_first = b_first").select(*columns, F.col("a").alias("lca"), F.col("a_dist").alias("lca_dist"), F.col("a_depth").alias("lca_depth"))
+    return apart.unionByName(same)
 
 
-def distances(pairs: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
+def distances(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """pairs (a, b) with lca, branch-length distance and number of edges between."""
-    dist, depth = root_distance(nodes, reach), nodes.select("label", "depth")
-    out = last_common_ancestor(pairs, nodes, reach)
-    for side in ("a", "b", "lca"):
-        info = dist.join(depth, "label").select(F.col("label").alias(side), F.col("dist").alias(f"{side}_dist"), F.col("depth").alias(f"{side}_depth"))
-        out = out.join(info, side)
+    out = last_common_ancestor(pairs.select("a", "b"), tree)
     return out.select("a", "b", "lca", (F.col("a_dist") + F.col("b_dist") - 2 * F.col("lca_dist")).alias("distance"), (F.col("a_depth") + F.col("b_depth") - 2 * F.col("lca_depth")).alias("hops"))
 
 
@@ -105,22 +155,21 @@ def violations(nodes: DataFrame) -> DataFrame:
     return children.unionByName(twice.select(F.when(F.col("is_leaf"), "leaf label").otherwise("internal label").alias("kind"), "label", "n"))
 
 
-def input_order(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(label, pos) of internal nodes by distance from the root, ties in preorder. A row a tree node, so one window."""
-    inner = nodes.filter("NOT is_leaf").join(root_distance(nodes, reach), "label")
-    return inner.select("label", (F.row_number().over(Window.orderBy("dist", "preorder")) - 1).cast("long").alias("pos"))
+def input_order(tree: DataFrame) -> DataFrame:
+    """(label, pos) of internal nodes by distance from the root, ties in preorder."""
+    return scans.ranked(tree.filter("NOT is_leaf").select("label", "dist", "first"), "pos", "dist", "first").select("label", "pos")
 
 
-def subtree_sizes(nodes: DataFrame, reach: DataFrame) -> DataFrame:
+def subtree_sizes(tree: DataFrame) -> DataFrame:
     """(label, size): internal nodes in the subtree of each internal node, itself included."""
-    inner = nodes.filter("NOT is_leaf").select("label")
-    return reach.join(inner, F.col("anc") == F.col("label"), "left_semi").join(inner, F.col("des") == F.col("label"), "left_semi").groupBy(F.col("anc").alias("label")).agg(F.count("*").alias("size"))
+    return tree.filter("NOT is_leaf").select("label", F.col("inner").alias("size"))
 
 
-def extension_count_log(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(n, log_count): log of the number of linear extensions, n! / product of subtree sizes."""
-    size = subtree_sizes(nodes, reach)
-    return size.agg(F.count("*").alias("n"), F.sum(F.log("size")).alias("s")).select("n", (F.expr("aggregate(sequence(1, cast(n as int)), cast(0 as double), (a, k) -> a + ln(k))") - F.col("s")).alias("log_count"))
+def extension_count_log(tree: DataFrame) -> DataFrame:
+    """(n, log_count): log of the number of linear extensions, n! / product of subtree sizes. The k-th internal node in preorder
+    gives ln(k)."""
+    terms = F.log(F.col("inner_first") + 1) - F.log("inner")
+    return tree.filter("NOT is_leaf").agg(F.count("*").alias("n"), F.sum(terms).alias("log_count"))
 
 
 def topology_digest(nodes: DataFrame) -> DataFrame:
@@ -130,13 +179,15 @@ def topology_digest(nodes: DataFrame) -> DataFrame:
     return nodes.agg(digest(label).alias("labels_digest"), digest(F.when(parent.isNotNull(), F.concat(parent, F.lit(">"), label))).alias("topology_digest"))
 
 
-def numeric_ids(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(label, num): leaves by name from 0, then internal nodes level by level above the leaves."""
-    leaf = nodes.filter("is_leaf").select("label", (F.row_number().over(Window.orderBy(F.col("label").cast("string"))) - 1).cast("long").alias("num"))
-    inner = nodes.filter("NOT is_leaf").select("label")
-    below = reach.join(nodes.filter("is_leaf").select(F.col("label").alias("des")), "des").groupBy(F.col("anc").alias("label")).agg(F.max("hops").alias("level"))
-    first = reach.join(leaf.select(F.col("label").alias("des"), "num"), "des").groupBy(F.col("anc").alias("label")).agg(F.min("num").alias("first"))
-    up = inner.join(below, "label").join(first, "label")
-    n = leaf.agg(F.count("*").alias("leaves"))
-    ranked = up.select("label", F.row_number().over(Window.orderBy("level", "first", F.col("label").cast("string"))).alias("k")).join(n)
-    return leaf.unionByName(ranked.select("label", (F.col("leaves") + F.col("k") - 1).cast("long").alias("num")))
+def numeric_ids(tree: DataFrame) -> DataFrame:
+    """(label, num): leaves by name from 0, then internal nodes level by level above the leaves, ties by their first leaf. A node's
+    level and first leaf are the deepest node and the smallest number of its interval."""
+    leaf = scans.ranked(tree.filter("is_leaf").select("label", "first", F.col("label").cast("string").alias("_name")), "num", "_name").select("label", "first", "num")
+    size = tree.count()
+    inner = tree.filter("NOT is_leaf").select("label", "first", "last", "depth")
+    deep = ranges.answered(inner, "first", "last", ranges.table(tree, "first", F.col("depth"), size, "max"), "_deep", "max")
+    numbers = tree.select("first").join(leaf.select("first", "num"), "first", "left")
+    both = ranges.answered(deep, "first", "last", ranges.table(numbers, "first", F.col("num"), size), "_num")
+    order = both.select("label", (F.col("_deep") - F.col("depth")).alias("_level"), "_num", F.col("label").cast("string").alias("_name"))
+    up = scans.ranked(order, "_k", "_level", "_num", "_name")
+    return leaf.select("label", "num").unionByName(up.select("label", (F.col("_k") + leaf.count()).alias("num")))

@@ -61,24 +61,24 @@ def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance
     if min(iterations, random_trees, chain_iterations, near_optimal - 1, burn_in or 0) < 0 or min(searches, chains, checkpoint_every, 1 if thin is None else thin) < 1:
         raise InputError("counts must not be negative; searches, chains, near_optimal, thin and checkpoint_every are at least 1")
     warnings = []
-    nodes = nodes.cache()
-    reach = trees.closure(nodes).cache()
-    if clade is not None:
-        inside = reach.filter(F.col("anc") == F.lit(clade)).select(F.col("des").alias("label"))
-        evidence = ev.prune(evidence, reach, clade, map_ancestors)
-        low = nodes.filter(F.col("label") == F.lit(clade)).select("depth").first()
-        if low is None:
+    if clade is None:
+        validate(nodes, evidence)
+        nodes = trees.numbered(nodes)
+    else:
+        whole = trees.numbered(nodes)
+        if whole.filter(F.col("label") == F.lit(clade)).first() is None:
             raise InputError(f"the tree has no node {clade!r}")
-        nodes = nodes.join(inside, "label", "left_semi").withColumn("parent", F.when(F.col("label") != F.lit(clade), F.col("parent"))).withColumn("depth", F.col("depth") - low[0]).cache()
-        reach = trees.closure(nodes).cache()
-    validate(nodes, evidence)
+        evidence = ev.prune(evidence, whole, clade, map_ancestors)
+        inside = ev.clade(whole, clade).filter("in").select("label")
+        nodes = trees.numbered(whole.join(inside, "label", "left_semi").withColumn("parent", F.when(F.col("label") != F.lit(clade), F.col("parent"))))
+        validate(nodes, evidence)
     if distance is not None:
         report = ev.distance_report(evidence, distance).first()
         if report["ignored"]:
             warnings.append(f"no evidence is nearer than {distance}; {report['n_unknown']} of {report['n_before']} rows have no distance")
         evidence = ev.distance_filter(evidence, distance)
     edges = ev.edge_weights(evidence)
-    classified = ev.classify(edges, nodes, reach)
+    classified = ev.classify(edges, nodes)
     soft = ev.threshold(classified.filter("kind <> 'tree_edge'"), threshold) if threshold else classified.filter("kind <> 'tree_edge'")
     classified = soft.unionByName(classified.filter("kind = 'tree_edge'")).cache()
     by_kind = {r["kind"]: (r["n"], r["weight"]) for r in ev.class_summary(classified).collect()}
@@ -102,7 +102,7 @@ def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance
         top = near.filter("rank = 0").orderBy("value", "seed").first()
         if top is not None and top["value"] < best_value:
             best, best_value, method = list(top["labels"]), top["value"], "search"
-    ref = [r["label"] for r in trees.input_order(nodes, reach).orderBy("pos").collect()]
+    ref = [r["label"] for r in trees.input_order(nodes).orderBy("pos").collect()]
     kind = nodes.schema["label"].dataType.simpleString()
     at = lambda o: spark.createDataFrame([(0, x, i) for i, x in enumerate(o)], f"order_id long, label {kind}, pos long")
     info = ev.informative(classified).select("donor", "receptor", "weight", "first_seq")
@@ -119,7 +119,7 @@ def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance
     out.summary |= {k: v or 0 for k, v in scoring.conflict_ratio(partial).first().asDict().items()}
     if random_trees:
         pos = orders.random_orders(nodes, random_trees, seed)
-        sim = scoring.kendall_similarity(pos, at(ref), nodes, reach)
+        sim = scoring.kendall_similarity(pos, at(ref), nodes)
         zero = pos.select("order_id").distinct()
         out.random = zero.join(scoring.values(usable, pos), "order_id", "left").join(sim, "order_id").select("order_id", F.coalesce("value", F.lit(0.0)).alias("value"), "similarity").cache()
         p = scoring.permutation_test(out.random, best_value + 1e-9, summary["similarity"] - 1e-12).first()

@@ -18,8 +18,39 @@ def folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read again."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet and read again."""
+    return _written(df, f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def files(spark: SparkSession, path: str):
+    """(file system, path) of whatever store Spark itself uses for a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+class Steps:
+    """The tables of an algorithm of many steps: all but the result are deleted at its end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.count = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        return _written(df, f"{self.folder}/{name}-{self.count}")
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that stays."""
+        return stored(df, name)
+
+    def __exit__(self, *failed) -> None:
+        store, place = files(self.spark, self.folder)
+        store.delete(place, True)

@@ -201,7 +201,7 @@ def test_closure_of_a_deep_tree(spark):
     deep = 600
     rows = [(k, k - 1 if k else None, k == deep, 1, k, k) for k in range(deep + 1)]
     nodes = spark.createDataFrame(rows, "label long, parent long, is_leaf boolean, length long, depth long, preorder long")
-    got = trees.closure(nodes)
+    got = trees.closure(trees.numbered(nodes))
     assert got.count() == (deep + 1) * (deep + 2) // 2
     assert got.filter("hops <> des - anc OR hops < 0").count() == 0 and got.distinct().count() == got.count()
 
