@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived as d
-from .operators import diagnostics, evidence, families, scoring, trees
+from .operators import diagnostics, evidence, families, graphs, lattice, scoring, trees
 from .shared import stored
 from .sources import lines
 
@@ -147,6 +147,13 @@ def unknown_endpoints(spark, sf):
     return evidence.unknown_endpoints(li.select((1 + F.col("l_suppkey") % 70).cast("long").alias("donor"), (1 + F.col("l_partkey") % 70).cast("long").alias("receptor")), d.nodes(spark))
 
 
+@query("""SELECT donor, receptor, CAST(SUM(weight) AS BIGINT) AS weight, MIN(ingest_seq) AS first_seq FROM (
+  SELECT *, COALESCE(SUM(weight) OVER (PARTITION BY donor, receptor ORDER BY ingest_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c_base) WHERE before < 400 GROUP BY 1, 2""")
+def saturated_weights(spark, sf):
+    """Sums that end at a sentinel, here one that about half of the pairs reach."""
+    return evidence.saturating_weights(d.raw(spark, sf).drop("distance"), 400)
+
+
 # lines
 
 
@@ -284,6 +291,67 @@ def linear_extension_count(spark, sf):
     return trees.extension_count_log(d.grown_tree(spark, sf)).withColumn("log_count", F.round("log_count", 5))
 
 
+# graphs and state spaces
+
+_LINKS = """links AS (SELECT parent AS src, label AS dst FROM h WHERE parent IS NOT NULL AND NOT is_leaf
+    UNION SELECT s_suppkey + 1, s_suppkey + 1 + gap + s_nationkey FROM supplier, (VALUES {gaps}) g(gap)
+    WHERE s_suppkey + 1 IN (SELECT label FROM h WHERE NOT is_leaf) AND s_suppkey + 1 + gap + s_nationkey IN (SELECT label FROM h WHERE NOT is_leaf)),
+  ways AS (WITH RECURSIVE w(src, dst) AS (SELECT src, dst FROM links UNION SELECT w.src, l.dst FROM w JOIN links l ON w.dst = l.src) SELECT * FROM w)"""
+
+
+@query(f", {_LINKS.format(gaps='(20)')} SELECT src, dst FROM ways", d.GROWN)
+def graph_closure(spark, sf):
+    """What the tree of suppliers and an accepted edge from each supplier reach."""
+    return graphs.reach(graphs.accepted(d.grown(spark, sf), d.supplier_links(spark, sf, 20)))
+
+
+@query(f", {_LINKS.format(gaps='(20), (1)')} SELECT src, dst FROM ways", d.GROWN)
+def graph_closure_extended(spark, sf):
+    """The same with edges accepted later."""
+    known = graphs.reach(graphs.accepted(d.grown(spark, sf), d.supplier_links(spark, sf, 20)))
+    return graphs.extended(known, d.supplier_links(spark, sf, 1).select(F.col("donor").alias("src"), F.col("receptor").alias("dst")))
+
+
+@query("""SELECT receptor AS label, COUNT(*) AS donors, CAST(SUM(weight) AS BIGINT) AS weight, arg_min(donor, (-weight, donor)) AS heaviest FROM edges WHERE donor <> receptor GROUP BY 1""")
+def in_neighbours(spark, sf):
+    return graphs.in_neighbours(d.edges(spark, sf))
+
+
+_SPACE = """perms AS (WITH RECURSIVE p(o) AS (SELECT [CAST(1 AS BIGINT)] UNION ALL
+    SELECT list_append(o, k) FROM p, (SELECT unnest(range(2, 7)) AS k) WHERE NOT list_contains(o, k) AND list_contains(o, k // 2)) SELECT o FROM p WHERE len(o) = 6),
+  small AS (SELECT l_suppkey AS instance_id, 1 + l_partkey % 6 AS donor, 1 + l_orderkey % 6 AS receptor, SUM(CAST(l_quantity AS BIGINT)) AS w FROM lineitem GROUP BY 1, 2, 3),
+  space AS (SELECT CAST(s_suppkey AS BIGINT) AS instance_id, array_to_string(o, ',') AS state,
+    COALESCE(SUM(w) FILTER (list_position(o, donor) > list_position(o, receptor)), 0)::DOUBLE AS energy FROM supplier CROSS JOIN perms LEFT JOIN small ON instance_id = s_suppkey GROUP BY s_suppkey, o),
+  shares AS (SELECT *, exp((MIN(energy) OVER (PARTITION BY instance_id) - energy) / 500) AS e FROM space)"""
+
+
+@query(f""", {_SPACE} SELECT instance_id, CAST(6 AS BIGINT) AS nodes, COUNT(*)::DOUBLE AS orders, MIN(energy) AS best, ROUND(ln(SUM(e)) - MIN(energy) / 500, 6) AS log_mass FROM shares GROUP BY 1""")
+def state_space_totals(spark, sf):
+    return lattice.totals(*d.small_instances(spark, sf), 500.0).withColumn("orders", F.col("orders").cast("double")).withColumn("log_mass", F.round("log_mass", 6))
+
+
+@query(f""", {_SPACE} SELECT instance_id, state, energy, ROUND(e / SUM(e) OVER (PARTITION BY instance_id), 9) AS share FROM shares""")
+def state_space(spark, sf):
+    return lattice.orders(*d.small_instances(spark, sf), 500.0).withColumn("share", F.round("share", 9))
+
+
+@query(f""", {_SPACE}, numbered AS (SELECT instance_id, state, e / SUM(e) OVER (PARTITION BY instance_id) AS share, row_number() OVER (PARTITION BY instance_id ORDER BY state) - 1 AS k FROM shares),
+  drawn AS (SELECT l_suppkey AS instance_id, (l_partkey * 7 + l_linenumber) % 23 AS k, COUNT(*) AS seen FROM lineitem GROUP BY 1, 2)
+  SELECT COALESCE(n.instance_id, r.instance_id) AS instance_id, CAST(SUM(seen) AS BIGINT) AS samples, COUNT(*) FILTER (seen IS NOT NULL AND share IS NOT NULL) AS visited,
+    CAST(COALESCE(SUM(seen) FILTER (share IS NULL), 0) AS BIGINT) AS unknown, COUNT(share) AS states,
+    ROUND(SUM(abs(COALESCE(seen, 0) / total - COALESCE(share, 0))) / 2, 6) AS distance
+  FROM numbered n FULL JOIN drawn r ON n.instance_id = r.instance_id AND n.k = r.k JOIN (SELECT instance_id AS i, SUM(seen)::DOUBLE AS total FROM drawn GROUP BY 1) ON i = COALESCE(n.instance_id, r.instance_id) GROUP BY 1""")
+def sampled_states(spark, sf):
+    """States drawn by line items, some of which are none, against the exact distribution."""
+    from pyspark.sql import Window
+
+    space = lattice.orders(*d.small_instances(spark, sf), 500.0)
+    number = space.select("instance_id", "state", (F.row_number().over(Window.partitionBy("instance_id").orderBy("state")) - 1).cast("long").alias("k"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").cast("long").alias("instance_id"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 23).cast("long").alias("k"))
+    drawn = li.join(number, ["instance_id", "k"], "left").select("instance_id", F.coalesce("state", F.concat(F.lit("none "), F.col("k").cast("string"))).alias("state"))
+    return lattice.visited(drawn, space).withColumn("distance", F.round("distance", 6))
+
+
 # orders
 
 _VALUE = "CAST(COALESCE(SUM(CASE WHEN p.pos > q.pos THEN weight ELSE 0 END), 0) AS BIGINT)"
@@ -567,6 +635,17 @@ def heuristic_orders(spark, sf):
     return orders.heuristics(_instances(spark, sf), d.nodes(spark))
 
 
+@query()
+def mixing_order_by_levels(spark, sf):
+    """The merged order of the tree of suppliers under the evidence of line items, one task a node of a level."""
+    from .plans import fold
+
+    tree = d.grown_tree(spark, sf)
+    n = tree.count()
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select((1 + F.col("l_suppkey") % n).alias("donor"), (1 + F.col("l_partkey") % n).alias("receptor"), F.col("l_quantity").cast("long").alias("weight"))
+    return fold.folded(li, tree)
+
+
 @query()
 def local_search_best(spark, sf):
     from .plans import orders

@@ -60,6 +60,23 @@ def heap_hops(a: str, b: str):
     return (da + db - 2 * common).cast("long")
 
 
+def supplier_links(spark: SparkSession, sf_dir: str, gap: int) -> DataFrame:
+    """(donor, receptor): an edge from each supplier's node to one further on, by `gap` and its nation."""
+    nodes = grown(spark, sf_dir).filter("NOT is_leaf").select("label")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((1 + F.col("s_suppkey")).cast("long").alias("donor"), (1 + F.col("s_suppkey") + gap + F.col("s_nationkey")).cast("long").alias("receptor"))
+    return s.join(nodes.withColumnRenamed("label", "donor"), "donor", "left_semi").join(nodes.withColumnRenamed("label", "receptor"), "receptor", "left_semi")
+
+
+def small_instances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A tree of six internal nodes for each supplier, and evidence on it from the supplier's line items."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("instance_id"))
+    shape = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long")))
+    inner = s.withColumn("label", shape).withColumn("parent", F.when(F.col("label") > 1, F.shiftright("label", 1)))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    given = li.select(F.col("l_suppkey").cast("long").alias("instance_id"), (1 + F.col("l_partkey") % 6).cast("long").alias("donor"), (1 + F.col("l_orderkey") % 6).cast("long").alias("receptor"), F.col("l_quantity").cast("long").alias("weight"))
+    return inner, given.groupBy("instance_id", "donor", "receptor").agg(F.sum("weight").alias("weight"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.edge_weights(raw(spark, sf_dir))
 

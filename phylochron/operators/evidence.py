@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .trees import is_above
 
 
@@ -169,3 +170,20 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
         if len(kinds) > 1:
             raise ValueError(f"weights of different meaning: {sorted(kinds)}")
     return out
+
+
+#: A sum that has reached this is not added to.
+SENTINEL = 1e10
+
+
+def saturating_weights(evidence: DataFrame, most: float = SENTINEL) -> DataFrame:
+    """(donor, receptor, weight, first_seq): evidence summed by pair in the order of ingest_seq until the sum is `most` or more;
+    what comes later is not added. Weights are not negative, so only pairs whose whole sum reaches that depend on the order,
+    and only their rows are run through: numbered once, then summed in blocks."""
+    whole = edge_weights(evidence)
+    full = whole.filter(F.col("weight") >= most).select("donor", "receptor")
+    rows = evidence.select("donor", "receptor", "weight", "ingest_seq").join(full, ["donor", "receptor"], "left_semi")
+    at = scans.ranked(rows, "_at", "ingest_seq")
+    before = scans.running(at, ["donor", "receptor"], "_at", {"_before": F.col("weight")})
+    cut = edge_weights(before.filter(F.col("_before") < most))
+    return whole.filter(F.col("weight") < most).unionByName(cut)

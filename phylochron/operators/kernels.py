@@ -140,11 +140,18 @@ def mixing(problem: Problem, rng: random.Random) -> list:
 
 def _merge(a: list[int], b: list[int], w: np.ndarray, rng: random.Random) -> list[int]:
     """The cheapest interleaving of a and b, where what stands earlier here comes later in time."""
-    n, m = len(a), len(b)
     ia, ib = np.array(a), np.array(b)
+    rest = (iter(a), iter(b))
+    return [next(rest[0 if first else 1]) for first in interleaved(w[np.ix_(ia, ib)], w[np.ix_(ib, ia)], rng)]
+
+
+def interleaved(a_gives: np.ndarray, b_gives: np.ndarray, rng: random.Random) -> list[bool]:
+    """Of the cheapest interleaving of two sequences, whether each element is the first one's. a_gives[i, j], b_gives[j, i]: the
+    weight that goes from one to the other, which is lost where the receiving one comes after."""
+    n, m = a_gives.shape
     # placing a[i] after b[:j] violates what b[:j] gives to a[i], and the other way round
-    cost_a = np.cumsum(w[np.ix_(ib, ia)], axis=0).T
-    cost_b = np.cumsum(w[np.ix_(ia, ib)], axis=0)
+    cost_a = np.cumsum(b_gives, axis=0).T
+    cost_b = np.cumsum(a_gives, axis=0)
     take_a = np.ones((n + 1, m + 1), bool)
     take_a[0, :] = False
     last = [0.0] * (m + 1)
@@ -161,12 +168,9 @@ def _merge(a: list[int], b: list[int], w: np.ndarray, rng: random.Random) -> lis
         last = row
     out, i, j = [], n, m
     while i or j:
-        if take_a[i, j]:
-            i -= 1
-            out.append(a[i])
-        else:
-            j -= 1
-            out.append(b[j])
+        first = bool(take_a[i, j])
+        i, j = (i - 1, j) if first else (i, j - 1)
+        out.append(first)
     return out[::-1]
 
 
