@@ -6,7 +6,6 @@ Exit codes: 0 success, 1 a dry run found errors, 2 bad options, 3 a result file
 from __future__ import annotations
 
 import argparse
-import itertools
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from .operators import evidence as ev
 from .operators import trees
 from .plans.rank import InputError, rank
 from .session import session
+from .shared import exists, write_text
 from .sources import archives, lines, newick, reports
 
 
@@ -33,22 +33,25 @@ def parser() -> argparse.ArgumentParser:
             raise argparse.ArgumentTypeError("a finite number of at least 0")
         return x
 
-    def count(text):
+    def count(text, least=0):
         x = int(text)
-        if x < 0:
-            raise argparse.ArgumentTypeError("a number of at least 0")
+        if x < least:
+            raise argparse.ArgumentTypeError(f"a number of at least {least}")
         return x
 
+    def some(text):
+        return count(text, 1)
+
     p = argparse.ArgumentParser(prog="phylochron", description=__doc__.split("\n")[0])
     p.add_argument("tree")
     p.add_argument("evidence", nargs="+")
     p.add_argument("--version", action="version", version=f"phylochron {__version__}")
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--local-search-max-iters", type=count, default=0, help="iterations of each search")
-    p.add_argument("--searches", type=count, default=1, help="independent searches, one task each")
+    p.add_argument("--searches", type=some, default=1, help="independent searches, one task each")
     p.add_argument("--local-search", "--ls", type=positive, default=0.0, help="seconds that each search takes at most; 0: no search unless iterations are given")
     p.add_argument("--checkpoint", help="folder of stored search states; a stopped run goes on from there")
-    p.add_argument("--checkpoint-interval", type=count, default=1000, help="iterations from one stored state to the next")
+    p.add_argument("--checkpoint-interval", type=some, default=1000, help="iterations from one stored state to the next")
     p.add_argument("--temperature", "--t", type=positive)
     p.add_argument("--random-type", "--r", type=int, choices=(0, 1, 2), default=0)
     p.add_argument("--min-transfer-distance", "--d", type=float)
@@ -59,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mcmc-temperature", type=lambda x: None if x == "auto" else positive(x))
     p.add_argument("--mcmc-burn-in", type=count)
     p.add_argument("--mcmc-thin", type=count)
-    p.add_argument("--near-optimal-top-k", type=count, default=10)
+    p.add_argument("--near-optimal-top-k", type=some, default=10)
     p.add_argument("--target-clade")
     p.add_argument("--target-clade-ancestor-map", action="store_true")
     p.add_argument("--from", dest="tool", choices=("auto", *reports.TOOLS))
@@ -72,7 +75,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--quiet-adapters", action="store_true", help="no warnings about reports")
     p.add_argument("--ale-source", choices=("trf", "rec"), default="trf")
     p.add_argument("--min-endpoint-hit-rate", type=share, default=0.5)
-    p.add_argument("-o", "--constraints-out", help="write the evidence of reports there, and stop")
+    p.add_argument("-o", "--constraints-out", help="write the evidence there, as a folder of text files, and stop")
     p.add_argument("-p", "--output-prefix")
     p.add_argument("-f", "--force", action="store_true")
     p.add_argument("--html", action="store_true")
@@ -126,7 +129,7 @@ def preflight(spark: SparkSession, a) -> list[tuple[str, str, str]]:
         return out
     try:
         rows = lines.read(spark, *a.evidence, strict=False)
-        out += [("error", "evidence", f"{r['problem']}: {r['donor']} {r['receptor']}") for r in rows.filter("problem IS NOT NULL").limit(20).collect()]
+        out += [("error", "evidence", f"{r['file']}:{r['line']}: {r['problem']}: {r['donor']} {r['receptor']}") for r in rows.filter("problem IS NOT NULL").limit(20).collect()]
         out += [("error", "endpoint", f"{r['label']!r} ({r['n']} times) is not in the tree") for r in ev.unknown_endpoints(rows.filter("problem IS NULL"), nodes).orderBy("label").limit(20).collect()]
         if not rows.count():
             out.append(("warning", "evidence", "there is none"))
@@ -153,15 +156,15 @@ def main(argv: list[str] | None = None) -> int:
         newick.check(newick.parse(spark.read.text(a.tree, wholetext=True).first()[0].replace("\n", "")))
         evidence = load(spark, nodes, a)
         if a.constraints_out:
-            rows = evidence.orderBy("family", "donor", "receptor").toLocalIterator()  # a partition at a time
-            text = (f"{r['family'] or ''},{r['donor']},{r['receptor']},{r['weight']},{'' if r['distance'] is None else r['distance']}\n" for r in rows)
-            report.write_text(a.constraints_out, itertools.chain(["# family,donor,receptor,weight,distance\n"], text), a.force)
+            if exists(spark, a.constraints_out) and not a.force:
+                raise FileExistsError(f"{a.constraints_out} exists; force overwrites it")
+            lines.write(evidence, a.constraints_out)
             return 0
-        r = rank(spark, nodes, evidence, distance=a.min_transfer_distance, threshold=a.threshold_constraints, clade=a.target_clade, map_ancestors=a.target_clade_ancestor_map, seed=a.seed, iterations=a.local_search_max_iters, temperature=a.temperature, searches=max(1, a.searches), near_optimal=max(1, a.near_optimal_top_k), random_trees=a.random_trees, chain_iterations=a.mcmc_iters, seconds=a.local_search or None, chain_temperature=a.mcmc_temperature, burn_in=a.mcmc_burn_in, thin=a.mcmc_thin, checkpoint=a.checkpoint, checkpoint_every=max(1, a.checkpoint_interval))
+        r = rank(spark, nodes, evidence, distance=a.min_transfer_distance, threshold=a.threshold_constraints, clade=a.target_clade, map_ancestors=a.target_clade_ancestor_map, seed=a.seed, iterations=a.local_search_max_iters, temperature=a.temperature, searches=a.searches, near_optimal=a.near_optimal_top_k, random_trees=a.random_trees, chain_iterations=a.mcmc_iters, seconds=a.local_search or None, chain_temperature=a.mcmc_temperature, burn_in=a.mcmc_burn_in, thin=a.mcmc_thin, checkpoint=a.checkpoint, checkpoint_every=a.checkpoint_interval)
         prefix = a.output_prefix or archives.logical_path(a.evidence[0])
         report.write_files(r, prefix, a.force)
         if a.html:
-            report.write_text(prefix + ".html", report.page(r, a.evidence[0], a.lang), a.force)
+            write_text(spark, prefix + ".html", report.page(r, a.evidence[0], a.lang), a.force)
         print("\n".join(report.summary_lines(r, a.evidence[0])))
         return 0
     except FileExistsError as e:

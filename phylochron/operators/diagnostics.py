@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def run_stats(chain: DataFrame) -> DataFrame:
     """(chain_id, samples, distinct_states, duplicates, longest_run): repeats of neighbours and the longest run."""
@@ -28,26 +30,35 @@ def energy_summary(chain: DataFrame) -> DataFrame:
     return chain.groupBy("chain_id").agg(F.round(F.avg("energy"), 6).alias("mean"), F.min("energy").alias("low"), F.max("energy").alias("high"), F.round(F.stddev_pop("energy"), 6).alias("sd"))
 
 
-#: The most lags that an effective sample size sums over.
-LAGS = 500
-
+#: The most lags that an effective sample size sums over, and the steps of a block.
+LAGS, BLOCK = 500, 4096
 
-def autocorrelation(chain: DataFrame, lags: int = LAGS) -> DataFrame:
-    """(chain_id, lag, rho): autocovariance at each lag over the variance, by one Fourier transform a chain. A chain's energies
-    are one array of 8 bytes a step in its task; steps that are missing count for nothing."""
 
-    def run(key, group):
-        step, energy = group.column("step").to_numpy(), group.column("energy").to_numpy().astype(float)
-        x = np.zeros(int(step.max() - step.min()) + 1)
-        np.add.at(x, step - step.min(), energy - energy.mean())
-        wide = 1 << (2 * len(x) - 1).bit_length()
-        product = np.fft.irfft(np.abs(np.fft.rfft(x, wide)) ** 2, wide)[1 : min(lags, len(x) - 1) + 1]
-        spread = float(np.var(energy))
-        rho = product / len(energy) / spread if spread > 0 else product[:0]
-        return pa.table({"chain_id": pa.array([key[0].as_py()] * len(rho), pa.int64()), "lag": pa.array(np.arange(1, len(rho) + 1)), "rho": pa.array(rho)})
+def autocorrelation(chain: DataFrame, lags: int = LAGS, block: int = BLOCK) -> DataFrame:
+    """(chain_id, lag, rho): autocovariance at each lag over the variance. Steps are numbered by their rank, so gaps between them
+    count for nothing.
 
+    A chain is cut into blocks; a block also gets the first `lags` steps after it, sums the products of its own steps with those
+    ahead, and the blocks' sums are added up. So a chain of any length is as many tasks' work, and a task holds one block.
+    """
+    block = max(block, lags)
     rows = chain.select(F.col("chain_id").cast("long").alias("chain_id"), F.col("step").cast("long").alias("step"), F.col("energy").cast("double").alias("energy"))
-    return rows.groupBy("chain_id").applyInArrow(run, "chain_id long, lag long, rho double")
+    rows = scans.ranked(rows, "_at", "chain_id", "step")
+    each = rows.groupBy("chain_id").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"), F.avg("energy").alias("_mean"), F.var_pop("energy").alias("_var")).filter("_var > 0")
+    at = scans.beside(rows, each.select("chain_id", "_from", "_mean"), "chain_id").select("chain_id", (F.col("_at") - F.col("_from")).alias("at"), (F.col("energy") - F.col("_mean")).alias("x"))
+    own = F.floor(F.col("at") / block).cast("long")
+    places = F.when((F.col("at") % block < lags) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    blocks = at.withColumn("block", F.explode(places))
+
+    def run(key, group):
+        place, x = group.column("at").to_numpy(), group.column("x").to_numpy()
+        x = x[np.argsort(place)]
+        own = min(len(x), block)
+        sums = [float(x[: min(own, len(x) - k)] @ x[k : k + own]) for k in range(1, min(lags, len(x) - 1) + 1)]
+        return pa.table({"chain_id": pa.array([key[0].as_py()] * len(sums), pa.int64()), "lag": pa.array(range(1, len(sums) + 1), pa.int64()), "s": pa.array(sums, pa.float64())})
+
+    sums = blocks.groupBy("chain_id", "block").applyInArrow(run, "chain_id long, lag long, s double").groupBy("chain_id", "lag").agg(F.sum("s").alias("s"))
+    return scans.beside(sums, each, "chain_id").select("chain_id", "lag", (F.col("s") / F.col("_n") / F.col("_var")).alias("rho"))
 
 
 def effective_samples(chain: DataFrame, lags: int = LAGS) -> DataFrame:

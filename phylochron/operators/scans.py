@@ -34,6 +34,19 @@ def running(rows: DataFrame, keys: list[str], at: str, columns: dict[str, Column
     return out.withColumns({c: combine(F.col(f"_near_{c}"), F.col(f"_before_{c}")) for c in columns}).drop("_block", *[f"{p}{c}" for c in columns for p in ("_in_", "_near_", "_before_")])
 
 
+#: Rows of a side table that are broadcast at most.
+FEW = 100_000
+
+
+def beside(rows: DataFrame, small: DataFrame, *keys: str) -> DataFrame:
+    """rows joined with the one row of `small` for their keys. Its rows are counted: few are broadcast, so that a key of very many
+    rows stays where it is; with more, keys are many, and each is split further by a number of the row."""
+    if small.count() <= FEW:
+        return rows.join(F.broadcast(small), list(keys))
+    split = small.withColumn("_split", F.explode(F.array(*[F.lit(k) for k in range(16)])))
+    return rows.withColumn("_split", F.pmod(F.hash(*rows.columns), F.lit(16))).join(split, [*keys, "_split"]).drop("_split")
+
+
 def spread(rows: DataFrame, start: Column, count: Column, name: str, block: int = BLOCK) -> DataFrame:
     """rows, each repeated for the numbers start, start + 1, ... of its range of `count`, which is column `name`; a range of 0 has
     none. Ranges are cut into blocks first, so a long one is no long array."""

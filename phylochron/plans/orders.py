@@ -3,14 +3,20 @@ a family); the tree is one, small, and travels with the plan. Each group is one
 
 from __future__ import annotations
 
+import hashlib
 import random
+import threading
 import time
+import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kernels
+from ..shared import complete, read_text, write_text
 
 ORDER = "instance_id long, method string, label string, pos long"
 SCORE = "instance_id long, method string, value double, similarity double"
@@ -148,28 +154,85 @@ def advanced(states: DataFrame, edges: DataFrame, nodes: DataFrame, iterations:
     return both.groupBy("instance_id", "seed").applyInArrow(run, STATE.format(kind=kind))
 
 
-def resumed(edges: DataFrame, nodes: DataFrame, seeds: list[int], iterations: int, temperature: float, folder: str, every: int) -> DataFrame:
-    """The states of searches after `iterations` steps, stored in folder after each `every` steps. A call that finds
-    states there, of a run that was stopped, goes on from the last ones."""
+class CheckpointError(ValueError):
+    """Stored states that belong to another search."""
+
+
+#: Changes when a search would give other states from the same input.
+KERNEL = "moves-1"
+
+
+def identity(edges: DataFrame, nodes: DataFrame, seeds: list[int], temperature: float) -> str:
+    """A digest of all that decides a search's states: tree, edges whatever their order, seeds, temperature and kernel."""
+
+    def of(df: DataFrame, *columns) -> str:
+        one = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.sum(F.hash(*columns).cast("long"))).first()
+        return ",".join(map(str, one))
+
+    tree = of(nodes, "label", "parent", "is_leaf", "preorder")
+    given = of(edges, "instance_id", "donor", "receptor", F.col("weight").cast("double"), "first_seq")
+    return hashlib.sha256("|".join([tree, given, ",".join(map(str, seeds)), repr(float(temperature)), KERNEL]).encode()).hexdigest()
+
+
+def resumed(edges: DataFrame, nodes: DataFrame, seeds: list[int], iterations: int, temperature: float, folder: str, every: int, stop: Callable[[], bool] | None = None) -> DataFrame:
+    """The states of searches after `iterations` steps, stored in folder after each `every` steps. A call that finds states there,
+    of a run that was stopped, goes on from the last ones that were written to their end; a folder that holds another
+    search's states (see `identity`) is an error.
+
+    stop: asked between slices and, from a thread, while one runs; once it says yes the running slice is cancelled, and the last states
+    stored are the result.
+    """
     spark, done, states = edges.sparkSession, 0, None
+    own, there = identity(edges, nodes, seeds, temperature), read_text(spark, f"{folder}/identity")
+    if there is None:
+        write_text(spark, f"{folder}/identity", own)
+    elif there.strip() != own:
+        raise CheckpointError(f"{folder} holds the states of a search with another tree, evidence, seed or temperature")
     while True:
         path = f"{folder}/{done:012d}"
-        try:
-            found = spark.read.parquet(path)
-            found.limit(1).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        if not complete(spark, path):
+            if states is not None and stop is not None and stop():
+                return states
             made = start_states(edges, nodes, seeds) if states is None else advanced(states, edges, nodes, step, temperature)
-            made.write.mode("overwrite").parquet(path)
-            found = spark.read.parquet(path)
-        states = found
+            with cancelled_by(spark, stop if states is not None else None) as ended:
+                try:
+                    made.write.mode("overwrite").parquet(path)
+                except Exception:
+                    if not ended():
+                        raise
+                    return states
+        states = spark.read.parquet(path)
         if done >= iterations:
             return states
         step = min(every, iterations - done)
         done += step
 
 
+@contextmanager
+def cancelled_by(spark: SparkSession, stop: Callable[[], bool] | None, seconds: float = 0.1):
+    """Jobs that this thread starts meanwhile are cancelled as soon as stop() says yes; gives a function that tells whether it did."""
+    if stop is None:
+        yield lambda: False
+        return
+    context, tag, over, said = spark.sparkContext, f"stop-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch():
+        while not over.wait(seconds):
+            if stop():
+                said.set()
+                context.cancelJobsWithTag(tag)
+
+    context.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield said.is_set
+    finally:
+        over.set()
+        watcher.join()
+        context.removeJobTag(tag)
+
+
 def search_slice(problem: kernels.Problem, start: list, iterations: int, temperature: float, rng: random.Random):
     """A part of a search: the best order and value in it, the steps, and the order and value at its end."""
     last: list = [start, kernels.value(problem, start)]

@@ -3,6 +3,8 @@ delivered order is explained by tables."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
 from ..operators import kernels, scoring, trees
+from ..shared import folder
 from . import orders
 
 
@@ -48,13 +51,15 @@ def validate(nodes: DataFrame, evidence: DataFrame) -> None:
         raise InputError(f"endpoints that the tree does not have: {[r['label'] for r in lost]}")
 
 
-def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance: float | None = None, threshold: float = 0.0, clade=None, map_ancestors: bool = False, seed: int = 42, iterations: int = 0, temperature: float | None = None, searches: int = 1, near_optimal: int = 10, random_trees: int = 0, chain_iterations: int = 0, chains: int = 1, seconds: float | None = None, chain_temperature: float | None = None, burn_in: int | None = None, thin: int | None = None, checkpoint: str | None = None, checkpoint_every: int = 1000) -> Result:
+def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance: float | None = None, threshold: float = 0.0, clade=None, map_ancestors: bool = False, seed: int = 42, iterations: int = 0, temperature: float | None = None, searches: int = 1, near_optimal: int = 10, random_trees: int = 0, chain_iterations: int = 0, chains: int = 1, seconds: float | None = None, chain_temperature: float | None = None, burn_in: int | None = None, thin: int | None = None, checkpoint: str | None = None, checkpoint_every: int = 1000, stop_check: Callable[[], bool] | None = None) -> Result:
     """Ranks the internal nodes of the tree `nodes` (label, parent, is_leaf, length, preorder, depth).
 
     evidence: (donor, receptor, weight, distance, ingest_seq). threshold: share of the weight to drop, lightest edges
     first. iterations: of each of `searches` independent searches, which end after `seconds` at the latest. random_trees: orders
     of the null distribution. chain_temperature, burn_in, thin: of the chains. checkpoint: a folder for the searches' states,
-    stored after every `checkpoint_every` iterations; a stopped run goes on from there (then no near-optimal orders are kept).
+    stored after every `checkpoint_every` iterations; a stopped run of the same search goes on from there (then no near-optimal orders
+    are kept). stop_check: searches end soon after it says yes, with the states stored last (in a folder of their own without
+    checkpoint); chains are then left out.
     """
     if not 0 <= threshold <= 1:
         raise InputError("threshold is a share between 0 and 1")
@@ -91,9 +96,13 @@ def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance
     method = "greedy" if value["greedy"] <= value["mixing"] else "mixing"
     best, best_value = start[method], value[method]
     near = None
-    if iterations and checkpoint:
+    stopped = False
+    if iterations and (checkpoint or stop_check):
         heat = temperature if temperature is not None else max(usable.agg(F.sum("weight")).first()[0] or 0, 1) / 100
-        states = orders.resumed(usable, nodes, [seed + k for k in range(searches)], iterations, heat, checkpoint, checkpoint_every)
+        states = orders.resumed(usable, nodes, [seed + k for k in range(searches)], iterations, heat, checkpoint or f"{folder(spark)}/search-{uuid.uuid4().hex}", checkpoint_every, stop_check)
+        stopped = stop_check is not None and (states.agg(F.min("done")).first()[0] or 0) < iterations and usable.limit(1).count() > 0
+        if stopped:
+            warnings.append(f"the search was stopped after {states.agg(F.min('done')).first()[0]} of {iterations} iterations")
         top = states.orderBy("best_value", "seed").first()
         if top is not None and top["best_value"] < best_value:
             best, best_value, method = list(top["best"]), top["best_value"], "search"
@@ -124,7 +133,7 @@ def rank(spark: SparkSession, nodes: DataFrame, evidence: DataFrame, *, distance
         out.random = zero.join(scoring.values(usable, pos), "order_id", "left").join(sim, "order_id").select("order_id", F.coalesce("value", F.lit(0.0)).alias("value"), "similarity").cache()
         p = scoring.permutation_test(out.random, best_value + 1e-9, summary["similarity"] - 1e-12).first()
         out.summary |= {"random_n": p["n"], "p_value": p["p_value"], "p_similarity": p["p_similarity"]}
-    if chain_iterations:
+    if chain_iterations and not stopped:
         out.chain = orders.chains(usable, nodes, [seed + k for k in range(chains)], chain_iterations, temperature if chain_temperature is None else chain_temperature, burn_in, thin)
     out.ranked_newick = ranked_newick(problem, best)
     return out

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import html
-import os
-import tempfile
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import diagnostics
 from .plans.rank import Result
+from .shared import exists, write_text
 
 SUFFIXES = {"informative": ".informative.tsv", "conflicts": ".conflicts.tsv", "partial_order": ".partial_order.tsv", "random": ".random.tsv"}
 
@@ -56,25 +54,15 @@ def tables(r: Result) -> dict[str, list[str]]:
     return out
 
 
-def write_text(path: str, text: str | Iterable[str], force: bool = False) -> None:
-    """The whole text, or all its parts, or nothing; an existing file only with force."""
-    if os.path.exists(path) and not force:
-        raise FileExistsError(f"{path} exists; force overwrites it")
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    fd, part = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.writelines([text] if isinstance(text, str) else text)
-    os.replace(part, path)
-
-
 def write_files(r: Result, prefix: str, force: bool = False) -> list[str]:
     """The result files; none is written if one of them exists and force is not given."""
     found = {prefix + SUFFIXES[k]: "".join(x + "\n" for x in v) for k, v in tables(r).items()}
-    there = [p for p in found if os.path.exists(p)]
+    spark = r.informative.sparkSession
+    there = [p for p in found if exists(spark, p)]
     if there and not force:
         raise FileExistsError(f"{', '.join(there)}: exists; force overwrites it")
     for path, text in found.items():
-        write_text(path, text, True)
+        write_text(spark, path, text, force)
     return list(found)
 
 

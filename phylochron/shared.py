@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +36,56 @@ def files(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = files(spark, path)
+    return store.exists(place)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to its end: Spark's commit marks it."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, null if there is none."""
+    if not exists(spark, path):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_text(spark: SparkSession, path: str, text: str | Iterable[str], force: bool = False) -> None:
+    """The whole text, or all its parts, or nothing, on whatever file system the path names: a hidden file is written, which then
+    takes the name. Without force a name that exists is an error, also if another writer takes it in the meantime."""
+    jvm = spark._jvm
+    store, place = files(spark, path)
+    place = store.makeQualified(place)
+    if store.exists(place) and not force:
+        raise FileExistsError(f"{path} exists; force overwrites it")
+    store.mkdirs(place.getParent())
+    own = jvm.org.apache.hadoop.fs.FileSystem.newInstance(place.toUri(), spark._jsc.hadoopConfiguration())
+    part = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}.{uuid.uuid4().hex}")
+    try:
+        own.setWriteChecksum(False)  # no files beside the results
+        out = own.create(part, False)
+        try:
+            for piece in [text] if isinstance(text, str) else text:
+                out.write(bytearray(piece.encode()))
+        finally:
+            out.close()
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE if force else kind.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(part, place, how)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise FileExistsError(f"{path} exists; force overwrites it") from e
+            raise
+    finally:
+        own.delete(part, False)
+        own.close()
+
+
 class Steps:
     """The tables of an algorithm of many steps: all but the result are deleted at its end."""
 
