@@ -17,8 +17,12 @@ namespace or more, a set with k shared keys needs only the k - t + 1 rarest of t
   1. keys of up to FEW sets: their pairs;
   2. larger keys: each set against one hub, the member that shares most with others, in HUB_ROUNDS rounds. Links become
      components, and keys whose sets are of one component are done;
-  3. what is left of the larger keys, by counts and prefixes taken anew over these keys alone (a pair not yet seen has
-     all its common keys there): sizes and parity sketches are compared inside the join, so only possible pairs are rows.
+  3. what is left of the larger keys (counts and prefixes of keys are taken anew over these keys alone, as a pair not yet
+     seen has all its common keys there). Their sets may share a passage without being similar, so a key is not paired out:
+     of two similar sets the smaller has one of its n - 2s/(1+s) n + 1 rarest shingles among the larger's n - s n + 1
+     rarest, whatever order "rare" is; it is by the number of these sets that have a shingle. Sets with a passage in common and
+     their own text beside it have their own shingles there, and meet nobody. Of each shingle the sets of its largest component
+     meet only the others. Sizes and parity sketches are compared inside the join, so only possible pairs are rows.
 256-bit parity sketches (each element flips one bit; the Hamming distance is at most the difference of the sets) drop
 most pairs, and the texts of the rest are compared exactly.
 
@@ -378,6 +382,39 @@ def rarest(keys: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(of_set.orderBy("size", "key"))).filter("rank <= k - t + 1").select(*keys.columns)
 
 
+def _elements(batches):
+    """The shingles of compressed texts, a row each: rep, d1, n, e."""
+    reader = zstandard.ZstdDecompressor()
+    for b in batches:
+        size = np.array([zstandard.frame_content_size(x.as_buffer()) for x in b.column(1)], np.int64)
+        for lo, end in _runs(size, CHUNK_BYTES):
+            part = b.slice(lo, end - lo)
+            v, doc, first = shingles(pa.array([reader.decompress(x.as_buffer()).decode() for x in part.column(1)], pa.string()))
+            d1 = _sums(mix(v + _U(0x51ED270B)), first).view(np.int64)
+            rep = part.column(0).to_numpy()
+            for at in range(0, len(v), 100_000):
+                d = doc[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(rep[d]), pa.array(d1[d]), pa.array(np.diff(first)[d]), pa.array(v[at : at + 100_000].view(np.int64))], names=["rep", "d1", "n", "e"])
+
+
+def rare_pairs(sets: DataFrame, members: DataFrame, stored, parts: int, percent: int = PERCENT) -> DataFrame:
+    """(a, b): pairs of sets (rep, d1, n, s0 to s3, component) of different components that may be similar, by their rarest shingles."""
+    texts = members.join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "members")
+    rows = texts.mapInArrow(_elements, "rep long, d1 long, n long, e long").join(sets.select("rep", "d1"), ["rep", "d1"], "left_semi").distinct()
+    rows = stored(rows, "elements")
+    count = rows.groupBy("e").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("rep", "d1").orderBy("df", "e"))
+    ceil = lambda a, b: F.expr(f"({a} + {b} - 1) div ({b})")
+    probe, index = F.col("n") - ceil(f"{percent} * n", 100) + 1, F.col("n") - ceil(f"{2 * percent} * n", 100 + percent) + 1
+    rows = rows.join(count, "e").withColumn("rank", rank).filter((F.col("rank") <= probe) & (F.col("df") > 1)).select("e", "rep", "d1", (F.col("rank") <= index).alias("index"))
+    rows = stored(rows.join(sets, ["rep", "d1"]), "prefix", parts)
+    by = rows.groupBy("e", "component").agg(F.count("*").alias("k")).groupBy("e").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("components")).filter("components > 1")
+    rows = rows.join(by.select("e", "major"), "e")
+    smaller = F.when(F.expr("struct(p.n, p.rep, p.d1) < struct(q.n, q.rep, q.d1)"), F.col("p.index")).otherwise(F.col("q.index"))
+    pairs = rows.filter("component <> major").alias("p").join(rows.alias("q"), F.expr("p.e = q.e AND p.component <> q.component AND p.rep <> q.rep") & smaller & _alike(percent, "p", "q"))
+    return pairs.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
+
+
 def open_keys(keys: DataFrame, label: DataFrame | None) -> DataFrame:
     """keys with the component of each set, of keys that hold several components."""
     if label is None:
@@ -440,10 +477,9 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 pairs = likely(hub_pairs(at, tested), classes, percent)
             else:
                 left = sized(at.select("key", "d1").distinct(), classes, percent)
-                left = open_keys(rarest(left), label).join(classes.select("rep", "n", "s0", "s1", "s2", "s3"), "rep")
-                left = stored(left, "left", parts)
-                pairs = left.alias("p").join(left.alias("q"), F.expr("p.key = q.key AND p.rep < q.rep AND p.component <> q.component") & _alike(percent, "p", "q"))
-                pairs = pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+                left = open_keys(rarest(left), label).select("rep", "d1", "component").distinct()
+                left = stored(left.join(classes.select("rep", "d1", "n", "s0", "s1", "s2", "s3"), ["rep", "d1"]), "left", parts)
+                pairs = rare_pairs(left, members, stored, parts, percent).join(tested, ["a", "b"], "left_anti")
             pairs = stored(pairs, "pairs", parts)
             tested = pairs if tested is None else tested.unionByName(pairs)
             count = pairs.count()
