@@ -330,6 +330,62 @@ def test_audit_sees_rare_and_uneven_links():
     assert pairs() == set(zip(*(x.tolist() for x in np.nonzero(unit(asked) @ unit(raw).T >= 0.95))))
 
 
+def test_graph_finds_rare_pairs_with_few_cosines(monkeypatch):
+    made, against, pairwise = [0], op7_embeddings.against, op7_embeddings.pairwise
+
+    def counted(f, size):
+        def run(a, b):
+            made[0] += size(a, b)
+            return f(a, b)
+
+        return run
+
+    monkeypatch.setattr(op7_embeddings, "against", counted(against, lambda a, b: len(a) * len(b)))
+    monkeypatch.setattr(op7_embeddings, "pairwise", counted(pairwise, lambda a, b: len(a)))
+    rng, n = np.random.default_rng(1), 8000
+    x = rng.normal(size=(n, 64))
+    x[-100:] = x[:100] + 0.2 * rng.normal(size=(100, 64))  # links of 200 vectors, none of any other
+    ids = np.arange(n)
+    g = op7_embeddings.Graph(op7_embeddings.unit(x).astype(np.float32), ids.view(np.uint64))
+    width, recall = op7_embeddings.self_audited(g, x, ids, 0.95)
+    audits = []
+    got = {(i, j) for a, b in op7_embeddings.found(g, x, x, 0.95, ids, ids, width, audits) for i, j in zip(a.tolist(), b.tolist()) if i != j}
+    assert made[0] < 0.4 * n * n and width < n // 8 and recall >= op7_embeddings.RECALL
+    u = op7_embeddings.unit(x)
+    true = {(int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.95), strict=True) if i != j}
+    assert got <= true and len(got) >= 0.95 * len(true) and len(audits) == 1
+    # the audits compare a fixed number of queries with the shard, whether links are rare or not
+    made[0] = 0
+    asked = op7_embeddings.Asked(g, x, x, 0.95, ids, ids)
+    asked.counts(op7_embeddings.drawn(ids, op7_embeddings.AUDIT), n)
+    assert made[0] <= op7_embeddings.AUDIT * (n + 200)
+
+
+def test_planted_copies_are_within_the_threshold():
+    for dim in (1, 2, 64):
+        raw = np.random.default_rng(3).normal(size=(50, dim))
+        probes = op7_embeddings.planted(raw, np.arange(50), 0.95)
+        assert len(probes) == 50 and (np.abs(op7_embeddings.pairwise(op7_embeddings.unit(probes), op7_embeddings.unit(raw[op7_embeddings.drawn(np.arange(50), 50)]))) >= 0.95 - 1e-9).all()
+
+
+def test_diverse_against_plain_loops():
+    rng = np.random.default_rng(7)
+    x = op7_embeddings.unit(rng.normal(size=(60, 5))).astype(np.float32)
+    cand = np.array([rng.permutation(60)[:20] for _ in range(30)])
+    sim = np.einsum("mcd,md->mc", x[cand], x[30:])
+    order = np.argsort(-sim, 1)
+    cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
+    sim[:, 15:] = -np.inf
+    sim[0] = -np.inf
+    for row, got in enumerate(op7_embeddings.diverse(x, cand, sim, 8)):
+        kept, left = [], []
+        for c, s in zip(cand[row].tolist(), sim[row].tolist(), strict=True):
+            if s > -np.inf:
+                (kept if len(kept) < 8 and all(x[k] @ x[c] < s for k in kept) else left).append(c)
+        want = (kept + left)[:8]
+        assert got.tolist() == want + [-1] * (8 - len(want))
+
+
 def test_embeddings_of_one_large_group_and_of_many_dimensions(spark, monkeypatch):
     monkeypatch.setattr(op7_embeddings, "PAIRS", 5000)
     rng = np.random.default_rng(8)
