@@ -371,7 +371,7 @@ def test_planted_copies_are_within_the_threshold():
 def test_diverse_against_plain_loops():
     rng = np.random.default_rng(7)
     x = op7_embeddings.unit(rng.normal(size=(60, 5))).astype(np.float32)
-    cand = np.array([rng.permutation(60)[:20] for _ in range(30)])
+    cand = np.array([rng.permutation(30)[:20] for _ in range(30)])  # not the nodes themselves
     sim = np.einsum("mcd,md->mc", x[cand], x[30:])
     order = np.argsort(-sim, 1)
     cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
