@@ -39,8 +39,8 @@ COSINE = 0.95
 #: Nodes of a shard, while there are few shards and at most; queries of a block likewise.
 SHARD, MANY_SHARDS, SHARD_MOST = 8192, 8, 200_000
 BLOCK, MANY_BLOCKS, BLOCK_MOST = 512, 16, 65_536
-#: Links a node gets and keeps in a layer; beams for building and for the first asking; a layer holds a so-manieth of the one below.
-LINKS, KEPT, BUILD_BEAM, BEAM, THIN = 12, 24, 40, 12, 16
+#: Links a node gets and keeps in a layer; beams for building, for the first asking and in the layers above; a layer holds a so-manieth of the one below.
+LINKS, KEPT, BUILD_BEAM, BEAM, ENTRIES, THIN = 12, 24, 40, 12, 12, 16
 #: Queries of the audits of a shard and of a block, and the share of its links that the mean one must find.
 PLANTED, AUDIT, RECALL = 192, 48, 0.995
 #: Pairs compared at once, and the bytes of vectors that a shard or a block of queries holds at most.
@@ -75,9 +75,11 @@ def beam(x, near, q, start, width: int):
         todo = np.zeros((m, width), bool)
         s0 = start[lo : lo + step]
         k = min(s0.shape[1], width)
-        ids[:, :k] = s0[:, :k]
-        sims[:, :k] = pairwise(x[s0[:, :k].ravel()], np.repeat(part, k, 0)).reshape(m, k)
-        todo[:, :k] = True
+        s0 = s0[:, :k]
+        once = ~np.tril(s0[:, :, None] == s0[:, None, :], -1).any(2)  # an entry that is given twice counts once
+        ids[:, :k] = np.where(once, s0, n)
+        sims[:, :k] = np.where(once, pairwise(x[s0.ravel()], np.repeat(part, k, 0)).reshape(m, k), -np.inf)
+        todo[:, :k] = once
         np.put_along_axis(seen, ids, True, 1)
         live = rows
         while len(live):
@@ -209,7 +211,7 @@ class Graph:
         at = None
         for own, near in self.layers[:layers]:
             start = np.zeros((len(q), 1), np.int64) if at is None else np.searchsorted(own, at)
-            i, _ = beam(self.x[own], near, q, start, 2)
+            i, _ = beam(self.x[own], near, q, start, min(ENTRIES, len(own)))
             at = own[np.where(i < 0, i[:, :1], i)]
         return np.searchsorted(nodes, at)
 
