@@ -1,13 +1,13 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
 Equal vectors are one class and one node. Nodes are dealt to shards by hash; each shard builds its graph (layers
-by hash, batches inserted by beam search, diverse neighbours kept). The shard then audits itself: PLANTED perturbed copies of
+by hash, batches inserted by beam search, diverse neighbours kept; the small topmost layer is compared as a whole to find entries). The shard then audits itself: PLANTED perturbed copies of
 its own nodes, each within the threshold of at least one, are compared with the whole shard, and beams are widened until the mean
 copy finds RECALL of its links. Nodes are dealt to blocks of queries as well; a block's task reads the shards' graphs from their
 table one by one and asks each, so no vector is copied per shard and nothing is shuffled. It audits AUDIT queries of its own in the same
 way and widens its beams further where they fail. Both audits have a fixed number of queries, so what they compare is linear in the
-shard; a shard of few links is measured as well as one of many. A query whose beam is full of links gets a wider one, in the
-end a comparison with the whole shard, as all of its links must be counted. Candidates are verified by cosine in double precision.
+shard; a shard of few links is measured as well as one of many. A query whose beam is full of links gets a wider one, or
+a comparison with the whole shard where that costs less, as all of its links must be counted. Candidates are verified by cosine in double precision.
 
 A block returns for each query how many vectors it links to, and of its links with a shard a spanning forest only, so the rows
 stay linear in the nodes however large a group of near copies is; components of the forests are those of all links.
@@ -37,12 +37,20 @@ from .op3_warc import opened
 
 COSINE = 0.95
 #: Nodes of a shard, while there are few shards and at most; queries of a block likewise.
-SHARD, MANY_SHARDS, SHARD_MOST = 8192, 8, 200_000
+SHARD, MANY_SHARDS, SHARD_MOST = 2048, 4, 200_000
 BLOCK, MANY_BLOCKS, BLOCK_MOST = 512, 16, 65_536
 #: Links a node gets and keeps in a layer; beams for building, for the first asking and in the layers above; a layer holds a so-manieth of the one below.
-LINKS, KEPT, BUILD_BEAM, BEAM, ENTRIES, THIN = 12, 24, 40, 12, 12, 16
-#: Queries of the audits of a shard and of a block, and the share of its links that the mean one must find.
-PLANTED, AUDIT, RECALL = 192, 48, 0.995
+LINKS, KEPT, BUILD_BEAM, BEAM, ENTRIES, THIN = 12, 24, 40, 12, 12, 32
+#: Nodes that a beam opens at once (EXPAND * KEPT below 256); the topmost layer has at least TOP nodes, about THIN times as many at most.
+EXPAND, TOP = 4, 64
+#: Queries that a beam search takes at once, so that their vectors stay in a core's cache.
+BATCH = 128
+#: What a node costs that a beam looks at, in nodes of a comparison with the whole shard (measured: 20 to 80). A wider beam that would cost more than the
+#: whole shard isn't tried.
+SINGLY = 8
+#: Queries of the audits of a shard and of a block, and the share of its links that the mean one must find. So many planted copies tell shares a
+#: few times finer than the one that may be lost: of 192, a single lost copy would be too many.
+PLANTED, AUDIT, RECALL = 512, 48, 0.995
 #: Pairs compared at once, and the bytes of vectors that a shard or a block of queries holds at most.
 PAIRS, GROUP_BYTES = 4_000_000, 64 << 20
 
@@ -63,13 +71,13 @@ def unit(v):
 def beam(x, near, q, start, width: int):
     """Beam search of queries q in a layer: ids and similarities of the best `width`, best first (-1: none)."""
     n, out_id, out_s = len(x), np.full((len(q), width), -1, np.int64), np.full((len(q), width), -np.inf, np.float32)
-    step = max(16, min(512, 16_000_000 // max(n, 1)))
+    step = max(16, min(BATCH, 16_000_000 // max(n, 1)))
     for lo in range(0, len(q), step):
         part = q[lo : lo + step]
         m = len(part)
         rows = np.arange(m)
-        seen = np.zeros((m, n + 1), bool)  # the last column stands for no neighbour
-        seen[:, n] = True
+        seen = np.zeros((m, n + 1), np.uint8)  # the last column stands for no neighbour
+        seen[:, n] = 1
         ids = np.full((m, width), n, np.int64)
         sims = np.full((m, width), -np.inf, np.float32)
         todo = np.zeros((m, width), bool)
@@ -80,28 +88,30 @@ def beam(x, near, q, start, width: int):
         ids[:, :k] = np.where(once, s0, n)
         sims[:, :k] = np.where(once, pairwise(x[s0.ravel()], np.repeat(part, k, 0)).reshape(m, k), -np.inf)
         todo[:, :k] = once
-        np.put_along_axis(seen, ids, True, 1)
-        live = rows
+        np.put_along_axis(seen, ids, 1, 1)
+        live, most = rows, min(EXPAND, width)
         while len(live):
             score = np.where(todo[live], sims[live], -np.inf)
-            best = score.argmax(1)
-            ok = score[np.arange(len(live)), best] > -np.inf
-            live, best = live[ok], best[ok]
+            best = np.argpartition(-score, most - 1, axis=1)[:, :most]
+            ok = np.take_along_axis(score, best, 1) > -np.inf
+            some = ok.any(1)
+            live, best, ok = live[some], best[some], ok[some]
             if not len(live):
                 break
-            todo[live, best] = False
-            nb = near[ids[live, best]]
-            fresh = ~seen[live[:, None], nb]
-            seen[live[:, None], nb] = True
-            r, c = np.nonzero(fresh)
+            todo[live[:, None], best] = False
+            nb = near[np.where(ok, ids[live[:, None], best], n)].reshape(len(live), -1)
+            r, c = np.nonzero(seen[live[:, None], nb] == 0)
+            node, row = nb[r, c], live[r]
+            seen[row, node] = c + 1
+            once = seen[row, node] == c + 1  # nodes opened together may share neighbours
+            r, c, node, row = r[once], c[once], node[once], row[once]
             s = np.full(nb.shape, -np.inf, np.float32)
-            s[r, c] = pairwise(x[nb[r, c]], part[live[r]])
-            if width + nb.shape[1] > width:
-                all_s = np.concatenate([sims[live], s], 1)
-                top = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
-                ids[live] = np.take_along_axis(np.concatenate([ids[live], nb], 1), top, 1)
-                todo[live] = np.take_along_axis(np.concatenate([todo[live], fresh], 1), top, 1)
-                sims[live] = np.take_along_axis(all_s, top, 1)
+            s[r, c] = pairwise(x[node], part[row])
+            all_s = np.concatenate([sims[live], s], 1)
+            top = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
+            ids[live] = np.take_along_axis(np.concatenate([ids[live], nb], 1), top, 1)
+            todo[live] = np.take_along_axis(np.concatenate([todo[live], s > -np.inf], 1), top, 1)
+            sims[live] = np.take_along_axis(all_s, top, 1)
         order = np.argsort(-sims, 1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         ids[(sims == -np.inf) | (ids == n)] = -1
@@ -159,6 +169,11 @@ def backlinked(x, near, new, chosen):
         near[every[many]] = np.where(best < 0, n, best)
 
 
+def spread(n: int) -> np.ndarray:
+    """Places of ENTRIES nodes, or of all n, where no layer above gives entries."""
+    return np.arange(min(n, ENTRIES)) * n // min(n, ENTRIES)
+
+
 class Graph:
     """The layers of a shard, from the top: node numbers and their neighbours in the layer."""
 
@@ -169,7 +184,7 @@ class Graph:
         level = np.minimum((-np.log(u) / np.log(THIN)).astype(int), 8)
         self.layers = []
         top = int(level.max()) if n else 0
-        while top > 0 and (level >= top).sum() < 4:
+        while top > 0 and (level >= top).sum() < TOP:
             top -= 1
         for k in range(top, -1, -1):
             nodes = np.flatnonzero(level >= k)
@@ -184,7 +199,7 @@ class Graph:
         above = self.layers[-1][0] if self.layers else nodes[:0]
         order = np.concatenate([np.searchsorted(nodes, above), np.setdiff1d(np.arange(n), np.searchsorted(nodes, above))])
         while done < n:
-            new = order[done : done + min(max(64, done // 4), 1024)]
+            new = order[done : done + min(max(64, done // 4), 256)]
             sims = against(x[new], x[new])
             np.fill_diagonal(sims, -np.inf)
             take = min(BUILD_BEAM, len(new) - 1)
@@ -194,7 +209,7 @@ class Graph:
                 own = np.argpartition(-sims, take - 1, axis=1)[:, :take]
                 cand, sim = new[own], np.take_along_axis(sims, own, 1)
             if done:
-                start = self.entries(x[new], nodes, len(self.layers)) if self.layers else np.repeat(order[:1][None], len(new), 0)
+                start = self.entries(x[new], nodes, len(self.layers)) if self.layers else np.repeat(order[spread(done)][None], len(new), 0)
                 i, s = beam(x, near, x[new], start, BUILD_BEAM)
                 cand, sim = np.concatenate([cand, np.where(i < 0, 0, i)], 1), np.concatenate([sim, np.where(i < 0, -np.inf, s)], 1)
             best = np.argsort(-sim, 1, kind="stable")[:, :BUILD_BEAM]
@@ -207,17 +222,19 @@ class Graph:
         return near
 
     def entries(self, q, nodes, layers: int):
-        """For each query the nearest nodes that the layers above know, as positions in nodes."""
-        at = None
-        for own, near in self.layers[:layers]:
-            start = np.zeros((len(q), 1), np.int64) if at is None else np.searchsorted(own, at)
-            i, _ = beam(self.x[own], near, q, start, min(ENTRIES, len(own)))
+        """For each query the nearest nodes that the layers above know, as positions in nodes. The topmost layer is small and compared as a whole."""
+        top = self.layers[0][0]
+        at = np.empty((len(q), min(ENTRIES, len(top))), np.int64)
+        for lo in range(0, len(q), step := max(1, PAIRS // len(top))):
+            at[lo : lo + step] = top[np.argpartition(-against(q[lo : lo + step], self.x[top]), at.shape[1] - 1, axis=1)[:, : at.shape[1]]]
+        for own, near in self.layers[1:layers]:
+            i, _ = beam(self.x[own], near, q, np.searchsorted(own, at), min(ENTRIES, len(own)))
             at = own[np.where(i < 0, i[:, :1], i)]
         return np.searchsorted(nodes, at)
 
     def ask(self, q, width: int):
         nodes, near = self.layers[-1]
-        start = self.entries(q, nodes, len(self.layers) - 1) if len(self.layers) > 1 else np.zeros((len(q), 1), np.int64)
+        start = self.entries(q, nodes, len(self.layers) - 1) if len(self.layers) > 1 else np.repeat(spread(len(nodes))[None], len(q), 0)
         return beam(self.x, near, q, start, min(width, len(self.x)))
 
 
@@ -242,11 +259,11 @@ class Asked:
 
     def links(self, rows, width: int):
         """Links of the queries `rows` in pieces of at most PAIRS: those that beams of the width find, wider ones where a beam
-        is full of links, and in the end a comparison with the whole shard."""
+        is full of links, and a comparison with the whole shard where that costs less."""
         n, todo = len(self.graph.x), [(rows, width)]
         while todo:
             rows, wide = todo.pop()
-            whole = wide >= n // 2
+            whole = wide >= n or (wide > width and wide * KEPT * SINGLY >= n)
             step = max(1, PAIRS // max(n if whole else wide, 1))
             for lo in range(0, len(rows), step):
                 part = rows[lo : lo + step]
@@ -277,7 +294,7 @@ class Asked:
             recall = float((self.counts(rows, width) / true).mean())
             if recall >= RECALL or width >= n:
                 break
-            width = min(n, width * 2)
+            width = min(n, width + width // 4 + 1)
         return width, recall
 
 
