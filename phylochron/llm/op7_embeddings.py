@@ -45,7 +45,7 @@ LINKS, KEPT, BUILD_BEAM, BEAM, ENTRIES, THIN = 12, 24, 40, 12, 12, 32
 EXPAND, TOP = 4, 64
 #: Queries that a beam search takes at once, so that their vectors stay in a core's cache.
 BATCH = 128
-#: What a node costs that a beam looks at, in nodes of a comparison with the whole shard (measured: 20 to 80). A wider beam that would cost more than the
+#: What a node costs that a beam looks at, in nodes of a comparison with the whole shard (about 80 measured on one core; fewer is careful). A wider beam that would cost more than the
 #: whole shard isn't tried.
 SINGLY = 8
 #: Queries of the audits of a shard and of a block, and the share of its links that the mean one must find. So many planted copies tell shares a

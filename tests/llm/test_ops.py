@@ -361,6 +361,35 @@ def test_graph_finds_rare_pairs_with_few_cosines(monkeypatch):
     assert made[0] <= op7_embeddings.AUDIT * (n + 200)
 
 
+def test_beam_gives_each_node_once_and_the_best_first():
+    rng = np.random.default_rng(6)
+    x = op7_embeddings.unit(rng.normal(size=(300, 12))).astype(np.float32)
+    q = op7_embeddings.unit(rng.normal(size=(140, 12))).astype(np.float32)  # more than one batch
+    near = np.full((301, op7_embeddings.KEPT), 300)
+    for i in range(300):  # a ring: nodes that are opened together share most of their neighbours
+        near[i] = (i + np.arange(-12, 13)[np.arange(25) != 12]) % 300
+    start = np.repeat([[5, 5, 150]], len(q), 0)  # an entry that is given twice
+    true = q @ x.T
+    for width in (2, 12, 300, 320):
+        ids, sims = op7_embeddings.beam(x, near, q, start, width)
+        for row, got, s in zip(range(len(q)), ids, sims, strict=True):
+            some = got[got >= 0]
+            assert len(set(some.tolist())) == len(some) and (np.diff(s[: len(some)]) <= 0).all()
+            assert np.allclose(s[: len(some)], true[row, some], atol=1e-5) and (s[len(some) :] == -np.inf).all()
+            assert width < 300 or len(some) == 300
+
+
+def test_full_beams_give_all_links():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 32))
+    x[:700] = x[0] + 0.02 * rng.normal(size=(700, 32))  # one group of near copies, wider than any first beam
+    ids = np.arange(6000)
+    g = op7_embeddings.Graph(op7_embeddings.unit(x).astype(np.float32), ids.view(np.uint64))
+    got = op7_embeddings.Asked(g, x, x[:50], 0.95, ids[:50], ids).counts(np.arange(50), 12)
+    u = op7_embeddings.unit(x)
+    assert (got == (u[:50] @ u.T >= 0.95).sum(1) - 1).all() and got.min() > 600
+
+
 def test_planted_copies_are_within_the_threshold():
     for dim in (1, 2, 64):
         raw = np.random.default_rng(3).normal(size=(50, dim))
