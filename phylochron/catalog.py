@@ -308,8 +308,9 @@ def graph_closure(spark, sf):
 @query(f", {_LINKS.format(gaps='(20), (1)')} SELECT src, dst FROM ways", d.GROWN)
 def graph_closure_extended(spark, sf):
     """The same with edges accepted later."""
-    known = graphs.reach(graphs.accepted(d.grown(spark, sf), d.supplier_links(spark, sf, 20)))
-    return graphs.extended(known, d.supplier_links(spark, sf, 1).select(F.col("donor").alias("src"), F.col("receptor").alias("dst")))
+    known = graphs.closed(graphs.accepted(d.grown(spark, sf), d.supplier_links(spark, sf, 20)))
+    later = d.supplier_links(spark, sf, 1).select(F.col("donor").alias("src"), F.col("receptor").alias("dst"))
+    return graphs.pairs(*graphs.more(*known, later))
 
 
 @query("""SELECT receptor AS label, COUNT(*) AS donors, CAST(SUM(weight) AS BIGINT) AS weight, arg_min(donor, (-weight, donor)) AS heaviest FROM edges WHERE donor <> receptor GROUP BY 1""")

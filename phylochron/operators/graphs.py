@@ -1,12 +1,26 @@
 """Reachability in graphs (keys, src, dst): a tree's order with further edges that were accepted. Several graphs are worked on at
-once, told apart by keys."""
+once, told apart by keys.
+
+A closure has up to the square of the nodes in pairs, so it is kept as blocks of a matrix of bits: nodes are numbered, SIDE of them
+make a block, and a block of rows and columns is one row (i, j, bits) of a table, if it has any pair. Blocks are closed as in
+Warshall's algorithm, a block of middle nodes after the other; each is a join of block rows with block columns, so the work is a
+product of blocks and no pair is shuffled or found twice. Pairs are rows only where they are the result. A task holds three blocks
+of SIDE * SIDE bits. There are as many steps as blocks of nodes, however long the ways are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..shared import Steps
+from . import scans
+
+#: Nodes of a side of a block, a multiple of 64.
+SIDE = 2048
 
 
 def accepted(tree: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,45 +30,192 @@ def accepted(tree: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, *keys: str) -> DataFrame:
-    """(keys, src, dst) of every pair with a way from src to dst, once each; a node reaches itself only on a cycle.
-
-    Semi-naive, with ways that double: in each round only pairs found in the last one are continued, by every pair known, and only
-    pairs that are new stay. A pair at distance d is found after log(d) rounds.
-    """
-    return _grown(edges.select(*keys, "src", "dst").distinct(), None, keys)
+    """(keys, src, dst) of every pair with a way from src to dst, once each; a node reaches itself only on a cycle."""
+    return pairs(*closed(edges, *keys), *keys)
 
 
 def extended(known: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
-    """The reach of a graph with more edges, from its reach before: first every ancestor of a new edge's start meets every
-    descendant of its end, then only what is new goes on."""
-    up = known.select(*keys, F.col("src").alias("_from"), F.col("dst").alias("src"))
-    down = known.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("_to"))
-    new = edges.select(*keys, "src", "dst").distinct()
-    starts = new.join(up, [*keys, "src"]).select(*keys, F.col("_from").alias("src"), "dst").unionByName(new).distinct()
-    ends = starts.join(down, [*keys, "dst"]).select(*keys, "src", F.col("_to").alias("dst")).unionByName(starts).distinct()
-    return _grown(ends, known.select(*keys, "src", "dst"), keys)
-
-
-def _grown(new: DataFrame, known: DataFrame | None, keys) -> DataFrame:
-    by = [*keys, "src", "dst"]
-    with Steps(new.sparkSession, "reach") as steps:
-        new = steps.stored(new if known is None else new.join(known, by, "left_anti"), "new")
-        found = [] if known is None else [known]
-        while new.limit(1).count():
-            found.append(new)
-            every = found[0]
-            for f in found[1:]:
-                every = every.unionByName(f)
-            ahead = every.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("_to"))
-            far = new.join(ahead, [*keys, "dst"]).select(*keys, "src", F.col("_to").alias("dst"))
-            if known is not None:  # what was known may also lead to what is new
-                back = every.select(*keys, F.col("dst").alias("src"), F.col("src").alias("_from"))
-                far = far.unionByName(new.join(back, [*keys, "src"]).select(*keys, F.col("_from").alias("src"), "dst"))
-            new = steps.stored(far.distinct().join(every, by, "left_anti"), "new")
-        every = new
-        for f in found:
-            every = every.unionByName(f)
-        return steps.result(every, "reach")
+    """The reach of a graph with more edges, from its reach before."""
+    with Steps(known.sparkSession, "known") as steps:
+        numbers = steps.stored(_numbered(known.select(*keys, "src", "dst").unionByName(edges.select(*keys, "src", "dst")), keys), "numbers")
+        return pairs(*more(numbers, steps.stored(_packed(known, numbers, keys), "blocks"), edges, *keys), *keys)
+
+
+def closed(edges: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(numbers, blocks) of the reach: numbers (keys, label, at), and its pairs as blocks (keys, i, j, bits)."""
+    with Steps(edges.sparkSession, "closed") as steps:
+        numbers = steps.result(_numbered(edges, keys), "numbers")
+        blocks = steps.stored(_packed(edges, numbers, keys), "blocks")
+        last = numbers.agg(F.max("at")).first()[0]
+        return numbers, _through(steps, blocks, range(0 if last is None else last // SIDE + 1), keys)
+
+
+def more(numbers: DataFrame, blocks: DataFrame, edges: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(numbers, blocks) of a closure with more edges. What was known is closed, so a new way goes on only at ends of new edges:
+    only their blocks are middle ones."""
+    with Steps(edges.sparkSession, "more") as steps:
+        edges = edges.select(*keys, "src", "dst")
+        new = edges.select(*keys, F.col("src").alias("label")).unionByName(edges.select(*keys, F.col("dst").alias("label"))).distinct().join(numbers, [*keys, "label"], "left_anti")
+        start = (numbers.agg(F.max("at")).first()[0] or 0) + 1
+        added = _counted(steps.stored(new, "new"), keys).withColumn("at", F.col("at") + start)
+        numbers = steps.result(numbers.unionByName(added), "numbers")
+        ends = steps.stored(_located(edges, numbers, keys), "ends")
+        both = blocks.unionByName(ends.groupBy(*keys, "i", "j").applyInArrow(_pack(SIDE), _schema(numbers, keys)))
+        blocks = steps.stored(both.groupBy(*keys, "i", "j").applyInArrow(_either, _schema(numbers, keys)), "blocks")
+        middle = ends.select(F.explode(F.array("i", "j")).alias("k")).distinct().collect()  # blocks of nodes
+        return numbers, _through(steps, blocks, sorted(r["k"] for r in middle), keys)
+
+
+def pairs(numbers: DataFrame, blocks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, src, dst): the pairs of blocks as rows. Blocks are dealt out first, as a small one may have very many pairs."""
+    label = numbers.schema["label"].dataType
+    names = numbers.withColumn("i", F.floor(F.col("at") / SIDE).cast("long")).groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct(F.pmod("at", F.lit(SIDE)).cast("int").alias("n"), "label"))).alias("src"))
+    src, dst = names, names.select(*keys, F.col("i").alias("j"), F.col("src").alias("dst"))
+    rows = blocks.join(src.hint("merge"), [*keys, "i"]).join(dst.hint("merge"), [*keys, "j"]).select(*keys, "src", "dst", "bits")
+    rows = rows.repartition(max(1, min(blocks.count(), MOST_PARTS)))
+    kind = ", ".join([*[f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys], f"src {label.simpleString()}", f"dst {label.simpleString()}"])
+    return rows.mapInArrow(_unpacked(len(keys), SIDE), kind)
+
+
+#: Tasks among which blocks are dealt at most.
+MOST_PARTS = 4000
+
+
+def _numbered(edges: DataFrame, keys) -> DataFrame:
+    """(keys, label, at): the nodes of each graph, numbered from 0."""
+    ends = edges.select(*keys, F.col("src").alias("label")).unionByName(edges.select(*keys, F.col("dst").alias("label")))
+    return _counted(ends.filter("label IS NOT NULL").distinct(), keys)
+
+
+def _counted(nodes: DataFrame, keys) -> DataFrame:
+    if not keys:
+        return scans.ranked(nodes, "at", "label")
+    return nodes.withColumn("at", (F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1).cast("long"))
+
+
+def _located(edges: DataFrame, numbers: DataFrame, keys) -> DataFrame:
+    """(keys, i, j, r, c): the block of each edge and its place there."""
+    end = lambda name, at: numbers.select(*keys, F.col("label").alias(name), F.col("at").alias(at))
+    both = edges.select(*keys, "src", "dst").join(end("src", "_r"), [*keys, "src"]).join(end("dst", "_c"), [*keys, "dst"])
+    block = lambda c: F.floor(F.col(c) / SIDE).cast("long")
+    return both.select(*keys, block("_r").alias("i"), block("_c").alias("j"), F.pmod("_r", F.lit(SIDE)).alias("r"), F.pmod("_c", F.lit(SIDE)).alias("c"))
+
+
+def _schema(of: DataFrame, keys) -> StructType:
+    return StructType([StructField(k, of.schema[k].dataType) for k in keys] + [StructField("i", LongType()), StructField("j", LongType()), StructField("bits", BinaryType())])
+
+
+def _packed(edges: DataFrame, numbers: DataFrame, keys) -> DataFrame:
+    return _located(edges, numbers, keys).groupBy(*keys, "i", "j").applyInArrow(_pack(SIDE), _schema(numbers, keys))
+
+
+def _through(steps: Steps, blocks: DataFrame, middle, keys) -> DataFrame:
+    """blocks closed over ways through the nodes of the blocks `middle`. Of each, its own block is closed, then its row is what
+    that block leads to, then every block gains what its row reaches through the middle one."""
+    kind = _schema(blocks, keys)
+    for k in middle:
+        row, rest = blocks.filter(F.col("i") == k), blocks.filter(F.col("i") != k)
+        own = row.filter(F.col("j") == k).mapInArrow(_own(SIDE), kind).select(*keys, "i", F.col("bits").alias("left"))
+        row = row.join(own.hint("merge"), [*keys, "i"], "left").select(*keys, "i", "j", F.when(F.col("j") == k, F.col("left")).otherwise(F.col("bits")).alias("bits"), "left", F.when(F.col("j") != k, F.col("bits")).alias("right"))
+        row = steps.replaced(row.mapInArrow(_grown(SIDE), kind), "row")
+        left = rest.filter(F.col("j") == k).select(*keys, "i", F.col("bits").alias("left"))
+        right = row.select(*keys, "j", F.col("bits").alias("right"))
+        made = left.select(*keys, "i").join(right.select(*keys, "j"), list(keys)) if keys else left.select("i").crossJoin(right.select("j"))
+        every = rest.join(made.hint("merge"), [*keys, "i", "j"], "full").join(left.hint("merge"), [*keys, "i"], "left").join(right.hint("merge"), [*keys, "j"], "left")
+        every = every.select(*keys, "i", "j", "bits", "left", "right").mapInArrow(_grown(SIDE), kind)
+        blocks = steps.replaced(row.unionByName(every), "closed")
+    return steps.result(blocks, "closed")
+
+
+def _pack(side: int):
+    """Rows (keys, i, j, r, c) of one block as its bits."""
+
+    def run(key, group):
+        bits = np.zeros((side, side), bool)
+        bits[group.column("r").to_numpy(), group.column("c").to_numpy()] = True
+        return group.slice(0, 1).drop_columns(["r", "c"]).append_column("bits", pa.array([np.packbits(bits, axis=1).tobytes()], pa.binary()))
+
+    return run
+
+
+def _either(key, group):
+    """Rows of one block as one."""
+    bits = np.frombuffer(group.column("bits")[0].as_py(), np.uint8).copy()
+    for x in group.column("bits")[1:]:
+        bits |= np.frombuffer(x.as_py(), np.uint8)
+    return group.slice(0, 1).drop_columns(["bits"]).append_column("bits", pa.array([bits.tobytes()], pa.binary()))
+
+
+def _words(bits, side: int) -> np.ndarray:
+    return np.frombuffer(bits.as_buffer(), np.uint64).reshape(side, side // 64)
+
+
+def _own(side: int):
+    """Blocks (..., bits) of the same nodes on both sides, closed by Warshall's algorithm."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                bits = _words(b.column("bits")[at], side).copy()
+                as_bytes = bits.view(np.uint8)
+                for m in range(side):
+                    to = np.flatnonzero(as_bytes[:, m >> 3] & (128 >> (m & 7)))
+                    if len(to):
+                        bits[to] |= bits[m]
+                yield b.slice(at, 1).set_column(b.num_columns - 1, "bits", pa.array([bits.tobytes()], pa.binary()))
+
+    return run
+
+
+def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The product of two blocks as relations. The rows of `right` are looked up eight at a time, in a table of all they make."""
+    out, by = np.zeros_like(right), left.view(np.uint8)
+    for g in range(by.shape[1]):
+        some, rows = by[:, g], right[8 * g : 8 * g + 8]
+        if some.any() and rows.any():
+            made = np.zeros((256, right.shape[1]), np.uint64)
+            for b in range(8):  # the last column of eight is the lowest bit
+                made[1 << b : 2 << b] = made[: 1 << b] | rows[7 - b]
+            out |= made[some]
+    return out
+
+
+def _grown(side: int):
+    """Blocks (..., bits, left, right) with what left and right make together, where there are both; bits may be null then."""
+
+    def run(batches):
+        for b in batches:
+            last = b.num_columns - 3
+            for at in range(b.num_rows):
+                bits, left, right = (b.column(last + k)[at] for k in range(3))
+                out = bits
+                if left.is_valid and right.is_valid:
+                    made = product(_words(left, side), _words(right, side))
+                    out = (made | _words(bits, side)) if bits.is_valid else made
+                    out = pa.scalar(out.tobytes(), pa.binary()) if out.any() else None
+                if out is not None:
+                    own = [c.slice(at, 1) for c in b.columns[:last]]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([out.as_py()], pa.binary())], names=[*b.schema.names[:last], "bits"])
+
+    return run
+
+
+def _unpacked(keys: int, side: int):
+    """Rows (keys, src, dst, bits), src and dst the numbered labels of both sides, as pairs."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                number, label = zip(*[(x.field("n").to_numpy(), x.field("label")) for x in (b.column(keys + k)[at].values for k in range(2))], strict=True)
+                bits = np.frombuffer(b.column(keys + 2)[at].as_buffer(), np.uint8).reshape(side, side // 8)
+                for low in range(0, side, 32):  # rows of 65 536 pairs at most
+                    r, c = np.nonzero(np.unpackbits(bits[low : low + 32], axis=1))
+                    if len(r):
+                        one = [b.column(k).slice(at, 1).take(pa.array(np.zeros(len(r), np.int64))) for k in range(keys)]
+                        ends = [label[0].take(pa.array(np.searchsorted(number[0], r + low))), label[1].take(pa.array(np.searchsorted(number[1], c)))]
+                        yield pa.RecordBatch.from_arrays([*one, *ends], names=[*b.schema.names[:keys], "src", "dst"])
+
+    return run
 
 
 def cycles(reach: DataFrame, *keys: str) -> DataFrame:

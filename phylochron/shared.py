@@ -91,6 +91,7 @@ class Steps:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.count = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.versions: dict[str, str] = {}
 
     def __enter__(self) -> Steps:
         return self
@@ -99,6 +100,15 @@ class Steps:
         self.count += 1
         return _written(df, f"{self.folder}/{name}-{self.count}")
 
+    def replaced(self, df: DataFrame, name: str) -> DataFrame:
+        """The same for the next version of a table: the one before, which it may still read, is deleted then."""
+        before, out = self.versions.get(name), self.stored(df, name)
+        self.versions[name] = f"{self.folder}/{name}-{self.count}"
+        if before:
+            store, place = files(self.spark, before)
+            store.delete(place, True)
+        return out
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """A table that stays."""
         return stored(df, name)

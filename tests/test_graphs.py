@@ -42,6 +42,25 @@ def test_a_long_path_takes_few_rounds(spark):
     assert graphs.reach(path).count() == 301 * 300 // 2
 
 
+def test_dense_closures_are_closed_by_blocks(spark, monkeypatch):
+    """Several blocks of nodes a graph, with and without cycles; pairs by pairs would be 200 000 000 rows for the path."""
+    monkeypatch.setattr(graphs, "SIDE", 64)
+    rng = random.Random(8)
+    rows = [(g, str(a), str(b)) for g in (1, 2) for a, b in {(rng.randrange(150), rng.randrange(150)) for _ in range(170)} if g == 2 or a < b]
+    later = [(1, "3", "200"), (1, "200", "4"), (2, "7", "8"), (3, "1", "2")]
+    df = lambda x: spark.createDataFrame(x, "g long, src string, dst string")
+    want = lambda x: {(g, *p) for g in (1, 2, 3) for p in closed({(a, b) for h, a, b in x if h == g})}
+    known = graphs.closed(df(rows), "g")
+    got = [tuple(r) for r in graphs.pairs(*known, "g").collect()]
+    assert len(got) == len(set(got)) and set(got) == want(rows)
+    for grown in (graphs.pairs(*graphs.more(*known, df(later), "g"), "g"), graphs.extended(graphs.pairs(*known, "g"), df(later), "g")):
+        got = [tuple(r) for r in grown.collect()]
+        assert len(got) == len(set(got)) and set(got) == want(rows + later)
+    monkeypatch.setattr(graphs, "SIDE", 1024)
+    path = spark.range(1500).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graphs.reach(path).agg(F.count("*"), F.sum(F.col("dst") - F.col("src"))).first()[:] == (1501 * 1500 // 2, sum(d * (1501 - d) for d in range(1, 1501)))
+
+
 def test_in_neighbours(spark):
     df = spark.createDataFrame([(1, 3, 2), (1, 3, 2), (2, 3, 4), (3, 3, 9), (2, 1, 1)], "donor long, receptor long, weight long")
     assert {tuple(r) for r in graphs.in_neighbours(df).collect()} == {(3, 2, 8, 1), (1, 1, 1, 2)}
