@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from . import scans, trees
 
 
@@ -125,11 +128,59 @@ def position_frequency(positions: DataFrame) -> DataFrame:
     return positions.groupBy("label", "pos").agg(F.count("*").alias("n"))
 
 
+#: Labels of a side of a block of pairs, and orders that are counted in it at once.
+SIDE, ORDERS = 1024, 256
+
+
 def pair_frequency(positions: DataFrame) -> DataFrame:
-    """(a, b, n_before, n): how often a comes before b, of all orders, for a < b."""
-    a = positions.select("order_id", F.col("label").alias("a"), F.col("pos").alias("pa"))
-    b = positions.select("order_id", F.col("label").alias("b"), F.col("pos").alias("pb"))
-    return a.join(b, "order_id").filter("a < b").groupBy("a", "b").agg(F.count_if(F.col("pa") < F.col("pb")).alias("n_before"), F.count("*").alias("n"))
+    """(a, b, n_before, n): how often a comes before b, of all orders, for a < b.
+
+    Labels are numbered and cut into blocks, and each pair of blocks is one group that counts its SIDE * SIDE pairs over all orders,
+    so a position is copied once a block and no pair of an order is a row: pairs are rows only as the result. More than ORDERS
+    orders are counted in parts, which are added up.
+    """
+    known = stored(positions.filter("order_id IS NOT NULL AND label IS NOT NULL").select("order_id", "label", "pos"), "positions")
+    labels, orders = scans.ranked(known.select("label").distinct(), "_at", "label"), scans.ranked(known.select("order_id").distinct(), "_o", "order_id")
+    blocks, parts = (-(-(of.agg(F.max(c)).first()[0] or 0) // by) for of, c, by in ((labels.withColumn("_at", F.col("_at") + 1), "_at", SIDE), (orders.withColumn("_o", F.col("_o") + 1), "_o", ORDERS)))
+    rows = known.join(labels, "label").join(orders, "order_id").select("label", "pos", "_at", F.floor(F.col("_o") / ORDERS).alias("_part"), F.pmod("_o", F.lit(ORDERS)).cast("int").alias("_o"), F.floor(F.col("_at") / SIDE).alias("_own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))
+    cells = rows.withColumn("_other", other).select("_part", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_o", "_at", "pos", "label")
+    kind = positions.schema["label"].dataType.simpleString()
+    out = cells.groupBy("_part", "_i", "_j").applyInArrow(_counted(SIDE), f"a {kind}, b {kind}, n_before long, n long")
+    return out if parts <= 1 else out.groupBy("a", "b").agg(F.sum("n_before").alias("n_before"), F.sum("n").alias("n"))
+
+
+def _counted(side: int):
+    """Counts the pairs of one block of labels with another, order by order."""
+
+    def run(key, group):
+        at, order = group.column("_at").to_numpy(), group.column("_o").to_numpy()
+        by = np.lexsort((at, order))
+        group, at, order = group.take(pa.array(by)), at[by], order[by]
+        known = group.column("pos").is_valid().to_numpy()
+        pos = group.column("pos").fill_null(0).to_numpy()
+        sides = [np.flatnonzero(at // side == k.as_py()) for k in key[1:]]
+        before, n = np.zeros((side, side), np.int64), np.zeros((side, side), np.int64)
+        for o in np.unique(order):
+            x, y = (of[np.searchsorted(order[of], o) : np.searchsorted(order[of], o, "right")] for of in sides)
+            r, c = at[x] % side, at[y] % side
+            first = (pos[x][:, None] < pos[y]) & known[x][:, None] & known[y]
+            if all(len(k) and k[-1] - k[0] == len(k) - 1 and (np.diff(k) == 1).all() for k in (r, c)):
+                place = slice(r[0], r[-1] + 1), slice(c[0], c[-1] + 1)
+                before[place] += first
+                n[place] += 1
+            else:  # labels that an order has not, or has twice
+                np.add.at(before, np.ix_(r, c), first)
+                np.add.at(n, np.ix_(r, c), 1)
+        r, c = np.nonzero(np.triu(n, 1) if key[1] == key[2] else n)
+        names = []
+        for of, k in zip(sides, (r, c), strict=True):
+            row = np.zeros(side, np.int64)
+            row[at[of] % side] = of
+            names.append(group.column("label").take(pa.array(row[k])))
+        return pa.Table.from_arrays([*names, pa.array(before[r, c]), pa.array(n[r, c])], names=["a", "b", "n_before", "n"])
+
+    return run
 
 
 def constant_pairs(frequency: DataFrame, tree: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from phylochron.operators import evidence, graphs, kernels, lattice, trees
+from phylochron.operators import evidence, graphs, kernels, lattice, scoring, trees
 from phylochron.plans import fold
 
 
@@ -61,6 +61,26 @@ def test_dense_closures_are_closed_by_blocks(spark, monkeypatch):
     assert graphs.reach(path).agg(F.count("*"), F.sum(F.col("dst") - F.col("src"))).first()[:] == (1501 * 1500 // 2, sum(d * (1501 - d) for d in range(1, 1501)))
 
 
+def test_pairs_of_orders_are_counted_by_blocks(spark, monkeypatch):
+    """Labels missing in an order, given twice in one and without a position; several blocks and parts. No join makes pairs."""
+    monkeypatch.setattr(scoring, "SIDE", 4)
+    rng = random.Random(3)
+    rows = [(o, f"n{x}", p) for o in range(5) for p, x in enumerate(rng.sample(range(11), 11 if o else 7))] + [(2, "n3", 1), (3, "n5", None), (4, None, 2)]
+    want = {}
+    for o, a, p in rows:
+        for o2, b, q in rows:
+            if o == o2 and a and b and a < b:
+                k, n = want.get((a, b), (0, 0))
+                want[a, b] = (k + (None not in (p, q) and p < q), n + 1)
+    df = spark.createDataFrame(rows, "order_id long, label string, pos long")
+    for most in (256, 2):
+        monkeypatch.setattr(scoring, "ORDERS", most)
+        out = scoring.pair_frequency(df)
+        assert {(r.a, r.b): (r.n_before, r.n) for r in out.collect()} == want and out.count() == len(want)
+    assert "Join" not in scoring.pair_frequency(df)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert scoring.pair_frequency(df.limit(0)).count() == 0
+
+
 def test_in_neighbours(spark):
     df = spark.createDataFrame([(1, 3, 2), (1, 3, 2), (2, 3, 4), (3, 3, 9), (2, 1, 1)], "donor long, receptor long, weight long")
     assert {tuple(r) for r in graphs.in_neighbours(df).collect()} == {(3, 2, 8, 1), (1, 1, 1, 2)}
