@@ -21,8 +21,10 @@ namespace or more, a set with k shared keys needs only the k - t + 1 rarest of t
      seen has all its common keys there). Their sets may share a passage without being similar, so a key is not paired out:
      of two similar sets the smaller has one of its n - 2s/(1+s) n + 1 rarest shingles among the larger's n - s n + 1
      rarest, whatever order "rare" is; it is by the number of these sets that have a shingle. Sets with a passage in common and
-     their own text beside it have their own shingles there, and meet nobody. Of each shingle the sets of its largest component
-     meet only the others. Sizes and parity sketches are compared inside the join, so only possible pairs are rows.
+     their own text beside it have their own shingles there, and meet nobody. In CHAIN_ROUNDS turns each set meets the next one of
+     its shingle, so a group of similar sets becomes one component by a chain; then, of each shingle, the sets of its largest
+     component meet only the others, all of them. Sizes and parity sketches, also ones of WIDE words, are compared inside the
+     join, so only possible pairs are rows: sets that share most of a text, but not enough, seldom are.
 256-bit parity sketches (each element flips one bit; the Hamming distance is at most the difference of the sets) drop
 most pairs, and the texts of the rest are compared exactly.
 
@@ -49,6 +51,10 @@ WORDS, PERCENT = 5, 80
 SAMPLE, FREQUENT = 20_000, 8
 #: Keys of up to FEW sets list their pairs; sets of larger ones are tested against a hub HUB_ROUNDS times.
 FEW, HUB_ROUNDS = 8, 2
+#: Turns in which sets that share a rare shingle are tested in chains, before all their pairs are made.
+CHAIN_ROUNDS = 2
+#: Words of the parity sketches of sets that are compared by rare shingles.
+WIDE = 64
 #: Pairs with both texts that go to Python at once.
 PAIR_ROWS = 256
 _U = np.uint64
@@ -352,11 +358,16 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> Da
     return joined.mapInArrow(_verified(percent), "a long, b long")
 
 
-def _alike(percent: int, a: str, b: str):
-    """The condition that sizes and parity sketches of two sets leave them possibly similar."""
+def _alike(percent: int, a: str, b: str, wide: bool = False):
+    """The condition that sizes and parity sketches of two sets, the wide ones after the short, leave them possibly similar."""
     flips = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * low >= percent * high) & (flips * (100 + percent) <= (low + high) * (100 - percent))
+    few = lambda x: x * (100 + percent) <= (low + high) * (100 - percent)
+    alike = (100 * low >= percent * high) & few(flips)
+    if wide:
+        both = F.zip_with(f"{a}.w", f"{b}.w", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        alike = alike & few(F.aggregate(both, F.lit(0), lambda n, x: n + x))
+    return alike
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -397,8 +408,24 @@ def _elements(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[d]), pa.array(d1[d]), pa.array(np.diff(first)[d]), pa.array(v[at : at + 100_000].view(np.int64))], names=["rep", "d1", "n", "e"])
 
 
-def rare_pairs(sets: DataFrame, members: DataFrame, stored, parts: int, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of sets (rep, d1, n, s0 to s3, component) of different components that may be similar, by their rarest shingles."""
+def _wide(batches):
+    """Parity sketches of WIDE words of the sets of compressed texts: rep, d1, w."""
+    reader = zstandard.ZstdDecompressor()
+    for b in batches:
+        size = np.array([zstandard.frame_content_size(x.as_buffer()) for x in b.column(1)], np.int64)
+        for lo, end in _runs(size, CHUNK_BYTES):
+            part = b.slice(lo, end - lo)
+            v, doc, first = shingles(pa.array([reader.decompress(x.as_buffer()).decode() for x in part.column(1)], pa.string()))
+            h = mix(v + _U(0x51ED270B))
+            words = np.zeros((part.num_rows, WIDE), _U)
+            np.bitwise_xor.at(words, (doc, ((h >> _U(6)) % _U(WIDE)).astype(np.int64)), _U(1) << (h & _U(63)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * part.num_rows + 1, WIDE, dtype=np.int32)), pa.array(words.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_sums(h, first).view(np.int64)), lists], names=["rep", "d1", "w"])
+
+
+def rare_rows(sets: DataFrame, members: DataFrame, stored, parts: int, percent: int = PERCENT) -> DataFrame:
+    """The rarest shingles of sets (rep, d1, n, s0 to s3): e, whether it is one of those of which a similar larger set has one, and
+    the set with its wide sketch."""
     texts = members.join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "members")
     rows = texts.mapInArrow(_elements, "rep long, d1 long, n long, e long").join(sets.select("rep", "d1"), ["rep", "d1"], "left_semi").distinct()
     rows = stored(rows, "elements")
@@ -407,11 +434,36 @@ def rare_pairs(sets: DataFrame, members: DataFrame, stored, parts: int, percent:
     ceil = lambda a, b: F.expr(f"({a} + {b} - 1) div ({b})")
     probe, index = F.col("n") - ceil(f"{percent} * n", 100) + 1, F.col("n") - ceil(f"{2 * percent} * n", 100 + percent) + 1
     rows = rows.join(count, "e").withColumn("rank", rank).filter((F.col("rank") <= probe) & (F.col("df") > 1)).select("e", "rep", "d1", (F.col("rank") <= index).alias("index"))
-    rows = stored(rows.join(sets, ["rep", "d1"]), "prefix", parts)
+    wide = texts.mapInArrow(_wide, "rep long, d1 long, w array<bigint>").dropDuplicates(["rep", "d1"])
+    return stored(rows.join(sets.join(wide, ["rep", "d1"]), ["rep", "d1"]), "prefix", parts)
+
+
+def open_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with the component of each set and the largest component of the shingle, of shingles that several have."""
+    rows = rows.join(label, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     by = rows.groupBy("e", "component").agg(F.count("*").alias("k")).groupBy("e").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("components")).filter("components > 1")
-    rows = rows.join(by.select("e", "major"), "e")
+    return rows.join(by.select("e", "major"), "e")
+
+
+def chained_pairs(rows: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
+    """(a, b): along each shingle, every set and the next one, if they are of different components and may be similar: no more pairs
+    than rows. Sets that are all similar to each other become one component by these, without all their pairs. Sets are
+    in the order of their sizes, in later turns in any other."""
+    order = ["n", "rep", "d1"] if turn == 0 else [F.xxhash64("rep", "d1", F.lit(turn)), "rep", "d1"]
+    one = F.struct("rep", "d1", "n", "component", "s0", "s1", "s2", "s3", "w")
+    next_ = rows.select("e", one.alias("p"), F.lead(one).over(Window.partitionBy("e").orderBy(*order)).alias("q"))
+    found = next_.filter(F.expr("p.component <> q.component AND p.rep <> q.rep") & _alike(percent, "p", "q", True))
+    return found.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
+
+
+def rare_pairs(sets: DataFrame, members: DataFrame, stored, parts: int, percent: int = PERCENT, rows: DataFrame | None = None) -> DataFrame:
+    """(a, b): all pairs of sets (rep, d1, n, s0 to s3, component) of different components that may be similar, by their rarest
+    shingles; rows: these, if they are there already."""
+    if rows is None:
+        rows = rare_rows(sets.drop("component"), members, stored, parts, percent)
+    rows = open_rows(rows, sets.select(F.col("rep").alias("node"), "component").distinct())
     smaller = F.when(F.expr("struct(p.n, p.rep, p.d1) < struct(q.n, q.rep, q.d1)"), F.col("p.index")).otherwise(F.col("q.index"))
-    pairs = rows.filter("component <> major").alias("p").join(rows.alias("q"), F.expr("p.e = q.e AND p.component <> q.component AND p.rep <> q.rep") & smaller & _alike(percent, "p", "q"))
+    pairs = rows.filter("component <> major").alias("p").join(rows.alias("q"), F.expr("p.e = q.e AND p.component <> q.component AND p.rep <> q.rep") & smaller & _alike(percent, "p", "q", True))
     return pairs.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
 
 
@@ -469,17 +521,25 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key AND p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
         tested, label = None, None
-        for k in range(HUB_ROUNDS + 1):
-            at = stored(open_keys(many, label), "open", parts)
+        for k in range(HUB_ROUNDS + CHAIN_ROUNDS + 1):
+            if k <= HUB_ROUNDS:
+                at = stored(open_keys(many, label), "open", parts)
             if k == 0:
                 pairs = likely(pairs.union(hub_pairs(at, None)).distinct(), classes, percent)
             elif k < HUB_ROUNDS:
                 pairs = likely(hub_pairs(at, tested), classes, percent)
             else:
-                left = sized(at.select("key", "d1").distinct(), classes, percent)
-                left = open_keys(rarest(left), label).select("rep", "d1", "component").distinct()
-                left = stored(left.join(classes.select("rep", "d1", "n", "s0", "s1", "s2", "s3"), ["rep", "d1"]), "left", parts)
-                pairs = rare_pairs(left, members, stored, parts, percent).join(tested, ["a", "b"], "left_anti")
+                if k == HUB_ROUNDS:
+                    left = sized(at.select("key", "d1").distinct(), classes, percent)
+                    left = rarest(left).select("rep", "d1").distinct()
+                    left = stored(left.join(classes.select("rep", "d1", "n", "s0", "s1", "s2", "s3"), ["rep", "d1"]), "left", parts)
+                    rare = rare_rows(left, members, stored, parts, percent)
+                if k < HUB_ROUNDS + CHAIN_ROUNDS:
+                    pairs = chained_pairs(open_rows(rare, label), k - HUB_ROUNDS, percent)
+                else:
+                    named = left.join(label, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+                    pairs = rare_pairs(named, members, stored, parts, percent, rare)
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = stored(pairs, "pairs", parts)
             tested = pairs if tested is None else tested.unionByName(pairs)
             count = pairs.count()

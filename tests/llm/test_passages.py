@@ -77,3 +77,36 @@ def test_pairs_by_rare_shingles_lose_none(spark):
     shingles = {r.rep: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for r in sets.collect() for w in [rows[r.rep][1].split()]}
     want = {(a, b) for a in shingles for b in shingles if a < b and 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])}
     assert want <= got and len(want) > 20
+
+
+def open_sets(spark, texts):
+    """Sets of their own component each, and the texts that rare shingles are taken from."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    sets = df.mapInArrow(op10_jaccard._sets(80), op10_jaccard._SET).withColumn("rep", F.col("doc_id")).withColumn("component", F.col("doc_id")).select("rep", "d1", "n", "s0", "s1", "s2", "s3", "component").cache()
+    return sets, op10_jaccard.packed_texts(sets.select(F.col("rep").alias("id")), df).cache()
+
+
+def test_similar_sets_become_one_component_by_chains(spark):
+    """60 near copies have 1 770 pairs; chains have a pair a row at most, and leave none to the join."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(w if i != at else f"x{k}" for i, w in enumerate(base)) for k in range(60) for at in [rng.randrange(300)]]
+    sets, members = open_sets(spark, texts)
+    rows = op10_jaccard.rare_rows(sets.drop("component"), members, lambda d, *_: d.cache(), 2)
+    label = sets.select(F.col("rep").alias("node"), "component")
+    pairs = {(r.a, r.b) for r in op10_jaccard.chained_pairs(op10_jaccard.open_rows(rows, label), 0).collect()}
+    root = list(range(60))
+    for a, b in sorted(pairs):
+        root = [root[a] if x == root[b] else x for x in root]
+    assert len(set(root)) == 1 and len(pairs) <= rows.count()
+    one = sets.withColumn("component", F.lit(0).cast("long"))
+    assert op10_jaccard.rare_pairs(one, members, None, 2, rows=rows).count() == 0
+
+
+def test_sets_below_the_limit_make_no_pairs(spark):
+    """Texts of 8 of 12 common pieces share most of their rare shingles, at a similarity of 0.78 at most."""
+    rng = random.Random(12)
+    chosen = {tuple(sorted(rng.sample(range(12), 8))) for _ in range(60)}
+    texts = [" ".join(f"p{k}w{i}" for k in c for i in range(60)) for c in sorted(chosen)]
+    sets, members = open_sets(spark, texts)
+    assert op10_jaccard.rare_pairs(sets, members, lambda d, *_: d.cache(), 2).count() < 5
