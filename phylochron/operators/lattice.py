@@ -2,7 +2,7 @@
 
 A state is the set of nodes placed so far, as bits of a long. Level by level, each set is joined with the nodes that may come
 next; sets that meet are put together, so an instance has as many rows as down-sets, not as orders. All instances of a table
-go through the same joins. An instance has at most 62 nodes; how many sets it has depends on how wide its tree is.
+go through the same joins, which are shuffled: tables have rows for each instance, and none is sent through the driver. An instance has at most 62 nodes; how many sets it has depends on how wide its tree is.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ def _choices(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(instance_id, label, bit, need, out): each node's bit, its parent's bit (0 at the root), and what it gives to others, as
     bits and weights: 62 at most."""
     slot = nodes.select("instance_id", F.col("label").alias("receptor"), F.col("slot").alias("_slot"))
-    given = edges.filter("donor <> receptor").join(slot, ["instance_id", "receptor"]).groupBy("instance_id", F.col("donor").alias("label"), "_slot").agg(F.sum("weight").cast("double").alias("_w"))
+    given = edges.filter("donor <> receptor").join(slot.hint("merge"), ["instance_id", "receptor"]).groupBy("instance_id", F.col("donor").alias("label"), "_slot").agg(F.sum("weight").cast("double").alias("_w"))
     out = given.groupBy("instance_id", "label").agg(F.array_sort(F.collect_list(F.struct(F.expr("shiftleft(1L, _slot)").alias("bit"), F.col("_w").alias("w")))).alias("out"))
     parent = nodes.select("instance_id", F.col("label").alias("parent"), F.expr("shiftleft(1L, slot)").alias("need"))
     own = nodes.select("instance_id", "label", "parent", F.expr("shiftleft(1L, slot)").alias("bit"))
-    both = own.join(parent, ["instance_id", "parent"], "left").join(out, ["instance_id", "label"], "left")
+    both = own.join(parent.hint("merge"), ["instance_id", "parent"], "left").join(out.hint("merge"), ["instance_id", "label"], "left")
     return both.select("instance_id", "label", "bit", F.coalesce("need", F.lit(0)).alias("need"), F.coalesce("out", F.expr("array()").cast("array<struct<bit:bigint,w:double>>")).alias("out"))
 
 
@@ -29,7 +29,7 @@ def _next(states: DataFrame, choices: DataFrame) -> DataFrame:
     """Each state with each node that may come next; cost: what the node gives to nodes that are placed, which it violates."""
     may = (F.col("placed").bitwiseAND(F.col("bit")) == 0) & (F.col("placed").bitwiseAND(F.col("need")) == F.col("need"))
     cost = F.aggregate("out", F.lit(0.0), lambda a, x: a + F.when(F.col("placed").bitwiseAND(x["bit"]) != 0, x["w"]).otherwise(F.lit(0.0)))
-    return states.join(choices, "instance_id").filter(may).withColumn("cost", cost).withColumn("set", F.col("placed").bitwiseOR(F.col("bit")))
+    return states.join(choices.hint("merge"), "instance_id").filter(may).withColumn("cost", cost).withColumn("set", F.col("placed").bitwiseOR(F.col("bit")))
 
 
 def slots(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -59,7 +59,7 @@ def totals(nodes: DataFrame, edges: DataFrame, temperature: float) -> DataFrame:
             low = F.col("ways")[0]["best"]
             mass = F.aggregate("ways", F.lit(0.0), lambda a, x: a + x["mass"] * F.exp((low - x["best"]) / temperature))
             states = steps.stored(ways.select("instance_id", F.col("set").alias("placed"), "orders", low.alias("best"), mass.alias("mass")), "states")
-            full = states.withColumn("_n", F.bit_count("placed").cast("long")).join(size, "instance_id").filter("_n = nodes")
+            full = states.withColumn("_n", F.bit_count("placed").cast("long")).join(size.hint("merge"), "instance_id").filter("_n = nodes")
             full = full.select("instance_id", "nodes", "orders", "best", (F.log("mass") - F.col("best") / temperature).alias("log_mass"))
             done = full if done is None else done.unionByName(full)
         if done is None:
@@ -80,13 +80,13 @@ def orders(nodes: DataFrame, edges: DataFrame, temperature: float) -> DataFrame:
             state = F.concat(F.col("state"), F.lit("," if k else ""), F.col("label").cast("string"))
             states = _next(states, choices).select("instance_id", F.col("set").alias("placed"), state.alias("state"), (F.col("energy") + F.col("cost")).alias("energy"))
             states = steps.stored(states, "states")
-            full = states.join(size, "instance_id").filter(F.bit_count("placed") == F.col("nodes")).select("instance_id", "state", "energy")
+            full = states.join(size.hint("merge"), "instance_id").filter(F.bit_count("placed") == F.col("nodes")).select("instance_id", "state", "energy")
             done = full if done is None else done.unionByName(full)
         every = steps.stored(states.select("instance_id", "state", "energy") if done is None else done, "orders")
         low = every.groupBy("instance_id").agg(F.min("energy").alias("_low"))
         weight = F.exp((F.col("_low") - F.col("energy")) / temperature)
-        whole = every.join(low, "instance_id").groupBy("instance_id").agg(F.sum(weight).alias("_whole"), F.first("_low").alias("_low"))
-        return steps.result(every.join(whole, "instance_id").select("instance_id", "state", "energy", (weight / F.col("_whole")).alias("share")), "orders")
+        whole = every.join(low.hint("merge"), "instance_id").groupBy("instance_id").agg(F.sum(weight).alias("_whole"), F.first("_low").alias("_low"))
+        return steps.result(every.join(whole.hint("merge"), "instance_id").select("instance_id", "state", "energy", (weight / F.col("_whole")).alias("share")), "orders")
 
 
 def visited(samples: DataFrame, space: DataFrame) -> DataFrame:
