@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from phylochron.operators import evidence, graphs, kernels, lattice, scoring, trees
+from phylochron.operators import evidence, graphs, kernels, lattice, scans, scoring, trees
 from phylochron.plans import fold
 
 
@@ -81,6 +81,24 @@ def test_pairs_of_orders_are_counted_by_blocks(spark, monkeypatch):
     assert scoring.pair_frequency(df.limit(0)).count() == 0
 
 
+def test_ranges_are_dealt_out(spark, monkeypatch):
+    """One task's rows with long ranges are made by several; all numbers are there once."""
+    monkeypatch.setattr(scans, "SPREAD", 1000)
+    rows = spark.range(0, 5, 1, 1)
+    out = scans.spread(rows, F.col("id"), F.lit(3000), "n", block=100)
+    assert sorted((r.id, r.n) for r in out.collect()) == [(k, n) for k in range(5) for n in range(k, k + 3000)]
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 10 and max(tasks) < 3000
+
+
+def test_state_spaces_broadcast_no_instances(spark):
+    nodes = spark.createDataFrame([(1, 1, None), (1, 2, 1)], "instance_id long, label long, parent long")
+    given = spark.createDataFrame([(1, 1, 2, 4)], "instance_id long, donor long, receptor long, weight long")
+    choices = lattice._choices(lattice.slots(nodes), given)
+    states = spark.createDataFrame([(1, 0)], "instance_id long, placed long")
+    assert "Broadcast" not in lattice._next(states, choices)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_in_neighbours(spark):
     df = spark.createDataFrame([(1, 3, 2), (1, 3, 2), (2, 3, 4), (3, 3, 9), (2, 1, 1)], "donor long, receptor long, weight long")
     assert {tuple(r) for r in graphs.in_neighbours(df).collect()} == {(3, 2, 8, 1), (1, 1, 1, 2)}
