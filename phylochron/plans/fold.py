@@ -12,6 +12,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,19 +73,18 @@ def _merger(seed: int):
     """Merges the two sides of a node: both are latest first, as is the result, with the node itself at its end."""
 
     def run(key, group):
-        node = key[0].as_py()
-        side, pos, label = (group.column(c).to_pylist() for c in ("side", "pos", "label"))
-        order = [[x for _, x in sorted((p, x) for s, p, x in zip(side, pos, label, strict=True) if s == k)] for k in (0, 1)]
-        place = [{x: i for i, x in enumerate(o)} for o in order]
-        gives = [np.zeros((len(order[0]), len(order[1]))), np.zeros((len(order[1]), len(order[0])))]
-        for s, a, b, w in zip(side, label, group.column("other").to_pylist(), group.column("w").to_pylist(), strict=True):
-            if s == -1:
-                k = int(a in place[1])
-                gives[k][place[k][a], place[1 - k][b]] += w
-        merged = kernels.interleaved(gives[0], gives[1], random.Random(f"{seed}:{node}"))
-        rest = [iter(order[0]), iter(order[1])]
-        out = [next(rest[0 if first else 1]) for first in merged] + [node]
-        kind = group.schema.field("label").type
-        return pa.Table.from_arrays([pa.array([node] * len(out), kind), pa.array(range(len(out)), pa.int64()), pa.array(out, kind)], names=["node", "pos", "label"])
+        node, kind = key[0].as_py(), group.schema.field("label").type
+        side = group.column("side").to_numpy()
+        order = [group.filter(pa.array(side == k)).sort_by([("pos", "ascending"), ("label", "ascending")]).column("label").combine_chunks() for k in (0, 1)]
+        edges = group.filter(pa.array(side == -1))
+        place = [[pc.index_in(edges.column(c), value_set=o).fill_null(-1).to_numpy() for o in order] for c in ("label", "other")]
+        w, gives = edges.column("w").to_numpy(), []
+        for k in (0, 1):
+            own = place[0][k] >= 0
+            gives.append((place[0][k][own], place[1][1 - k][own], w[own]))
+        first = kernels.interleaved_lean(len(order[0]), len(order[1]), *gives, random.Random(f"{seed}:{node}"))
+        row = np.where(first, np.cumsum(first) - 1, len(order[0]) + np.cumsum(~first) - 1)
+        out = pa.concat_arrays([pa.concat_arrays(order).take(pa.array(row)), pa.array([node], kind)])
+        return pa.Table.from_arrays([pa.array([node], kind).take(pa.array(np.zeros(len(out), np.int64))), pa.array(np.arange(len(out))), out], names=["node", "pos", "label"])
 
     return run
