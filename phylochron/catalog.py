@@ -495,7 +495,7 @@ def pair_order_frequency(spark, sf):
 @query(f", {_PAIRS} SELECT a, b, n_before, n FROM pairs WHERE n_before IN (0, n) AND NOT EXISTS (SELECT 1 FROM closure WHERE hops > 0 AND least(anc, des) = a AND greatest(anc, des) = b)", d.GROWN)
 def constant_direction_pairs(spark, sf):
     tree = d.grown_tree(spark, sf)
-    return scoring.constant_pairs(scoring.pair_frequency(d.hash_positions(spark, of=tree)), tree)
+    return scoring.constant_order_pairs(d.hash_positions(spark, of=tree), tree)
 
 
 @query(f""", moved AS (SELECT label, CASE WHEN label = 20 THEN 25 WHEN pos > o AND pos <= 25 THEN pos - 1 WHEN pos < o AND pos >= 25 THEN pos + 1 ELSE pos END AS pos

@@ -136,29 +136,47 @@ def pair_frequency(positions: DataFrame) -> DataFrame:
     """(a, b, n_before, n): how often a comes before b, of all orders, for a < b.
 
     Labels are numbered and cut into blocks, and each pair of blocks is one group that counts its SIDE * SIDE pairs over all orders,
-    so a position is copied once a block and no pair of an order is a row: pairs are rows only as the result. More than ORDERS
-    orders are counted in parts, which are added up.
+    so a label's row, with its positions in up to ORDERS orders, is copied once a block and no pair of an order is a row: pairs are
+    rows only as the result. More than ORDERS orders are counted in parts, which are added up.
     """
+    return _paired(positions)
+
+
+def _paired(positions: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """The pairs of pair_frequency; with a tree, those of constant_pairs."""
     known = stored(positions.filter("order_id IS NOT NULL AND label IS NOT NULL").select("order_id", "label", "pos"), "positions")
-    labels, orders = scans.ranked(known.select("label").distinct(), "_at", "label"), scans.ranked(known.select("order_id").distinct(), "_o", "order_id")
+    names, info = known.select("label").distinct(), [] if tree is None else ["first", "last"]
+    if tree is not None:
+        names = names.join(tree.select("label", *info), "label")
+    labels, orders = scans.ranked(names, "_at", "label"), scans.ranked(known.select("order_id").distinct(), "_o", "order_id")
     blocks, parts = (-(-(of.agg(F.max(c)).first()[0] or 0) // by) for of, c, by in ((labels.withColumn("_at", F.col("_at") + 1), "_at", SIDE), (orders.withColumn("_o", F.col("_o") + 1), "_o", ORDERS)))
-    rows = known.join(labels, "label").join(orders, "order_id").select("label", "pos", "_at", F.floor(F.col("_o") / ORDERS).alias("_part"), F.pmod("_o", F.lit(ORDERS)).cast("int").alias("_o"), F.floor(F.col("_at") / SIDE).alias("_own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))
-    cells = rows.withColumn("_other", other).select("_part", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_o", "_at", "pos", "label")
+    if tree is not None and parts > 1:  # which pairs are constant is known when parts are added up
+        return constant_pairs(_paired(known), tree)
+    seen = known.join(orders, "order_id").groupBy("label", F.floor(F.col("_o") / ORDERS).alias("_part")).agg(F.collect_list(F.struct(F.pmod("_o", F.lit(ORDERS)).cast("int").alias("o"), "pos")).alias("_seen"))
+    rows = seen.join(labels, "label").withColumn("_own", F.floor(F.col("_at") / SIDE)).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    cells = rows.select("_part", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_at", "label", *info, F.col("_seen.o").alias("_o"), F.col("_seen.pos").alias("pos"))
+    cells = cells.repartition(max(1, min(parts * blocks * (blocks + 1) // 2, MOST_PARTS)), "_part", "_i", "_j")
     kind = positions.schema["label"].dataType.simpleString()
-    out = cells.groupBy("_part", "_i", "_j").applyInArrow(_counted(SIDE), f"a {kind}, b {kind}, n_before long, n long")
+    out = cells.groupBy("_part", "_i", "_j").applyInArrow(_counted(SIDE, tree is not None), f"a {kind}, b {kind}, n_before long, n long")
     return out if parts <= 1 else out.groupBy("a", "b").agg(F.sum("n_before").alias("n_before"), F.sum("n").alias("n"))
 
 
-def _counted(side: int):
-    """Counts the pairs of one block of labels with another, order by order."""
+#: Tasks among which pairs of blocks are dealt at most: few and small rows make very many pairs.
+MOST_PARTS = 4000
+
+
+def _counted(side: int, constant: bool = False):
+    """Counts the pairs of one block of labels with another, order by order; constant: gives only those that all orders put the
+    same way and that are not above each other by the intervals first..last of their labels."""
 
     def run(key, group):
-        at, order = group.column("_at").to_numpy(), group.column("_o").to_numpy()
-        by = np.lexsort((at, order))
-        group, at, order = group.take(pa.array(by)), at[by], order[by]
-        known = group.column("pos").is_valid().to_numpy()
-        pos = group.column("pos").fill_null(0).to_numpy()
+        group = group.combine_chunks()
+        place, lists = group.column("_at").to_numpy(), [group.column(c).combine_chunks() for c in ("_o", "pos")]
+        row = np.repeat(np.arange(len(place)), lists[0].value_lengths().to_numpy())
+        order, pos = (x.flatten() for x in lists)
+        by = np.lexsort((place[row], order.to_numpy()))
+        row, order, pos = row[by], order.to_numpy()[by], pos.take(pa.array(by))
+        at, known, pos = place[row], pos.is_valid().to_numpy(zero_copy_only=False), pos.fill_null(0).to_numpy()
         sides = [np.flatnonzero(at // side == k.as_py()) for k in key[1:]]
         before, n = np.zeros((side, side), np.int64), np.zeros((side, side), np.int64)
         for o in np.unique(order):
@@ -166,23 +184,40 @@ def _counted(side: int):
             r, c = at[x] % side, at[y] % side
             first = (pos[x][:, None] < pos[y]) & known[x][:, None] & known[y]
             if all(len(k) and k[-1] - k[0] == len(k) - 1 and (np.diff(k) == 1).all() for k in (r, c)):
-                place = slice(r[0], r[-1] + 1), slice(c[0], c[-1] + 1)
-                before[place] += first
-                n[place] += 1
+                spot = slice(r[0], r[-1] + 1), slice(c[0], c[-1] + 1)
+                before[spot] += first
+                n[spot] += 1
             else:  # labels that an order has not, or has twice
                 np.add.at(before, np.ix_(r, c), first)
                 np.add.at(n, np.ix_(r, c), 1)
         r, c = np.nonzero(np.triu(n, 1) if key[1] == key[2] else n)
-        names = []
+        numbers = []
         for of, k in zip(sides, (r, c), strict=True):
-            row = np.zeros(side, np.int64)
-            row[at[of] % side] = of
-            names.append(group.column("label").take(pa.array(row[k])))
+            numbers.append(np.zeros(side, np.int64))
+            numbers[-1][at[of] % side] = row[of]
+        if constant:
+            same = (before[r, c] == 0) | (before[r, c] == n[r, c])
+            r, c = r[same], c[same]
+            low, high = (group.column(k).fill_null(of).to_numpy() for k, of in (("first", _NEVER.max), ("last", _NEVER.min)))
+            a, b = numbers[0][r], numbers[1][c]
+            free = ~((low[a] <= low[b]) & (low[b] <= high[a])) & ~((low[b] <= low[a]) & (low[a] <= high[b]))
+            r, c = r[free], c[free]
+        names = [group.column("label").take(pa.array(of[k])) for of, k in zip(numbers, (r, c), strict=True)]
         return pa.Table.from_arrays([*names, pa.array(before[r, c]), pa.array(n[r, c])], names=["a", "b", "n_before", "n"])
 
     return run
 
 
+#: Ends of an interval that holds nothing.
+_NEVER = np.iinfo(np.int64)
+
+
+def constant_order_pairs(positions: DataFrame, tree: DataFrame) -> DataFrame:
+    """The constant pairs of all orders. Labels bring their intervals along, so the pairs are chosen where they are counted: no
+    other pair leaves its group, and none is shuffled."""
+    return _paired(positions, tree)
+
+
 def constant_pairs(frequency: DataFrame, tree: DataFrame) -> DataFrame:
     """Pairs that all orders put the same way although the tree leaves them open."""
     info = lambda x: tree.select(F.col("label").alias(x), F.col("first").alias(f"_{x}"), F.col("last").alias(f"_{x}_last"))

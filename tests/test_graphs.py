@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from phylochron import catalog
 from phylochron.operators import evidence, graphs, kernels, lattice, scans, scoring, trees
 from phylochron.plans import fold
 
@@ -81,6 +82,24 @@ def test_pairs_of_orders_are_counted_by_blocks(spark, monkeypatch):
     assert scoring.pair_frequency(df.limit(0)).count() == 0
 
 
+def test_constant_pairs_are_chosen_where_they_are_counted(spark, monkeypatch):
+    """The same pairs as by joins with the tree, which would shuffle them all: labels the tree has not, missing positions, parts."""
+    monkeypatch.setattr(scoring, "SIDE", 4)
+    rng = random.Random(4)
+    tree = trees.numbered(trees.heap_tree(spark, 15)).cache()
+    rows = [(o, x, p) for o in range(3) for p, x in enumerate(rng.sample(range(1, 18), 17 if o else 12))] + [(1, 3, None), (2, 5, 1)]
+    df = spark.createDataFrame(rows, "order_id long, label long, pos long")
+    want = sorted(map(tuple, scoring.constant_pairs(scoring.pair_frequency(df), tree).collect()))
+    for most in (256, 2):
+        monkeypatch.setattr(scoring, "ORDERS", most)
+        assert sorted(map(tuple, scoring.constant_order_pairs(df, tree).collect())) == want and len(want) > 9
+    monkeypatch.setattr(scoring, "ORDERS", 256)
+    assert scoring.constant_order_pairs(df.limit(0), tree).count() == 0
+    (spark.range(9).withColumnRenamed("id", "s_suppkey").selectExpr("s_suppkey", "cast(s_suppkey % 3 as int) AS s_nationkey")).write.mode("overwrite").parquet(path := str(spark.conf.get("spark.sql.warehouse.dir")) + "/few/supplier.parquet")
+    plan = catalog.queries()["constant_direction_pairs"](spark, path.rsplit("/", 1)[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
 def test_ranges_are_dealt_out(spark, monkeypatch):
     """One task's rows with long ranges are made by several; all numbers are there once."""
     monkeypatch.setattr(scans, "SPREAD", 1000)
