@@ -49,6 +49,9 @@ from .graph import components
 WORDS, PERCENT = 5, 80
 #: Documents whose shingles tell which are frequent, and in how many of them a frequent one is at least.
 SAMPLE, FREQUENT = 20_000, 8
+#: Turns in which keys are made and shuffled, each a share of all of them: most keys have one set and are dropped after the shuffle,
+#: which is the largest, so only a share of it is on disk at once.
+KEY_TURNS = 2
 #: Keys of up to FEW sets list their pairs; sets of larger ones are tested against a hub HUB_ROUNDS times.
 FEW, HUB_ROUNDS = 8, 2
 #: Turns in which sets that share a rare shingle are tested in chains, before all their pairs are made.
@@ -168,8 +171,8 @@ def parts(v, doc, first, which, name, most, kind):
     return of_kind(word + part[begin] * _U(0xC2B2AE3D27D4EB4F), name[owner], kind), owner, np.bincount(owner, minlength=len(first) - 1)
 
 
-def _keys(frequent: np.ndarray, percent: int):
-    """(key, d1) of every set; a set that the task has met lately is left out, as its rows are there already."""
+def _keys(frequent: np.ndarray, percent: int, turn: int = 0, turns: int = 1):
+    """(key, d1) of every set, of the keys of one turn; a set that the task has met lately is left out, as its rows are there already."""
 
     def run(batches):
         seen: set[int] = set()
@@ -207,7 +210,9 @@ def _keys(frequent: np.ndarray, percent: int):
                         single = last[doc]
                         keys.append(of_kind(v[single], name[doc[single]], 4 + kind))
                         owners.append(doc[single])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(d1[np.concatenate(owners)].view(np.int64))], names=["key", "d1"])
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            own = (key >> _U(3)) % _U(turns) == _U(turn)
+            yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(d1[owner[own]].view(np.int64))], names=["key", "d1"])
 
     return run
 
@@ -297,7 +302,7 @@ def _members(bits: np.ndarray):
         packer = zstandard.ZstdCompressor(level=3)
         for b in chunks(batches):
             at = b.column(2).to_numpy()
-            b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            b = b.filter(pa.array(_is_set(bits, at)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "members"])
 
     return run
@@ -336,18 +341,32 @@ def _verified(percent: int):
     return run
 
 
-def packed_texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, members): the compressed texts of the documents nodes (id). They are picked in the scan by a bitmap of
-    hashed ids, of at most 8 MB whatever the corpus; a wrong pick is dropped by later joins."""
+def _place(column, size: int):
+    """The bit of an id in a bitmap of `size` bits."""
+    return F.pmod(F.xxhash64(column, F.lit(9)), F.lit(size))
+
+
+def bitmap(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the hashed ids nodes (id), of at most 8 MB whatever the corpus, and its bits."""
     size, count = _BLOCK_BITS, nodes.count()
     while size < min(_MOST_BITS, 16 * count):
         size *= 4
-    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(size))
-    blocks = nodes.select(bit("id").alias("bit")).distinct().withColumn("block", F.floor(F.col("bit") / _BLOCK_BITS).cast("long")).groupBy("block").applyInArrow(_bitmap, "block long, bits binary").collect()
+    blocks = nodes.select(_place("id", size).alias("bit")).distinct().withColumn("block", F.floor(F.col("bit") / _BLOCK_BITS).cast("long")).groupBy("block").applyInArrow(_bitmap, "block long, bits binary").collect()
     bits = np.zeros(size // 8, np.uint8)
     for r in blocks:
         bits[r["block"] * _BLOCK_BITS // 8 : (r["block"] + 1) * _BLOCK_BITS // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return texts.filter("doc_id IS NOT NULL").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(_members(bits), "doc_id long, members binary")
+    return bits, size
+
+
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def packed_texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, members): the compressed texts of the documents nodes (id). They are picked in the scan by a bitmap; a wrong pick is
+    dropped by later joins."""
+    bits, size = bitmap(nodes)
+    return texts.filter("doc_id IS NOT NULL").select("doc_id", "text", _place("doc_id", size).alias("bit")).mapInArrow(_members(bits), "doc_id long, members binary")
 
 
 def verified(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -504,9 +523,12 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         classes = stored(classes, "classes")
         rows, shingle_rows = sets.agg(F.count("*"), F.sum("n")).first()
         frequent = frequent_shingles(texts, rows)
-        deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shingle_rows or 0) // 2_000_000)
-        keys = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_keys(frequent, percent), "key long, d1 long")
-        keys = stored(keys.repartition(deal, "key").mapInArrow(_shared, "key long, d1 long"), "shared")
+        deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shingle_rows or 0) // (2_000_000 * KEY_TURNS))
+        known, keys = texts.filter("doc_id IS NOT NULL").select("text"), None
+        for turn in range(KEY_TURNS):
+            some = known.mapInArrow(_keys(frequent, percent, turn, KEY_TURNS), "key long, d1 long")
+            some = stored(some.repartition(deal, "key").mapInArrow(_shared, "key long, d1 long"), "shared")
+            keys = some if keys is None else keys.unionByName(some)
         keys = stored(sized(keys, classes, percent), "keys")
         parts = 8 + keys.count() // 50_000  # the most files of a table of keys
         many = keys.filter(F.col("size") > FEW)
@@ -553,14 +575,20 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without near duplicates: of each component the document with the smallest doc_id stays, once (of rows that repeat
-    it that with the smallest hash); rows without doc_id stay. The columns of docs, whatever their names."""
+    it that with the smallest hash); rows without doc_id stay. The columns of docs, whatever their names.
+
+    Most documents stay, and their rows are not shuffled: a bitmap of the others' ids, and of repeated ones, tells in the scan which
+    rows need the join at all; a row that it names wrongly is joined and stays."""
     mark = uuid.uuid4().hex
     c, n, i, k = (f"{x}_{mark}" for x in "cnik")
     label = similar(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias(c), F.count("*").alias(n))
     keep = label.filter(F.col("doc_id") == F.col(c)).select(F.col("doc_id").alias(i), n)
+    bits, size = bitmap(label.filter((F.col("doc_id") != F.col(c)) | (F.col(n) > 1)).select(F.col("doc_id").alias("id")))
     columns = [F.col(f"`{x}`") for x in docs.columns]
-    rows = docs.join(keep, F.col("doc_id") == F.col(i))
-    out = rows.filter(F.col(n) == 1).select(*columns).unionByName(docs.filter("doc_id IS NULL"))
+    named = F.arrow_udf(_named(bits), "boolean")(_place(F.col("doc_id").cast("long"), size))
+    out = docs.filter(F.col("doc_id").isNull() | ~named)
+    rows = docs.filter(F.col("doc_id").isNotNull() & named).join(keep, F.col("doc_id") == F.col(i))
+    out = out.unionByName(rows.filter(F.col(n) == 1).select(*columns))
     if keep.filter(F.col(n) > 1).limit(1).count():
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*columns))
         again = rows.filter(F.col(n) > 1).withColumn(k, F.row_number().over(order)).filter(F.col(k) == 1)
@@ -568,5 +596,14 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out
 
 
+def _named(bits: np.ndarray):
+    """Whether bits of a bitmap are set."""
+
+    def run(at: pa.Array) -> pa.Array:
+        return pa.array(_is_set(bits, at.to_numpy()))
+
+    return run
+
+
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))

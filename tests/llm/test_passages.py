@@ -110,3 +110,35 @@ def test_sets_below_the_limit_make_no_pairs(spark):
     texts = [" ".join(f"p{k}w{i}" for k in c for i in range(60)) for c in sorted(chosen)]
     sets, members = open_sets(spark, texts)
     assert op10_jaccard.rare_pairs(sets, members, lambda d, *_: d.cache(), 2).count() < 5
+
+
+def test_keys_of_all_turns_are_all_keys(spark):
+    """So a turn's shuffle is a share of the whole, and no key or set is lost or twice."""
+    import collections
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(n)) for n in (1, 3, 5, 40, 200, 200, 900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    none = op10_jaccard.np.zeros(0, op10_jaccard.np.uint64)
+    rows = lambda *turn: collections.Counter((r["key"], r["d1"]) for b in op10_jaccard._keys(none, 80, *turn)([batch]) for r in b.to_pylist())
+    whole, turns = rows(), [rows(k, op10_jaccard.KEY_TURNS) for k in range(op10_jaccard.KEY_TURNS)]
+    assert sum(turns, collections.Counter()) == whole and len(whole) > 400
+    assert len(turns) > 1 and all(len(t) < 0.6 * len(whole) for t in turns)
+    assert not {k for k, _ in turns[0]} & {k for k, _ in turns[1]}
+
+
+def test_documents_that_stay_are_not_joined(spark):
+    """Only the ids that go, or repeat, name rows for the join; the rest is neither joined nor shuffled."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(30))) for k in range(200)]
+    rows += [(1000, rows[3][1]), (1001, rows[4][1] + " more"), (7, rows[7][1]), (None, rows[5][1]), (2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = op10_jaccard.one_of_each(df)
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [*range(200), 2000, 2001] and out.filter("doc_id IS NULL").count() == 1
+    union = out._jdf.queryExecution().optimizedPlan()
+    while "Union" not in union.nodeName():
+        union = union.children().apply(0)
+    first = union.children().apply(0).toString()
+    assert "Join" not in first and "ArrowEvalPython" in first
