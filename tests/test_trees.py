@@ -79,6 +79,24 @@ def test_numbers_of_random_trees(spark, n, deep):
     assert open_pairs == {(a, b) for a in inner for b in inner if a not in set(path(b, parent)) and b not in set(path(a, parent))}
 
 
+@pytest.mark.parametrize("deep", [False, True])
+def test_open_pairs_are_made_from_blocks(spark, monkeypatch, deep):
+    """Several blocks, the last one not full. Pairs are made above every join and shuffle, so none is shuffled."""
+    rng = random.Random(12 + deep)
+    rows, parent, kids = random_tree(150, rng, deep)
+    nodes = spark.createDataFrame([(f"n{k}", None if p is None else f"n{p}", leaf, 1.0, x) for k, p, leaf, _, x in rows], NODES.replace("label long, parent long", "label string, parent string"))
+    tree = trees.numbered(nodes)
+    above, inner = {x: set(path(x, parent)) for x in parent}, [x for x in parent if kids[x]]
+    want = sorted((f"n{a}", f"n{b}") for a in inner for b in inner if a not in above[b] and b not in above[a])
+    for side in (7, 4096):
+        monkeypatch.setattr(synthetic, "SIDE", side)
+        out = synthetic.incomparable_pairs(tree)
+        assert sorted(map(tuple, out.collect())) == want and len(want) > 9
+    made, below = out._jdf.queryExecution().optimizedPlan().toString().split("Repartition")
+    assert "explode(slice" in made and "Join" not in made and "slice" not in below
+    assert synthetic.incomparable_pairs(tree.filter("is_leaf")).count() == 0
+
+
 def test_path_of_fifty_thousand_levels(spark):
     deep = 50_000
     k = F.col("id")
