@@ -116,3 +116,17 @@ class Steps:
     def __exit__(self, *failed) -> None:
         store, place = files(self.spark, self.folder)
         store.delete(place, True)
+
+
+class Parts:
+    """A table that stays and is written part by part, each of which can be read before the others are there."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, part: int) -> DataFrame:
+        return _written(df, f"{self.path}/part={part}")
+
+    def whole(self, like: DataFrame) -> DataFrame:
+        """The table, of parts like this one."""
+        return self.spark.read.schema(like.schema).parquet(self.path).select(*like.columns)

@@ -62,6 +62,78 @@ def test_dense_closures_are_closed_by_blocks(spark, monkeypatch):
     assert graphs.reach(path).agg(F.count("*"), F.sum(F.col("dst") - F.col("src"))).first()[:] == (1501 * 1500 // 2, sum(d * (1501 - d) for d in range(1, 1501)))
 
 
+def walked(edges):
+    """The pairs (g, src, dst) with a way, from each node by a stack."""
+    after = {}
+    for g, a, b in edges:
+        after.setdefault((g, a), set()).add(b)
+    out = set()
+    for g, a in after:
+        todo = [a]
+        while todo:
+            for b in after.get((g, todo.pop()), ()):
+                if (g, a, b) not in out:
+                    out.add((g, a, b))
+                    todo.append(b)
+    return out
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_sparse_graphs_are_closed_by_bands(spark, monkeypatch, up):
+    """Edges up or down the numbers, circles within a band, a node that leads to many, an edge to itself. Later edges leave the
+    bands that lead to none as they are; no block of middle nodes is gone through."""
+    monkeypatch.setattr(graphs, "SIDE", 64)
+    monkeypatch.setattr(graphs, "BAND", 2, raising=False)
+    rng = random.Random(21)
+    name = lambda k: f"{k if up else 999 - k:04d}"
+    rows = {(g, name(a), name(a + rng.randrange(1, 140))) for g in (1, 2) for a in range(500) for _ in range(2)}
+    rows |= {(1, name(a + d), name(a + (d + 1) % 5)) for a in (128, 256 + 60) for d in range(5)} | {(1, name(3), name(k)) for k in range(130, 500, 3)} | {(2, name(9), name(9))}
+    later = {(1, name(200), name(450)), (1, name(140), name(250))}  # from the second band
+    df = lambda x: spark.createDataFrame(sorted(x), "g long, src string, dst string")
+    passed, written = [], []
+    monkeypatch.setattr(graphs, "_through", lambda steps, blocks, middle, keys, real=graphs._through: passed.append(1) or real(steps, blocks, middle, keys))
+    known = graphs.closed(df(rows), "g")
+    got = [tuple(r) for r in graphs.pairs(*known, "g").collect()]
+    assert not passed
+    assert len(got) == len(set(got)) and set(got) == walked(rows) and len(got) > 50_000
+    parts = graphs.Parts
+    monkeypatch.setattr(parts, "stored", lambda self, t, part, real=parts.stored: written.append(part) or real(self, t, part))
+    grown = graphs.more(*known, df(later), "g")
+    got = [tuple(r) for r in graphs.pairs(*grown, "g").collect()]
+    assert len(got) == len(set(got)) and set(got) == walked(rows | later) and not passed
+    assert -1 in written and (written == [-1, 1, 0] or not up)  # kept ones, and those that lead to a later edge
+    back = {(2, name(400), name(7)), (3, name(1), name(999))}  # a circle through bands, and a new graph
+    got = [tuple(r) for r in graphs.pairs(*graphs.more(*grown, df(back), "g"), "g").collect()]
+    assert len(got) == len(set(got)) and set(got) == walked(rows | later | back) and passed
+
+
+def test_graphs_of_many_edges_or_circles_are_closed_by_middle_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "SIDE", 64)
+    rng = random.Random(22)
+    rows = {(1, rng.randrange(150), rng.randrange(150)) for _ in range(190)}
+    df = lambda x: spark.createDataFrame(sorted(x), "g long, src long, dst long").drop("g")
+    want, later = walked(rows), {(1, 7, 200), (1, 200, 11)}
+    for band, sparse in ((1, 16), (8, 0), (8, 16)):
+        monkeypatch.setattr(graphs, "BAND", band)
+        monkeypatch.setattr(graphs, "SPARSE", sparse)
+        known = graphs.closed(df(rows))
+        assert ("links" in known[0].columns) == ((band, sparse) == (8, 16))
+        assert sorted((1, *r) for r in graphs.pairs(*known).collect()) == sorted(want)
+        assert sorted((1, *r) for r in graphs.pairs(*graphs.more(*known, df(later))).collect()) == sorted(walked(rows | later))
+
+
+def test_components_come_after_those_they_lead_to():
+    rng = random.Random(23)
+    for n, m in ((1, 0), (60, 40), (60, 70), (60, 200)):
+        ways = [[rng.randrange(n) for _ in range(rng.randrange(2 * m // n + 1))] for _ in range(n)]
+        reach = {(a, b) for _, a, b in walked({(0, a, b) for a in range(n) for b in ways[a]})}
+        found = graphs.components(ways)
+        at = {x: k for k, own in enumerate(found) for x in own}
+        assert sorted(x for own in found for x in own) == list(range(n))
+        assert all((at[a] == at[b]) == (a == b or {(a, b), (b, a)} <= reach) for a in range(n) for b in range(n))
+        assert all(at[b] <= at[a] for a in range(n) for b in ways[a])
+
+
 def test_pairs_of_orders_are_counted_by_blocks(spark, monkeypatch):
     """Labels missing in an order, given twice in one and without a position; several blocks and parts. No join makes pairs."""
     monkeypatch.setattr(scoring, "SIDE", 4)
